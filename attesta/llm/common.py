@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 _OWN: dict[str, str] = {}
 
@@ -76,10 +76,10 @@ def hash_sample(rows: DataFrame, group: str, order: list[str], bound: int) -> Da
 def splittable_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join that Spark can split at a hot key of the left side.
 
-    Joined on a checksum of the keys too, so that a right side already dealt by the keys (an aggregate)
-    is dealt for this join alone; only then does adaptive execution split and replicate.
+    Joined on one bit of the keys' hash too, so that a right side already dealt by the keys (an
+    aggregate) is dealt for this join alone; only then does adaptive execution split and replicate.
     """
-    tag = F.xxhash64(*keys)
+    tag = F.xxhash64(*keys).bitwiseAND(F.lit(1)).cast("tinyint")
     return left.withColumn("__tag", tag).join(right.withColumn("__tag", tag), [*keys, "__tag"], how).drop("__tag")
 
 

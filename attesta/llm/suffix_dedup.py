@@ -20,7 +20,7 @@ or another. What decides is which SPAN-byte windows occur twice.
    instead, so that no bucket is unbounded.
 
 Defined cases: a null text is the empty text; texts under SPAN bytes lose nothing; rows are told
-apart by id and text, so repeated rows are repeats of each other and get equal results, null ids
+apart by id and text's hash, so repeated rows are repeats of each other and get equal results, null ids
 included; an empty table gives an empty result; further columns are kept by rewrite() and ignored
 otherwise.
 """
@@ -42,9 +42,9 @@ SPAN, GRAM = 200, 64
 #: Runs of one anchor that are sorted together at most.
 HOT = 4096
 #: Bytes hashed at once; longer texts are cut in overlapping pieces.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bytes of runs sorted at once.
-SORTED = 4 << 20
+SORTED = 1 << 20
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -141,12 +141,12 @@ def runs(own: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
 def _pack(docs: DataFrame) -> DataFrame:
     """docs with __th (hash of the text) and, in place of the text, its compressed bytes."""
     text = F.coalesce("text", F.lit(""))
-    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64(text))
+    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__th", F.hash(text))
     own = own.withColumn("text", text.cast("binary"))
     at = own.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1, write_checksum=False)
+        packer = zstandard.ZstdCompressor(level=3, write_checksum=False)
         for b in batches:
             packed = pa.array([packer.compress(t.as_py()) for t in b.column(at)], pa.binary())
             yield pa.RecordBatch.from_arrays([packed if k == at else c for k, c in enumerate(b.columns)], b.schema.names)
@@ -159,12 +159,14 @@ def _unpacked(column: pa.Array) -> list[bytes]:
     return [opener.decompress(x.as_py()) for x in column]
 
 
-ANCHORS = "__id long, __th long, h long, c long, lo long, w int, d int"
-_ANCHOR_TYPES = [pa.int64()] * 5 + [pa.int32()] * 2
+ANCHORS = "__id long, __th int, h long, c long, at long"
+_ANCHOR_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+#: What `at` packs: first window, windows - 1, place of the anchor (both under 256).
+UNPACK = {"lo": "at >> 16", "w": "int(at >> 8 & 255)", "d": "int(at & 255)"}
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """The runs of all texts: anchor hash h, content hash c, first window lo, windows - 1 w, anchor's place d."""
+    """The runs of all texts: anchor hash h, content hash c, and `at`, which packs their place."""
     names = [x.split()[0] for x in ANCHORS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,14 +174,14 @@ def anchors(docs: DataFrame) -> DataFrame:
             raws = [t.as_py() for t in b.column(2)]
             ids, hashes = b.column(0), b.column(1)
             for own in pieces(raws):
-                row, *rest = runs(own)
+                row, h, c, lo, w, d = runs(own)
                 take = pa.array(row)
-                cols = [ids.take(take), hashes.take(take), *rest]
+                cols = [ids.take(take), hashes.take(take), h, c, lo << 16 | w << 8 | d]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _ANCHOR_TYPES)], names)
 
     text = F.coalesce("text", F.lit(""))
     own = docs.select(
-        F.col("doc_id").cast("long").alias("__id"), F.xxhash64(text).alias("__th"), text.cast("binary").alias("raw")
+        F.col("doc_id").cast("long").alias("__id"), F.hash(text).alias("__th"), text.cast("binary").alias("raw")
     )
     return own.mapInArrow(run, ANCHORS)
 
@@ -304,11 +306,11 @@ def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist()))
 
 
-RANGE = "__id long, __th long, a long, b long"
-_RANGE = pa.schema([(n, pa.int64()) for n in ("__id", "__th", "a", "b")])
-SEGMENT = "h long, c long, n long, m long, __id long, __th long, lo long, w int, d int, raw binary"
+RANGE = "__id long, __th int, a long, b long"
+_RANGE = pa.schema([("__id", pa.int64()), ("__th", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+SEGMENT = "h long, c long, n long, m long, __id long, __th int, lo long, w int, d int, raw binary"
 _SEGMENT = pa.schema(
-    [(n, pa.int64()) for n in ("h", "c", "n", "m", "__id", "__th", "lo")]
+    [(n, pa.int64()) for n in ("h", "c", "n", "m", "__id")] + [("__th", pa.int32()), ("lo", pa.int64())]
     + [("w", pa.int32()), ("d", pa.int32()), ("raw", pa.binary())]
 )
 
@@ -349,7 +351,7 @@ def _sorted_ranges(segments: DataFrame) -> DataFrame:
                 at = r["lo"] + r["d"]  # the anchor's place in the text
                 out += [(r["__id"], r["__th"], at - last, at - first + SPAN) for first, last in spans_of(m)]
         cols = list(zip(*out)) if out else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=_RANGE)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _RANGE)], schema=_RANGE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
@@ -389,7 +391,7 @@ def _counted_ranges(segments: DataFrame) -> DataFrame:
             cols.append(np.array(b.column("lo"))[row] + step)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
-    own = segments.mapInArrow(run, "h long, k1 long, k2 long, once boolean, __id long, __th long, a long")
+    own = segments.mapInArrow(run, "h long, k1 long, k2 long, once boolean, __id long, __th int, a long")
     keys = ["h", "k1", "k2"]
     twice = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     found = splittable_join(own.where("once"), twice, keys)
@@ -403,10 +405,11 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, hot: int = HOT) -> DataF
     per_anchor = contents.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).where("all > 1").drop("all")
     known = contents.join(per_anchor, "h")
     rows = materialise(splittable_join(found, known, ["h", "c"]))
-    whole = rows.where("n > 1").selectExpr("__id", "__th", "lo as a", f"lo + w + {SPAN} as b")
+    whole = rows.where("n > 1").selectExpr("__id", "__th", "at >> 16 as a", f"(at >> 16) + (at >> 8 & 255) + {SPAN} as b")
     # one run of each content, of anchors with several
-    first = F.min(F.struct("__id", "__th", "lo", "w", "d")).alias("x")
+    first = F.min(F.struct("__id", "__th", "at")).alias("x")
     wanted = rows.where("m > 1").groupBy("h", "c", "n", "m").agg(first).select("h", "c", "n", "m", "x.*")
+    wanted = wanted.selectExpr("*", *(f"{e} as {name}" for name, e in UNPACK.items())).drop("at")
     segments = materialise(_segments(packed, wanted))
     part = _sorted_ranges(segments.where(f"m <= {hot}"))
     rest = _counted_ranges(segments.where(f"m > {hot}"))
