@@ -15,9 +15,12 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
+import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,12 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import arrow_batches, materialise, table
+from attesta.llm.common import arrow_batches, materialise, released, table
 
 #: Words in the lexicon at most, and bytes of a word: together they bound what is broadcast.
-LEXICON, WORD_BYTES = 65_536, 48
-#: Words a worker remembers before it starts anew.
-MEMORY = 200_000
+LEXICON, WORD_BYTES = 131_072, 48
+#: Words outside the lexicon that a worker remembers before it starts anew.
+MEMORY = 100_000
 #: Words a task counts before it hands its counts on.
 COUNTED = 300_000
 #: Fixed by the tokenizer's format: contractions, letters, numbers, other signs, white space.
@@ -40,6 +43,15 @@ PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 WORDS = regex.compile(PATTERN)
+#: The same for texts of characters whose kinds the standard matcher's classes agree on: ASCII, Latin
+#: letters up to U+024F (two signs among them left out) and common punctuation.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+COMMON = re.compile(f"[\t-\r -~{LATIN[6:]}\u00a1\u00a3\u00a7\u00ab\u00b0\u00b7\u00bb\u00bf\u2010-\u2027]*")
+COMMON_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s0-9{LATIN}]+|\s+(?!\S)|\s+")
+
+
+def split_words(text: str) -> list[str]:
+    return COMMON_WORDS.findall(text) if COMMON.fullmatch(text) else WORDS.findall(text)
 
 
 def default_tokenizer() -> str:
@@ -69,10 +81,10 @@ class Merger:
 
     def __init__(self, path: str) -> None:
         self.vocab, self.special = read_vocabulary(path)
-        self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.vocab, special_tokens={})._core_bpe
+        self.core = tiktoken.Encoding("own", pat_str=".", mergeable_ranks=self.vocab, special_tokens={})._core_bpe
         self.bytes_of = {i: b for b, i in self.vocab.items()} | {i: s.encode() for s, i in self.special.items()}
         names = sorted(self.special, key=len, reverse=True)
-        self.splitter = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
+        self.splitter = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
     def merge(self, word: bytes) -> list[int]:
         found = self.vocab.get(word)
@@ -148,85 +160,119 @@ class Lexicon:
         self.file = tempfile.TemporaryFile()  # has no name: it goes with the worker
         self.file.write(data)
         self.file.flush()
-        view = memoryview(mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)).cast("i")
-        n, a, words, ids, self.root, _ = view[:6]
-        at = 6
-        cut = []
+        view = np.frombuffer(mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ), np.int32)
+        n, a, words, ids, self.root, _ = map(int, view[:6])
+        cut, at = [], 6
         for size in (n + 1, n, a, a, a, words + 1, ids):
             cut.append(view[at : at + size])
             at += size
-        self.first, self.final, self.byte, self.target, self.before, self.offset, self.ids = cut
+        first, self.final, byte, self.target, self.before, self.offset, self.ids = cut
+        # arcs stand by state, then byte
+        self.arcs = np.repeat(np.arange(n, dtype=np.int64), np.diff(first)) << 8 | byte
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """Index of each word, -1 if it isn't in the lexicon; all words walk the automaton together."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        fits = sizes <= WORD_BYTES
+        width = int(sizes[fits].max(initial=0))
+        flat = b"".join([w.ljust(width, b"\0") if len(w) <= width else b"\0" * width for w in words])
+        letters = np.frombuffer(flat, np.uint8).reshape(len(words), width)
+        state = np.where(fits, self.root, -1)
+        index = np.zeros(len(words), np.int64)
+        for j in range(width if len(self.arcs) else 0):
+            on = np.flatnonzero((sizes > j) & (state >= 0))
+            key = state[on] << 8 | letters[on, j]
+            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            known = self.arcs[arc] == key
+            index[on] += self.before[arc]
+            state[on] = np.where(known, self.target[arc], -1)
+        if not len(self.arcs):
+            state[sizes > 0] = -1
+        return np.where((state >= 0) & (self.final[state] == 1), index, -1)
+
+    def entry(self, index: int) -> list[int]:
+        return self.ids[self.offset[index] : self.offset[index + 1]].tolist()
 
     def ids_of(self, word: bytes) -> list[int] | None:
         """The word's ids; None if it isn't in the lexicon."""
-        state, index = self.root, 0
-        first, byte = self.first, self.byte
-        for b in word:
-            lo, hi = first[state], first[state + 1]
-            while lo < hi:  # arcs are in order of their byte
-                mid = (lo + hi) // 2
-                if byte[mid] < b:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == first[state + 1] or byte[lo] != b:
-                return None
-            index += self.before[lo]
-            state = self.target[lo]
-        if not self.final[state]:
-            return None
-        return self.ids[self.offset[index] : self.offset[index + 1]].tolist()
+        index = int(self.find([word])[0])
+        return None if index < 0 else self.entry(index)
+
+
+Entry = tuple[int, str, bytes, list[int]]
 
 
 class Codec:
-    """Encodes and decodes whole texts; remembers words it has met, with their ids written out and decoded."""
+    """Encodes and decodes whole texts, a batch at a time.
+
+    An entry is a word's number of ids, the ids written out, the ids decoded, and the ids. New words
+    of a batch are looked up in the lexicon together, others are merged. Entries of the lexicon are
+    kept; those of other words go after MEMORY of them have been met.
+    """
 
     def __init__(self, merger: Merger, lexicon: bytes) -> None:
         self.merger, self.lexicon = merger, Lexicon(lexicon)
-        self.memory: dict[str, tuple[list[int], str, bytes]] = {}
-
-    def entry(self, ids: list[int]) -> tuple[list[int], str, bytes]:
-        return ids, ",".join(map(str, ids)), self.decode_bytes(ids)
-
-    def word(self, w: str) -> tuple[list[int], str, bytes]:
-        raw = w.encode("utf-8", "surrogatepass")
-        ids = self.lexicon.ids_of(raw)
-        if len(self.memory) >= MEMORY:
-            self.memory.clear()
-        out = self.memory[w] = self.entry(self.merger.merge(raw) if ids is None else ids)
-        return out
+        self.written = [str(i) for i in range(max(merger.bytes_of) + 1)]
+        # a special string is no word of the pattern, so both can be keys here
+        self.memory: dict[str, Entry] = {s: self.entry([i]) for s, i in merger.special.items()}
+        self.others: list[str] = []
+
+    def entry(self, ids: list[int]) -> Entry:
+        written, back = self.written, self.merger.bytes_of
+        return len(ids), ",".join([written[i] for i in ids]), b"".join([back[i] for i in ids]), ids
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.others) >= MEMORY:
+            for w in self.others:
+                del self.memory[w]
+            self.others = []
+        new = list(words - self.memory.keys())
+        raws = [w.encode("utf-8", "surrogatepass") for w in new]
+        for w, raw, k in zip(new, raws, self.lexicon.find(raws).tolist()):
+            if k >= 0:
+                self.memory[w] = self.entry(self.lexicon.entry(k))
+            else:
+                self.memory[w] = self.entry(self.merger.merge(raw))
+                self.others.append(w)
 
-    def entries(self, text: str | None) -> list[tuple[list[int], str, bytes]]:
-        out: list[tuple[list[int], str, bytes]] = []
-        known, word = self.memory.get, self.word
+    def words(self, text: str | None) -> list[str]:
+        out: list[str] = []
         for part, special in self.merger.parts(text or ""):
-            if special is not None:
-                out.append(self.entry([special]))
-            else:
-                out.extend([known(w) or word(w) for w in WORDS.findall(part)])
+            out += split_words(part) if special is None else [part]
         return out
 
+    def entries(self, texts: list[str | None]) -> Iterator[list[Entry]]:
+        parts = [self.words(t) for t in texts]
+        self.learn(set().union(*parts))
+        for p in parts:
+            yield list(map(self.memory.__getitem__, p))
+
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids, _, _ in self.entries(text) for i in ids]
+        return [i for e in next(self.entries([text])) for i in e[3]]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.merger.bytes_of.__getitem__, ids))
+        return self.entry(ids)[2]
 
     def decode(self, ids: list[int]) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
-    def digests(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, sha256 of the ids written out, sha256 of the decoded text."""
-        found = self.entries(text)
-        written = ",".join([e[1] for e in found]).encode()
-        back = b"".join([e[2] for e in found]).decode("utf-8", "replace").encode()
-        return sum([len(e[0]) for e in found]), hashlib.sha256(written).hexdigest(), hashlib.sha256(back).hexdigest()
+    def digests(self, texts: list[str | None], with_ids: bool = False) -> Iterator[tuple]:
+        """Number of ids, sha256 of the ids written out, sha256 of the decoded text, and the ids if asked for."""
+        number, written, back, ids = map(itemgetter, range(4))
+        for found in self.entries(texts):
+            out = (
+                sum(map(number, found)),
+                hashlib.sha256(",".join(map(written, found)).encode()).hexdigest(),
+                hashlib.sha256(b"".join(map(back, found)).decode("utf-8", "replace").encode()).hexdigest(),
+            )
+            yield (*out, list(chain.from_iterable(map(ids, found)))) if with_ids else out
 
 
 def count_words(docs: DataFrame, special: list[str]) -> DataFrame:
     """(word, n) over all texts; words over WORD_BYTES, and specials, are left out."""
-    splitter = regex.compile("|".join(map(regex.escape, special))) if special else None
+    splitter = re.compile("|".join(map(re.escape, special))) if special else None
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
 
@@ -240,7 +286,7 @@ def count_words(docs: DataFrame, special: list[str]) -> DataFrame:
             for t in b.column(0):
                 text = t.as_py() or ""
                 for part in splitter.split(text) if splitter and any(s in text for s in special) else (text,):
-                    counts.update(WORDS.findall(part))
+                    counts.update(split_words(part))
                 if len(counts) >= COUNTED:
                     yield out()
         yield out()
@@ -286,11 +332,11 @@ def encode(docs: DataFrame, path: str | None = None, limit: int = LEXICON, with_
     shared = spark.sparkContext.broadcast(build_lexicon(docs, Merger(path), limit))
     schema = _OUT.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else _OUT
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(Merger(path), shared.value)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            rows = [codec.digests(t) + ((codec.encode(t),) if with_ids else ()) for t in texts]
+            rows = list(codec.digests(b.column(1).to_pylist(), with_ids))
             cols = [b.column(0), *(zip(*rows) if rows else [[]] * (len(schema) - 1))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 

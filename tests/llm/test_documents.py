@@ -185,6 +185,17 @@ def test_bpe(edge, edge_rows):
     same(bpe.encode(edge, limit=10).collect(), [w[:4] for w in wanted])
 
 
+def test_both_splitters_agree():
+    rnd = random.Random(8)
+    usual = [chr(c) for c in (*range(9, 14), *range(32, 127), *range(0xC0, 0x250), 0xA1, 0xA3, 0xB0, 0xB7, *range(0x2010, 0x2028))]
+    for _ in range(3000):
+        text = "".join(rnd.choice(usual if rnd.random() < 0.6 else " '\nsat0_") for _ in range(rnd.randint(0, 30)))
+        if bpe.COMMON.fullmatch(text):
+            assert bpe.COMMON_WORDS.findall(text) == bpe.WORDS.findall(text), text
+    for odd in "\u00d7\u00f7\u00aa\u00b2\x1c\x85\xa0\u0301\u2028漢":
+        assert not bpe.COMMON.fullmatch(odd)
+
+
 def test_lexicon_shares_suffixes_and_keeps_ids():
     words = {w.encode(): [k, k + 1][: 1 + k % 2] for k, w in enumerate(["", "a", "talking", "walking", "walked", "talked", "é"])}
     lexicon = bpe.Lexicon(bpe.compile_lexicon(words))
