@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import arrow_batches, table
+from attesta.llm.common import arrow_batches, released, table
 
 WINDOW, COVER = 5, 0.8
 #: Windows of one broadcast table (about 40 bytes each).
 BLOCK = 500_000
 #: Words a worker remembers before it starts anew.
-MEMORY = 300_000
+MEMORY = 200_000
 
 PLAIN, NUMBER, UNIT, CAPITAL = 0, 1, 2, 3
 #: Placeholders' hashes by kind; a capital word inside a sentence is a name.
@@ -50,6 +51,10 @@ EDGES = "\"'.,;:!?()[]{}<>|*#&$%-_/\\…«»“”‘’¿¡"
 
 def kind_of(word: str) -> tuple[int, int, bool, str]:
     """Hash of the plain word, kind, whether a sentence ends here, bare word."""
+    if word.isalpha():
+        low = word.lower()
+        kind = UNIT if low in UNITS else CAPITAL if word[0].isupper() else PLAIN
+        return xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")), kind, False, word
     bare = word.strip(EDGES) or word
     end = word.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":")
     kind = (
@@ -61,46 +66,47 @@ def kind_of(word: str) -> tuple[int, int, bool, str]:
     return xxhash.xxh64_intdigest(bare.lower().encode("utf-8", "surrogatepass")), kind, end, bare
 
 
-class Words:
+class Words(dict):
     """Numbers the words a worker meets, with what kind_of says of each."""
 
     def __init__(self) -> None:
-        self.reset()
-
-    def reset(self) -> None:
-        self.known: dict[str, int] = {}
+        super().__init__()
         self.rows: list[tuple[int, int, bool, str]] = []
-        self.arrays: tuple = ()
+        self.arrays = (np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, bool))
 
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, kinds and sentence ends of the words."""
+    def __missing__(self, word: str) -> int:
+        self.rows.append(kind_of(word))
+        self[word] = k = len(self.rows) - 1
+        return k
+
+    def forget(self) -> None:
         if len(self.rows) > MEMORY:
-            self.reset()
-        known = self.known
-        found = list(map(known.get, words))
-        if None in found:
-            for w in words:
-                if w not in known:
-                    known[w] = len(self.rows)
-                    self.rows.append(kind_of(w))
-            found = list(map(known.get, words))
-        if not self.arrays or len(self.arrays[0]) < len(self.rows):
-            done = len(self.arrays[0]) if self.arrays else 0
-            new = self.rows[done:]
-            more = (np.array([r[0] for r in new], np.uint64), np.array([r[1] for r in new], np.uint8), np.array([r[2] for r in new], bool))
-            self.arrays = tuple(map(np.concatenate, zip(self.arrays, more))) if self.arrays else more
-        at = np.array(found, np.int64)
+            self.clear()
+            Words.__init__(self)
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Hashes, kinds and sentence ends of the words."""
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if new := self.rows[len(self.arrays[0]) :]:
+            more = (np.array(c, a.dtype) for c, a in zip(zip(*(r[:3] for r in new)), self.arrays))
+            self.arrays = tuple(np.concatenate(x) for x in zip(self.arrays, more))
         return tuple(a[at] for a in self.arrays)
 
+    def value(self, word: str) -> str:
+        return self.rows[self[word]][3].lower()
+
+
+def template(words: list[str], memory: Words, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template hashes, literal hashes, and kinds as used (PLAIN where the word stands for itself).
 
-def template(words: list[str], memory: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template hashes, literal hashes, and kinds as used (PLAIN where the word stands for itself)."""
+    The words may be those of several texts, which begin at `starts`.
+    """
     literal, kind, end = memory.of(words)
-    kind = kind.copy()
-    after_end = np.concatenate([[True], end[:-1]])
-    after_number = np.concatenate([[False], kind[:-1] == NUMBER])
-    kind[(kind == CAPITAL) & after_end] = PLAIN
-    kind[(kind == UNIT) & ~after_number] = PLAIN
+    after_end = np.concatenate([[True], end[:-1]])[: len(words)]
+    after_number = np.concatenate([[False], kind[:-1] == NUMBER])[: len(words)]
+    if starts is not None:
+        after_end[starts], after_number[starts] = True, False
+    kind[((kind == CAPITAL) & after_end) | ((kind == UNIT) & ~after_number)] = PLAIN
     return np.where(kind == PLAIN, literal, SIGNS[kind]), literal, kind
 
 
@@ -132,7 +138,7 @@ class Index:
             h = window_hashes(literal if as_literal else tokens, size)
             places = np.arange(len(h)) if as_literal else np.flatnonzero(plain)
             k = len(self.items)
-            values = [memory.rows[memory.known[w]][3].lower() for w in words]
+            values = [memory.value(w) for w in words]
             self.items.append((item_id, len(places), values, kind))
             rows += [(int(h[p]), k, int(p), size, as_literal) for p in places]
         self.tables = []
@@ -143,31 +149,34 @@ class Index:
             seen[h >> np.uint64(44)] = True
             self.tables.append((size, as_literal, h, np.array([r[1] for r in own]), np.array([r[2] for r in own]), seen))
 
-    def hits(self, tokens: np.ndarray, literal: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, place in text, place in item, size) of equal windows, in order."""
+    def hits(self, tokens: np.ndarray, literal: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, place, place in item, size) of equal windows, in order; text: which one a word is of."""
         out = []
         for size, as_literal, h, item, place, seen in self.tables:
             own = window_hashes(literal if as_literal else tokens, size)
             maybe = np.flatnonzero(seen[own >> np.uint64(44)])
+            maybe = maybe[text[maybe] == text[maybe + size - 1]]
             lo, hi = np.searchsorted(h, own[maybe], "left"), np.searchsorted(h, own[maybe], "right")
             for at, a, b in zip(maybe[lo < hi], lo[lo < hi], hi[lo < hi]):
-                out += [(int(item[j]), int(at), int(place[j]), size) for j in range(a, b)]
+                out += [(int(text[at]), int(item[j]), int(at), int(place[j]), size) for j in range(a, b)]
         return sorted(out)
 
-    def occurrences(self, words: list[str], memory: Words, cover: float = COVER) -> list[tuple]:
-        """(item id, kind, first word, end) of what the text holds of the items, best one of each item."""
-        if not words or not self.items:
-            return []
-        tokens, literal, kind = template(words, memory)
-        hits = self.hits(tokens, literal)
-        out, at = [], 0
-        while at < len(hits):
-            end = at
-            while end < len(hits) and hits[end][0] == hits[at][0]:
-                end += 1
-            if found := self.best(hits[at:end], words, kind, memory, cover):
-                out.append(found)
-            at = end
+    def occurrences(self, texts: list[str | None], memory: Words, cover: float = COVER) -> list[list[tuple]]:
+        """For each text (item id, kind, first word, end) of the items it holds, the best place of each."""
+        out: list[list[tuple]] = [[] for _ in texts]
+        memory.forget()
+        parts = [(t or "").split() for t in texts]
+        sizes = np.array([len(p) for p in parts], np.int64)
+        if not self.items or not sizes.sum():
+            return out
+        words = list(chain.from_iterable(parts))
+        begin = np.cumsum(sizes) - sizes
+        tokens, literal, kind = template(words, memory, begin[sizes > 0])
+        hits = self.hits(tokens, literal, np.repeat(np.arange(len(parts)), sizes))
+        for (k, _), own in groupby(hits, key=lambda h: h[:2]):
+            if found := self.best([h[1:] for h in own], words, kind, memory, cover):
+                item_id, label, first, end = found
+                out[k].append((item_id, label, first - int(begin[k]), end - int(begin[k])))
         return out
 
     def best(self, hits: list[tuple], words: list[str], kind: np.ndarray, memory: Words, cover: float) -> tuple | None:
@@ -191,7 +200,7 @@ class Index:
             for q, p in sorted(pairs):
                 if item_kind[q] == PLAIN:
                     continue
-                mine, theirs = (int(item_kind[q]), values[q]), (int(kind[p]), memory.rows[memory.known[words[p]]][3].lower())
+                mine, theirs = (int(item_kind[q]), values[q]), (int(kind[p]), memory.value(words[p]))
                 agree &= there.setdefault(mine, theirs) == theirs and back.setdefault(theirs, mine) == mine
                 same &= mine == theirs
             if agree:
@@ -227,14 +236,15 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = BLOCK, cover: float
     for items in blocks(benchmark, size):
         shared = spark.sparkContext.broadcast(Index(items))
 
+        @released
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             memory = Words()
             for b in batches:
-                index = shared.value
-                more = []
-                for t, before in zip(b.column(at), b.column(hits)):
-                    found = index.occurrences((t.as_py() or "").split(), memory, cover)
-                    more.append(before.as_py() + [dict(zip(("item_id", "kind", "start", "end"), f)) for f in found])
+                found = shared.value.occurrences(b.column(at).to_pylist(), memory, cover)
+                more = [
+                    before.as_py() + [dict(zip(("item_id", "kind", "start", "end"), f)) for f in new]
+                    for before, new in zip(b.column(hits), found)
+                ]
                 cols = [*b.columns[:hits], pa.array(more, pa.list_(_HIT))]
                 yield pa.RecordBatch.from_arrays(cols, b.schema.names)
 
