@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import arrow_batches, hash_sample, remainder, remainder_col, table
+from attesta.llm.common import arrow_batches, hash_sample, released, remainder, remainder_col, table
 
 SAMPLE, SAMPLE_CHARS, DICT_BYTES = 400, 500, 110_000
 #: Lazy parsing that finds matches of four bytes, in a window that holds dictionary and block.
@@ -89,6 +89,7 @@ def predict(docs: DataFrame, dicts: dict[str, bytes]) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(dicts)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(shared.value)
         for b in batches:

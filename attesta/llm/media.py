@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import arrow_batches, splittable_join, table
+from attesta.llm.common import arrow_batches, released, splittable_join, table
 
 WIDTH = 64
 SEQUENCE = "array<struct<pos:int,kind:string,text:string,digest:string,caption:string>>"
@@ -102,6 +102,7 @@ def sequences(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, sequence) of pages."""
     kind = pages.schema[key].dataType
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parsed = pa.array([parse_sequence(x) for x in b.column(1).to_pylist()], pa.list_(_ITEM))
@@ -157,6 +158,7 @@ def described(text: str | None) -> tuple:
 def describe(texts: DataFrame) -> DataFrame:
     """FEATURES of the payload of every row of texts(text)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [described(x.as_py()) for x in b.column(0)]

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import arrow_batches, connected_components, materialise, splittable_join, table
+from attesta.llm.common import arrow_batches, connected_components, materialise, released, splittable_join, table
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 #: Fingerprints in a key up to which all pairs are made: at most PAIRS / 2 pairs a row.
@@ -63,6 +63,7 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed 64-bit number."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
@@ -76,6 +77,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     """Rows, and how often bits i and j are both set (64 x 64), over all fingerprints."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, both = 0, np.zeros((BITS, BITS))
         for b in batches:

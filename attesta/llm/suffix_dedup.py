@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import arrow_batches, materialise, splittable_join, table
+from attesta.llm.common import arrow_batches, materialise, released, splittable_join, table
 
 SPAN, GRAM = 200, 64
 #: Runs of one anchor that are sorted together at most.
@@ -145,6 +145,7 @@ def _pack(docs: DataFrame) -> DataFrame:
     own = own.withColumn("text", text.cast("binary"))
     at = own.columns.index("text")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3, write_checksum=False)
         for b in batches:
@@ -169,6 +170,7 @@ def anchors(docs: DataFrame) -> DataFrame:
     """The runs of all texts: anchor hash h, content hash c, and `at`, which packs their place."""
     names = [x.split()[0] for x in ANCHORS.split(", ")]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raws = [t.as_py() for t in b.column(2)]
@@ -323,6 +325,7 @@ def _segments(packed: DataFrame, wanted: DataFrame) -> DataFrame:
         lists.withColumnsRenamed({"__id": "i", "__th": "t"}), F.expr("__id <=> i and __th = t")
     )
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, t, raw, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _unpacked(b.column(2)), b.column(3)):
@@ -353,6 +356,7 @@ def _sorted_ranges(segments: DataFrame) -> DataFrame:
         cols = list(zip(*out)) if out else [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _RANGE)], schema=_RANGE)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         total = 0
@@ -373,6 +377,7 @@ def _counted_ranges(segments: DataFrame) -> DataFrame:
     """The same for anchors with very many runs: windows are counted by two independent hashes."""
     names = ["h", "k1", "k2", "once", "__id", "__th", "a"]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raws = [x.as_py() for x in b.column("raw")]
@@ -473,6 +478,7 @@ def digest(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per row: n_bytes, n_removed, n_spans and the digest of what is kept."""
     own = _with_ranges(docs.select("doc_id", "text"), hot).select("__id", "text", "__ranges")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -494,6 +500,7 @@ def rewrite(docs: DataFrame, hot: int = HOT) -> DataFrame:
     at, where = names.index("text"), len(names)
     out = own.select(*names, "__null", "__ranges")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, counts = [], []

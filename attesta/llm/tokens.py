@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import arrow_batches, table
+from attesta.llm.common import arrow_batches, released, table
 
 _ENCODERS: dict[str, tuple] = {}
 
@@ -86,6 +86,7 @@ def count(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, n_sections, n_crossing and tokens by section, in order, of docs(doc_id, text)."""
     path = path or default_tokenizer()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
