@@ -51,9 +51,14 @@ def _json(text: str | None) -> str | None:
     return json.dumps(found, default=str, ensure_ascii=False)
 
 
-@F.pandas_udf("string")
-def yaml_json(text: pd.Series) -> pd.Series:
-    return text.map(_json)
+def yaml_json(text: str | Column) -> Column:
+    """Arrow-batched _json of a column."""
+
+    @F.pandas_udf("string")
+    def run(heads: pd.Series) -> pd.Series:
+        return pd.Series([_json(h) for h in heads], dtype=object)
+
+    return run(text)
 
 
 def files(spark: SparkSession, pattern: str) -> DataFrame:
@@ -65,7 +70,7 @@ def files(spark: SparkSession, pattern: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         df = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
-    return df.select("path", F.decode("content", F.lit("UTF-8")).alias("text"), "content")
+    return df.select("path", F.decode("content", "UTF-8").alias("text"), "content")
 
 
 def _part(path: Column, k: int) -> Column:
