@@ -188,9 +188,9 @@ def stage(incoming: DataFrame, held: DataFrame) -> DataFrame:
     return rows.select("id", outcome.alias("outcome"))
 
 
-def fold(held: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Provenance of a document with a candidate's sources added: what is held stays as it is. Both (source_id, hash)."""
-    return held.unionByName(candidate.join(held.select("source_id"), "source_id", "left_anti"))
+def fold(held: DataFrame, candidate: DataFrame, keys: tuple[str, ...] = ("source_id",)) -> DataFrame:
+    """Provenance with a candidate's sources added: what is held stays as it is. Both (source_id, hash), or more keys."""
+    return held.unionByName(candidate.join(held.select(*keys), list(keys), "left_anti").dropDuplicates(list(keys)))
 
 
 def restatus(tasks: DataFrame, changes: DataFrame) -> DataFrame:
@@ -220,3 +220,12 @@ def amend(decisions: DataFrame, changes: DataFrame) -> DataFrame:
     """Decision bodies with dated amendments, changes(id, dated, body), on top."""
     c = changes.select("id", F.concat(F.lit("## Amended "), "dated", F.lit("\n\n"), "body", F.lit("\n\n")).alias("__add"))
     return decisions.join(c, "id", "left").withColumn("body", F.concat(F.coalesce("__add", F.lit("")), "body")).drop("__add")
+
+
+def decline(candidates: DataFrame, changes: DataFrame) -> DataFrame:
+    """candidates(id, status, reason) after changes(id, reason): what is pending is declined, and a decline stays as it was."""
+    c = changes.groupBy(F.col("id").alias("__i")).agg(F.min("reason").alias("__reason"))
+    rows = candidates.join(c, F.col("id") == F.col("__i"), "left")
+    hit = F.col("__i").isNotNull() & (F.col("status") == "pending")
+    rows = rows.withColumn("reason", F.when(hit, F.col("__reason")).otherwise(F.col("reason")))
+    return rows.withColumn("status", F.when(hit, "declined").otherwise(F.col("status"))).select(*candidates.columns)

@@ -97,6 +97,22 @@ def scope_bytes(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return ids.join(docs, "id", "left").agg(F.sum(F.coalesce("bytes", F.lit(0))).alias("bytes"), F.count(F.lit(1)).alias("n"))
 
 
+def spent(entries: DataFrame, docs: DataFrame) -> DataFrame:
+    """entries(seq, op, ids, bytes_in) with bytes_in filled, where it is null, by the bytes of ids in docs(id, bytes).
+
+    Unknown ids count nothing, repeated ones as often as they occur.
+    """
+    each = entries.where("bytes_in is null").select("seq", F.explode("ids").alias("id"))
+    scope = each.join(docs.select("id", "bytes"), "id").groupBy("seq").agg(F.sum("bytes").alias("__scope"))
+    rows = entries.join(scope, "seq", "left")
+    return rows.withColumn("bytes_in", F.coalesce("bytes_in", "__scope", F.lit(0))).select(*entries.columns)
+
+
+def log_line(stamp: Column, op: Column, *parts: Column) -> Column:
+    """One entry of the operations log, as read_log reads it; parts that are null are left out."""
+    return F.concat(F.lit("## ["), stamp, F.lit("] "), F.concat_ws(" | ", op, *parts))
+
+
 def captures_since(log: DataFrame) -> DataFrame:
     """Per operation of the log: how many capture entries stand after its last one."""
     last = log.groupBy("op").agg(F.max("seq").alias("last"))  # one row an operation

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import hashing as H
@@ -269,7 +269,7 @@ def summary(r: Relations) -> DataFrame:
     return counts.crossJoin(documents(r).agg(F.count(F.lit(1)).alias("docs")))
 
 
-def changed_entry(payloads: DataFrame) -> DataFrame:
-    """Of lint runs (seq, payload) those whose payload differs from the run before."""
-    before = F.lag("payload").over(Window.orderBy("seq"))
-    return payloads.withColumn("before", before).where("not (payload <=> before)").drop("before")
+def entry_due(runs: DataFrame, payload: DataFrame) -> DataFrame:
+    """payload(payload), one row, if it is not that of the last of runs(seq, payload)."""
+    last = runs.agg(F.max_by("payload", "seq").alias("last"))
+    return payload.crossJoin(last).where("not (payload <=> last)").select("payload")

@@ -6,6 +6,7 @@ One entry: the plan, and DuckDB SQL over the same relations (they come as CTEs i
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -606,6 +607,121 @@ def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extracted(pages).select("page_id", "text", F.length("text").alias("n"))
 
 
+# --- upkeep -------------------------------------------------------------------------------------
+
+#: Versions whose text was changed after its hash was taken, every third.
+over("lint_L5", _F("L5", "error", "id", "file", "from versions where version % 3 = 0"))(
+    lambda r: lint.l5(replace(r, versions=r.versions.withColumn("text", F.when(F.col("version") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))))
+)
+over("lint_L8", _F("L8", "error", "id", "'not in the index'", f"from {ALL_DOCS} where id not in (select id from sources where num % 5 <> 0)"))(
+    lambda r: lint.l8(lint.documents(r), r.sources.where("num % 5 <> 0").select(F.concat(F.lit("- ["), "id", F.lit("](sources/"), "id", F.lit("/source.md) held")).alias("text")))
+)
+over("lint_L12", "select 'L12' as rule, 'error' as severity, '__manifest__' as id, 'no version' as detail where not exists (select * from projects where title = 'NOWHERE')")(
+    lambda r: lint.l12(r.projects.where("title = 'NOWHERE'").select(F.col("title").alias("version")))
+)
+
+
+def stamped(r: Relations) -> DataFrame:
+    """Derived documents with stamps that are wrong, right, or not there."""
+    own = H.self_hash(F.col("title"), F.col("abstract"), F.col("body"))
+    stamp = F.when(F.col("num") % 3 == 0, F.lit("sha256:old")).when(F.col("num") % 3 == 1, own)
+    return r.derived.select("id", "num", "title", "abstract", "body").withColumn("self_hash", stamp)
+
+
+over("lint_L19", _F("L19", "error", "id", "'self_hash'", "from derived where num % 3 = 0"))(lambda r: lint.l19(stamped(r)))
+over(
+    "stamp",
+    """select id, case when num % 3 = 0 then 'sha256:old' else concat('sha256:', sha256(concat(coalesce(title, ''), chr(10), chr(10), coalesce(abstract, ''), chr(10), chr(10),
+      regexp_replace(coalesce(body, ''), '^\\s+|\\s+$', '', 'g'), chr(10)))) end as self_hash from derived""",
+)(lambda r: C.stamp(stamped(r)).select("id", "self_hash"))
+over("lint_L20", " union all ".join([
+    _F("L20", "error", "id", "'form'", "from sources where num % 6 = 1"),
+    _F("L20", "error", "id", "'upstream_ref'", "from sources where num % 6 <> 5 and upstream_ref is null"),
+    _F("L20", "error", "id", "'anchored_at'", "from sources where num % 6 = 2"),
+    _F("L20", "error", "id", "'identity'", "from sources where num % 6 = 5"),
+]))(
+    lambda r: lint.l20(
+        r.sources.select(
+            "id", "upstream_ref",
+            F.expr("case num % 6 when 1 then 'md5:0' when 5 then null when 4 then concat('git-blob:', repeat('a', 40)) else content_hash end").alias("upstream_identity"),
+            F.expr("case when num % 6 <> 2 then captured_at end").alias("anchored_at"),
+        )
+    )
+)
+over("lint_L22", _F("L22", "error", "id", "why", "from (select id, 'missing line' as why from projects where scope <> 'project' union all select id, 'stale line' from projects where scope = 'global')"))(
+    lambda r: lint.l22(
+        r.projects.select(F.to_json(F.struct("id", "scope", "title")).alias("line")),
+        r.projects.where("scope <> 'regional'").select(F.to_json(F.struct("id", F.expr("case scope when 'global' then 'old' else scope end").alias("scope"), "title")).alias("line")),
+    )
+)
+over("lint_entry_due", "select payload from (select 'errors=1' as payload) where 'errors=1' is distinct from (select arg_max(verdict, seq) from log where op = 'lint')")(
+    lambda r: lint.entry_due(r.log.where("op = 'lint'").select("seq", F.col("verdict").alias("payload")), r.log.sparkSession.range(1).select(F.lit("errors=1").alias("payload")))
+)
+over(
+    "reextract",
+    """select id, case when num % 4 = 0 then 'has text' when num % 7 = 6 then 'no bytes' when num % 7 in (0, 1) then 'is text'
+      when num % 7 in (2, 3) then 'extract' else 'no extractor' end as outcome from sources""",
+)(
+    lambda r: C.reextract(
+        r.sources.select("id", F.expr("case num % 7 when 0 then 'source.md' when 1 then 'source.TXT' when 2 then 'a.b.html' when 3 then 'x.csv' when 6 then null else 'scan.tiff' end").alias("canonical")),
+        r.sources.where("num % 4 = 0").select("id"),
+        [".html", ".csv"],
+    )
+)
+over("decision_amend", "select id, case when num % 3 = 0 then concat('## Amended ', dated, chr(10), chr(10), 'Now ', status, '.', chr(10), chr(10), body) else body end as body from decisions")(
+    lambda r: C.amend(r.decisions, r.decisions.where("num % 3 = 0").select("id", "dated", F.concat(F.lit("Now "), "status", F.lit(".")).alias("body"))).select("id", "body")
+)
+over(
+    "candidate_fold",
+    """select doc_id, source_id, hash from provenance union all
+    select doc_id, source_id, hash from (select concat('sum-doc-', num + num % 2) as doc_id, id as source_id, content_hash as hash from sources) c
+    where not exists (select * from provenance p where p.doc_id = c.doc_id and p.source_id = c.source_id)""",
+)(
+    lambda r: C.fold(
+        r.provenance.select("doc_id", "source_id", "hash"),
+        r.sources.select(F.expr("concat('sum-doc-', num + num % 2)").alias("doc_id"), F.col("id").alias("source_id"), F.col("content_hash").alias("hash")),
+        ("doc_id", "source_id"),
+    )
+)
+_CANDIDATES = "select concat('cand-', num) as id, case when num % 4 = 0 then 'declined' else 'pending' end as status, case when num % 4 = 0 then 'before' end as reason from derived"
+_DECLINED = f"select c.id, case when num % 3 = 0 then 'declined' else c.status end as status, case when c.status = 'pending' and num % 3 = 0 then 'weak' else c.reason end as reason from ({_CANDIDATES}) c join derived d on c.id = concat('cand-', d.num)"
+
+
+def candidates(r: Relations) -> DataFrame:
+    rows = r.derived.sparkSession.sql(_CANDIDATES.replace("from derived", "from {derived}"), derived=r.derived)
+    return C.decline(rows, r.derived.where("num % 3 = 0").select(F.concat(F.lit("cand-"), "num").alias("id"), F.lit("weak").alias("reason")))
+
+
+over("candidate_decline", _DECLINED)(candidates)
+over("candidate_counts", f"select count(*) filter (status = 'pending') as pending, count(*) filter (status = 'declined') as declined from ({_DECLINED})")(
+    lambda r: candidates(r).agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "declined").alias("declined"))
+)
+over("declined_index", f"select id, reason from ({_DECLINED}) where status = 'declined'")(lambda r: candidates(r).where("status = 'declined'").select("id", "reason").orderBy("id"))
+over("queue_ids", "select seq, concat('task-', stamp, case when n > 1 then concat('-', n) else '' end) as id from (select seq, stamp, row_number() over (partition by stamp order by seq) as n from log)")(
+    lambda r: C.queue_ids(r.log.select("seq", "stamp")).select("seq", "id")
+)
+over(
+    "usage_log",
+    """select e.seq, e.op, case when e.seq % 2 = 0 then 7 else coalesce(sum(s.bytes), 0)::bigint end as bytes_in
+    from (select distinct ord as seq, title as op, m.project_id from members m join projects p on p.id = m.project_id) e
+    left join members m on m.project_id = e.project_id left join (select id, strlen(text) as bytes from sources) s on s.id = m.member_id group by 1, 2""",
+)(
+    lambda r: L.spent(
+        r.members.select(F.col("ord").alias("seq"), "project_id")
+        .join(r.members.groupBy("project_id").agg(F.collect_list("member_id").alias("ids")), "project_id")
+        .join(r.projects.select(F.col("id").alias("project_id"), F.col("title").alias("op")), "project_id")
+        .select("seq", "op", "ids", F.expr("case when seq % 2 = 0 then 7L end").alias("bytes_in")),
+        r.sources.select("id", F.octet_length("text").alias("bytes")),
+    ).select("seq", "op", "bytes_in")
+)
+over("log_lines", "select seq, concat('## [', stamp, '] ', op, ' | ', target, case when verdict = 'same' then '' else concat(' | ', verdict) end) as line from log")(
+    lambda r: r.log.select("seq", L.log_line(F.col("stamp"), F.col("op"), F.col("target"), F.expr("nullif(verdict, 'same')")).alias("line"))
+)
+over("id_guard", "select num, num % 6 = 0 as good from sources")(
+    lambda r: r.sources.select("num", F.expr("case num % 6 when 0 then id when 1 then upper(id) when 2 then concat(id, '..x') when 3 then concat(id, '.') when 4 then 'con.md' else concat('-', id) end").alias("id"))
+    .select("num", T.is_id(F.col("id")).alias("good"))
+)
+
 # --- extension ----------------------------------------------------------------------------------
 
 raw(
