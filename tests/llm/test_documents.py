@@ -364,3 +364,16 @@ def test_empty_tables(empty):
     assert language.predict(empty, language.fit(empty)).count() == 0
     assert toxicity.score(empty, b"").count() == 0
     assert decontaminate.report(empty, empty.selectExpr("doc_id as item_id", "text")).count() == 0
+
+
+def test_toxicity_learns_from_whole_texts(spark):
+    """Long texts are thinned from beginning to end, not cut."""
+    words = [str(k) for k in range(10)]
+    assert toxicity.spread(words, 10) == words and toxicity.spread([], 3) == []
+    assert toxicity.spread(words, 4) == ["0", "2", "5", "7"]
+    long = toxicity.MAX_WORDS + 500
+    rows = [(k, " ".join(["plain"] * long + (["vile"] * 2000 if k % 2 else ["kind"] * 2000))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    found = toxicity.score(docs, toxicity.fit(docs, marks)).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in found)
