@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe, decontaminate, simhash, suffix_dedup, toxicity
+from attesta.llm import bpe, decontaminate, near_copies, suffix_dedup, toxicity
 from attesta.llm.common import materialise, table
 
 
@@ -18,8 +18,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return simhash.deduplicate(docs)
+    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return near_copies.deduplicate(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
