@@ -43,3 +43,13 @@ def test_all_pairs_at_the_threshold(spark, monkeypatch, most):
     assert sum(near(a, b) and a != b for a, b in pairs) > 50
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect()} == set(groups)
+
+
+def test_one_row_of_each_group_whatever_its_ids(spark):
+    """Ids on different texts, groups of the same least id, rows without an id, repeated rows."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, c), (None, c + " more"), (None, c), (4, d), (4, d), (None, d)]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, c int")
+    kept = corpus_pipeline.one_of_each(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"][0]) for r in kept) == [(0, "c"), (1, "a"), (1, "b"), (4, "d")]
+    assert corpus_pipeline.one_of_each(spark, docs.where("false"), "").count() == 0
