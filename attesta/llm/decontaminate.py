@@ -2,7 +2,7 @@
 
 Benchmark items are cut into windows of WINDOW template words (shorter items: one window) and put in
 a hash table; every window of every document is looked up. Hits that follow each other in both texts
-are one occurrence. An occurrence counts if it holds COVER of the item's windows and its slots agree:
+are one occurrence; all chains stay open, so repeated windows hide none. An occurrence counts if it holds COVER of the item's windows and its slots agree:
 each value of the item stands for one value in the document and the other way round. Equal values are
 a verbatim leak, others a re-parameterised question.
 
@@ -120,6 +120,41 @@ def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def chains(hits: list[tuple], least: float, far: int) -> list[list[tuple]]:
+    """Chains of at least `least` hits (place, place in item, size) that follow each other in both texts, at most `far` apart.
+
+    Hits on one diagonal (place less place in item) are a chain. A hit that no hit precedes directly on
+    its diagonal continues the longest chain that any diagonal holds open, which stays open for others too.
+    """
+    nodes: list[tuple] = []  # hit, previous node, hits so far
+    last: dict[int, int] = {}  # the latest node of a diagonal
+    own: dict[int, list[tuple]] = {}
+    ends = set()
+    for _, p, q, size in hits:
+        d = p - q
+        own.setdefault(d, []).append((p, q, size))
+        before = last.get(d)
+        if before is None or nodes[before][0][0] != p - 1:
+            for k in [k for k, i in last.items() if p - nodes[i][0][0] > far]:
+                del last[k]
+            fits = [i for i in last.values() if nodes[i][0][0] < p and nodes[i][0][1] < q]
+            # of the longest, the one whose distance in both texts is most alike
+            before = max(fits, key=lambda i: (nodes[i][2], -abs(nodes[i][0][0] - nodes[i][0][1] - d)), default=None)
+        ends.discard(before)
+        ends.add(len(nodes))
+        last[d] = len(nodes)
+        nodes.append(((p, q, size), before, 1 if before is None else nodes[before][2] + 1))
+    out = [c for c in own.values() if len(c) >= least]
+    for i in sorted(ends):
+        if nodes[i][2] >= least:
+            chain, at = [], i
+            while at is not None:
+                chain.append(nodes[at][0])
+                at = nodes[at][1]
+            out.append(chain[::-1])
+    return out
+
+
 class Index:
     """Hash table of a block of items' windows."""
 
@@ -181,18 +216,9 @@ class Index:
 
     def best(self, hits: list[tuple], words: list[str], kind: np.ndarray, memory: Words, cover: float) -> tuple | None:
         item_id, n, values, item_kind = self.items[hits[0][0]]
-        # chains: hits that follow each other in both texts; an item's repeated windows extend the chain they fit
-        chains: list[list[tuple]] = []
-        for _, p, q, size in hits:
-            fits = [c for c in chains[-8:] if c[-1][0] < p and c[-1][1] < q and p - c[-1][0] <= len(values)]
-            if fits:
-                # the chain whose distance in both texts is most alike
-                min(fits, key=lambda c: abs((p - c[-1][0]) - (q - c[-1][1]))).append((p, q, size))
-            else:
-                chains.append([(p, q, size)])
-        for chain in sorted(chains, key=len, reverse=True):
-            if len({q for _, q, _ in chain}) < cover * n:
-                return None
+        if len({q for _, _, q, _ in hits}) < cover * n:
+            return None
+        for chain in sorted(chains(hits, cover * n, len(values)), key=len, reverse=True):
             pairs = {(q + k, p + k) for p, q, size in chain for k in range(size)}
             there: dict = {}
             back: dict = {}

@@ -377,3 +377,16 @@ def test_toxicity_learns_from_whole_texts(spark):
     marks = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
     found = toxicity.score(docs, toxicity.fit(docs, marks)).collect()
     assert all(r["predicted"] == r["doc_id"] % 2 for r in found)
+
+
+def test_items_with_repeated_windows_are_found():
+    """Lists and refrains: a window that an item repeats many times starts chains without closing the true one."""
+    row = "<n> apples and then some more ripe pears and "
+    for times, extra in ((11, 5), (10, 40), (30, 0)):
+        words = "".join(row.replace("<n>", str(k)) for k in range(times)) + " ".join(f"tail{k}x" for k in range(extra))
+        index = decontaminate.Index([(1, words)])
+        other = words.replace("0", "70")
+        cut = " ".join(w for k, w in enumerate(words.split()) if k != 20)
+        found = index.occurrences([f"before it {words} after", other, cut, row * 3], decontaminate.Words())
+        assert [[f[:2] for f in t] for t in found[:2]] == [[(1, "verbatim")], [(1, "reparameterised")]], times
+        assert found[0][0][2:] == (2, 2 + len(words.split())) and [f[0] for f in found[2]] == [1] and not found[3]
