@@ -6,8 +6,11 @@ are one occurrence; all chains stay open, so repeated windows hide none. An occu
 each value of the item stands for one value in the document and the other way round. Equal values are
 a verbatim leak, others a re-parameterised question.
 
-Windows with fewer than two plain words say nothing, so they are not looked up; an item that has no
-others is matched by its literal words. The hash table is broadcast, at most BLOCK windows at a time:
+A capital word at the start of a sentence may be a name or not, so both are tried; windows of the words
+themselves, in any case, are tried too and find copies whose names changed case (reported as verbatim).
+
+Windows with fewer than two plain words say nothing, so they are not looked up as templates; an item that
+has no others is matched by its literal words alone. The hash table is broadcast, of at most BLOCK words at a time:
 a larger benchmark takes several passes over the documents, each exact.
 
 Defined cases: null or wordless texts and items match nothing; repeated items are reported once each
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from attesta.llm.common import arrow_batches, released, table
 
 WINDOW, COVER = 5, 0.8
-#: Windows of one broadcast table (about 40 bytes each).
+#: Words of one broadcast table's items (three windows a word, about 40 bytes each).
 BLOCK = 500_000
 #: Words a worker remembers before it starts anew.
 MEMORY = 200_000
@@ -96,8 +99,9 @@ class Words(dict):
         return self.rows[self[word]][3].lower()
 
 
-def template(words: list[str], memory: Words, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template hashes, literal hashes, and kinds as used (PLAIN where the word stands for itself).
+def readings(words: list[str], memory: Words, starts: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The words' hashes and kinds as used (PLAIN where a word stands for itself), read in three ways: a capital
+    word at the start of a sentence stands for itself; it is a name; every word, in any case, stands for itself.
 
     The words may be those of several texts, which begin at `starts`.
     """
@@ -106,8 +110,10 @@ def template(words: list[str], memory: Words, starts: np.ndarray | None = None)
     after_number = np.concatenate([[False], kind[:-1] == NUMBER])[: len(words)]
     if starts is not None:
         after_end[starts], after_number[starts] = True, False
-    kind[((kind == CAPITAL) & after_end) | ((kind == UNIT) & ~after_number)] = PLAIN
-    return np.where(kind == PLAIN, literal, SIGNS[kind]), literal, kind
+    names = np.where((kind == UNIT) & ~after_number, PLAIN, kind)
+    inner = np.where((names == CAPITAL) & after_end, PLAIN, names)
+    out = [(np.where(k == PLAIN, literal, SIGNS[k]), k) for k in (inner, names)]
+    return [*out, (literal, np.zeros(len(words), kind.dtype))]
 
 
 def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
@@ -160,35 +166,36 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str]], window: int = WINDOW) -> None:
         memory = Words()
-        self.window, self.items = window, []
-        rows = []  # hash, item, place, size, literal
+        # by reading: (item id, windows, values, kinds)
+        self.items: list[list[tuple]] = [[], [], []]
+        rows = []  # hash, item, place, size, reading
         for item_id, text in items:
             words = (text or "").split()
             if not words:
                 continue
-            tokens, literal, kind = template(words, memory)
             size = min(window, len(words))
-            plain = np.convolve(kind == PLAIN, np.ones(size, int), "valid") >= min(2, size)
-            as_literal = not plain.any()
-            h = window_hashes(literal if as_literal else tokens, size)
-            places = np.arange(len(h)) if as_literal else np.flatnonzero(plain)
-            k = len(self.items)
             values = [memory.value(w) for w in words]
-            self.items.append((item_id, len(places), values, kind))
-            rows += [(int(h[p]), k, int(p), size, as_literal) for p in places]
+            for way, (tokens, kind) in enumerate(readings(words, memory)):
+                h = window_hashes(tokens, size)
+                plain = np.convolve(kind == PLAIN, np.ones(size, int), "valid") >= min(2, size)
+                places = np.flatnonzero(plain)
+                rows += [(int(h[p]), len(self.items[way]), int(p), size, way) for p in places]
+                self.items[way].append((item_id, len(places), values, kind))
         self.tables = []
-        for size, as_literal in sorted({r[3:] for r in rows}):
-            own = sorted(r[:3] for r in rows if r[3:] == (size, as_literal))
+        for size, way in sorted({r[3:] for r in rows}):
+            own = sorted(r[:3] for r in rows if r[3:] == (size, way))
             h = np.array([r[0] for r in own], np.uint64)
             seen = np.zeros(1 << 20, bool)
             seen[h >> np.uint64(44)] = True
-            self.tables.append((size, as_literal, h, np.array([r[1] for r in own]), np.array([r[2] for r in own]), seen))
+            self.tables.append((size, way, h, np.array([r[1] for r in own]), np.array([r[2] for r in own]), seen))
 
-    def hits(self, tokens: np.ndarray, literal: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    def hits(self, way: int, tokens: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, place, place in item, size) of equal windows, in order; text: which one a word is of."""
         out = []
-        for size, as_literal, h, item, place, seen in self.tables:
-            own = window_hashes(literal if as_literal else tokens, size)
+        for size, own_way, h, item, place, seen in self.tables:
+            if own_way != way:
+                continue
+            own = window_hashes(tokens, size)
             maybe = np.flatnonzero(seen[own >> np.uint64(44)])
             maybe = maybe[text[maybe] == text[maybe + size - 1]]
             lo, hi = np.searchsorted(h, own[maybe], "left"), np.searchsorted(h, own[maybe], "right")
@@ -202,20 +209,23 @@ class Index:
         memory.forget()
         parts = [(t or "").split() for t in texts]
         sizes = np.array([len(p) for p in parts], np.int64)
-        if not self.items or not sizes.sum():
+        if not self.tables or not sizes.sum():
             return out
         words = list(chain.from_iterable(parts))
         begin = np.cumsum(sizes) - sizes
-        tokens, literal, kind = template(words, memory, begin[sizes > 0])
-        hits = self.hits(tokens, literal, np.repeat(np.arange(len(parts)), sizes))
-        for (k, _), own in groupby(hits, key=lambda h: h[:2]):
-            if found := self.best([h[1:] for h in own], words, kind, memory, cover):
-                item_id, label, first, end = found
-                out[k].append((item_id, label, first - int(begin[k]), end - int(begin[k])))
+        text = np.repeat(np.arange(len(parts)), sizes)
+        found: dict[tuple[int, int], tuple] = {}
+        for way, (tokens, kind) in enumerate(readings(words, memory, begin[sizes > 0])):
+            for at, own in groupby(self.hits(way, tokens, text), key=lambda h: h[:2]):
+                # the first reading that finds an item says how it is held
+                if at not in found and (one := self.best(self.items[way], [h[1:] for h in own], words, kind, memory, cover)):
+                    found[at] = one
+        for (k, _), (item_id, label, first, end) in sorted(found.items(), key=lambda f: f[0]):
+            out[k].append((item_id, label, first - int(begin[k]), end - int(begin[k])))
         return out
 
-    def best(self, hits: list[tuple], words: list[str], kind: np.ndarray, memory: Words, cover: float) -> tuple | None:
-        item_id, n, values, item_kind = self.items[hits[0][0]]
+    def best(self, items: list[tuple], hits: list[tuple], words: list[str], kind: np.ndarray, memory: Words, cover: float) -> tuple | None:
+        item_id, n, values, item_kind = items[hits[0][0]]
         if len({q for _, _, q, _ in hits}) < cover * n:
             return None
         for chain in sorted(chains(hits, cover * n, len(values)), key=len, reverse=True):

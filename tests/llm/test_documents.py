@@ -390,3 +390,16 @@ def test_items_with_repeated_windows_are_found():
         found = index.occurrences([f"before it {words} after", other, cut, row * 3], decontaminate.Words())
         assert [[f[:2] for f in t] for t in found[:2]] == [[(1, "verbatim")], [(1, "reparameterised")]], times
         assert found[0][0][2:] == (2, 2 + len(words.split())) and [f[0] for f in found[2]] == [1] and not found[3]
+
+
+def test_names_at_sentence_starts_and_other_case():
+    """Names that begin sentences are slots; copies in lower or upper case are verbatim."""
+    item = "Tom has 3 apples in a box . Tom buys 4 more at the market . Tom gives 2 away . How many apples does Tom have left ?"
+    start = item.replace("does Tom", "does he")
+    people = "Anna met Bert and Carl near Paris before Dora and Emil left Rome for London with Frank and Greta of Berlin ."
+    index = decontaminate.Index([(1, item), (2, start), (3, people)])
+    other = lambda t: t.replace("Tom", "Lea").replace("3", "9").replace("4", "8").replace("2", "5")
+    texts = [other(item), other(start), people.lower(), people.upper(), item.lower(), "Tom has a box . How many apples are left ?"]
+    found = [dict(f[:2] for f in t) for t in index.occurrences(texts, decontaminate.Words())]
+    assert found[0][1] == found[1][2] == "reparameterised" and found[2] == found[3] == {3: "verbatim"}
+    assert found[4][1] == "verbatim" and not found[5]
