@@ -7,7 +7,7 @@ before the last step, a word's whole effect is one number, which workers keep by
 
 Training uses a bounded sample (SAMPLE labelled rows of each class). It reads whole texts; of one with
 over MAX_WORDS words it learns MAX_WORDS, evenly spaced from its beginning to its end. Scoring uses
-every word.
+every word; one of over LONG characters counts as several, which overlap.
 
 Defined cases: a null or wordless text gets the score of the prior alone; null labels teach nothing;
 with one class or no label rows every score is 0; repeated rows get equal scores, and repeated label
@@ -44,11 +44,18 @@ FLOOR = 1.0
 SEED = 7
 #: Words a worker remembers before it starts anew.
 MEMORY = 300_000
+#: Characters of a word from which it is cut into pieces, each a word: clauses without spaces, words run together.
+LONG = 64
 WORD = re.compile(r"\w+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """The words in lower case; of one over LONG characters, pieces that overlap so far that no n-gram is lost."""
+    words = WORD.findall((text or "").lower())
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    step = LONG - max(GRAMS) + 1
+    return [w[i : i + LONG] for w in words for i in range(0, max(1, len(w) - LONG + step), step)]
 
 
 def spread(words: list[str], most: int = MAX_WORDS) -> list[str]:
@@ -59,7 +66,7 @@ def spread(words: list[str], most: int = MAX_WORDS) -> list[str]:
 
 def grams(word: str, buckets: int = BUCKETS) -> list[int]:
     """Embedding rows of a word: itself and its n-grams with marked ends."""
-    w = f"<{word[:64]}>"
+    w = f"<{word}>"
     parts = [w, *(w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1))]
     return [zlib.crc32(p.encode()) % buckets for p in parts]
 

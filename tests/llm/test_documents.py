@@ -403,3 +403,19 @@ def test_names_at_sentence_starts_and_other_case():
     found = [dict(f[:2] for f in t) for t in index.occurrences(texts, decontaminate.Words())]
     assert found[0][1] == found[1][2] == "reparameterised" and found[2] == found[3] == {3: "verbatim"}
     assert found[4][1] == "verbatim" and not found[5]
+
+
+def test_toxicity_reads_words_to_their_end():
+    """A passage late in a word without spaces counts."""
+    rnd = random.Random(2)
+    plain = ["".join(rnd.choice("etaoin") for _ in range(6)) for _ in range(80)]
+    some = lambda n: [rnd.choice(plain) for _ in range(n)]
+    texts = [" ".join(some(20) + ["zubbish"] * (k % 2)) for k in range(200)]
+    scorer = toxicity.Scorer(toxicity.train(texts, [k % 2 for k in range(200)]))
+    start = "_".join(some(40))
+    assert scorer.score(start + "_zubbish" * 20) > 0.5 > scorer.score(start + "_" + "_".join(some(20)))
+    for n in (1, 64, 65, 124, 125, 700):
+        word = "".join(rnd.choice("abcdefgh") for _ in range(n))
+        parts = toxicity.words_of(word)
+        assert max(map(len, parts)) <= 64 and (n > 64 or parts == [word])
+        assert {word[i : i + 5] for i in range(n - 4)} <= {p[i : i + 5] for p in parts for i in range(len(p) - 4)}
