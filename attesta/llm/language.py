@@ -1,7 +1,8 @@
 """Language ID by compression: the dictionary that makes a text smallest names its language.
 
 Each language gets a zstandard raw-content dictionary from a bounded sample of its training texts
-(SAMPLE texts, DICT_BYTES in all). A text, in lower case, is compressed in blocks under every
+(SAMPLE texts, DICT_BYTES in all): every text of the sample gives the same number of bytes, or all it
+has, in pieces spread from its beginning to its end. A text, in lower case, is compressed in blocks under every
 dictionary and goes to the language with the smallest total. A margin below MIN_MARGIN marks the prediction as rejected.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; equal sizes go to the
@@ -12,6 +13,7 @@ an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,9 +21,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import arrow_batches, hash_sample, released, remainder, remainder_col, table
+from attesta.llm.common import arrow_batches, hash_sample, materialise, released, remainder, remainder_col, table
 
-SAMPLE, SAMPLE_CHARS, DICT_BYTES = 400, 500, 110_000
+SAMPLE, DICT_BYTES = 400, 110_000
+#: Bytes of the pieces that long texts are learned by.
+PIECE = 128
 #: Lazy parsing that finds matches of four bytes, in a window that holds dictionary and block.
 PARSING = {
     "window_log": 17, "chain_log": 17, "hash_log": 17, "search_log": 4, "min_match": 4, "target_length": 16,
@@ -35,21 +39,56 @@ UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def level(sizes: list[int], most: int = DICT_BYTES) -> int:
+    """The most bytes that each text may give so that all, a byte between them, are within `most`."""
+    left = most - len(sizes)
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > left:
+            return max(0, left // (len(sizes) - k))
+        left -= n
+    return most
+
+
+def pieces(text: str, most: int) -> bytes:
+    """The text in lower case, or `most` bytes of it in pieces evenly spaced from its beginning to its end."""
+    raw = text.lower().encode()
+    if len(raw) <= most:
+        return raw
+    n = max(1, most // PIECE)
+    size = (most - n + 1) // n
+    starts = [k * (len(raw) - size) // max(1, n - 1) for k in range(n)]
+    return b"\n".join(raw[i : i + size] for i in starts)
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
     """Raw-content dictionaries by language, at most DICT_BYTES each, the commonest language first."""
     rows = docs.select("doc_id", "lang").where("lang is not null").where(remainder_col(F.col("doc_id")) != 0)
     chosen = hash_sample(rows, "lang", ["doc_id"], sample).limit(4 * sample * MAX_LANGS)
     texts = docs.select("doc_id", "lang", "text").where("text is not null and lang is not null")
-    texts = texts.join(F.broadcast(chosen), ["doc_id", "lang"])
-    found = texts.select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).toArrow().to_pylist()
-    by: dict[str, list[str]] = {}
-    for r in sorted(found, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        by.setdefault(r["lang"], []).append(r["text"])
+    # at most 4 * SAMPLE texts a language
+    texts = materialise(texts.join(F.broadcast(chosen), ["doc_id", "lang"]))
+    sizes: dict[str, list[int]] = {}
+    for r in texts.select("lang", F.octet_length(F.lower("text")).alias("n")).toLocalIterator():
+        sizes.setdefault(r["lang"], []).append(r["n"])
+    levels = {k: level(v) for k, v in sizes.items()}
+
+    @released
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [pieces(t, levels[k]) for k, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts, pa.binary())], ["lang", "doc_id", "part"])
+
+    arrow_batches(docs.sparkSession)
+    found = texts.select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = found.mapInArrow(thin, "lang string, doc_id long, part binary").toArrow().to_pylist()
+    by: dict[str, list[bytes]] = {}
+    for r in sorted(found, key=lambda r: (r["lang"], zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["part"])):
+        by.setdefault(r["lang"], []).append(r["part"])
     if len(by) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     common = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().where(F.col("lang").isin(list(by))).collect()}
     order = sorted(by, key=lambda k: (-common.get(k, 0), k))
-    return {k: "\n".join(by[k]).lower().encode()[:DICT_BYTES] for k in order}
+    return {k: b"\n".join(by[k]) for k in order}
 
 
 class Classifier:

@@ -419,3 +419,16 @@ def test_toxicity_reads_words_to_their_end():
         parts = toxicity.words_of(word)
         assert max(map(len, parts)) <= 64 and (n > 64 or parts == [word])
         assert {word[i : i + 5] for i in range(n - 4)} <= {p[i : i + 5] for p in parts for i in range(len(p) - 4)}
+
+
+def test_language_learns_from_whole_texts(spark):
+    """Every sampled text gives pieces from its beginning to its end, in any script, within the bound."""
+    rows = [(k, "licence and terms of use " * 40 + f" word{k}x " + "жук и мышь " * 600 + f" last{k}x", "ru") for k in range(300)]
+    rows += [(1000 + k, "a short one", "en") for k in range(5)]
+    dicts = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    own = dicts["ru"]
+    assert 0.9 * language.DICT_BYTES < len(own) <= language.DICT_BYTES and own.count("жук".encode()) > 2000
+    kept = [k for k, _, lang in rows if lang == "ru" and zlib.crc32(str(k).encode()) % 5]
+    assert all(f"last{k}x".encode() in own for k in kept)
+    assert dicts["en"].count(b"a short one") == sum(zlib.crc32(str(1000 + k).encode()) % 5 != 0 for k in range(5))
+    assert language.level([1, 5, 100, 100], 110) == 50 and language.level([3], 10) == 10
