@@ -9,7 +9,7 @@ will do; rare shingles come first (by a count in BUCKETS), so that common passag
 Pairs that meet in a prefix and can still reach LEAST by size and place are compared in whole. Where
 more than PAIRS sets share a shingle, each is first compared with HEADS of them; after that only sets of
 different components are compared there, so large groups of near copies need no pairs and no link
-between components is missed.
+between components is missed; parities of the sets rule out most of these first, and never a pair of near copies.
 
 Defined cases: texts without words are copies of each other; one to four words are one shingle; rows
 without an id take part like any other; a group keeps its least doc_id (a null id last), of several
@@ -39,6 +39,8 @@ PAIRS = 16
 HEADS = 8
 #: Counters that order shingles, and the parts they travel in.
 BUCKETS, PARTS = 1 << 18, 16
+#: Bits of a set's parity.
+SKETCH = 512
 #: Words a worker remembers before it starts anew.
 MEMORY = 300_000
 
@@ -74,27 +76,40 @@ def prefix(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return own[np.lexsort((own, counts[bucket(own)]))][: n - -(-n * LEAST[0] // LEAST[1]) + 1] if n else own
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """SKETCH bits: a bit is 1 if an odd number of shingles falls on it, so two sets differ in no more bits than shingles."""
+    odd = np.bincount((own & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def apart(x: str, y: str, n: Column, m: Column) -> Column:
+    """Whether two parities differ in more bits than shingles that similar sets of n and m can differ in."""
+    bits = sum(F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(SKETCH // 64))
+    return bits * sum(LEAST) > (n + m) * (LEAST[1] - LEAST[0])
+
+
 def reach(common: Column, n: Column, m: Column) -> Column:
     """Whether `common` shared shingles make sets of n and m similar: common / (n + m - common) >= LEAST."""
     return common * sum(LEAST) >= (n + m) * LEAST[0]
 
 
 def marks(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, h, c) of every row: hash of its text and class of its shingle set; and the counts of shingles."""
+    """(doc_id, h, c, odd) of every row: hash of its text, class and parity of its shingle set; and the counts of shingles."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, counts = Words(), np.zeros(BUCKETS, np.int64)
-        names = ["doc_id", "h", "c", "part", "counts"]
+        names = ["doc_id", "h", "c", "odd", "part", "counts"]
         for b in batches:
             sets = [shingle_set(t.as_py(), memory) for t in b.column(2)]
             if sets:
                 counts += np.bincount(bucket(np.concatenate(sets)), minlength=BUCKETS)
             c, no = pa.array([class_of(s) for s in sets], pa.int64()), len(sets)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), c, pa.nulls(no, pa.int32()), pa.nulls(no, pa.binary())], names)
+            odd = pa.array([parity(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), c, odd, pa.nulls(no, pa.int32()), pa.nulls(no, pa.binary())], names)
         parts = [(k, p.tobytes()) for k, p in enumerate(np.split(counts, PARTS)) if p.any()]
         no = [pa.nulls(len(parts), pa.int64())] * 3
-        yield pa.RecordBatch.from_arrays([*no, pa.array([k for k, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*no, pa.nulls(len(parts), pa.list_(pa.int64())), pa.array([k for k, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.sum([np.frombuffer(x, np.int64) for x in pdf["counts"]], 0)
@@ -102,11 +117,11 @@ def marks(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
     arrow_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
-    found = materialise(own.mapInArrow(run, "doc_id long, h long, c long, part int, counts binary"))
+    found = materialise(own.mapInArrow(run, "doc_id long, h long, c long, odd array<bigint>, part int, counts binary"))
     counts = np.zeros((PARTS, BUCKETS // PARTS), np.int64)
     for r in found.where("part is not null").groupBy("part").applyInPandas(total, "part int, counts binary").collect():
         counts[r["part"]] = np.frombuffer(r["counts"], np.int64)
-    return found.where("part is null").select("doc_id", "h", "c"), counts.ravel()
+    return found.where("part is null").select("doc_id", "h", "c", "odd"), counts.ravel()
 
 
 def text_hash() -> Column:
@@ -190,9 +205,12 @@ def links(docs: DataFrame, marked: DataFrame, counts: np.ndarray) -> DataFrame:
     of = hot.withColumn("c", F.col("x.c")).join(label.withColumnRenamed("node", "c"), "c", "left")
     of = materialise(of.select("key", "x", F.coalesce("component", "c").alias("comp")))
     mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("most")).where("lo < hi")
-    of = materialise(splittable_join(of, mixed.select("key", "most"), ["key"]))
-    rest = of.where("comp <> most").select("key", F.col("x").alias("y"), F.col("comp").alias("other"))
+    of = splittable_join(of, mixed.select("key", "most"), ["key"]).withColumn("c", F.col("x.c"))
+    odd = marked.groupBy("c").agg(F.first("odd").alias("odd"))
+    of = materialise(splittable_join(of, odd, ["c"]).select("key", "x", "comp", "most", "odd"))
+    rest = of.where("comp <> most").select("key", F.col("x").alias("y"), F.col("comp").alias("other"), F.col("odd").alias("odd2"))
     rest = splittable_join(of, rest, ["key"]).where("comp <> other").where(able("x", "y"))
+    rest = rest.where(~apart("odd", "odd2", F.col("x.n"), F.col("y.n")))
     return found.union(similar(rest.select(*ends("x", "y")), docs, marked))
 
 
