@@ -1,15 +1,20 @@
 """Near copies by exact Jaccard similarity over sets of five-word shingles: all pairs, none estimated.
 
 Texts whose sets share LEAST of their union are linked; documents reach each other through links and
-one row of each group stays. No radius of a 64-bit SimHash finds all pairs at 0.8 (their distance is a
-spread of about 10 bits, not a bound), so candidates come from prefixes: in one order of all shingles, two
-sets that are similar enough share a shingle among the first n - ceil(0.8 n) + 1 of each. Any order
-will do; rare shingles come first (by a count in BUCKETS), so that common passages aren't looked at.
+one row of each group stays. Candidates come from two sides, and all are compared exactly:
 
-Pairs that meet in a prefix and can still reach LEAST by size and place are compared in whole. Where
-more than PAIRS sets share a shingle, each is first compared with HEADS of them; after that only sets of
-different components are compared there, so large groups of near copies need no pairs and no link
-between components is missed; parities of the sets rule out most of these first, and never a pair of near copies.
+1. SimHash: fingerprints over the sets' hashes, linked within two bits by the generalised pigeonhole
+   principle. No radius of a 64-bit SimHash finds all pairs at 0.8 (their distance is a spread of about
+   10 bits, not a bound), so this finds most links cheaply but not all.
+2. Prefixes find the rest: in one order of all shingles, similar sets share a shingle among the first
+   n - ceil(0.8 n) + 1 of each. Any order will do; rare shingles come first (by a count in BUCKETS), so
+   that common passages aren't looked at. What two sets share from their first common shingle on is no
+   more than what is left of either there, so pairs that cannot reach LEAST by that are never made.
+
+Where more than PAIRS sets share a shingle, each is first compared with HEADS of them; after that only
+sets of different components and of sizes within a factor of LEAST are compared there, so large groups of
+near copies need no pairs and no link between components is missed; parities of the sets rule out most
+of these first, and never a pair of near copies.
 
 Defined cases: texts without words are copies of each other; one to four words are one shingle; rows
 without an id take part like any other; a group keeps its least doc_id (a null id last), of several
@@ -27,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.llm import simhash
 from attesta.llm.common import arrow_batches, connected_components, materialise, released, splittable_join
 from attesta.llm.decontaminate import window_hashes
 
@@ -41,6 +47,8 @@ HEADS = 8
 BUCKETS, PARTS = 1 << 18, 16
 #: Bits of a set's parity.
 SKETCH = 512
+#: Base of the size classes; a little over 1 / LEAST, so that similar sets are in one class or neighbours.
+CLASS = 1.26
 #: Words a worker remembers before it starts anew.
 MEMORY = 300_000
 
@@ -82,6 +90,15 @@ def parity(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def vote(own: np.ndarray) -> int:
+    """SimHash of a set of hashes: a bit is 1 if it is set in over half of them."""
+    counts = np.zeros(simhash.BITS, np.int64)
+    for at in range(0, len(own), 1 << 16):
+        some = np.ascontiguousarray(own[at : at + (1 << 16)]).view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(some, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(own), bitorder="little").view(np.int64)[0])
+
+
 def apart(x: str, y: str, n: Column, m: Column) -> Column:
     """Whether two parities differ in more bits than shingles that similar sets of n and m can differ in."""
     bits = sum(F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(SKETCH // 64))
@@ -94,21 +111,23 @@ def reach(common: Column, n: Column, m: Column) -> Column:
 
 
 def marks(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, h, c, odd) of every row: hash of its text, class and parity of its shingle set; and the counts of shingles."""
+    """(doc_id, h, c, fp, odd) of every row: hash of its text, class, SimHash and parity of its shingle set; and the
+    counts of shingles."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, counts = Words(), np.zeros(BUCKETS, np.int64)
-        names = ["doc_id", "h", "c", "odd", "part", "counts"]
+        names = ["doc_id", "h", "c", "fp", "odd", "part", "counts"]
         for b in batches:
             sets = [shingle_set(t.as_py(), memory) for t in b.column(2)]
             if sets:
                 counts += np.bincount(bucket(np.concatenate(sets)), minlength=BUCKETS)
             c, no = pa.array([class_of(s) for s in sets], pa.int64()), len(sets)
+            fp = pa.array([vote(s) for s in sets], pa.int64())
             odd = pa.array([parity(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), c, odd, pa.nulls(no, pa.int32()), pa.nulls(no, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), c, fp, odd, pa.nulls(no, pa.int32()), pa.nulls(no, pa.binary())], names)
         parts = [(k, p.tobytes()) for k, p in enumerate(np.split(counts, PARTS)) if p.any()]
-        no = [pa.nulls(len(parts), pa.int64())] * 3
+        no = [pa.nulls(len(parts), pa.int64())] * 4
         yield pa.RecordBatch.from_arrays([*no, pa.nulls(len(parts), pa.list_(pa.int64())), pa.array([k for k, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,11 +136,11 @@ def marks(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
     arrow_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
-    found = materialise(own.mapInArrow(run, "doc_id long, h long, c long, odd array<bigint>, part int, counts binary"))
+    found = materialise(own.mapInArrow(run, "doc_id long, h long, c long, fp long, odd array<bigint>, part int, counts binary"))
     counts = np.zeros((PARTS, BUCKETS // PARTS), np.int64)
     for r in found.where("part is not null").groupBy("part").applyInPandas(total, "part int, counts binary").collect():
         counts[r["part"]] = np.frombuffer(r["counts"], np.int64)
-    return found.where("part is null").select("doc_id", "h", "c", "odd"), counts.ravel()
+    return found.where("part is null").select("doc_id", "h", "c", "fp", "odd"), counts.ravel()
 
 
 def text_hash() -> Column:
@@ -129,14 +148,16 @@ def text_hash() -> Column:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(key, c, n, at): the prefix of every text's set, with the set's class and size and the place of the key."""
+    """(key, c, n, at): the prefix of every text's set, with the set's class and size and the place of the key.
+
+    A task writes a class once, however many copies it meets."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Words()
+        memory, seen = Words(), set()
         for b in batches:
-            sets = [shingle_set(t.as_py(), memory) for t in b.column(0)]
+            sets = unseen([shingle_set(t.as_py(), memory) for t in b.column(0)], seen)
             firsts = [prefix(s, shared.value) for s in sets]
             size = [len(f) for f in firsts]
             if not sum(size):
@@ -148,14 +169,24 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, c long, n int, at int")
 
 
+def unseen(sets: list[np.ndarray], seen: set[int]) -> list[np.ndarray]:
+    """The sets whose classes are new to the task; they are noted."""
+    out = []
+    for own in sets:
+        if (c := class_of(own)) not in seen:
+            seen.add(c)
+            out.append(own)
+    return out
+
+
 def sets_of(docs: DataFrame, marked: DataFrame, wanted: DataFrame) -> DataFrame:
     """(c, own) of the classes in wanted(c): their shingle sets."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Words()
+        memory, seen = Words(), set()
         for b in batches:
-            sets = [shingle_set(t.as_py(), memory) for t in b.column(0)]
+            sets = unseen([shingle_set(t.as_py(), memory) for t in b.column(0)], seen)
             own = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), own], ["c", "own"])
 
@@ -175,9 +206,9 @@ def similar(pairs: DataFrame, docs: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 def able(x: str, y: str) -> Column:
-    """Whether sets x and y (structs c, n, at) that share a shingle at these places can be near copies."""
+    """Whether sets x and y (structs c, n, at) whose first common shingle has these places can be near copies."""
     f = lambda s, k: F.col(f"{s}.{k}")
-    most = F.least(f(x, "at"), f(y, "at")) + F.least(f(x, "n") - f(x, "at"), f(y, "n") - f(y, "at"))
+    most = F.least(f(x, "n") - f(x, "at"), f(y, "n") - f(y, "at"))
     return (f(x, "c") != f(y, "c")) & reach(most, f(x, "n"), f(y, "n"))
 
 
@@ -185,6 +216,21 @@ def ends(x: str, y: str) -> list[Column]:
     return [F.least(f"{x}.c", f"{y}.c").alias("a"), F.greatest(f"{x}.c", f"{y}.c").alias("b")]
 
 
+def by_fingerprint(marked: DataFrame) -> DataFrame:
+    """(a, b) of classes with equal or close fingerprints, as far as components need: candidates of operator 4's method."""
+    own = materialise(marked.groupBy("fp").agg(F.min("c").alias("least")))
+    close = simhash.links(own.select("fp"), *simhash.plan(*simhash.bit_statistics(own)))
+    least = lambda of, name: own.select(F.col("fp").alias(of), F.col("least").alias(name))
+    near = splittable_join(splittable_join(close, least("a", "x"), ["a"]), least("b", "y"), ["b"])
+    equal = splittable_join(marked.select("fp", "c").distinct(), own, ["fp"]).where("c <> least")
+    pairs = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs.union(equal.select(F.col("least").alias("a"), F.col("c").alias("b")))
+
+
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(CLASS))).cast("int")
+
+
 def links(docs: DataFrame, marked: DataFrame, counts: np.ndarray) -> DataFrame:
     """(a, b) of classes that are near copies: all that components need."""
     rows = prefixes(docs, counts)
@@ -199,7 +245,8 @@ def links(docs: DataFrame, marked: DataFrame, counts: np.ndarray) -> DataFrame:
     heads = [F.min_by("x", F.xxhash64("x.c", F.lit(k))) for k in range(HEADS)]
     heads = hot.groupBy("key").agg(F.array_distinct(F.array(*heads)).alias("heads"))
     stars = splittable_join(hot, heads, ["key"]).select("x", F.explode("heads").alias("y"))
-    found = similar(pairs.union(stars).where(able("x", "y")).select(*ends("x", "y")), docs, marked)
+    pairs = pairs.union(stars).where(able("x", "y")).select(*ends("x", "y"))
+    found = similar(by_fingerprint(marked).union(pairs), docs, marked)
     # hot shingles: what is not in the commonest component there, against all of other components
     label = connected_components(found)
     of = hot.withColumn("c", F.col("x.c")).join(label.withColumnRenamed("node", "c"), "c", "left")
@@ -208,8 +255,10 @@ def links(docs: DataFrame, marked: DataFrame, counts: np.ndarray) -> DataFrame:
     of = splittable_join(of, mixed.select("key", "most"), ["key"]).withColumn("c", F.col("x.c"))
     odd = marked.groupBy("c").agg(F.first("odd").alias("odd"))
     of = materialise(splittable_join(of, odd, ["c"]).select("key", "x", "comp", "most", "odd"))
-    rest = of.where("comp <> most").select("key", F.col("x").alias("y"), F.col("comp").alias("other"), F.col("odd").alias("odd2"))
-    rest = splittable_join(of, rest, ["key"]).where("comp <> other").where(able("x", "y"))
+    own = size_class(F.col("x.n"))
+    rest = of.where("comp <> most").withColumn("size", F.explode(F.array(own - 1, own, own + 1)))
+    rest = rest.select("key", "size", F.col("x").alias("y"), F.col("comp").alias("other"), F.col("odd").alias("odd2"))
+    rest = splittable_join(of.withColumn("size", own), rest, ["key", "size"]).where("comp <> other").where(able("x", "y"))
     rest = rest.where(~apart("odd", "odd2", F.col("x.n"), F.col("y.n")))
     return found.union(similar(rest.select(*ends("x", "y")), docs, marked))
 
