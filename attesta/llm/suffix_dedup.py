@@ -3,26 +3,30 @@
 A byte is removed if a SPAN-byte string that covers it starts anywhere else too, in the same document
 or another. What decides is which SPAN-byte windows occur twice.
 
-1. Anchors. Prefix polynomial hashes give every GRAM-byte hash in one pass. Each window is owned by
+1. Rows. Texts are written once, compressed, with a row number, which alone tells rows apart.
+2. Anchors. Prefix polynomial hashes give every GRAM-byte hash in one pass. Each window is owned by
    its least GRAM-byte hash (leftmost on a tie), so equal windows have equal anchors at equal places.
-   Neighbouring windows with one anchor are one run; a run is written as (anchor hash, hash of all
+   Neighbouring windows with one anchor are one run; a run is written as (anchor hash, two hashes of all
    its bytes, place), about one row per (SPAN - GRAM) / 2 bytes.
-2. Runs are counted by (anchor, bytes) and by anchor, with partial aggregation. A run that occurs
+3. Runs are counted by (anchor, bytes) and by anchor, with partial aggregation. A run that occurs
    twice is repeated in whole; an anchor that occurs once can repeat nothing. What is left are
-   different runs around one anchor: the ends of repeated passages.
-3. Of those, one run of each content goes to the anchor's bucket. There the suffixes that begin at
+   different runs around one anchor: the ends of repeated passages. Bytes are told apart here by 96 bits
+   of independent hashes beside the anchor's 64, so of p pairs of different runs at one anchor p / 2**96
+   are expected to be taken for equal (10**18 pairs: about 10**-11).
+4. Of those, one run of each content goes to the anchor's bucket. There the suffixes that begin at
    the anchor, and the prefixes that end at it, are sorted by mergesort. Two suffixes are compared by
    binary search for their common extension on prefix hashes, so in a logarithmic number of steps;
    the extensions found between neighbours are verified byte by byte. A window is repeated if another
    run of the bucket shares at least its part before the anchor and its part after it, which the two
    orders and their common extensions tell for all runs of a bucket at once.
-   Where more than HOT runs share an anchor, single windows are counted by two independent hashes
-   instead, so that no bucket is unbounded.
-
-Defined cases: a null text is the empty text; texts under SPAN bytes lose nothing; rows are told
-apart by id and text's hash, so repeated rows are repeats of each other and get equal results, null ids
-included; an empty table gives an empty result; further columns are kept by rewrite() and ignored
-otherwise.
+5. A bucket of over HOT runs is split: windows that begin far before the anchor share more bytes before
+   it, the others more bytes after it. Each half is dealt by those bytes too, so it is steps 3 and 4 again
+   with a longer anchor; after eight halvings an anchor is a whole window. So no bucket is unbounded and
+   the sort decides them all.
+
+Defined cases: a null text is the empty text; texts under SPAN bytes lose nothing; repeated rows are
+repeats of each other and get equal results, null ids included, and each carries its own ranges alone; an
+empty table gives an empty result; further columns are kept by rewrite() and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -36,15 +40,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import arrow_batches, materialise, released, splittable_join, table
+from attesta.llm.common import arrow_batches, discard, materialise, released, splittable_join, table
 
 SPAN, GRAM = 200, 64
 #: Runs of one anchor that are sorted together at most.
-HOT = 4096
+HOT = 1024
 #: Bytes hashed at once; longer texts are cut in overlapping pieces.
 CHUNK = 1 << 18
 #: Bytes of runs sorted at once.
 SORTED = 1 << 20
+#: Bits that hold a place in what is hashed at once (CHUNK and one text's overlap): the same everywhere, so that ties are.
+PLACE = CHUNK.bit_length() + 1
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -114,15 +120,22 @@ def pieces(raws: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
         yield own
 
 
+def contents(buf: np.ndarray, first: np.ndarray, w: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of runs of w + 1 windows from `first`, whose anchor is d bytes on."""
+    shape = (w * 1009 + d).astype(np.uint64)
+    c, k = (mix(Hasher(buf, seed).of(first, first + w + SPAN) ^ shape) for seed in (0, 9))
+    return c.view(np.int64), (k >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def runs(own: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
-    """row, anchor hash, content hash, first window, windows - 1, place of the anchor, of all runs."""
+    """row, anchor hash, content hashes, first window, windows - 1, place of the anchor, of all runs."""
     buf = np.frombuffer(b"".join(p[2] for p in own), np.uint8)
     sizes = np.array([len(p[2]) for p in own])
     offsets = np.cumsum(sizes) - sizes
     hasher = Hasher(buf)
     at = np.arange(len(buf) - GRAM + 1)
     grams = mix(hasher.of(at, at + GRAM))
-    bits = np.uint64(len(buf).bit_length())
+    bits = np.uint64(PLACE)
     least = sliding_least((grams >> bits << bits) | at.astype(np.uint64), SPAN - GRAM + 1)
     anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     windows = sizes - SPAN + 1
@@ -133,16 +146,14 @@ def runs(own: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     lo = np.flatnonzero(new)
     hi = np.concatenate([lo[1:], [len(start)]]) - 1
     first, last, place, p = start[lo], start[hi], anchor[lo], piece[lo]
-    content = mix(hasher.of(first, last + SPAN) ^ ((last - first) * 1009 + place - first).astype(np.uint64))
+    c, k = contents(buf, first, last - first, place - first)
     rows, base = np.array([x[0] for x in own]), np.array([x[1] for x in own])
-    return rows[p], grams[place].view(np.int64), content.view(np.int64), base[p] + first - offsets[p], last - first, place - first
+    return rows[p], grams[place].view(np.int64), c, k, base[p] + first - offsets[p], last - first, place - first
 
 
 def _pack(docs: DataFrame) -> DataFrame:
-    """docs with __th (hash of the text) and, in place of the text, its compressed bytes."""
-    text = F.coalesce("text", F.lit(""))
-    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__th", F.hash(text))
-    own = own.withColumn("text", text.cast("binary"))
+    """docs with __row, a number of the row, and, in place of the text, its compressed bytes; written once."""
+    own = docs.withColumn("text", F.coalesce("text", F.lit("")).cast("binary"))
     at = own.columns.index("text")
 
     @released
@@ -152,7 +163,8 @@ def _pack(docs: DataFrame) -> DataFrame:
             packed = pa.array([packer.compress(t.as_py()) for t in b.column(at)], pa.binary())
             yield pa.RecordBatch.from_arrays([packed if k == at else c for k, c in enumerate(b.columns)], b.schema.names)
 
-    return own.mapInArrow(run, own.schema)
+    # the numbers hold for all that follows, as they are read back
+    return materialise(own.mapInArrow(run, own.schema).withColumn("__row", F.monotonically_increasing_id()))
 
 
 def _unpacked(column: pa.Array) -> list[bytes]:
@@ -160,32 +172,25 @@ def _unpacked(column: pa.Array) -> list[bytes]:
     return [opener.decompress(x.as_py()) for x in column]
 
 
-ANCHORS = "__id long, __th int, h long, c long, at long"
-_ANCHOR_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+ANCHORS = "__row long, h long, c long, k int, at long"
+_ANCHOR_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 #: What `at` packs: first window, windows - 1, place of the anchor (both under 256).
 UNPACK = {"lo": "at >> 16", "w": "int(at >> 8 & 255)", "d": "int(at & 255)"}
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """The runs of all texts: anchor hash h, content hash c, and `at`, which packs their place."""
+def anchors(packed: DataFrame) -> DataFrame:
+    """The runs of all texts: anchor hash h, content hashes c and k, and `at`, which packs their place."""
     names = [x.split()[0] for x in ANCHORS.split(", ")]
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raws = [t.as_py() for t in b.column(2)]
-            ids, hashes = b.column(0), b.column(1)
-            for own in pieces(raws):
-                row, h, c, lo, w, d = runs(own)
-                take = pa.array(row)
-                cols = [ids.take(take), hashes.take(take), h, c, lo << 16 | w << 8 | d]
+            for own in pieces(_unpacked(b.column(1))):
+                row, h, c, k, lo, w, d = runs(own)
+                cols = [b.column(0).take(pa.array(row)), h, c, k, lo << 16 | w << 8 | d]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _ANCHOR_TYPES)], names)
 
-    text = F.coalesce("text", F.lit(""))
-    own = docs.select(
-        F.col("doc_id").cast("long").alias("__id"), F.hash(text).alias("__th"), text.cast("binary").alias("raw")
-    )
-    return own.mapInArrow(run, ANCHORS)
+    return packed.select("__row", "text").mapInArrow(run, ANCHORS)
 
 
 def by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,42 +313,41 @@ def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist()))
 
 
-RANGE = "__id long, __th int, a long, b long"
-_RANGE = pa.schema([("__id", pa.int64()), ("__th", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-SEGMENT = "h long, c long, n long, m long, __id long, __th int, lo long, w int, d int, raw binary"
+RANGE = "__row long, a long, b long"
+_RANGE = pa.schema([(n, pa.int64()) for n in ("__row", "a", "b")])
+SEGMENT = "h long, c long, k int, n long, m long, __row long, lo long, w int, d int, raw binary"
 _SEGMENT = pa.schema(
-    [(n, pa.int64()) for n in ("h", "c", "n", "m", "__id")] + [("__th", pa.int32()), ("lo", pa.int64())]
+    [("h", pa.int64()), ("c", pa.int64()), ("k", pa.int32()), *((n, pa.int64()) for n in ("n", "m", "__row", "lo"))]
     + [("w", pa.int32()), ("d", pa.int32()), ("raw", pa.binary())]
 )
+CONTENT = ["h", "c", "k"]
 
 
 def _segments(packed: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of wanted runs: one scan of the texts, moved once."""
-    lists = wanted.groupBy("__id", "__th").agg(F.collect_list(F.struct("h", "c", "n", "m", "lo", "w", "d")).alias("runs"))
+    lists = wanted.groupBy("__row").agg(F.collect_list(F.struct(*CONTENT, "n", "m", "lo", "w", "d")).alias("runs"))
     # a document's runs: fewer than its bytes
-    own = packed.select("__id", "__th", "text").join(
-        lists.withColumnsRenamed({"__id": "i", "__th": "t"}), F.expr("__id <=> i and __th = t")
-    )
+    own = packed.select("__row", "text").join(lists, "__row")
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, t, raw, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _unpacked(b.column(2)), b.column(3)):
+            for i, raw, found in zip(b.column(0).to_pylist(), _unpacked(b.column(1)), b.column(2)):
                 rows = [
-                    (x["h"], x["c"], x["n"], x["m"], i, t, x["lo"], x["w"], x["d"], raw[x["lo"] : x["lo"] + x["w"] + SPAN])
+                    (x["h"], x["c"], x["k"], x["n"], x["m"], i, x["lo"], x["w"], x["d"], raw[x["lo"] : x["lo"] + x["w"] + SPAN])
                     for x in found.as_py()
                 ]
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SEGMENT)], schema=_SEGMENT)
 
-    return own.select("__id", "__th", "text", "runs").mapInArrow(run, SEGMENT)
+    return own.select("__row", "text", "runs").mapInArrow(run, SEGMENT)
 
 
 def _sorted_ranges(segments: DataFrame) -> DataFrame:
     """Byte ranges [a, b) that are repeated, of runs that occur once, by sorting each anchor's bucket."""
 
     def flush(rows: list[dict]) -> pa.RecordBatch:
-        kept = {(r["h"], r["c"]): r for r in rows}
+        kept = {(r["h"], r["c"], r["k"]): r for r in rows}
         rows = [kept[k] for k in sorted(kept)]
         bucket = np.array([r["h"] for r in rows], np.int64)
         w, d = np.array([r["w"] for r in rows], np.int64), np.array([r["d"] for r in rows], np.int64)
@@ -352,8 +356,8 @@ def _sorted_ranges(segments: DataFrame) -> DataFrame:
         for r, m in zip(rows, mask):
             if r["n"] == 1 and m.any():
                 at = r["lo"] + r["d"]  # the anchor's place in the text
-                out += [(r["__id"], r["__th"], at - last, at - first + SPAN) for first, last in spans_of(m)]
-        cols = list(zip(*out)) if out else [[]] * 4
+                out += [(r["__row"], at - last, at - first + SPAN) for first, last in spans_of(m)]
+        cols = list(zip(*out)) if out else [[]] * len(_RANGE)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _RANGE)], schema=_RANGE)
 
     @released
@@ -373,52 +377,88 @@ def _sorted_ranges(segments: DataFrame) -> DataFrame:
     return segments.repartition("h").sortWithinPartitions("h").mapInArrow(run, RANGE)
 
 
-def _counted_ranges(segments: DataFrame) -> DataFrame:
-    """The same for anchors with very many runs: windows are counted by two independent hashes."""
-    names = ["h", "k1", "k2", "once", "__id", "__th", "a"]
+def _halves(segments: DataFrame, width: int) -> DataFrame:
+    """Runs of hot anchors, each cut into windows that begin over or under the middle of `width` offsets before
+    the anchor, under a new anchor: the bytes that all such windows share.
+
+    Offsets are counted from `base`, the least that the segment's anchor allows.
+    """
+    half = width // 2
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raws = [x.as_py() for x in b.column("raw")]
-            if not raws:
+            if not len(b):
                 continue
-            buf = np.frombuffer(b"".join(raws), np.uint8)
-            sizes = np.array([len(x) for x in raws])
-            windows = sizes - SPAN + 1
-            row = np.repeat(np.arange(len(raws)), windows)
-            step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-            at = (np.cumsum(sizes) - sizes)[row] + step
-            keys = [mix(Hasher(buf, s).of(at, at + SPAN)).view(np.int64) for s in (11, 12)]
-            take = pa.array(row)
-            once = np.array(b.column("n"))[row] == 1
-            cols = [b.column("h").take(take), *keys, once, b.column("__id").take(take), b.column("__th").take(take)]
-            cols.append(np.array(b.column("lo"))[row] + step)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
-
-    own = segments.mapInArrow(run, "h long, k1 long, k2 long, once boolean, __id long, __th int, a long")
-    keys = ["h", "k1", "k2"]
-    twice = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    found = splittable_join(own.where("once"), twice, keys)
-    return found.select("__id", "__th", "a", (F.col("a") + SPAN).alias("b"))
-
-
-def repeated_ranges(docs: DataFrame, packed: DataFrame, hot: int = HOT) -> DataFrame:
-    """(__id, __th, a, b): byte ranges to remove; they may overlap."""
-    found = materialise(anchors(docs))
-    contents = found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"))
-    per_anchor = contents.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).where("all > 1").drop("all")
-    known = contents.join(per_anchor, "h")
-    rows = materialise(splittable_join(found, known, ["h", "c"]))
-    whole = rows.where("n > 1").selectExpr("__id", "__th", "at >> 16 as a", f"(at >> 16) + (at >> 8 & 255) + {SPAN} as b")
+            raws = b.column("raw").to_pylist()
+            h, n, row, lo, w, d, base = (b.column(x).to_numpy() for x in ("h", "n", "__row", "lo", "w", "d", "base"))
+            w, d, base = w.astype(np.int64), d.astype(np.int64), base.astype(np.int64)
+            buf, size = np.frombuffer(b"".join(raws), np.uint8), np.array([len(x) for x in raws])
+            begin, cut = np.cumsum(size) - size, base + half
+            for side in (0, 1):
+                # of the offsets d - w to d: those under the cut, or those from it on
+                top, low = (np.minimum(d, cut - 1), d - w) if side == 0 else (d, np.maximum(d - w, cut))
+                at = np.flatnonzero(top >= low)
+                if not len(at):
+                    continue
+                least = base if side == 0 else cut
+                most = cut - 1 if side == 0 else base + width - 1
+                first, own_w, own_d = (begin + d - top)[at], (top - low)[at], top[at]
+                place = (begin + d)[at]
+                shared = Hasher(buf, 10).of(place - least[at], place - most[at] + SPAN)
+                key = mix(mix(shared + np.uint64(side)) ^ h[at].view(np.uint64)).view(np.int64)
+                c, k = contents(buf, first, own_w, own_d)
+                own_raw = [raws[i][d[i] - top[i] : d[i] - low[i] + SPAN] for i in at]
+                cols = [key, c, k, n[at] == 1, row[at], (lo + d - top)[at], own_w, own_d, least[at], own_raw]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, _HALF)], schema=_HALF)
+
+    return segments.mapInArrow(run, HALF)
+
+
+HALF = "h long, c long, k int, once boolean, __row long, lo long, w int, d int, base int, raw binary"
+_HALF = pa.schema(
+    [("h", pa.int64()), ("c", pa.int64()), ("k", pa.int32()), ("once", pa.bool_()), ("__row", pa.int64()), ("lo", pa.int64())]
+    + [(n, pa.int32()) for n in ("w", "d", "base")] + [("raw", pa.binary())]
+)
+
+
+def _hot_ranges(segments: DataFrame, hot: int) -> list[DataFrame]:
+    """The same for buckets of over `hot` runs, by halving them until they are small."""
+    out, own, width = [], segments.where(F.col("m") > hot).withColumn("base", F.lit(0)), SPAN - GRAM + 1
+    while not own.isEmpty():
+        sides = materialise(_halves(own, width))
+        width -= width // 2
+        counts = sides.groupBy(*CONTENT).agg(F.count(F.lit(1)).alias("n"))
+        per_anchor = counts.groupBy("h").agg(F.count(F.lit(1)).alias("m"))
+        sides = materialise(splittable_join(sides, counts.join(per_anchor, "h"), CONTENT))
+        out.append(sides.where("once and n > 1").selectExpr("__row", "lo as a", f"lo + w + {SPAN} as b"))
+        # one of each content; its range is only wanted if it occurs once
+        one = F.min(F.struct("__row", "lo", "once")).alias("x")
+        wanted = sides.where("m > 1").groupBy(*CONTENT).agg(one).select(*CONTENT, "x.__row", "x.lo")
+        left = splittable_join(sides.where("m > 1"), wanted, [*CONTENT, "__row", "lo"])
+        left = materialise(left.withColumn("n", F.when(F.col("once"), F.col("n")).otherwise(2).cast("long")))
+        out.append(_sorted_ranges(left.where(F.col("m") <= hot).select(*_SEGMENT.names)))
+        own = left.where(F.col("m") > hot)
+    return out
+
+
+def repeated_ranges(packed: DataFrame, hot: int = HOT) -> DataFrame:
+    """(__row, a, b): byte ranges to remove; they may overlap."""
+    found = materialise(anchors(packed))
+    counts = found.groupBy(*CONTENT).agg(F.count(F.lit(1)).alias("n"))
+    per_anchor = counts.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).where("all > 1").drop("all")
+    known = counts.join(per_anchor, "h")
+    rows = materialise(splittable_join(found, known, CONTENT))
+    discard(found)
+    whole = rows.where("n > 1").selectExpr("__row", "at >> 16 as a", f"(at >> 16) + (at >> 8 & 255) + {SPAN} as b")
     # one run of each content, of anchors with several
-    first = F.min(F.struct("__id", "__th", "at")).alias("x")
-    wanted = rows.where("m > 1").groupBy("h", "c", "n", "m").agg(first).select("h", "c", "n", "m", "x.*")
+    first = F.min(F.struct("__row", "at")).alias("x")
+    wanted = rows.where("m > 1").groupBy(*CONTENT, "n", "m").agg(first).select(*CONTENT, "n", "m", "x.*")
     wanted = wanted.selectExpr("*", *(f"{e} as {name}" for name, e in UNPACK.items())).drop("at")
     segments = materialise(_segments(packed, wanted))
-    part = _sorted_ranges(segments.where(f"m <= {hot}"))
-    rest = _counted_ranges(segments.where(f"m > {hot}"))
-    return whole.union(part).union(rest)
+    for part in (_sorted_ranges(segments.where(F.col("m") <= hot)), *_hot_ranges(segments, hot)):
+        whole = whole.union(part)
+    return whole
 
 
 def union_of(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -457,11 +497,8 @@ def _with_ranges(docs: DataFrame, hot: int) -> DataFrame:
     """Packed docs with __ranges: array of (a, b), null if nothing is repeated."""
     arrow_batches(docs.sparkSession)
     packed = _pack(docs)
-    ranges = repeated_ranges(docs, packed, hot)
-    ranges = ranges.groupBy(F.col("__id").alias("__i"), F.col("__th").alias("__t")).agg(
-        F.collect_list(F.struct("a", "b")).alias("__ranges")
-    )
-    return packed.join(ranges, F.expr("__id <=> __i and __th = __t"), "left").drop("__i", "__t")
+    ranges = repeated_ranges(packed, hot).groupBy("__row").agg(F.collect_list(F.struct("a", "b")).alias("__ranges"))
+    return packed.join(ranges, "__row", "left")
 
 
 _DIGEST = pa.schema(
@@ -476,7 +513,8 @@ def _ranges(value: pa.Scalar) -> list[tuple[int, int]]:
 
 def digest(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per row: n_bytes, n_removed, n_spans and the digest of what is kept."""
-    own = _with_ranges(docs.select("doc_id", "text"), hot).select("__id", "text", "__ranges")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = _with_ranges(own, hot).select("doc_id", "text", "__ranges")
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -496,7 +534,7 @@ def rewrite(docs: DataFrame, hot: int = HOT) -> DataFrame:
     only) and n_chars, if there is one, counted anew. A null text stays null."""
     names = docs.columns
     marked = docs.withColumn("__null", F.col("text").isNull())
-    own = _with_ranges(marked, hot).drop("__id", "__th")
+    own = _with_ranges(marked, hot)
     at, where = names.index("text"), len(names)
     out = own.select(*names, "__null", "__ranges")
 

@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from attesta.llm import bpe, decontaminate, language, media, sharding, simhash, suffix_dedup, tokens, toxicity
 from attesta.llm.common import connected_components
 
@@ -36,7 +38,7 @@ def removed(raws, span=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
+@pytest.mark.parametrize("hot", [1024, 3, 1])
 def test_suffix_dedup(edge, edge_rows, hot):
     raws = [raw(r[1]) for r in edge_rows]
     wanted = []
@@ -47,6 +49,27 @@ def test_suffix_dedup(edge, edge_rows, hot):
     same(suffix_dedup.digest(edge, hot).collect(), wanted)
 
 
+def test_suffix_dedup_tells_rows_apart(spark):
+    """Different texts with one id and one 32-bit hash; one of them is repeated under another id."""
+    text = F.concat(F.repeat(F.lit("lorem "), 2), F.sha2(F.col("id").cast("string"), 512), F.sha2((F.col("id") + 7).cast("string"), 512))
+    pairs = spark.range(400_000).select(text.alias("t")).groupBy(F.hash("t")).agg(F.collect_list("t").alias("all"))
+    a, b = pairs.where("size(all) > 1").first()["all"][:2]
+    docs = spark.createDataFrame([(None, a), (None, b), (1, a)], "doc_id long, text string")
+    found = {(r["doc_id"], r["kept_sha256"]): r["n_removed"] for r in suffix_dedup.digest(docs).collect()}
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert found == {(None, nothing): len(a), (1, nothing): len(a), (None, hashlib.sha256(b.encode()).hexdigest()): 0}
+
+
+def test_suffix_dedup_of_many_copies_is_linear(spark):
+    rnd = random.Random(4)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(3000))
+    docs = spark.createDataFrame([(k % 7, text) for k in range(500)], "doc_id long, text string")
+    own = suffix_dedup._with_ranges(docs, suffix_dedup.HOT)
+    most, n = own.select(F.max(F.size("__ranges")), F.count("__ranges")).first()
+    assert n == 500 and most < 3000 / 20
+    assert {r["n_removed"] for r in suffix_dedup.digest(docs).collect()} == {3000}
+
+
 def test_suffix_dedup_pieces(monkeypatch):
     """Texts longer than a piece give the same runs' windows."""
     rnd = random.Random(1)
@@ -54,7 +77,7 @@ def test_suffix_dedup_pieces(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
     seen = np.zeros(len(text) - 199, int)
     for own in suffix_dedup.pieces([b"short", text, b""]):
-        row, h, c, lo, w, d = suffix_dedup.runs(own)
+        row, h, c, k, lo, w, d = suffix_dedup.runs(own)
         assert set(row) <= {1}
         for a, n in zip(lo, w):
             seen[a : a + n + 1] += 1
