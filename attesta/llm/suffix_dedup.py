@@ -3,14 +3,14 @@
 A byte is removed if a SPAN-byte string that covers it starts anywhere else too, in the same document
 or another. What decides is which SPAN-byte windows occur twice.
 
-1. Rows. Texts are written once, compressed, with a row number, which alone tells rows apart.
+1. Rows. Texts are written once with a row number, which alone tells rows apart.
 2. Anchors. Prefix polynomial hashes give every GRAM-byte hash in one pass. Each window is owned by
    its least GRAM-byte hash (leftmost on a tie), so equal windows have equal anchors at equal places.
    Neighbouring windows with one anchor are one run; a run is written as (anchor hash, two hashes of all
    its bytes, place), about one row per (SPAN - GRAM) / 2 bytes.
-3. Runs are counted by (anchor, bytes) and by anchor, with partial aggregation. A run that occurs
-   twice is repeated in whole; an anchor that occurs once can repeat nothing. What is left are
-   different runs around one anchor: the ends of repeated passages. Bytes are told apart here by 96 bits
+3. An anchor that occurs once can repeat nothing and goes at once. The others' runs are counted by
+   (anchor, bytes) and by anchor, with partial aggregation. A run that occurs twice is repeated in whole.
+   What is left are different runs around one anchor: the ends of repeated passages. Bytes are told apart here by 96 bits
    of independent hashes beside the anchor's 64, so of p pairs of different runs at one anchor p / 2**96
    are expected to be taken for equal (10**18 pairs: about 10**-11).
 4. Of those, one run of each content goes to the anchor's bucket. There the suffixes that begin at
@@ -36,7 +36,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,25 +150,10 @@ def runs(own: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     return rows[p], grams[place].view(np.int64), c, k, base[p] + first - offsets[p], last - first, place - first
 
 
-def _pack(docs: DataFrame) -> DataFrame:
-    """docs with __row, a number of the row, and, in place of the text, its compressed bytes; written once."""
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with __row, a number of the row, and the text as bytes; written once, so the numbers hold for all that follows."""
     own = docs.withColumn("text", F.coalesce("text", F.lit("")).cast("binary"))
-    at = own.columns.index("text")
-
-    @released
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3, write_checksum=False)
-        for b in batches:
-            packed = pa.array([packer.compress(t.as_py()) for t in b.column(at)], pa.binary())
-            yield pa.RecordBatch.from_arrays([packed if k == at else c for k, c in enumerate(b.columns)], b.schema.names)
-
-    # the numbers hold for all that follows, as they are read back
-    return materialise(own.mapInArrow(run, own.schema).withColumn("__row", F.monotonically_increasing_id()))
-
-
-def _unpacked(column: pa.Array) -> list[bytes]:
-    opener = zstandard.ZstdDecompressor()
-    return [opener.decompress(x.as_py()) for x in column]
+    return materialise(own.withColumn("__row", F.monotonically_increasing_id()))
 
 
 ANCHORS = "__row long, h long, c long, k int, at long"
@@ -178,19 +162,19 @@ _ANCHOR_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 UNPACK = {"lo": "at >> 16", "w": "int(at >> 8 & 255)", "d": "int(at & 255)"}
 
 
-def anchors(packed: DataFrame) -> DataFrame:
+def anchors(docs: DataFrame) -> DataFrame:
     """The runs of all texts: anchor hash h, content hashes c and k, and `at`, which packs their place."""
     names = [x.split()[0] for x in ANCHORS.split(", ")]
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for own in pieces(_unpacked(b.column(1))):
+            for own in pieces(b.column(1).to_pylist()):
                 row, h, c, k, lo, w, d = runs(own)
                 cols = [b.column(0).take(pa.array(row)), h, c, k, lo << 16 | w << 8 | d]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _ANCHOR_TYPES)], names)
 
-    return packed.select("__row", "text").mapInArrow(run, ANCHORS)
+    return docs.select("__row", "text").mapInArrow(run, ANCHORS)
 
 
 def by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -323,16 +307,16 @@ _SEGMENT = pa.schema(
 CONTENT = ["h", "c", "k"]
 
 
-def _segments(packed: DataFrame, wanted: DataFrame) -> DataFrame:
+def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of wanted runs: one scan of the texts, moved once."""
     lists = wanted.groupBy("__row").agg(F.collect_list(F.struct(*CONTENT, "n", "m", "lo", "w", "d")).alias("runs"))
     # a document's runs: fewer than its bytes
-    own = packed.select("__row", "text").join(lists, "__row")
+    own = docs.select("__row", "text").join(lists, "__row")
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, raw, found in zip(b.column(0).to_pylist(), _unpacked(b.column(1)), b.column(2)):
+            for i, raw, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 rows = [
                     (x["h"], x["c"], x["k"], x["n"], x["m"], i, x["lo"], x["w"], x["d"], raw[x["lo"] : x["lo"] + x["w"] + SPAN])
                     for x in found.as_py()
@@ -442,20 +426,22 @@ def _hot_ranges(segments: DataFrame, hot: int) -> list[DataFrame]:
     return out
 
 
-def repeated_ranges(packed: DataFrame, hot: int = HOT) -> DataFrame:
+def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(__row, a, b): byte ranges to remove; they may overlap."""
-    found = materialise(anchors(packed))
-    counts = found.groupBy(*CONTENT).agg(F.count(F.lit(1)).alias("n"))
-    per_anchor = counts.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).where("all > 1").drop("all")
-    known = counts.join(per_anchor, "h")
-    rows = materialise(splittable_join(found, known, CONTENT))
+    found = materialise(anchors(docs))
+    shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select("h")
+    met = materialise(splittable_join(found, shared, ["h"]))
     discard(found)
+    counts = met.groupBy(*CONTENT).agg(F.count(F.lit(1)).alias("n"))
+    known = counts.join(counts.groupBy("h").agg(F.count(F.lit(1)).alias("m")), "h")
+    rows = materialise(splittable_join(met, known, CONTENT))
+    discard(met)
     whole = rows.where("n > 1").selectExpr("__row", "at >> 16 as a", f"(at >> 16) + (at >> 8 & 255) + {SPAN} as b")
     # one run of each content, of anchors with several
     first = F.min(F.struct("__row", "at")).alias("x")
     wanted = rows.where("m > 1").groupBy(*CONTENT, "n", "m").agg(first).select(*CONTENT, "n", "m", "x.*")
     wanted = wanted.selectExpr("*", *(f"{e} as {name}" for name, e in UNPACK.items())).drop("at")
-    segments = materialise(_segments(packed, wanted))
+    segments = materialise(_segments(docs, wanted))
     for part in (_sorted_ranges(segments.where(F.col("m") <= hot)), *_hot_ranges(segments, hot)):
         whole = whole.union(part)
     return whole
@@ -494,11 +480,11 @@ def kept(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:
 
 
 def _with_ranges(docs: DataFrame, hot: int) -> DataFrame:
-    """Packed docs with __ranges: array of (a, b), null if nothing is repeated."""
+    """Numbered docs with __ranges: array of (a, b), null if nothing is repeated."""
     arrow_batches(docs.sparkSession)
-    packed = _pack(docs)
-    ranges = repeated_ranges(packed, hot).groupBy("__row").agg(F.collect_list(F.struct("a", "b")).alias("__ranges"))
-    return packed.join(ranges, "__row", "left")
+    docs = _numbered(docs)
+    ranges = repeated_ranges(docs, hot).groupBy("__row").agg(F.collect_list(F.struct("a", "b")).alias("__ranges"))
+    return docs.join(ranges, "__row", "left")
 
 
 _DIGEST = pa.schema(
@@ -520,7 +506,7 @@ def digest(docs: DataFrame, hot: int = HOT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, raw, found in zip(b.column(0).to_pylist(), _unpacked(b.column(1)), b.column(2)):
+            for i, raw, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 r = _ranges(found)
                 rows.append((i, len(raw), sum(y - x for x, y in r), len(r), hashlib.sha256(kept(raw, r)).hexdigest()))
             cols = list(zip(*rows)) if rows else [[]] * 5
@@ -542,7 +528,7 @@ def rewrite(docs: DataFrame, hot: int = HOT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, counts = [], []
-            for raw, none, found in zip(_unpacked(b.column(at)), b.column(where), b.column(where + 1)):
+            for raw, none, found in zip(b.column(at).to_pylist(), b.column(where), b.column(where + 1)):
                 text = kept(raw, whole_characters(raw, _ranges(found))).decode("utf-8", "replace")
                 texts.append(None if none.as_py() else text)
                 counts.append(len(text))
