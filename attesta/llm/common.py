@@ -21,10 +21,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests only) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir; a local session without it (tests) gets a temporary one."""
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = named or tempfile.mkdtemp(prefix="attesta-")
         _OWN[app] = f"{base.rstrip('/')}/attesta-{app}"
         atexit.register(_clean, spark, _OWN[app] if named else base)
@@ -92,12 +94,12 @@ def remainder_col(doc_id: Column, folds: int = 5) -> Column:
 def hash_sample(rows: DataFrame, group: str, order: list[str], bound: int) -> DataFrame:
     """About `bound` rows of each group (all rows of smaller groups), chosen by the hash of `order`.
 
-    A count by group gives each group a hash threshold, so what is gathered does not grow with the
-    input; a fixed seed makes the choice repeatable.
+    The rows differ in `order`. A count by group gives each group a hash threshold, so what is gathered
+    does not grow with the input; a fixed seed makes the choice repeatable.
     """
-    counts = F.broadcast(rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).limit(10_000))
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     unit = (F.xxhash64(*order) / F.lit(float(2**64))) + F.lit(0.5)
-    return rows.join(counts, group).where(unit < F.lit(float(bound)) / F.col("__n")).drop("__n")
+    return splittable_join(rows, counts, [group]).where(unit < F.lit(float(bound)) / F.col("__n")).drop("__n")
 
 
 def splittable_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -127,11 +129,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
         least = least.select("u", F.least("u", "m").alias("m"))
-        big = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        big = splittable_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         big = big.where("u <> v").distinct()
         # small star: u and its smaller neighbours go to the smallest of them
         least = big.groupBy("u").agg(F.min("v").alias("m"))
-        down = big.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = splittable_join(big, least, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialise(down.union(least.select("u", F.col("m").alias("v"))).distinct())
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:

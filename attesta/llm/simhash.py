@@ -190,13 +190,16 @@ def keys(fp: Column, groups: list[list[int]], chosen: list[int]) -> Column:
 def links(fps: DataFrame, groups: list[list[int]], chosen: list[int]) -> DataFrame:
     """(a, b) of distinct fps within RADIUS: all that components need. fps has distinct values."""
     rows = fps.select("fp", F.explode(keys(F.col("fp"), groups, chosen)).alias("x")).select("fp", "x.*")
-    sizes = rows.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # of two within a part's threshold one meets the other at its own key; where only probes meet, nothing is owed
+    sizes = rows.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("probe")).alias("own"))
+    sizes = sizes.where("n > 1 and own > 0").drop("own")
     met = materialise(splittable_join(rows, sizes, ["part", "key"]))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
-    few = met.where(f"n <= {PAIRS}").groupBy("part", "key").agg(F.array_distinct(F.collect_list("fp")).alias("all"))
+    own = F.collect_set(F.when(~F.col("probe"), F.col("fp")))
+    few = met.where(f"n <= {PAIRS}").groupBy("part", "key").agg(F.collect_set("fp").alias("all"), own.alias("own"))
     # at most PAIRS fingerprints in an array
-    pairs = few.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b"))
-    pairs = pairs.where("a < b").where(close).distinct()
+    pairs = few.select(F.explode("own").alias("a"), "all").select("a", F.explode("all").alias("b"))
+    pairs = pairs.where("a <> b").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     hot = met.where(f"n > {PAIRS}").select("fp").distinct()
     mids = [F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(signed(1 << b))) for b in range(BITS))]
     stars = hot.select("fp", F.explode(F.array(*mids)).alias("mid"))
