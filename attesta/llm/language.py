@@ -1,13 +1,14 @@
 """Language ID by compression: the dictionary that makes a text smallest names its language.
 
 Each language gets a zstandard raw-content dictionary from a bounded sample of its training texts
-(SAMPLE texts, DICT_BYTES in all): every text of the sample gives the same number of bytes, or all it
+(about SAMPLE different ones, DICT_BYTES in all; with over MANY languages each gets its share of what MANY have):
+every text of the sample gives the same number of bytes, or all it
 has, in pieces spread from its beginning to its end. A text, in lower case, is compressed in blocks under every
 dictionary and goes to the language with the smallest total. A margin below MIN_MARGIN marks the prediction as rejected.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; equal sizes go to the
-language first in order; with no training rows every text is `und`; repeated rows get equal results;
-an empty table gives an empty result; further columns are ignored.
+language first in order; with no training rows every text is `und`; repeated rows get equal results and
+are learned once; any number of languages is learned; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,18 +22,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import arrow_batches, hash_sample, materialise, released, remainder, remainder_col, table
+from attesta.llm.common import arrow_batches, hash_sample, materialise, released, remainder, remainder_col, splittable_join, table
 
 SAMPLE, DICT_BYTES = 400, 110_000
 #: Bytes of the pieces that long texts are learned by.
 PIECE = 128
-#: Lazy parsing that finds matches of four bytes, in a window that holds dictionary and block.
-PARSING = {
-    "window_log": 17, "chain_log": 17, "hash_log": 17, "search_log": 4, "min_match": 4, "target_length": 16,
-    "strategy": zstandard.STRATEGY_LAZY2,
-}
-#: More languages than this are refused: the dictionaries are broadcast.
-MAX_LANGS = 256
+#: Lazy parsing that finds matches of four bytes.
+PARSING = {"search_log": 4, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2}
+#: Languages that get full dictionaries: these are broadcast, MANY * DICT_BYTES at most (28 MB).
+MANY = 256
 BLOCK = 4096
 MIN_MARGIN = 0.01
 UNKNOWN = "und"
@@ -62,15 +60,17 @@ def pieces(text: str, most: int) -> bytes:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
     """Raw-content dictionaries by language, at most DICT_BYTES each, the commonest language first."""
-    rows = docs.select("doc_id", "lang").where("lang is not null").where(remainder_col(F.col("doc_id")) != 0)
-    chosen = hash_sample(rows, "lang", ["doc_id"], sample).limit(4 * sample * MAX_LANGS)
-    texts = docs.select("doc_id", "lang", "text").where("text is not null and lang is not null")
-    # at most 4 * SAMPLE texts a language
-    texts = materialise(texts.join(F.broadcast(chosen), ["doc_id", "lang"]))
+    texts = docs.select("doc_id", "lang", F.xxhash64("text").alias("__h"), "text").where("text is not null and lang is not null")
+    rows = texts.select("doc_id", "lang", "__h").where(remainder_col(F.col("doc_id")) != 0).distinct()
+    common = materialise(rows.groupBy("lang").count())
+    most = max(MANY, common.count())
+    chosen = hash_sample(rows, "lang", ["doc_id", "__h"], max(1, sample * MANY // most))
+    # about MANY * SAMPLE texts at most; of copies under one id one is learned
+    texts = materialise(splittable_join(texts, chosen, ["doc_id", "lang", "__h"]).dropDuplicates(["doc_id", "lang", "__h"]))
     sizes: dict[str, list[int]] = {}
     for r in texts.select("lang", F.octet_length(F.lower("text")).alias("n")).toLocalIterator():
         sizes.setdefault(r["lang"], []).append(r["n"])
-    levels = {k: level(v) for k, v in sizes.items()}
+    levels = {k: level(v, DICT_BYTES * MANY // most) for k, v in sizes.items()}
 
     @released
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,10 +84,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
     by: dict[str, list[bytes]] = {}
     for r in sorted(found, key=lambda r: (r["lang"], zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["part"])):
         by.setdefault(r["lang"], []).append(r["part"])
-    if len(by) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    common = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().where(F.col("lang").isin(list(by))).collect()}
-    order = sorted(by, key=lambda k: (-common.get(k, 0), k))
+    often = {r["lang"]: r["count"] for r in common.collect()}
+    order = sorted(by, key=lambda k: (-often[k], k))
     return {k: b"\n".join(by[k]) for k in order}
 
 
@@ -97,8 +95,10 @@ class Classifier:
         self.packers = []
         for k in self.langs:
             d = zstandard.ZstdCompressionDict(dicts[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            # a window and tables that hold dictionary and block
+            log = (len(dicts[k]) + BLOCK).bit_length()
             plan = zstandard.ZstdCompressionParameters(
-                **PARSING, write_content_size=False, write_checksum=False, write_dict_id=False
+                **PARSING, window_log=log, chain_log=log, hash_log=log, write_content_size=False, write_checksum=False, write_dict_id=False
             )
             d.precompute_compress(compression_params=plan)
             self.packers.append(zstandard.ZstdCompressor(dict_data=d, compression_params=plan))
