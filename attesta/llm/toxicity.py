@@ -5,14 +5,14 @@ average over its words; a two-class softmax reads the average. An unseen misspel
 n-grams, so most of its vector, with the words it was made from. As softmax and averages are linear
 before the last step, a word's whole effect is one number, which workers keep by word.
 
-Training uses a bounded sample (SAMPLE labelled rows of each class). It reads whole texts; of one with
-over MAX_WORDS words it learns MAX_WORDS, evenly spaced from its beginning to its end. Scoring uses
-every word; one of over LONG characters counts as several, which overlap.
+Training uses a bounded sample (about SAMPLE different labelled texts of each class). It reads every word
+of them: a text travels as its distinct words with their weights, one of over MANY words as its weights
+by embedding row, of which there are BUCKETS at most. Scoring uses every word too; one of over LONG
+characters counts as several, which overlap.
 
 Defined cases: a null or wordless text gets the score of the prior alone; null labels teach nothing;
-with one class or no label rows every score is 0; repeated rows get equal scores, and repeated label
-rows count as often as they occur in training; an empty table gives an empty result; further columns
-are ignored.
+with one class or no label rows every score is 0; repeated rows get equal scores and are learned once,
+a text with both labels once with each; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import io
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import arrow_batches, hash_sample, released, remainder, remainder_col, table
+from attesta.llm.common import arrow_batches, hash_sample, materialise, released, remainder, remainder_col, splittable_join, table
 
-SAMPLE, MAX_WORDS = 5000, 4000
+SAMPLE, MANY = 5000, 4000
 BUCKETS, DIM, GRAMS = 1 << 17, 12, (3, 4, 5)
 EPOCHS, BATCH, RATE, SCALE, DECAY = 10, 32, 0.5, 40.0, 1e-6
 #: Steps at least, so that a small sample is learned too.
@@ -58,12 +58,6 @@ def words_of(text: str | None) -> list[str]:
     return [w[i : i + LONG] for w in words for i in range(0, max(1, len(w) - LONG + step), step)]
 
 
-def spread(words: list[str], most: int = MAX_WORDS) -> list[str]:
-    """At most `most` of the words, evenly spaced over all of them."""
-    n = len(words)
-    return words if n <= most else [words[i * n // most] for i in range(most)]
-
-
 def grams(word: str, buckets: int = BUCKETS) -> list[int]:
     """Embedding rows of a word: itself and its n-grams with marked ends."""
     w = f"<{word}>"
@@ -82,30 +76,52 @@ def bag(words: list[str]) -> tuple[dict[str, float], float]:
     return weights, sum(weights.values()) + PRIOR
 
 
+class Rows(dict):
+    """Embedding rows of the words met."""
+
+    def __missing__(self, word: str) -> np.ndarray:
+        if len(self) >= MEMORY:
+            self.clear()
+        self[word] = g = np.array(grams(word), np.int32)
+        return g
+
+
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def vector(weights: dict[str, float], total: float, known: Rows) -> Vector:
+    """A text's embedding rows and their weights: each word's average over its rows, averaged over words.
+
+    Summed into BUCKETS cells a piece at a time, so memory does not grow with the words."""
+    cells = np.zeros(BUCKETS)
+    words = list(weights)
+    for at in range(0, len(words), 4096):
+        some = words[at : at + 4096]
+        own = [known[w] for w in some]
+        val = np.repeat([weights[w] * SCALE / len(g) / total for w, g in zip(some, own)], [len(g) for g in own])
+        cells += np.bincount(np.concatenate(own), val, BUCKETS)
+    rows = np.flatnonzero(cells)
+    return rows.astype(np.int32), cells[rows].astype(np.float32)
+
+
 def train(texts: list[str], labels: list[int], seed: int = SEED) -> bytes:
+    known = Rows()
+    return train_on([vector(*bag(words_of(t)), known) for t in texts], labels, seed)
+
+
+def train_on(docs: list[Vector], labels: list[int], seed: int = SEED) -> bytes:
     """The model as bytes: one number per embedding row, and the bias; b'' if a class is missing."""
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return b""
-    known: dict[str, np.ndarray] = {}
-    docs = []
-    for text in texts:
-        # each word's average over its rows, averaged over words: weights by row
-        weights, total = bag(spread(words_of(text)))
-        idx, val = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for w, c in weights.items():
-            if w not in known:
-                known[w] = np.array(grams(w))
-            g = known[w]
-            idx.append(g)
-            val.append(np.full(len(g), c * SCALE / len(g) / total))
-        rows, back = np.unique(np.concatenate(idx), return_inverse=True)
-        docs.append((rows, np.bincount(back, np.concatenate(val), len(rows))))
     rng = np.random.default_rng(seed)
     table_ = rng.normal(0, SPREAD, (BUCKETS, DIM))
     soft, bias = rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
     acc_t, acc_s, acc_b = np.full(BUCKETS, 1e-8), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
     onehot = np.stack([1 - y, y], 1)
+    # a rare class counts for more, by the root of its share: halfway to even, so that wordless texts stay with the prior
+    share = 1 / np.sqrt(np.where(y == 1, y.mean(), 1 - y.mean()))
+    share /= share.mean()
     epochs = max(EPOCHS, STEPS * BATCH // len(docs))
     for epoch in range(epochs):
         order = rng.permutation(len(docs))
@@ -120,10 +136,10 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> bytes:
             logits = hidden @ soft + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            err = (p - onehot[pick]) / len(pick)
+            err = (p - onehot[pick]) * share[pick, None] / len(pick)
             g_soft, g_bias, g_hidden = hidden.T @ err, err.sum(0), err @ soft.T
-            used, back = np.unique(rows, return_inverse=True)
-            g_rows = np.stack([np.bincount(back, vals * g_hidden[doc, k], len(used)) for k in range(DIM)], 1)
+            used = np.flatnonzero(np.bincount(rows, minlength=BUCKETS))
+            g_rows = np.stack([np.bincount(rows, vals * g_hidden[doc, k], BUCKETS)[used] for k in range(DIM)], 1)
             g_rows += DECAY * table_[used]
             # steps shrink with a row's own gradients, but rows met once don't learn texts by heart
             acc_t[used] += (g_rows**2).mean(1)
@@ -168,30 +184,56 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
     """Train on a bounded sample of documents(doc_id, text) with labels(doc_id, toxic)."""
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    marks = marks.where(remainder_col(F.col("doc_id")) != 0)
-    chosen = hash_sample(marks, "toxic", ["doc_id"], sample).limit(4 * sample)
-    # at most 4 * SAMPLE ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    marks = marks.where(remainder_col(F.col("doc_id")) != 0).distinct()
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__h"), "text")
+    # different labelled texts; of copies under one id one is learned
+    known = splittable_join(texts.select("doc_id", "__h"), marks, ["doc_id"]).distinct()
+    chosen = materialise(hash_sample(known, "toxic", ["doc_id", "__h"], sample))
+    # about 2 * SAMPLE rows of three numbers
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "__h"])
 
     @released
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows_of, names = Rows(), ["doc_id", "__h", "toxic", "words", "weights"]
         for b in batches:
-            texts = pa.array([" ".join(spread(words_of(t.as_py()))) for t in b.column(2)], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts], b.schema.names)
+            words, weights = [], []
+            for t in b.column(3):
+                own, total = bag(words_of(t.as_py()))
+                if len(own) > MANY:
+                    idx, val = vector(own, total, rows_of)
+                    words.append(b"\0" + idx.tobytes())
+                    weights.append(val.tobytes())
+                else:
+                    words.append(" ".join(own).encode("utf-8", "surrogatepass"))
+                    weights.append(np.array([*own.values(), total]).tobytes())
+            cols = [*b.columns[:3], pa.array(words, pa.binary()), pa.array(weights, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     arrow_batches(docs.sparkSession)
-    # what training gathers is bounded before it moves
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text")
-    rows = rows.mapInArrow(thin, "doc_id long, toxic int, text string")
+    # what training gathers of a text is bounded before it moves
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "__h", "toxic", "text")
+    rows = rows.mapInArrow(weigh, "doc_id long, __h long, toxic int, words binary, weights binary")
+    rows = rows.dropDuplicates(["doc_id", "__h", "toxic"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text"])
-        return pd.DataFrame({"model": [train(list(pdf["text"]), list(pdf["toxic"]))]})
+        pdf = pdf.sort_values(["doc_id", "__h", "toxic"])
+        return pd.DataFrame({"model": [train_on(list(unpacked(zip(pdf["words"], pdf["weights"]))), list(pdf["toxic"]))]})
 
     found = rows.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(run, "model binary").collect()
     return bytes(found[0]["model"]) if found else b""
 
 
+def unpacked(rows: Iterable[tuple[bytes, bytes]]) -> Iterator[Vector]:
+    """Vectors of texts as they travelled: words with weights and their total, or embedding rows with weights."""
+    known = Rows()
+    for words, weights in rows:
+        if words[:1] == b"\0":
+            yield np.frombuffer(words[1:], np.int32), np.frombuffer(weights, np.float32)
+        else:
+            own = np.frombuffer(weights)
+            yield vector(dict(zip(words.decode("utf-8", "surrogatepass").split(" "), own[:-1])), float(own[-1]), known)
+
+
 def score(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; the model (512 kB) is broadcast."""
     spark = docs.sparkSession

@@ -390,16 +390,32 @@ def test_empty_tables(empty):
 
 
 def test_toxicity_learns_from_whole_texts(spark):
-    """Long texts are thinned from beginning to end, not cut."""
-    words = [str(k) for k in range(10)]
-    assert toxicity.spread(words, 10) == words and toxicity.spread([], 3) == []
-    assert toxicity.spread(words, 4) == ["0", "2", "5", "7"]
-    long = toxicity.MAX_WORDS + 500
+    """What tells texts apart stands at the end of long ones; repeated rows are learned once."""
+    long = 4500
     rows = [(k, " ".join(["plain"] * long + (["vile"] * 2000 if k % 2 else ["kind"] * 2000))) for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     marks = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
-    found = toxicity.score(docs, toxicity.fit(docs, marks)).collect()
-    assert all(r["predicted"] == r["doc_id"] % 2 for r in found)
+    model = toxicity.fit(docs, marks)
+    assert model == toxicity.fit(docs.union(docs), marks.union(marks))
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in toxicity.score(docs, model).collect())
+
+
+def test_toxicity_learns_every_word(spark, monkeypatch):
+    """A text of many different words travels as its weights by embedding row: the same training."""
+    rnd = random.Random(2)
+    rows = [(k, " ".join(f"w{rnd.randrange(9**4)}" for _ in range(300)) + " vile" * (k % 2 * 9)) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, toxic int")
+    wanted = toxicity.fit(docs, marks)
+    monkeypatch.setattr(toxicity, "MANY", 100)
+    assert toxicity.fit(docs, marks) == wanted
+    own, total = toxicity.bag(toxicity.words_of(rows[0][1]))
+    at, weight = toxicity.vector(own, total, toxicity.Rows())
+    slow = Counter()
+    for w, c in own.items():
+        for g in toxicity.grams(w):
+            slow[g] += c * toxicity.SCALE / len(toxicity.grams(w)) / total
+    assert at.tolist() == sorted(slow) and np.allclose(weight, [slow[k] for k in sorted(slow)])
 
 
 def test_items_with_repeated_windows_are_found():
