@@ -1,24 +1,32 @@
 """Link-graph propagation: trust and distrust ranks over the host graph decide what no rule decides.
 
-Personalised PageRank runs from trusted seeds along links, and from blocked seeds against them. A
-host with more distrust than trust, by more than the threshold, is blocked. DataFrame functions only.
+Personalised PageRank runs from trusted seeds along links, and from blocked seeds against them. Each
+rank is taken as a share of its sum, so it depends on the graph and not on the number of pages; a host whose
+share of distrust is over THRESHOLD times its share of trust is blocked. DataFrame functions only.
 
-Host edges: absolute links between hosts (weighted by their count), and between a host and its parent
-domain in both directions, as both are run by the same party.
+Host edges: absolute links between hosts (weighted by their count), and between a host and its
+registrable domain in both directions, as both are run by the same party. The registrable domain is the
+last two labels, or three where the second last is one of REGISTRY under a country's domain.
 Seeds: a page that an allow rule decides adds trust to its host, one that a block rule decides adds
 distrust.
 
+Ranks are sums over walks. A host without links ends a walk; to send what it holds back to the seeds, as
+is usual, would multiply all of a rank by one number, so it changes no share. Walks of up to ROUNDS steps are
+taken, the number after which all longer ones add less than RESIDUAL of the whole.
+
 Defined cases: a null url, or one without "://", has an empty host and path, fits no rule and is
-decided like a host without evidence (allow); null html has no links; repeated pages count as often
-as they occur; an empty table gives an empty result; further columns are ignored.
+decided like a host without evidence (allow); equal shares allow; null html has no links; repeated pages
+count as often as they occur; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import materialise, table
+from attesta.llm.common import materialise, splittable_join, table
 
 #: host, path, verdict
 RULES = [
@@ -28,9 +36,15 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-ROUNDS, DAMPING, THRESHOLD = 8, 0.85, 0.0
-#: Host scores are broadcast up to this many rows (under 40 MB); beyond it, a join that splits hot hosts.
-BROADCAST_HOSTS = 200_000
+DAMPING, RESIDUAL = 0.85, 0.005
+ROUNDS = math.ceil(math.log(RESIDUAL) / math.log(DAMPING))
+#: Times its share of trust that a host's share of distrust must be over; the last digits are for rounding.
+THRESHOLD = 1.000001
+#: Rounds between two writes.
+STEPS = 3
+#: Second-level labels that registries of countries sell names under.
+REGISTRY = ["ac", "co", "com", "edu", "gov", "net", "org"]
+OWN_DOMAIN = rf"([^.]+\.(?:(?:{'|'.join(REGISTRY)})\.[a-z][a-z]|[^.]+))$"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""href\s*=\s*["']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -61,48 +75,31 @@ def host_edges(pages: DataFrame) -> DataFrame:
     ).withColumn("dst", F.translate("dst", UPPER, LOWER))
     links = links.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("links"))
     hosts = pages.select("host").distinct().union(links.select("dst")).distinct()
-    parent = F.regexp_replace("host", r"^[^.]+\.", "")
-    up = hosts.where(F.size(F.split("host", r"\.")) > 2).select(
-        F.col("host").alias("src"), parent.alias("dst"), F.lit(1.0).alias("links")
-    )
+    own = F.regexp_extract("host", OWN_DOMAIN, 1)
+    up = hosts.select(F.col("host").alias("src"), own.alias("dst"), F.lit(1.0).alias("links"))
+    up = up.where("src <> dst and dst <> ''")
     every = links.union(up).union(up.select("dst", "src", "links"))
     return every.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.sum("links").alias("links"))
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) from seeds(host, trust0, distrust0), each summing to 1 or all 0.
+    """(host, trust, distrust) from seeds(host, trust0, distrust0), for all hosts that are reached; not scaled.
 
     Both ranks walk in one pass: a row of `walk` moves trust along a link and distrust against it.
-    What a host without links holds returns to the seeds.
     """
-    walk = edges.selectExpr("src as s", "dst as d", "links as t", "0d as x").union(
-        edges.selectExpr("dst", "src", "0d", "links")
-    )
-    walk = walk.groupBy("s", "d").agg(F.sum("t").alias("t"), F.sum("x").alias("x"))
-    out = walk.groupBy(F.col("s").alias("host")).agg(F.sum("t").alias("ot"), F.sum("x").alias("ox"))
-    hosts = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
-    nodes = hosts.join(seeds, "host", "left").join(out, "host", "left").na.fill(0.0)
-    nodes, walk = materialise(nodes), materialise(walk)
-    rank = nodes.selectExpr("host", "trust0 as trust", "distrust0 as distrust")
-    for _ in range(rounds):
-        held = nodes.join(rank, "host")
-        sent = held.selectExpr(
-            "host as s",
-            "if(ot > 0, trust / ot, 0d) as trust",
-            "if(ox > 0, distrust / ox, 0d) as distrust",
-        )
-        got = walk.join(sent, "s").groupBy(F.col("d").alias("host")).agg(
-            F.sum(F.col("trust") * F.col("t")).alias("gt"), F.sum(F.col("distrust") * F.col("x")).alias("gx")
-        )
-        lost = held.agg(
-            F.sum(F.expr("if(ot > 0, 0d, trust)")).alias("lt"), F.sum(F.expr("if(ox > 0, 0d, distrust)")).alias("lx")
-        ).na.fill(0.0)
-        rank = nodes.join(got, "host", "left").na.fill(0.0).crossJoin(F.broadcast(lost)).selectExpr(
-            "host",
-            f"{1 - damping}d * trust0 + {damping}d * (gt + lt * trust0) as trust",
-            f"{1 - damping}d * distrust0 + {damping}d * (gx + lx * distrust0) as distrust",
-        )
-        rank = materialise(rank)
+    out = edges.groupBy("src").agg(F.sum("links").alias("o"))
+    into = edges.groupBy("dst").agg(F.sum("links").alias("i"))
+    walk = splittable_join(edges, out, ["src"]).selectExpr("src as s", "dst as d", f"{damping}d * links / o as t", "0d as x")
+    back = splittable_join(edges, into, ["dst"]).selectExpr("dst as s", "src as d", "0d as t", f"{damping}d * links / i as x")
+    walk = materialise(walk.union(back).groupBy("s", "d").agg(F.sum("t").alias("t"), F.sum("x").alias("x")))
+    start = seeds.selectExpr("host", "trust0 as trust", "distrust0 as distrust")
+    rank = start
+    for k in range(1, rounds + 1):
+        sent = splittable_join(walk, rank.withColumnRenamed("host", "s"), ["s"])
+        sent = sent.selectExpr("d as host", "t * trust as trust", "x * distrust as distrust")
+        rank = start.union(sent).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        if k % STEPS == 0 or k == rounds:
+            rank = materialise(rank)
     return rank
 
 
@@ -111,19 +108,17 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, threshold: float
     own = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
     own = own.withColumn("found", matched_rule(F.col("host"), F.col("path"), rules))
     seeds = own.where("host <> ''").groupBy("host").agg(
-        F.count_if(F.col("found.verdict") == "allow").cast("double").alias("a"),
-        F.count_if(F.col("found.verdict") == "block").cast("double").alias("b"),
+        F.count_if(F.col("found.verdict") == "allow").cast("double").alias("trust0"),
+        F.count_if(F.col("found.verdict") == "block").cast("double").alias("distrust0"),
     )
-    seeds = materialise(seeds)
-    total = seeds.agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
-    seeds = seeds.crossJoin(F.broadcast(total)).selectExpr(
-        "host", "if(sa > 0, a / sa, 0d) as trust0", "if(sb > 0, b / sb, 0d) as distrust0"
+    rank = propagate(materialise(seeds.where("trust0 + distrust0 > 0")), materialise(host_edges(own)), rounds)
+    # one row of two sums
+    total = rank.agg(F.sum("trust").alias("all_t"), F.sum("distrust").alias("all_x"))
+    shares = rank.crossJoin(F.broadcast(total)).selectExpr(
+        "host", "if(all_t > 0, trust / all_t, 0d) as trust", "if(all_x > 0, distrust / all_x, 0d) as distrust"
     )
-    rank = propagate(seeds, materialise(host_edges(own)), rounds)
-    rank = rank.select("host", (F.round("distrust", 9) - F.round("trust", 9) > threshold).alias("bad"))
-    if rank.count() <= BROADCAST_HOSTS:
-        rank = F.broadcast(rank)
-    judged = own.drop("html").join(rank, "host", "left")
+    bad = shares.where(f"distrust > {threshold}d * trust").select("host", F.lit(True).alias("bad"))
+    judged = splittable_join(own.drop("html"), materialise(bad), ["host"], "left")
     verdict = F.coalesce("found.verdict", F.when(F.col("bad"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"))
 
@@ -149,35 +144,25 @@ cut as (select page_id, html, rest, regexp_extract(rest, '^[^/?#]*', 0) as h0 fr
 own0 as (select page_id, html, {low % "h0"} as host,
   regexp_extract(substr(rest, length(h0) + 1), '^[^?#]*', 0) as path from cut),
 own as (select *, {case(lambda h, p, v: h + p)} as rule, {case(lambda h, p, v: v)} as rv from own0),
-cnt as (select host, count(*) filter (rv = 'allow')::double a, count(*) filter (rv = 'block')::double b
-  from own where host <> '' group by host),
-seeds as (select host, case when sum(a) over () > 0 then a / sum(a) over () else 0 end t0,
-  case when sum(b) over () > 0 then b / sum(b) over () else 0 end x0 from cnt),
+seeds as (select host, count(*) filter (rv = 'allow')::double t, count(*) filter (rv = 'block')::double x
+  from own where host <> '' group by host having count(rv) > 0),
 links as (select host as src, {low % f"unnest(regexp_extract_all(html, '{link}', 1))"} as dst from own),
 names as (select host from own union select dst from links),
-ups as (select host as src, regexp_replace(host, '^[^.]+\\.', '') as dst from names
-  where len(string_split(host, '.')) > 2),
-edges as (select src, dst, count(*)::double as n from
-  (select * from links union all select * from ups union all select dst, src from ups)
-  where src <> dst and src <> '' and dst <> '' group by all),
-hosts as (select host from seeds union select src from edges union select dst from edges),
-nodes as (select host, coalesce(t0, 0) t0, coalesce(x0, 0) x0, coalesce(ot, 0) ot, coalesce(ox, 0) ox
-  from hosts left join seeds using (host)
-  left join (select src as host, sum(n) ot from edges group by 1) using (host)
-  left join (select dst as host, sum(n) ox from edges group by 1) using (host)),
-r0 as (select *, t0 as t, x0 as x from nodes)"""
+ups as (select host as src, regexp_extract(host, '{OWN_DOMAIN}', 1) as dst from names),
+every as (select * from links union all select * from ups where src <> dst and dst <> ''
+  union all select dst, src from ups where src <> dst and dst <> ''),
+edges as (select src, dst, count(*)::double as n from every where src <> dst and src <> '' and dst <> '' group by all),
+walk as materialized (select src, dst, n / sum(n) over (partition by src) as t, n / sum(n) over (partition by dst) as x from edges),
+r0 as (select * from seeds)"""
     for k in range(rounds):
         sql += f""",
-r{k + 1} as (select nodes.*,
-  {1 - damping} * t0 + {damping} * (coalesce(gt, 0) + (select coalesce(sum(t) filter (ot = 0), 0) from r{k}) * t0) t,
-  {1 - damping} * x0 + {damping} * (coalesce(gx, 0) + (select coalesce(sum(x) filter (ox = 0), 0) from r{k}) * x0) x
-  from nodes
-  left join (select dst as host, sum(t / ot * n) gt from edges join r{k} on host = src group by 1) using (host)
-  left join (select src as host, sum(x / ox * n) gx from edges join r{k} on host = dst group by 1) using (host))"""
+r{k + 1} as materialized (select host, sum(t) as t, sum(x) as x from (select * from seeds
+  union all select dst, {damping} * walk.t * r{k}.t, 0 from walk join r{k} on host = src
+  union all select src, 0, {damping} * walk.x * r{k}.x from walk join r{k} on host = dst) group by host)"""
     return sql + f"""
-select page_id, own.host, path, rule,
-  coalesce(rv, case when round(x, 9) - round(t, 9) > {threshold} then 'block' else 'allow' end) as verdict
-from own left join r{rounds} using (host)"""
+select page_id, own.host, path, rule, coalesce(rv, case when shares.x > {threshold} * shares.t then 'block' else 'allow' end) as verdict
+from own left join (select host, coalesce(t / nullif(sum(t) over (), 0), 0) as t, coalesce(x / nullif(sum(x) over (), 0), 0) as x
+  from r{rounds}) shares using (host)"""
 
 
 ORACLE = _oracle()
