@@ -6,7 +6,8 @@ functions only.
 
 Defined cases: a null text has no bytes (size 8, the checksum of the empty text); null metadata goes
 to cell 0; equal and repeated rows are ordered arbitrarily among themselves but each gets a slot of
-its own; an empty table gives an empty result; further columns are ignored.
+its own, and however many there are they spread over tasks; an empty table gives an empty result; further
+columns are ignored by shard() and kept by write_shards().
 """
 
 from __future__ import annotations
@@ -78,8 +79,8 @@ def size_cell(size: Column) -> Column:
     return F.least(F.lit(255), F.floor(F.log2(size + 1) * 8).cast("int"))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Rows in curve order, dealt in runs whose counts differ by one at most."""
+def shard(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows in curve order, dealt in runs whose counts differ by one at most; with the columns in `keep`."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(
         "doc_id",
@@ -87,10 +88,13 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         cell(F.col("source")).alias("source_cell"),
         cell(F.col("lang")).alias("lang_cell"),
+        F.monotonically_increasing_id().alias("__n"),
+        *keep,
     ).withColumn("size_cell", size_cell(F.col("size")))
     curve = hilbert([F.col("source_cell"), F.col("lang_cell"), F.col("size_cell")])
     base = materialise(base.withColumn("curve", curve))
-    keys = ["curve", "text_crc32", "doc_id"]
+    # the number, written once, tells repeated rows apart, so ranges can cut between them
+    keys = ["curve", "text_crc32", "doc_id", "__n"]
     ranged = base.repartitionByRange(*keys).sortWithinPartitions(*keys)
     # the ids number the rows of a sorted partition; written once, they hold for all that follows
     ranged = materialise(ranged.withColumn("__id", F.monotonically_increasing_id()))
@@ -111,24 +115,34 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         "shard",
         F.expr(f"__rank - (shard * __all + {shards - 1}) div {shards}").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
-        "source_cell", "lang_cell", "size_cell", "curve",
+        "source_cell", "lang_cell", "size_cell", "curve", *keep,
     )
 
 
+CELLS = ("source_cell", "lang_cell", "size_cell")
+
+
 def shard_ranges(sharded: DataFrame) -> DataFrame:
     """Per shard the box of cells it covers: what a reader prunes on."""
-    dims = ("source_cell", "lang_cell", "size_cell")
     return sharded.groupBy("shard").agg(
         F.count(F.lit(1)).alias("rows"),
-        *[f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)],
+        *[f(d).alias(f"{f.__name__}_{d}") for d in CELLS for f in (F.min, F.max)],
     )
 
 
-def write_shards(docs: DataFrame, sharded: DataFrame, path: str) -> None:
-    """One folder a shard, rows in curve order, for readers that prune by file statistics."""
-    extra = sharded.select("doc_id", "shard", "slot", "curve")
-    rows = docs.join(extra, "doc_id")
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, files: int = 0) -> None:
+    """docs, all rows and columns, in one folder a shard: `__shard`, `__slot` and the cells, for readers that prune.
+
+    Rows are found again by a number that is written with them, so no id need tell them apart. Tasks take runs
+    of the curve (as many as shuffle partitions, or `files`), so no task holds a whole shard and each file covers a small box.
+    """
+    spark = docs.sparkSession
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
+    placed = shard(rows, shards, ("__row",))
+    placed = placed.select("__row", *(F.col(c).alias(f"__{c}") for c in ("shard", "slot", *CELLS)))
+    parts = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = rows.join(placed, "__row").drop("__row").repartitionByRange(parts, "__shard", "__slot")
+    out.sortWithinPartitions("__shard", "__slot").write.partitionBy("__shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
