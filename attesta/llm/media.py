@@ -2,11 +2,17 @@
 
 HTML becomes an ordered sequence of text and media-reference structs. Payloads are kept once per
 digest as 8-bit grey images (PGM, 64 samples a row); a digest join resolves the references, and a
-reference keeps its position and caption whether or not its payload is found.
+reference keeps its position and caption whether or not its payload is found. Texts never move in that join.
+
+What the parser makes of HTML: a figure's caption goes to all media of the figure, before or after it,
+and stands over their alternative text; a caption that is not closed ends with the figure, or where a block begins
+once it has words. A `source` counts for the audio, video or picture around it that names none itself, and is no item
+of its own. Nothing inside script, style, noscript or template counts; the head ends where the body or its first other
+element begins, closed or not. What is open at the end of a page ends there.
 
 Defined cases: a null text is the empty text, whose payload is 64 zero bytes; equal texts share one
-payload and so all values; a reference without payload keeps its place with null payload fields; an
-empty table gives an empty result; further columns are ignored.
+payload and so all values; a reference without payload, or with another source than a digest, keeps its place with null
+payload fields; null html has no items; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +30,10 @@ from pyspark.sql import functions as F
 from attesta.llm.common import arrow_batches, released, splittable_join, table
 
 WIDTH = 64
-SEQUENCE = "array<struct<pos:int,kind:string,text:string,digest:string,caption:string>>"
-_ITEM = pa.struct([("pos", pa.int32()), *[(n, pa.string()) for n in ("kind", "text", "digest", "caption")]])
+SEQUENCE = "array<struct<pos:int,kind:string,text:string,src:string,digest:string,caption:string>>"
+_ITEM = pa.struct([("pos", pa.int32()), *[(n, pa.string()) for n in ("kind", "text", "src", "digest", "caption")]])
+#: Parts that references without a digest are dealt in.
+UNNAMED = 64
 FEATURES = (
     "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
     "media_bytes long, media_sha256 string, feature string"
@@ -38,64 +46,111 @@ _FEATURES = pa.schema(
 class _Sequence(HTMLParser):
     """Collects blocks of text and media references in document order."""
 
-    BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "td", "article", "section", "br", "figure"}
-    HIDDEN = {"script", "style", "head", "noscript", "template"}
-    MEDIA = {"img": "image", "audio": "audio", "video": "video", "source": "media"}
+    BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "article", "section", "br", "ul", "ol", "table", "body"}
+    UNSEEN = {"script", "style", "noscript", "template"}
+    #: What a head may hold; anything else ends it.
+    IN_HEAD = {"title", "meta", "link", "base", "head", *UNSEEN}
+    MEDIA = {"img": "image", "audio": "audio", "video": "video"}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
-        self.buffer: list[str] = []
+        self.words: list[str] = []
         self.caption: list[str] | None = None
-        self.hidden = 0
+        self.figures: list[tuple[int, list[str]]] = []  # first item of an open figure, and its captions
+        self.players: list[tuple[str, dict | None]] = []  # open audio, video or picture, and the item that it is
+        self.unseen: list[str] = []
+        self.head = False
 
     def flush(self) -> None:
-        text = " ".join("".join(self.buffer).split())
-        self.buffer = []
+        text = " ".join("".join(self.words).split())
+        self.words = []
         if text:
-            self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
+            self.items.append({"kind": "text", "text": text, "src": None, "caption": None})
+
+    def end_caption(self) -> None:
+        if self.caption is not None:
+            self.figures[-1][1].append(" ".join("".join(self.caption).split()))
+            self.caption = None
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        self.flush()
+        first, captions = self.figures.pop()
+        if text := " ".join(filter(None, captions)):
+            for item in self.items[first:]:
+                if item["kind"] != "text":
+                    item["caption"] = text
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in self.HIDDEN:
-            self.hidden += 1
-        elif tag in self.MEDIA:
-            named = dict(attrs)
+        named = dict(attrs)
+        if self.unseen or tag in self.UNSEEN:
+            if tag in self.UNSEEN:
+                self.unseen.append(tag)
+            return
+        self.head = tag == "head" or (self.head and tag in self.IN_HEAD)
+        if tag in self.MEDIA:
             self.flush()
-            digest = (named.get("src") or "").removeprefix("sha256:")
-            self.items.append(
-                {"kind": self.MEDIA[tag], "text": None, "digest": digest, "caption": named.get("alt") or None}
-            )
-        elif tag == "figcaption":
+            item = {"kind": self.MEDIA[tag], "text": None, "src": named.get("src") or None, "caption": named.get("alt") or None}
+            self.items.append(item)
+            if tag != "img":
+                self.players.append((tag, item))
+        elif tag == "picture":
+            self.players.append((tag, None))
+        elif tag == "source":
+            if self.players and (item := self.players[-1][1]) is not None and item["src"] is None:
+                item["src"] = named.get("src") or None
+        elif tag == "figure":
+            self.end_caption()
+            self.flush()
+            self.figures.append((len(self.items), []))
+        elif tag == "figcaption" and self.figures:
+            self.end_caption()
             self.flush()
             self.caption = []
         elif tag in self.BLOCKS:
+            if self.caption is not None and "".join(self.caption).strip():
+                self.end_caption()
             self.flush()
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            self.caption = None
-            for item in reversed(self.items):
-                if item["kind"] != "text":
-                    item["caption"] = text or item["caption"]
-                    break
+        if self.unseen:
+            if tag in self.unseen:
+                while self.unseen.pop() != tag:
+                    pass
+        elif tag == "head":
+            self.head = False
+        elif tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure" and self.figures:
+            self.end_figure()
+        elif tag in ("audio", "video", "picture") and any(t == tag for t, _ in self.players):
+            while self.players.pop()[0] != tag:
+                pass
         elif tag in self.BLOCKS:
             self.flush()
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            (self.buffer if self.caption is None else self.caption).append(data)
+        if not self.unseen and not self.head:
+            (self.words if self.caption is None else self.caption).append(data)
+
+    def finish(self) -> list[dict]:
+        self.close()
+        while self.figures:
+            self.end_figure()
+        self.flush()
+        return self.items
 
 
 def parse_sequence(html: str | None) -> list[dict]:
     """Ordered items of one page; null html has none."""
     parser = _Sequence()
     parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return [{"pos": k, **item} for k, item in enumerate(parser.items)]
+    out = []
+    for k, item in enumerate(parser.finish()):
+        kind, _, digest = (item["src"] or "").partition(":")
+        out.append({"pos": k, **item, "digest": digest if kind == "sha256" else None})
+    return out
 
 
 def sequences(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -113,9 +168,15 @@ def sequences(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def resolve(seqs: DataFrame, payloads: DataFrame, key: str) -> DataFrame:
-    """One row per item; media references get the columns of payloads(digest, ...)."""
-    items = seqs.select(key, F.explode("sequence").alias("item")).select(key, "item.*")
-    return splittable_join(items, payloads, ["digest"], "left")
+    """One row per media reference of (key, sequence): the item, the number of items on its page, and the columns of
+    payloads(digest, ...), null where there is none. Only references move."""
+    own = F.filter("sequence", lambda x: x["kind"] != "text")
+    items = seqs.select(key, F.size("sequence").alias("n_items"), F.explode(own).alias("item")).select(key, "n_items", "item.*")
+    # a reference without a digest meets nothing, but not in one place
+    unnamed = F.concat(F.lit("none "), F.pmod(F.xxhash64(key, "pos"), F.lit(UNNAMED)))
+    items = items.withColumn("__digest", F.coalesce("digest", unnamed)).drop("text")
+    named = payloads.withColumnRenamed("digest", "__digest")
+    return splittable_join(items, named, ["__digest"], "left").drop("__digest")
 
 
 def payload(raw: bytes, width: int = WIDTH) -> bytes:
@@ -170,13 +231,17 @@ def describe(texts: DataFrame) -> DataFrame:
 
 
 def text_pages(docs: DataFrame) -> DataFrame:
-    """Each document as a page that names its payload by digest: (doc_id, html)."""
+    """Each document as a page: (doc_id, html). Its first line stands before a figure that names its payload by
+    digest, the others after it as paragraphs."""
     text = F.coalesce("text", F.lit(""))
     digest = F.sha2(text.cast("binary"), 256)
     caption = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    plain = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    first = F.substring_index(plain, "\n", 1)
+    rest = F.replace(F.substring(plain, F.length(first) + 2, F.length(plain)), F.lit("\n"), F.lit("</p><p>"))
     html = F.concat(
-        F.lit("<article><figure><img src='sha256:"), digest, F.lit("'><figcaption>"), caption,
-        F.lit("</figcaption></figure></article>"),
+        F.lit("<article><p>"), first, F.lit("</p><figure><img src='sha256:"), digest, F.lit("'><figcaption>"), caption,
+        F.lit("</figcaption></figure><p>"), rest, F.lit("</p></article>"),
     )
     return docs.select("doc_id", html.alias("html"))
 
@@ -187,5 +252,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = resolve(sequences(text_pages(docs), "doc_id", "html"), payloads, "doc_id")
     return items.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
-        "feature", "caption", "pos",
+        "feature", "caption", "pos", "n_items",
     )

@@ -252,6 +252,12 @@ def test_tokens(edge, edge_rows):
     assert [x.tolist() if k == 0 else x for k, x in enumerate(tokens.attribute(np.array([2, 9, 10]), np.array([3, 6, 10])))] == [[1, 1, 1], 1]
 
 
+def brute_feature(p):
+    mean = sum(p) / len(p)
+    dev = (sum((x - mean) ** 2 for x in p) / len(p)) ** 0.5
+    return len(p) // 64, mean, dev, [sum(x // 16 == k for x in p) for k in range(16)]
+
+
 def test_media(spark, edge, edge_rows, tmp_path):
     edge.write.parquet(f"{tmp_path}/documents.parquet")
     found = {(r["doc_id"], r["payload_sha256"]): r for r in media.query(spark, str(tmp_path)).collect()}
@@ -264,18 +270,75 @@ def test_media(spark, edge, edge_rows, tmp_path):
         assert (got["n_bytes"], got["payload_bytes"], got["tail_crc32"]) == (len(b), len(p), zlib.crc32(p[-64:]))
         form = b"P5\n64 %d\n255\n" % (len(p) // 64) + p
         assert (got["media_bytes"], got["media_sha256"]) == (len(form), hashlib.sha256(form).hexdigest())
-        assert got["caption"] == f"document {'null' if r[0] is None else r[0]}" and got["pos"] == 0
+        lines = [bool(x.split()) for x in (r[1] or "").split("\n")]
+        assert got["caption"] == f"document {'null' if r[0] is None else r[0]}"
+        assert (got["pos"], got["n_items"]) == (int(lines[0]), sum(lines) + 1)
+        size, mean, dev, steps = got["feature"].split(":")
+        height, *wanted, bins = brute_feature(p)
+        assert size == f"64x{height}" and steps == ",".join(map(str, bins))
+        assert np.allclose([float(mean), float(dev)], wanted, atol=1e-5)
 
 
 def test_sequences_keep_order_and_captions(spark):
-    html = "<head>x</head><p>One &amp; two</p><img src='sha256:aa' alt='alt'><figure><img src=sha256:bb><figcaption>cap</figcaption></figure>three<script>no</script>"
-    pages = spark.createDataFrame([(1, html), (2, None), (3, "<img src='sha256:zz'>")], "k int, html string")
-    payloads = spark.createDataFrame([("aa", 1), ("bb", 2)], "digest string, size int")
-    found = media.resolve(media.sequences(pages, "k", "html"), payloads, "k").orderBy("k", "pos").collect()
-    assert [(r["k"], r["pos"], r["kind"], r["text"], r["caption"], r["size"]) for r in found] == [
-        (1, 0, "text", "One & two", None, None), (1, 1, "image", None, "alt", 1), (1, 2, "image", None, "cap", 2),
-        (1, 3, "text", "three", None, None), (3, 0, "image", None, None, None),
+    html = (
+        "<head><title>no</title><body>one <b>two</b><figure><img src='sha256:a' alt='x'><figcaption>first <i>cap</i></figcaption></figure>"
+        "<p>three</p><figure><figcaption>before</figcaption><img src=sha256:b></figure><img src='http://h/i.png' alt='alone'>four &amp; five"
+        "<noscript><img src=sha256:z>no</noscript><template><p>no</template><video><source src=sha256:c><source src=sha256:d></video>"
+        "<picture><source src=sha256:z><img src=sha256:a></picture><figure><audio src='sha256:e'></audio><figcaption>open<p>six</figure>seven"
+        "<figure><figure><img src=sha256:f><figcaption>inner</figcaption></figure><img src=sha256:g><figcaption>till the end"
+    )
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "<figcaption>no figure</figcaption><p>"), (3, "<script>x")], "page_id long, html string")
+    found = {r["page_id"]: r["sequence"] for r in media.sequences(pages.limit(3), "page_id", "html").collect()}
+    assert [(x["kind"], x["text"] or x["src"], x["caption"]) for x in found[1]] == [
+        ("text", "one two", None), ("image", "sha256:a", "first cap"), ("text", "three", None), ("image", "sha256:b", "before"),
+        ("image", "http://h/i.png", "alone"), ("text", "four & five", None), ("video", "sha256:c", None), ("image", "sha256:a", None),
+        ("audio", "sha256:e", "open"), ("text", "six", None), ("text", "seven", None), ("image", "sha256:f", "till the end"),
+        ("image", "sha256:g", "till the end"),
+    ]
+    assert found[2] == [] and [x["text"] for x in found[3]] == ["no figure"]
+    payloads = spark.createDataFrame([(k, k * 3) for k in "abz"], "digest string, value string")
+    rows = media.resolve(media.sequences(pages, "page_id", "html"), payloads, "page_id").orderBy("pos").collect()
+    assert [(r["pos"], r["value"]) for r in rows] == [
+        (1, "aaa"), (3, "bbb"), (4, None), (6, None), (7, "aaa"), (8, None), (11, None), (12, None)
     ]
+    assert {r["n_items"] for r in rows} == {13}
+
+
+def test_pages_of_the_tables_have_sequences(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    found = media.sequences(pages, "page_id", "html").collect()
+    assert len(found) == pages.count() and all(any(x["kind"] == "text" for x in r["sequence"]) for r in found)
+    assert all([x["pos"] for x in r["sequence"]] == list(range(len(r["sequence"]))) for r in found)
+
+
+def test_shards_keep_rows_and_prune(spark, edge, small, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    sharding.write_shards(edge, f"{tmp_path}/edge", 5)
+    back = spark.read.parquet(f"{tmp_path}/edge")
+    same(back.select(*edge.columns).collect(), [tuple(r) for r in edge.collect()])
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    sharding.write_shards(docs, f"{tmp_path}/out", 24, 24)
+    ranges = []
+    for file in glob.glob(f"{tmp_path}/out/*/*.parquet"):
+        meta = pq.read_metadata(file)
+        at = {meta.schema.column(k).name: k for k in range(meta.num_columns)}
+        stats = [[meta.row_group(g).column(at[f"__{c}"]).statistics for g in range(meta.num_row_groups)] for c in sharding.CELLS]
+        ranges.append([(min(s.min for s in own), max(s.max for s in own)) for own in stats])
+    shares = []
+    for k, c in enumerate(sharding.CELLS):
+        values = [r[0] for r in spark.read.parquet(f"{tmp_path}/out").select(f"__{c}").distinct().collect()]
+        shares.append(sum(a <= v <= b for v in values for a, b in (r[k] for r in ranges)) / len(values) / len(ranges))
+    # files read for one value; there are four languages only
+    assert max(shares) < 0.75 and sum(shares) / 3 < 0.5, shares
+
+
+def test_repeated_rows_spread_over_range_tasks(spark):
+    docs = spark.createDataFrame([(7, "same", "en", "hot")] * 400, "doc_id long, text string, lang string, source string")
+    rows = sharding.shard(docs, 8).collect()
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(k, i) for k in range(8) for i in range(50)]
 
 
 def test_sharding(edge, edge_rows):
