@@ -1,9 +1,9 @@
 """Benchmark decontamination by templates: numbers, names and units become typed placeholders.
 
 Benchmark items are cut into windows of WINDOW template words (shorter items: one window) and put in
-a hash table; every window of every document is looked up. Hits that follow each other in both texts
-are one occurrence; all chains stay open, so repeated windows hide none. An occurrence counts if it holds COVER of the item's windows and its slots agree:
-each value of the item stands for one value in the document and the other way round. Equal values are
+a hash table; every window of every document is looked up. Hits at most an item's length apart are one
+stretch of a text; the longest chain of hits in it that follow each other in both texts is an occurrence, as
+are shorter ones that may agree better. One counts if it holds COVER of the item's windows and its slots agree: each value of the item stands for one value in the document and the other way round. Equal values are
 a verbatim leak, others a re-parameterised question.
 
 A capital word at the start of a sentence may be a name or not, so both are tried; windows of the words
@@ -21,6 +21,8 @@ leaves every document clean; further columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain, groupby
 
@@ -36,7 +38,7 @@ WINDOW, COVER = 5, 0.8
 #: Words of one broadcast table's items (three windows a word, about 40 bytes each).
 BLOCK = 500_000
 #: Words a worker remembers before it starts anew.
-MEMORY = 200_000
+MEMORY = 500_000
 
 PLAIN, NUMBER, UNIT, CAPITAL = 0, 1, 2, 3
 #: Placeholders' hashes by kind; a capital word inside a sentence is a name.
@@ -52,51 +54,51 @@ UNITS = set(
 EDGES = "\"'.,;:!?()[]{}<>|*#&$%-_/\\…«»“”‘’¿¡"
 
 
-def kind_of(word: str) -> tuple[int, int, bool, str]:
-    """Hash of the plain word, kind, whether a sentence ends here, bare word."""
-    if word.isalpha():
-        low = word.lower()
-        kind = UNIT if low in UNITS else CAPITAL if word[0].isupper() else PLAIN
-        return xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")), kind, False, word
-    bare = word.strip(EDGES) or word
-    end = word.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":")
-    kind = (
-        NUMBER if NUMBERS.fullmatch(bare)
-        else UNIT if bare.lower() in UNITS
-        else CAPITAL if bare[0].isupper()
-        else PLAIN
-    )
-    return xxhash.xxh64_intdigest(bare.lower().encode("utf-8", "surrogatepass")), kind, end, bare
+def bare(word: str) -> str:
+    return word.strip(EDGES) or word
+
+
+def kind_of(word: str) -> tuple[str, int, bool]:
+    """The plain word in lower case, its kind, and whether a sentence ends here."""
+    own = bare(word)
+    low = own.lower()
+    kind = NUMBER if NUMBERS.fullmatch(own) else UNIT if low in UNITS else CAPITAL if own[0].isupper() else PLAIN
+    return low, kind, word.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":")
 
 
 class Words(dict):
-    """Numbers the words a worker meets, with what kind_of says of each."""
+    """Numbers the words a worker meets, with the hash and kind of each and whether it ends a sentence."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.rows: list[tuple[int, int, bool, str]] = []
-        self.arrays = (np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, bool))
+        self.hashes, self.kinds = array("Q"), array("B")
 
     def __missing__(self, word: str) -> int:
-        self.rows.append(kind_of(word))
-        self[word] = k = len(self.rows) - 1
+        if word.isalpha():  # most words; they end no sentence
+            low = word.lower()
+            kind = UNIT if low in UNITS else CAPITAL if word[0].isupper() else PLAIN
+        else:
+            low, kind, end = kind_of(word)
+            kind |= end << 2
+        self[word] = k = len(self.kinds)
+        self.hashes.append(xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")))
+        self.kinds.append(kind)
         return k
 
     def forget(self) -> None:
-        if len(self.rows) > MEMORY:
+        if len(self) > MEMORY:
             self.clear()
             Words.__init__(self)
 
     def of(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """Hashes, kinds and sentence ends of the words."""
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if new := self.rows[len(self.arrays[0]) :]:
-            more = (np.array(c, a.dtype) for c, a in zip(zip(*(r[:3] for r in new)), self.arrays))
-            self.arrays = tuple(np.concatenate(x) for x in zip(self.arrays, more))
-        return tuple(a[at] for a in self.arrays)
+        kinds = np.array(self.kinds, np.uint8)[at]
+        return np.array(self.hashes, np.uint64)[at], kinds & 3, kinds > 3
 
-    def value(self, word: str) -> str:
-        return self.rows[self[word]][3].lower()
+    @staticmethod
+    def value(word: str) -> str:
+        return bare(word).lower()
 
 
 def readings(words: list[str], memory: Words, starts: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -129,7 +131,7 @@ def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
 def chains(hits: list[tuple], least: float, far: int) -> list[list[tuple]]:
     """Chains of at least `least` hits (place, place in item, size) that follow each other in both texts, at most `far` apart.
 
-    Hits on one diagonal (place less place in item) are a chain. A hit that no hit precedes directly on
+    The longest of every stretch is among them. Hits on one diagonal (place less place in item) are a chain. A hit that no hit precedes directly on
     its diagonal continues the longest chain that any diagonal holds open, which stays open for others too.
     """
     nodes: list[tuple] = []  # hit, previous node, hits so far
@@ -150,7 +152,7 @@ def chains(hits: list[tuple], least: float, far: int) -> list[list[tuple]]:
         ends.add(len(nodes))
         last[d] = len(nodes)
         nodes.append(((p, q, size), before, 1 if before is None else nodes[before][2] + 1))
-    out = [c for c in own.values() if len(c) >= least]
+    out = [c for c in [*stretches(hits, far), *own.values()] if len(c) >= least]
     for i in sorted(ends):
         if nodes[i][2] >= least:
             chain, at = [], i
@@ -161,6 +163,26 @@ def chains(hits: list[tuple], least: float, far: int) -> list[list[tuple]]:
     return out
 
 
+def stretches(hits: list[tuple], far: int) -> Iterator[list[tuple]]:
+    """The longest chain of each stretch: hits in order of place, none over `far` from the one before."""
+    hits = sorted((p, q, size) for _, p, q, size in hits)
+    cuts = [k for k in range(1, len(hits)) if hits[k][0] - hits[k - 1][0] > far]
+    for a, b in zip([0, *cuts], [*cuts, len(hits)]):
+        # least last place in the item of chains by length; equal places in the text come last first, so one is taken
+        ends: list[int] = []
+        at: list[int] = []
+        before: dict[int, int | None] = {}
+        for k in sorted(range(a, b), key=lambda k: (hits[k][0], -hits[k][1])):
+            n = bisect_left(ends, hits[k][1])
+            before[k] = at[n - 1] if n else None
+            ends[n:], at[n:] = [hits[k][1], *ends[n + 1 :]], [k, *at[n + 1 :]]
+        one, k = [], at[-1] if at else None
+        while k is not None:
+            one.append(hits[k])
+            k = before[k]
+        yield one[::-1]
+
+
 class Index:
     """Hash table of a block of items' windows."""
 

@@ -421,6 +421,59 @@ def test_decontamination(spark):
     assert decontaminate.report(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def slow_longest(item, text, window=5):
+    """Most windows of the item that stand in a text in order, in a stretch of hits no further apart than the item is long."""
+    a, b = item.split(), text.split()
+    hits = [(p, q) for p in range(len(b) - window + 1) for q in range(len(a) - window + 1) if b[p : p + window] == a[q : q + window]]
+    best, top, edge = {}, 0, 0
+    for k, (p, q) in enumerate(hits):
+        if k and p - hits[k - 1][0] > len(a):
+            edge = k
+        best[k] = 1 + max((best[j] for j in range(edge, k) if hits[j][0] < p and hits[j][1] < q), default=0)
+        top = max(top, best[k])
+    return top
+
+
+def test_occurrences_against_all_windows():
+    """Items with repeated windows, in texts with parts left out, moved, repeated and put between: every longest chain is found."""
+    rnd = random.Random(6)
+    leaks = 0
+    for _ in range(400):
+        words = [f"w{rnd.randrange(rnd.choice([6, 40, 400]))}x" for _ in range(rnd.randint(12, 40))]
+        item = [w.replace("x", "").replace("w", "") and "q" + "abcdefghij"[int(w[1:-1]) % 10] * (1 + int(w[1:-1]) // 10) for w in words]
+        text = list(item)
+        for _ in range(rnd.randint(0, 3)):
+            k, n = rnd.randrange(len(text)), rnd.randint(1, 8)
+            kind = rnd.randrange(4)
+            if kind == 0:
+                text[k : k + 1] = ["zz"]
+            elif kind == 1:
+                text[k:k] = item[k : k + n] + ["yy"]
+            elif kind == 2:
+                text[k:k] = ["vv"] * n
+            else:
+                text = text[k:] + ["uu"] * rnd.randint(0, 60) + text[:k]
+        wanted = slow_longest(" ".join(item), " ".join(text)) >= 0.8 * (len(item) - 4)
+        found = decontaminate.Index([(1, " ".join(item))]).occurrences([" ".join(text)], decontaminate.Words())[0]
+        assert bool(found) == wanted, (item, text)
+        leaks += wanted
+    assert 80 < leaks < 360
+    half = [f"h{'abcdefghij'[k % 10] * (k // 10 + 1)}" for k in range(60)]
+    parts = [w for k in range(6) for w in [*half[k * 9 : k * 9 + 6], "between"]]
+    split = " ".join(half[:30] + parts + half[30:])
+    assert decontaminate.Index([(1, " ".join(half))]).occurrences([split], decontaminate.Words())[0]
+
+
+def test_decontamination_of_awkward_rows(edge, empty):
+    """Repeated rows, long texts, null ids and clashing columns: each row is judged, and kept columns stay."""
+    bench = edge.select(edge["doc_id"].alias("item_id"), "text").where("doc_id = 4")
+    rows = decontaminate.report(edge.union(edge), bench).collect()
+    assert len(rows) == 2 * edge.count() and {r["doc_id"] for r in rows if r["contaminated"]} >= {4, 5, 6, 13}
+    kept = decontaminate.keep_clean(edge, bench)
+    assert kept.columns == edge.columns and decontaminate.keep_clean(empty, bench).count() == 0
+    assert {r["doc_id"] for r in kept.collect()} >= {None, 1, 2, 7, 9}
+
+
 def test_inconsistent_slots_are_no_leak(spark):
     item = "Take 7 from the first box then put 7 into the second box and count 7 more of the others there"
     same_ = item.replace("7", "9")
