@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,35 +84,30 @@ def suffix(c: Column) -> Column:
     return F.lower(F.regexp_extract(c, r"(\.[^./\\]+)$", 1))
 
 
-def age_days(spec: str) -> int:
-    """Days in `<n>[d|w|h]`; a bare number is days, hours are cut down to days."""
-    unit = spec[-1] if spec[-1:].isalpha() else "d"
-    n = int(spec[:-1] if spec[-1:].isalpha() else spec)
-    if unit not in "dwh" or n < 0:
-        raise ValueError(f"not an age: {spec}")
-    return n * {"d": 1, "w": 7}[unit] if unit != "h" else n // 24
+#: Hours in the units of an age.
+HOURS = {"h": 1, "d": 24, "": 24, "w": 168}
+
+
+def before(as_of: str, age: str) -> str:
+    """The stamp that lies `<number>[h|d|w]` (a bare number: days, fractions too) before a day or stamp."""
+    found = re.fullmatch(r"\s*(\d+(?:\.\d*)?|\.\d+)([hdw]?)\s*", age.lower())
+    if not found:
+        raise ValueError(f"not an age: {age}")
+    at = datetime.fromisoformat(as_of.removesuffix("Z")) - timedelta(hours=float(found[1]) * HOURS[found[2]])
+    return at.strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def logical_units(c: Column) -> Column:
     """Array of logical lines: wrapped lines are joined by a space; a blank line ends one, and a list
     item, heading, table row, quotation or fence begins one."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-
-    def step(acc: Column, line: Column) -> Column:
-        closed = F.when(acc["now"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["now"]))
+    def piece(line: Column) -> Column:
         one = strip(line)
-        return (
-            F.when(one == "", F.struct(closed.alias("done"), F.lit("").alias("now")))
-            .when(line.rlike(OPENER), F.struct(closed.alias("done"), one.alias("now")))
-            .otherwise(
-                F.struct(acc["done"].alias("done"), F.when(acc["now"] == "", one).otherwise(F.concat(acc["now"], F.lit(" "), one)).alias("now"))
-            )
-        )
+        opened = F.concat(F.lit("\n"), one)
+        return F.when(one == "", "\n").when(line.rlike(OPENER), opened).otherwise(F.concat(F.lit(" "), one))
 
-    return F.aggregate(
-        F.split(newlines(c), "\n"), start, step,
-        lambda acc: F.when(acc["now"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["now"])),
-    )
+    # a line end now only stands where a unit ends, so one split finds them
+    joined = F.array_join(F.transform(F.split(newlines(c), "\n"), piece), "")
+    return F.filter(F.transform(F.split(joined, "\n"), lambda u: F.ltrim(u)), lambda u: u != "")
 
 
 def chunks(c: Column) -> Column:
@@ -128,6 +126,10 @@ def overlapping(c: Column, needle: str, cap: int = 20) -> Column:
     """1-based positions of a literal, overlapping ones too, the first `cap`."""
     if not needle:
         return F.array().cast("array<int>")
-    n = len(needle)
-    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda p: F.substring(c, p, F.lit(n)) == needle)
-    return F.slice(F.when(F.contains(c, F.lit(needle)), hits).otherwise(F.array().cast("array<int>")), 1, cap)
+    last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))
+    # each step looks on from the last hit; 0 says that there is none
+    step = lambda acc, _: F.when((F.size(acc) > 0) & (last(acc) == 0), acc).otherwise(
+        F.array_append(acc, F.call_function("locate", F.lit(needle), c, last(acc) + 1))
+    )
+    hits = F.aggregate(F.sequence(F.lit(1), F.lit(cap)), F.array().cast("array<int>"), step)
+    return F.filter(hits, lambda p: p > 0)

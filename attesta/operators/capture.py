@@ -173,8 +173,10 @@ def supersede(derived: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def weakest(derivation: Column) -> Column:
-    """Aggregate: the least deterministic way among documents; none is extracted."""
-    rank = F.coalesce(*[F.when(derivation == d, F.lit(k)) for d, k in DERIVATION_RANK.items()], F.lit(0))
+    """Aggregate: the least deterministic way among documents; none is extracted, an unknown one is an error."""
+    known = F.coalesce(*[F.when(derivation == d, F.lit(k)) for d, k in DERIVATION_RANK.items()])
+    refused = F.raise_error(F.concat(F.lit("unknown derivation: "), derivation)).cast("int")
+    rank = F.when(known.isNotNull() | derivation.isNull(), F.coalesce(known, F.lit(0))).otherwise(refused)
     names = F.array(*[F.lit(d) for d in DERIVATION_RANK])
     return F.element_at(names, F.coalesce(F.max(rank), F.lit(0)) + 1)
 

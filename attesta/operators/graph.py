@@ -119,8 +119,3 @@ def frontier_open(adjacent: DataFrame, nodes: DataFrame) -> DataFrame:
     out = adjacent.join(nodes.select(F.col("id").alias("from_id")), "from_id")
     out = out.join(nodes.select(F.col("id").alias("to_id")), "to_id", "left_anti")
     return out.groupBy(F.col("from_id").alias("id")).agg(F.countDistinct("to_id").alias("more"))
-
-
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__n = 1").drop("__n")

@@ -125,8 +125,8 @@ def captures_since(log: DataFrame) -> DataFrame:
 def last_verdict(log: DataFrame) -> DataFrame:
     """(id, verdict, checked) of each document's last drift check, in file order."""
     own = log.where("op = 'drift-check'").groupBy(F.col("target").alias("id"))
-    return own.agg(F.max_by(F.struct("verdict", F.substring("stamp", 1, 10).alias("day")), "seq").alias("x")).select(
-        "id", F.col("x.verdict").alias("verdict"), F.col("x.day").alias("checked")
+    return own.agg(F.max_by(F.struct("verdict", "stamp"), "seq").alias("x")).select(
+        "id", F.col("x.verdict").alias("verdict"), F.col("x.stamp").alias("checked")
     )
 
 
@@ -152,15 +152,14 @@ def eligible(r: Relations) -> DataFrame:
 
 
 def drift_worklist(r: Relations, as_of: str, project: str | None = None, older_than: str | None = None) -> DataFrame:
-    """Sources to check again, longest untouched first; contact is capture or last check."""
-    rows = eligible(r).select("id", "system", F.substring("captured_at", 1, 10).alias("captured"))
+    """Sources to check again, longest untouched first; contact is the stamp of capture or of the last check."""
+    rows = eligible(r).select("id", "system", F.coalesce("captured_at", F.lit("")).alias("captured"))
     if project is not None:
         rows = rows.join(in_scope(r, project), "id", "left_semi")
     rows = rows.join(last_verdict(r.log), "id", "left")
     rows = rows.withColumn("last_contact", F.greatest("captured", F.coalesce("checked", F.lit(""))))
     if older_than is not None:
-        cutoff = F.date_sub(F.lit(as_of).cast("date"), T.age_days(older_than)).cast("string")
-        rows = rows.where(F.col("last_contact") < cutoff)
+        rows = rows.where(F.col("last_contact") < T.before(as_of, older_than))
     return rows.select("id", "system", "verdict", "last_contact").orderBy("last_contact", "id")
 
 

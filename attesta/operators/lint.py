@@ -99,17 +99,27 @@ def l8(docs: DataFrame, index: DataFrame) -> DataFrame:
     return found(docs.join(labels, "id", "left_anti"), "L8", "error", "id", F.lit("not in the index"))
 
 
+def flagged(df: DataFrame, rule: str, checks: list[tuple[str, Column, str | Column]]) -> DataFrame:
+    """Findings of several checks (severity, condition, detail) in one pass over df."""
+    one = lambda severity, detail: F.struct(F.lit(severity).alias("severity"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail"))
+    hits = F.filter(F.array(*[F.when(holds, one(severity, detail)) for severity, holds, detail in checks]), lambda x: x.isNotNull())
+    rows = df.select("id", F.explode(hits).alias("x"))
+    return rows.select(F.lit(rule).alias("rule"), F.col("x.severity").alias("severity"), "id", F.col("x.detail").alias("detail"))
+
+
 def l9(r: Relations) -> DataFrame:
-    s = r.sources
-    reference = (F.col("capture") == "reference") & (F.coalesce(F.col("capture_reason"), F.lit("")) == "")
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
     required = ["captured_at", "content_hash", "version", "capture"]
     return union([
-        found(s.where(reference), "L9", "error", "id", F.lit("capture_reason")),
-        found(s.where(~F.col("capture").isin(CAPTURES)), "L9", "error", "id", "capture"),
-        *[found(s.where(F.col(c).isNull() | (F.col(c).cast("string") == "")), "L9", "error", "id", F.lit(c)) for c in required],
-        found(s.where(F.col("canonical").isNull()), "L9", "error", "id", F.lit("canonical")),
-        *[found(r.derived.where(F.coalesce(F.col(c), F.lit("")) == ""), "L9", "error", "id", F.lit(c)) for c in ("title", "abstract")],
-        found(r.derived.where(~F.col("type").isin(DERIVED_TYPES)), "L9", "warn", "id", "type"),
+        flagged(r.sources, "L9", [
+            ("error", (F.col("capture") == "reference") & empty("capture_reason"), "capture_reason"),
+            ("error", ~F.col("capture").isin(CAPTURES), F.col("capture")),
+            *[("error", empty(c), c) for c in required],
+            ("error", F.col("canonical").isNull(), "canonical"),
+        ]),
+        flagged(r.derived, "L9", [
+            *[("error", empty(c), c) for c in ("title", "abstract")], ("warn", ~F.col("type").isin(DERIVED_TYPES), F.col("type")),
+        ]),
     ])
 
 

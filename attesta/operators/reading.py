@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from attesta.functions import text as T
 
 #: Default page, budget and hits; quotations shorter than this aren't checked.
 PAGE, BUDGET, HITS, AROUND, QUOTE = 20_000, 100_000, 20, 150, 15
+#: Fixed values of the format: what a quotation and a citation look like.
 SPAN = r'["“]([^"“”]+)["”]'
 CITED = r"\[(src-[A-Za-z0-9][A-Za-z0-9-]*)\]"
 
@@ -88,8 +91,18 @@ def mentions(queries: DataFrame, docs: DataFrame, words: int = 4) -> DataFrame:
     """(query_id, id): texts of queries(query_id, text) that occur word for word in docs(id, text).
 
     Instead of comparing all pairs: the first `words` words of a query are joined by hash to the word
-    windows of all documents, and only pairs that meet are compared in whole.
+    windows of all documents, and only pairs that meet are compared in whole. Shorter queries are joined by
+    windows of their own size, which are looked up only if there are such queries; one without words is nowhere.
     """
+    size = F.size(F.filter(F.split(T.quotes(F.col("text")), " "), lambda w: w != ""))
+    sized = queries.select("query_id", "text", F.least(size, F.lit(words)).alias("__n"))
+    sizes = sorted(r[0] for r in sized.select("__n").distinct().collect() if r[0] > 0)  # at most `words` numbers
+    parts = [_mentions(sized.where(F.col("__n") == n), docs, n) for n in sizes]
+    return reduce(DataFrame.unionByName, parts or [_mentions(sized.where("false"), docs, words)])
+
+
+def _mentions(queries: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The same for queries of at least `words` words."""
     split = lambda c: F.filter(F.split(T.quotes(c), " "), lambda w: w != "")
     q = queries.select("query_id", T.quotes(F.col("text")).alias("needle"), split(F.col("text")).alias("w")).where(F.size("w") >= words)
     q = q.select("query_id", "needle", F.xxhash64(*[F.col("w")[k] for k in range(words)]).alias("key"))

@@ -31,7 +31,9 @@ def catalog(r: Relations) -> DataFrame:
 
 
 def in_scope(r: Relations, project: str) -> DataFrame:
-    """(id) of the members of a project and of all global views; everything citable if there are none."""
+    """(id) of the members of a project and of all global views; a project that is not there is an error."""
+    if r.projects.where(F.col("id") == project).isEmpty():
+        raise ValueError(f"no such project: {project}")
     global_ = r.projects.where("scope = 'global'").select(F.col("id").alias("project_id"))
     own = r.members.where(F.col("project_id") == project).unionByName(r.members.join(global_, "project_id", "left_semi"))
     return own.select(F.col("member_id").alias("id")).distinct()
@@ -60,21 +62,13 @@ def find(r: Relations, query: str, type_: str | None = None, include_superseded:
     return out.orderBy(F.desc("named_terms"), "rank", "id").drop("rank")
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(token, key, tf, len): an inverted index, dealt by token."""
-    tokens = docs.select(key, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)).alias("all"))
-    rows = tokens.select(key, F.size("all").alias("len"), F.explode("all").alias("token"))
-    return rows.groupBy("token", key, "len").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of documents that hold every word of the query; filters run before the index is joined."""
+    """(key, score) of documents that hold every word of the query. Other words go before rows are made of them."""
     words = sorted(set(T.terms(query)))
-    index = postings(docs, key, text).where(F.col("token").isin(words))
-    total = docs.agg(
-        F.count(F.lit(1)).alias("docs"),
-        F.avg(F.size(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("mean"),
-    )
+    own = docs.select(key, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)).alias("all"))
+    own = own.select(key, F.size("all").alias("len"), F.filter("all", lambda t: t.isin(words)).alias("hits"))
+    total = own.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
+    index = own.select(key, "len", F.explode("hits").alias("token")).groupBy("token", key, "len").agg(F.count(F.lit(1)).alias("tf"))
     df = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # at most a row a word of the query
     rows = index.join(F.broadcast(df), "token").crossJoin(F.broadcast(total))
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

@@ -222,8 +222,8 @@ over(
 over(
     "weakest_derivation",
     """select p.source_id, case max(case d.derivation when 'model-read' then 1 when 'synthesis' then 2 else 0 end) when 2 then 'synthesis' when 1 then 'model-read' else 'extracted' end as weakest
-    from provenance p join derived d on d.id = p.doc_id group by 1""",
-)(lambda r: r.provenance.join(r.derived.select(F.col("id").alias("doc_id"), "derivation"), "doc_id").groupBy("source_id").agg(C.weakest(F.col("derivation")).alias("weakest")))
+    from provenance p join derived d on d.id = p.doc_id where d.derivation <> 'ocr' group by 1""",
+)(lambda r: r.provenance.join(r.derived.where("derivation <> 'ocr'").select(F.col("id").alias("doc_id"), "derivation"), "doc_id").groupBy("source_id").agg(C.weakest(F.col("derivation")).alias("weakest")))
 
 over(
     "candidates_dedup",
@@ -355,8 +355,10 @@ over("query_facets", f"select id, kind, type, status from (select *, row_number(
 over("query_system", f"select id, kind, null as type, status from {_CATALOG} where id in (select id from sources where system = 'src1') order by id limit 500")(
     lambda r: V.facets(r, system="src1", limit=500)
 )
-over("query_cites", f"select id, kind, type, status from {_CATALOG} where id in (select doc_id from provenance where source_id = 'src-doc-5') or id in (select doc_id from provenance where source_id = 'src-doc-5') order by rank, id limit 50")(
-    lambda r: V.facets(r, cites="src-doc-5")
+#: A source that some document cites, at every scale of the tables.
+_CITED = "(select min(source_id) from provenance where source_id like 'src-doc-%')"
+over("query_cites", f"select id, kind, type, status from {_CATALOG} where id in (select doc_id from provenance where source_id = {_CITED}) order by rank, id limit 50")(
+    lambda r: V.facets(r, cites=r.provenance.where("source_id like 'src-doc-%'").agg(F.min("source_id")).first()[0])
 )
 over(
     "query_scope_after_limit",
@@ -429,6 +431,21 @@ over(
     select id, 0 as depth, null as reached_from, null as reached_by from d0 union all select id, 1, way[1], way[2] from d1""",
 )(lambda r: G.walk(G.adjacency(G.edges(r), "out", ["see_also", "grounded_by"]), ["sum-doc-1", "sum-doc-2"], 1))
 
+_NEAR = f"""d0 as (select 'view-1' as id), adj as (select source as f, relation, target as t from {_EDGES} union select target, relation, source from {_EDGES}),
+    d1 as (select t as id, min((f, relation)) as way from adj join d0 on f = d0.id where t not in (select id from d0) group by 1),
+    near as (select id, 0 as depth, null as reached_from, null as reached_by from d0 union all select id, 1, way[1], way[2] from d1)"""
+_LABELS = """(select id, ref as label from sources union all select id, title from derived union all select id, title from projects union all select id, title from decisions)"""
+over(
+    "graph_subgraph_nodes",
+    f""", {_NEAR} select near.id, depth, reached_from, reached_by, kind, type, label, coalesce(degree, 0) as degree, near.id in {_SCOPE('view-1')} as in_scope
+    from near join {ALL_DOCS} d on d.id = near.id join {_LABELS} l on l.id = near.id
+    left join (select id, count(*) as degree from (select source as id from {_EDGES} union all select target from {_EDGES}) group by 1) g on g.id = near.id""",
+)(lambda r: G.subgraph(r, ["view-1"], project="view-1")[0])
+over(
+    "graph_subgraph_edges",
+    f""", {_NEAR} select *, concat(relation, ':', source, ':', target) as id from {_EDGES} where source in (select id from near) and target in (select id from near)""",
+)(lambda r: G.subgraph(r, ["view-1"], project="view-1")[1])
+
 # --- ledgers ------------------------------------------------------------------------------------
 
 over(
@@ -439,13 +456,13 @@ over(
 over("usage_underreported", "select count(*) filter (op in ('ask', 'review', 'synthesize')) as reasoning, count(*) filter (op = 'find') as lookups, count(*) filter (op in ('ask', 'review', 'synthesize')) = 0 and count(*) filter (op = 'find') >= 5 as underreported from (select case when op = 'view' then 'find' else op end as op from usage)")(
     lambda r: L.underreported(r.usage.withColumn("op", F.when(F.col("op") == "view", "find").otherwise(F.col("op"))))
 )
-_ATTENTION = """(select s.id, length(s.text) as bytes, coalesce(strong, 0) as strong, coalesce(weak, 0) as weak, last_strong, last_touch from sources s left join
+_ATTENTION = """(select s.id, strlen(s.text) as bytes, coalesce(strong, 0) as strong, coalesce(weak, 0) as weak, last_strong, last_touch from sources s left join
   (select doc_id, count(*) filter (op in ('purchase', 'click')) as strong, count(*) filter (op not in ('purchase', 'click')) as weak,
     max(day) filter (op in ('purchase', 'click')) as last_strong, max(day) as last_touch from usage group by 1) u on u.doc_id = s.id)"""
 
 
 def attention(r: Relations) -> DataFrame:
-    return L.attention(r.usage, r.sources.select("id", F.length("text").cast("long").alias("bytes")), ["purchase", "click"])
+    return L.attention(r.usage, r.sources.select("id", F.octet_length("text").cast("long").alias("bytes")), ["purchase", "click"])
 
 
 over("attention_docs", f"select * from {_ATTENTION}")(lambda r: L.by_last_touch(attention(r)))
@@ -455,13 +472,13 @@ over(
       (select date '{AS_OF}' - min(day)::date from usage) >= days as meaningful
     from (select *, last_touch is null or last_touch < strftime(date '{AS_OF}' - days, '%Y-%m-%d') as idle from {_ATTENTION}, (values (30), (60), (90)) v(days)) group by days""",
 )(lambda r: L.dormancy(attention(r), r.usage, AS_OF).withColumn("pct", F.col("pct").cast("double")))
-over("scope_bytes", "select sum(coalesce(length(text), 0))::bigint as bytes, count(*) as n from usage u left join sources s on s.id = u.doc_id")(
-    lambda r: L.scope_bytes(r.usage.select(F.col("doc_id").alias("id")), r.sources.select("id", F.length("text").cast("long").alias("bytes")))
+over("scope_bytes", "select sum(coalesce(strlen(text), 0))::bigint as bytes, count(*) as n from usage u left join sources s on s.id = u.doc_id")(
+    lambda r: L.scope_bytes(r.usage.select(F.col("doc_id").alias("id")), r.sources.select("id", F.octet_length("text").cast("long").alias("bytes")))
 )
 over("captures_since_op", "select op, (select count(*) from log c where c.op = 'capture' and c.seq > l.last) as captures from (select op, max(seq) as last from log where op <> 'capture' group by 1) l")(
     lambda r: L.captures_since(r.log)
 )
-_VERDICTS = "(select target as id, verdict, substr(stamp, 1, 10) as checked from (select *, row_number() over (partition by target order by seq desc) as n from log where op = 'drift-check') where n = 1)"
+_VERDICTS = "(select target as id, verdict, stamp as checked from (select *, row_number() over (partition by target order by seq desc) as n from log where op = 'drift-check') where n = 1)"
 over("last_verdict", f"select * from {_VERDICTS}")(lambda r: L.last_verdict(r.log))
 over("verdict_tally", "select count(*) filter (verdict like 'same%') as same, count(*) filter (verdict = 'changed') as changed, count(*) filter (verdict = 'unreachable') as unreachable from log where op = 'drift-check'")(
     lambda r: L.verdict_tally(r.log)
@@ -470,12 +487,16 @@ over(
     "unreachable_streak",
     "select target as id, count(*) as streak from log l where op = 'drift-check' and not exists (select 1 from log m where m.op = 'drift-check' and m.target = l.target and m.seq >= l.seq and m.verdict <> 'unreachable') group by 1",
 )(lambda r: L.unreachable_streak(r.log))
-_WORK = f"""(select s.id, system, verdict, greatest(substr(captured_at, 1, 10), coalesce(checked, '')) as last_contact from sources s left join {_VERDICTS} v on v.id = s.id
+_WORK = f"""(select s.id, system, verdict, greatest(captured_at, coalesce(checked, '')) as last_contact from sources s left join {_VERDICTS} v on v.id = s.id
   where system not in ('file', 'chat', 'inbox') and (recoverable is true or upstream_ref is not null))"""
-over("drift_worklist", f"select * from {_WORK} where last_contact < '2024-01-24'")(lambda r: L.drift_worklist(r, AS_OF, older_than="1w"))
+over("drift_worklist", f"select * from {_WORK} where last_contact < '2024-01-24T00:00:00Z'")(lambda r: L.drift_worklist(r, AS_OF, older_than="1w"))
+over("drift_worklist_36h", f"select * from {_WORK} where last_contact < '2024-01-29T12:00:00Z'")(lambda r: L.drift_worklist(r, AS_OF, older_than="36h"))
+over("drift_worklist_noon", f"select * from {_WORK} where last_contact < '2024-01-29T22:48:00Z' and id in {_SCOPE('view-1')}")(
+    lambda r: L.drift_worklist(r, "2024-01-31T10:48:00Z", "view-1", "1.5d")
+)
 over(
     "drift_counts",
-    f"""select count(*) filter (s and last_contact < '2024-01-17') as in_scope, count(*) filter (not s) as outside_scope, count(*) filter (s and last_contact >= '2024-01-17') as age_filtered
+    f"""select count(*) filter (s and last_contact < '2024-01-17T00:00:00Z') as in_scope, count(*) filter (not s) as outside_scope, count(*) filter (s and last_contact >= '2024-01-17T00:00:00Z') as age_filtered
     from (select *, id in {_SCOPE('view-1')} as s from {_WORK})""",
 )(lambda r: L.worklist_counts(r, AS_OF, "view-1", "14"))
 over(

@@ -40,7 +40,42 @@ def test_strip_and_paths_and_garble(spark):
     assert one(spark, "\t\n x\u00a0\u3000", T.strip) == "x" and T.terms("A\u00a0b") == ["a", "b"]
     assert [one(spark, p, T.is_path) for p in ("/a/b", "C:\\x", "\\\\h\\s", "~/x", "../y", "/a b", "word", None)] == [True] * 5 + [False] * 3
     assert [one(spark, p, T.garbled) for p in ("caf\u00c3\u00a9", "caf\u00e9", None)] == [True, False, False]
-    assert [T.age_days(a) for a in ("3", "2w", "5d", "49h")] == [3, 14, 5, 2]
+
+
+def test_ages_in_hours():
+    stamps = [T.before("2024-01-31", a) for a in ("3", "2w", "1.5d", " 36H ", "0h")]
+    assert stamps == ["2024-01-28T00:00:00Z", "2024-01-17T00:00:00Z", "2024-01-29T12:00:00Z", "2024-01-29T12:00:00Z", "2024-01-31T00:00:00Z"]
+    assert T.before("2024-01-31T06:30:00Z", "30m".replace("m", "h")) == "2024-01-30T00:30:00Z"
+    for wrong in ("", "d", "3m", "-1d", "1 d"):
+        with pytest.raises(ValueError):
+            T.before("2024-01-31", wrong)
+
+
+def test_overlapping_hits(spark):
+    assert one(spark, "aaaa é aaa", lambda c: T.overlapping(c, "aa")) == [1, 2, 3, 8, 9]
+    assert one(spark, "aaaa", lambda c: T.overlapping(c, "aa", 2)) == [1, 2]
+    assert [one(spark, t, lambda c: T.overlapping(c, "b")) for t in ("", "aaa", "b")] == [[], [], [1]]
+
+
+def test_short_texts_are_mentioned(spark):
+    docs = spark.createDataFrame([("a", "the big cat sat on a mat"), ("b", "cats"), ("c", None)], "id string, text string")
+    queries = spark.createDataFrame([(1, "Cat".lower()), (2, "cat  sat"), (3, "big cat sat"), (4, "cat sat on a mat"), (5, ""), (6, "no")], "query_id long, text string")
+    found = sorted((r["query_id"], r["id"]) for r in R.mentions(queries, docs).collect())
+    assert found == [(1, "a"), (2, "a"), (3, "a"), (4, "a")]
+    assert R.mentions(queries.where("false"), docs).count() == 0
+
+
+def test_unknown_derivations_and_projects_are_refused(spark, small):
+    from attesta.operators import capture, retrieve
+    from attesta.sources.relations import stand_in
+
+    rows = spark.createDataFrame([(1, "synthesis"), (1, None), (2, "model-read"), (3, None)], "k int, d string")
+    weakest = lambda df: {r[0]: r[1] for r in df.groupBy("k").agg(capture.weakest(df["d"])).collect()}
+    assert weakest(rows) == {1: "synthesis", 2: "model-read", 3: "extracted"}
+    with pytest.raises(Exception, match="unknown derivation"):
+        weakest(rows.union(spark.createDataFrame([(4, "guess")], rows.schema)))
+    with pytest.raises(ValueError, match="no such project"):
+        retrieve.in_scope(stand_in(spark, small), "view-99")
 
 
 def test_logical_units(spark):
@@ -132,6 +167,12 @@ def test_ledger_files(spark, tmp_path):
 def test_html_and_registry(spark):
     raw = b"<head><title>no</title></head><p>a &amp;  b</p><script>x</script><div>c<br>d</div>"
     assert extract.html(raw) == "a & b\n\nc\nd"
+    pages = {
+        b"": "", b"plain": "plain", b"<p> a\t b </p>\n\n<p>c": "a b \n\nc", b"x<style>y<b>z</style>w": "xw", b"a<br/><br><br>b": "a\n\nb",
+        b"<template><p>no</p></template>yes</template>!": "yes!", b"a\nb &lt;c&gt;&nbsp;d": "a\nb <c>\u00a0d", b"<ul><li>1<li>2</ul>": "1\n2",
+        b"\xff<!-- no --><h1>T</h1>t": "\ufffd\nT\nt", b"<script>never closed <p>x": "",
+    }
+    assert {p: extract.html(p) for p in pages} == pages
     files = spark.createDataFrame([("x.html", bytearray(raw)), ("x.PY", bytearray(b"\xffok")), ("x.bin", bytearray(b"1"))], "path string, content binary")
     assert [r["text"] for r in extract.extracted(files).collect()] == ["a & b\n\nc\nd", "\ufffdok", None]
     cells = spark.createDataFrame([("s", "a", "1"), ("s", "a", "x"), ("s", "a", "true"), ("s", "a", "2024-01-02")], "sheet string, column string, value string")
