@@ -91,7 +91,7 @@ def remainder_col(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def hash_sample(rows: DataFrame, group: str, order: list[str], bound: int) -> DataFrame:
+def hash_sample(rows: DataFrame, group: str, order: list[str], bound: float) -> DataFrame:
     """About `bound` rows of each group (all rows of smaller groups), chosen by the hash of `order`.
 
     The rows differ in `order`. A count by group gives each group a hash threshold, so what is gathered

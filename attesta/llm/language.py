@@ -8,7 +8,7 @@ dictionary and goes to the language with the smallest total. A margin below MIN_
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; equal sizes go to the
 language first in order; with no training rows every text is `und`; repeated rows get equal results and
-are learned once; any number of languages is learned; an empty table gives an empty result; further columns are ignored.
+are learned once; of over MANY * SAMPLE languages a share is learned, by hash; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import arrow_batches, hash_sample, materialise, released, remainder, remainder_col, splittable_join, table
+from attesta.llm.common import arrow_batches, hash_sample, materialise, released, remainder, remainder_col, table
 
 SAMPLE, DICT_BYTES = 400, 110_000
 #: Bytes of the pieces that long texts are learned by.
@@ -64,9 +64,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
     rows = texts.select("doc_id", "lang", "__h").where(remainder_col(F.col("doc_id")) != 0).distinct()
     common = materialise(rows.groupBy("lang").count())
     most = max(MANY, common.count())
-    chosen = hash_sample(rows, "lang", ["doc_id", "__h"], max(1, sample * MANY // most))
-    # about MANY * SAMPLE texts at most; of copies under one id one is learned
-    texts = materialise(splittable_join(texts, chosen, ["doc_id", "lang", "__h"]).dropDuplicates(["doc_id", "lang", "__h"]))
+    chosen = materialise(hash_sample(rows, "lang", ["doc_id", "__h"], sample * MANY / most))
+    # about MANY * SAMPLE rows at most (4 MB), however many languages; of copies under one id one is learned
+    texts = texts.join(F.broadcast(chosen), ["doc_id", "lang", "__h"])
+    texts = materialise(texts.dropDuplicates(["doc_id", "lang", "__h"]))
     sizes: dict[str, list[int]] = {}
     for r in texts.select("lang", F.octet_length(F.lower("text")).alias("n")).toLocalIterator():
         sizes.setdefault(r["lang"], []).append(r["n"])
@@ -84,7 +85,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
     by: dict[str, list[bytes]] = {}
     for r in sorted(found, key=lambda r: (r["lang"], zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["part"])):
         by.setdefault(r["lang"], []).append(r["part"])
-    often = {r["lang"]: r["count"] for r in common.collect()}
+    often = {r["lang"]: r["count"] for r in common.where(F.col("lang").isin(list(by))).collect()}
     order = sorted(by, key=lambda k: (-often[k], k))
     return {k: b"\n".join(by[k]) for k in order}
 
