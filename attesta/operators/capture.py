@@ -6,11 +6,12 @@ are taken in order of `seq`; there is one writer.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import hashing as H
 from attesta.functions import text as T
+from attesta.sources.extract import extracted
 
 #: Bytes from which a capture must be allowed by name.
 LARGE = 25 << 20
@@ -231,3 +232,59 @@ def decline(candidates: DataFrame, changes: DataFrame) -> DataFrame:
     hit = F.col("__i").isNotNull() & (F.col("status") == "pending")
     rows = rows.withColumn("reason", F.when(hit, F.col("__reason")).otherwise(F.col("reason")))
     return rows.withColumn("status", F.when(hit, "declined").otherwise(F.col("status"))).select(*candidates.columns)
+
+
+def anchor(held: DataFrame, changes: DataFrame) -> DataFrame:
+    """What anchoring excerpts to their wholes gives: (id, outcome, upstream_ref, upstream_identity, anchored_at).
+
+    held(id, body, upstream_ref, upstream_identity, anchored_at); changes(id, upstream_ref, upstream, form, force, reason, at),
+    upstream being the whole's text. An excerpt must stand in its whole; force passes that with a reason. What is refused
+    or the same already keeps what it has.
+    """
+    c = changes.select("id", *[F.col(x).alias(f"__{x}") for x in ("upstream_ref", "upstream", "form", "force", "reason", "at")])
+    rows = c.join(held.withColumn("__held", F.lit(True)), "id", "left")
+    raw = F.col("__upstream").cast("binary")
+    rows = rows.withColumn("__identity", F.when(F.col("__form") == "git-blob", H.git_blob(raw)).otherwise(H.bytes_hash(F.col("__upstream"))))
+    blank = lambda x: T.strip(F.coalesce(x, F.lit(""))) == ""
+    inside = F.coalesce(T.holds_all(F.col("__upstream"), T.chunks(F.col("body"))), F.lit(False))
+    same = F.col("upstream_identity").eqNullSafe(F.col("__identity")) & F.col("upstream_ref").eqNullSafe(F.col("__upstream_ref"))
+    outcome = (
+        F.when(blank("__upstream_ref"), "no upstream_ref").when(F.col("__held").isNull(), "unknown source").when(same, "unchanged")
+        .when(inside, "anchored").when(~F.coalesce("__force", F.lit(False)), "not contained").when(blank("__reason"), "no reason").otherwise("forced")
+    )
+    rows = rows.withColumn("outcome", outcome)
+    done = F.col("outcome").isin("anchored", "forced")
+    new = {"upstream_ref": "__upstream_ref", "upstream_identity": "__identity", "anchored_at": "__at"}
+    return rows.select("id", "outcome", *[F.when(done, F.col(n)).otherwise(F.col(x)).alias(x) for x, n in new.items()])
+
+
+def amend_evidence(evidence: DataFrame, changes: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Evidence (decision_id, source_id, version) with changes(decision_id, source_id) at the versions held now, and
+    those of changes that name no source. What a decision cites already stays at its version."""
+    now = sources.select(F.col("id").alias("source_id"), F.coalesce("version", F.lit(1)).alias("version"))
+    rows = changes.select("decision_id", "source_id").join(now, "source_id", "left")
+    own = evidence.select("decision_id", "source_id", "version")
+    return fold(own, rows.where("version is not null"), ("decision_id", "source_id")), rows.where("version is null").select("decision_id", "source_id")
+
+
+def same_extract(pairs: DataFrame) -> DataFrame:
+    """(id, same) of pairs(id, path, held, fetched), files as bytes: whether an extractor reads the same text from both.
+
+    Null where it has nothing to say: text files, and files that no extractor reads."""
+    both = extracted(extracted(pairs, "held", "path", "__held"), "fetched", "path", "__fetched")
+    same = T.newlines(F.col("__held")) == T.newlines(F.col("__fetched"))
+    return both.select("id", F.when(~T.suffix(F.col("path")).isin(".md", ".txt"), same).alias("same"))
+
+
+#: Operations that write.
+WRITES = [
+    "anchor", "capture", "capture-repo", "challenge-log", "decline-candidate", "derive", "drift-log", "index", "init", "map-log",
+    "project", "promote-candidate", "queue-create", "queue-restatus", "record-decision", "reextract", "refresh", "reindex", "relink",
+    "reproject", "retier", "review-log", "stage-candidate", "stamp", "supersede", "usage-log",
+]
+
+
+def guard(spark: SparkSession, operation: str) -> None:
+    """Refuses an operation that writes while the session's attesta.read_only is true."""
+    if operation in WRITES and spark.conf.get("attesta.read_only", "false").lower() in ("1", "true", "yes"):
+        raise ValueError(f"read-only session: {operation} writes")

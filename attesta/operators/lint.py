@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import hashing as H
 from attesta.functions import text as T
+from attesta.operators.reading import strip_targets
 from attesta.sources.relations import Relations
 
 #: The enumerations documents may use, and the operations a log entry may name.
@@ -178,10 +179,11 @@ def l17(r: Relations) -> DataFrame:
 
 
 def l18(r: Relations) -> DataFrame:
-    """Summaries longer than what they sum up."""
+    """Summaries longer than what they sum up; targets of citations don't count."""
     sizes = r.sources.select(F.col("id").alias("source_id"), F.length("text").alias("n"))
     held = r.provenance.join(sizes, "source_id").groupBy("doc_id").agg(F.sum("n").alias("n"))
-    own = r.derived.where("type = 'summary'").select(F.col("id").alias("doc_id"), F.length(T.strip(F.col("body"))).alias("own"))
+    bare = strip_targets(r.derived.where("type = 'summary'").select("id", F.col("body").alias("text")), documents(r))
+    own = bare.select(F.col("id").alias("doc_id"), F.length(T.strip(F.col("text"))).alias("own"))
     long = own.join(held, "doc_id").where(f"n >= {COMPRESS_FLOOR} and own > n")
     return found(long, "L18", "warn", "doc_id", F.concat_ws("/", F.col("own"), F.col("n")))
 
@@ -263,8 +265,9 @@ def registered(r: Relations) -> DataFrame:
     return documents(r).select("id").unionByName(r.versions.select("id"))
 
 
-def findings(r: Relations) -> DataFrame:
-    return union([*(rule(r) for rule in RULES.values()), l6(registered(r))])
+def findings(r: Relations, ids: DataFrame | None = None) -> DataFrame:
+    """All findings; ids(id), once a registration, are those that may stand twice: documents(r) for a real base."""
+    return union([*(rule(r) for rule in RULES.values()), l6(registered(r) if ids is None else ids)])
 
 
 def ordered(rows: DataFrame) -> DataFrame:
@@ -272,8 +275,8 @@ def ordered(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.col("severity") != "error", "rule", "id", "detail")
 
 
-def summary(r: Relations) -> DataFrame:
-    counts = findings(r).agg(
+def summary(r: Relations, ids: DataFrame | None = None) -> DataFrame:
+    counts = findings(r, ids).agg(
         F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warn").alias("warnings")
     )
     return counts.crossJoin(documents(r).agg(F.count(F.lit(1)).alias("docs")))

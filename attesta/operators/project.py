@@ -106,3 +106,9 @@ def manifest_surfaces(lines: DataFrame) -> DataFrame:
     return own.select(cut(1).alias("label"), F.explode(F.split(cut(2), ", ")).alias("path"), cut(3).alias("hash"))
 
 
+
+
+def docs_by_repo(r: Relations) -> DataFrame:
+    """(repo, doc_id): derived documents by the repositories of the sources they rest on, each once."""
+    repos = r.sources.where("system = 'repo'").select(F.col("id").alias("source_id"), T.locator(F.col("ref")).alias("repo"))
+    return r.provenance.join(repos, "source_id").join(r.derived.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("repo", "doc_id").distinct()

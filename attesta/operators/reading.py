@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import text as T
+from attesta.sources.relations import Relations
 
 #: Default page, budget and hits; quotations shorter than this aren't checked.
 PAGE, BUDGET, HITS, AROUND, QUOTE = 20_000, 100_000, 20, 150, 15
@@ -140,3 +141,27 @@ def relink(docs: DataFrame, paths: DataFrame) -> DataFrame:
     step = lambda acc, e: F.regexp_replace(acc, F.concat(F.lit(r"\[\Q"), e["key"], F.lit(r"\E\](?!\()")), F.concat(F.lit("["), e["key"], F.lit("]("), e["value"], F.lit(")")))
     text = F.aggregate(F.map_entries("links"), F.col("text"), step)
     return rows.select("id", F.when(F.col("links").isNull(), F.col("text")).otherwise(text).alias("text"))
+
+
+def strip_targets(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, text) of docs(id, text) with `[id more](target)` as `[id more]` for ids in known(id); other links stay."""
+    link = r"\[([A-Za-z][A-Za-z0-9._-]*)[^\]]*\]\([^)\s]*\)"
+    used = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(link), F.lit(1)))).alias("target"))
+    own = used.join(known.select(F.col("id").alias("target")).distinct(), "target", "left_semi").groupBy("id").agg(F.collect_list("target").alias("targets"))
+    rows = docs.select("id", "text").join(own, "id", "left")
+    one = lambda t: F.concat(F.lit(r"\[(\Q"), t, F.lit(r"\E(?![A-Za-z0-9._-])[^\]]*)\]\([^)\s]*\)"))
+    text = F.aggregate("targets", F.col("text"), lambda acc, t: F.regexp_replace(acc, one(t), F.lit("[$1]")))
+    return rows.select("id", F.when(F.col("targets").isNull(), F.col("text")).otherwise(text).alias("text"))
+
+
+def source_status(r: Relations, id_: str | None = None) -> DataFrame:
+    """What is known of sources without reading them: tier, version, whether bytes are held, where from. An unknown id is an error."""
+    rows = r.sources
+    if id_ is not None:
+        rows = rows.where(F.col("id") == id_)
+        if rows.isEmpty():
+            raise ValueError(f"no such source: {id_}")
+    return rows.select(
+        "id", F.coalesce("capture", F.lit("full")).alias("tier"), F.coalesce("version", F.lit(1)).alias("version"),
+        F.col("canonical").isNotNull().alias("has_bytes"), "recoverable", F.col("ref").alias("origin_ref"), F.col("system").alias("origin_system"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -62,10 +64,25 @@ def find(r: Relations, query: str, type_: str | None = None, include_superseded:
     return out.orderBy(F.desc("named_terms"), "rank", "id").drop("rank")
 
 
+WORD = r"[\p{L}\p{N}]"
+
+
+def phrases(query: str) -> list[list[str]]:
+    """The words of each term of a query: a term of several words is a phrase; one without any says nothing."""
+    cut = lambda t: re.findall(r"[^\W_]+", t)
+    return [w for t in T.terms(query) if (w := cut(t))]
+
+
 def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of documents that hold every word of the query. Other words go before rows are made of them."""
-    words = sorted(set(T.terms(query)))
-    own = docs.select(key, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)).alias("all"))
+    """(key, score) of documents that hold every term of the query, phrases as such. Other words go before rows are made of them."""
+    terms = phrases(query)
+    words = sorted({w for t in terms for w in t})
+    low = F.lower(F.coalesce(text, F.lit("")))
+    docs = docs.select(key, low.alias(text))
+    for t in terms:
+        if len(t) > 1:
+            docs = docs.where(F.col(text).rlike(f"(?<!{WORD})" + r"[^\p{L}\p{N}]+".join(t) + f"(?!{WORD})"))
+    own = docs.select(key, F.regexp_extract_all(text, F.lit(f"({WORD}+)"), F.lit(1)).alias("all"))
     own = own.select(key, F.size("all").alias("len"), F.filter("all", lambda t: t.isin(words)).alias("hits"))
     total = own.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
     index = own.select(key, "len", F.explode("hits").alias("token")).groupBy("token", key, "len").agg(F.count(F.lit(1)).alias("tf"))
@@ -119,29 +136,82 @@ def search(vectors: DataFrame, query: list[float], k: int = 10, key: str = "vec_
 
 
 def union_of(literal: DataFrame, near: DataFrame) -> DataFrame:
-    """Tiers: named by the query, found both ways, other literal, near only. literal(id, matched, lit_rank), near(id, score, sem_rank)."""
-    rows = literal.join(near, "id", "full_outer")
-    tier = (
-        F.when(F.col("matched") == "name", 0)
-        .when(F.col("lit_rank").isNotNull() & F.col("sem_rank").isNotNull(), 1)
-        .when(F.col("lit_rank").isNotNull(), 2)
-        .otherwise(3)
-    )
-    via = F.when(F.col("sem_rank").isNull(), "find").when(F.col("lit_rank").isNull(), "semantic").otherwise("both")
-    rows = rows.withColumn("tier", tier).withColumn("via", via)
-    within = F.when(F.col("tier").isin(1, 3), F.col("sem_rank")).otherwise(F.col("lit_rank"))
-    return rows.select("id", "tier", "via", within.alias("tier_rank"))
-
-
-def retrieve(r: Relations, vectors: DataFrame, query: str, vector: list[float], k: int = 10) -> DataFrame:
-    """find and search as one list; k bounds what is near, literal hits are never cut."""
-    literal = find(r, query, type_="source").select("id", "matched", "named_terms")
-    # hits of one query, numbered in find's order
-    order = Window.orderBy(F.desc("named_terms"), "id")
-    literal = literal.withColumn("lit_rank", F.row_number().over(order)).drop("named_terms")
-    near = search(vectors, vector, k).withColumn("sem_rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "vec_id")))
-    near = near.select(F.concat(F.lit("src-doc-"), "vec_id").alias("id"), "score", "sem_rank")
-    return union_of(literal, near)
+    """Tiers: named by the query, found both ways, other literal, near only.
+
+    literal(id, kind, matched, named_terms), near(id, kind, sem_rank). Hits found near are in that order within their
+    tier, others in find's, which named_terms, kind and id give: literal hits need no numbers, so no single task.
+    """
+    rows = literal.join(near.withColumnRenamed("kind", "__kind"), "id", "full_outer")
+    found, close = F.col("matched").isNotNull(), F.col("sem_rank").isNotNull()
+    tier = F.when(F.col("matched") == "name", 0).when(found & close, 1).when(found, 2).otherwise(3)
+    via = F.when(~close, "find").when(~found, "semantic").otherwise("both")
+    return rows.select("id", F.coalesce("kind", "__kind").alias("kind"), tier.alias("tier"), via.alias("via"), "named_terms", "sem_rank")
+
+
+def ranked() -> list[Column]:
+    """The order of union_of's rows."""
+    kind = F.array_position(F.array(*map(F.lit, RANK)), F.col("kind"))
+    near = F.when(F.col("tier").isin(1, 3), F.col("sem_rank"))
+    return [F.col("tier"), near, F.desc("named_terms"), kind, F.col("id")]
+
+
+def retrieve(
+    r: Relations, vectors: DataFrame | None, query: str, vector: list[float] | None = None, k: int = 10,
+    type_: str | None = None, project: str | None = None, outside: int = 5,
+) -> DataFrame:
+    """find and search as one list, of all kinds; k bounds what is near, literal hits are never cut.
+
+    vectors(id, embedding); without them, or without the query's vector, find answers alone (via says so). With a project,
+    its members come first (in_scope) and then the first `outside` of the others.
+    """
+    literal = find(r, query, type_=type_).select("id", "kind", "matched", "named_terms")
+    if vectors is None or vector is None:
+        near = literal.where("false").select("id", "kind", F.lit(0).alias("sem_rank"))
+    else:
+        # k rows
+        place = F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "id"))
+        near = search(vectors, vector, k, "id").select("id", place.alias("sem_rank"))
+        near = catalog(r).select("id", "kind").join(F.broadcast(near), "id")
+    rows = union_of(literal, near)
+    if project is None:
+        return rows.orderBy(*ranked())
+    scope = in_scope(r, project)
+    inside = rows.join(scope, "id", "left_semi").withColumn("in_scope", F.lit(True))
+    others = rows.join(scope, "id", "left_anti").orderBy(*ranked()).limit(outside).withColumn("in_scope", F.lit(False))
+    return inside.unionByName(others).orderBy(F.desc("in_scope"), *ranked())
+
+
+def embed(docs: DataFrame, text: str = "text", dim: int = 64) -> DataFrame:
+    """(id, embedding) by hashed words: a stand-in for an embedding service, which reindex takes instead.
+
+    A word adds its count, with a sign, to one of dim cells; vectors have length 1, texts without words length 0."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    cells = hashed(docs.select("id", F.explode(words).alias("word")), dim).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "weight"))).alias("m"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)).cast("double"))
+    rows = docs.select("id").join(cells, "id", "left").select("id", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(every).alias("v"))
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return rows.select("id", F.transform("v", lambda x: F.when(size > 0, x / size).otherwise(0.0).cast("float")).alias("embedding"))
+
+
+def hashed(words: DataFrame, dim: int) -> DataFrame:
+    """(id, cell, weight) of words(id, word): the first hex digits of a word's MD5 choose its cell, the last its sign."""
+    digest = F.md5(F.col("word").cast("binary"))
+    cell = (F.conv(F.substring(digest, 1, 6), 16, 10).cast("int") % dim).alias("cell")
+    sign = F.when(F.substring(digest, 32, 1) < "8", 1).otherwise(-1)
+    return words.select("id", cell, sign.alias("s")).groupBy("id", "cell").agg(F.sum("s").alias("weight"))
+
+
+def reindex(current: DataFrame, stored: DataFrame, embedder: Callable[[DataFrame], DataFrame] = embed) -> DataFrame:
+    """The index (id, content_hash, embedding) of current(id, content_hash, text): only what changed is embedded."""
+    todo = index_diff(current.select("id", "content_hash"), stored.select("id", "content_hash"))
+    kept = stored.join(todo.where("action = 'fresh'").select("id"), "id", "left_semi").select("id", "content_hash", "embedding")
+    changed = current.join(todo.where("action = 'embed'").select("id"), "id", "left_semi")
+    return kept.unionByName(changed.select("id", "content_hash").join(embedder(changed.select("id", "text")), "id"))
+
+
+def degraded(r: Relations, *, words: str | None = None, type_: str | None = None, limit: int = 50, **filters: str | None) -> tuple[DataFrame, list[str]]:
+    """What find can answer of a facets call where there is no catalogue, and the filters it leaves out."""
+    return find(r, words or "", type_=type_).limit(max(1, min(500, limit))), sorted(k for k, v in filters.items() if v is not None)
 
 
 def index_diff(current: DataFrame, stored: DataFrame) -> DataFrame:

@@ -388,15 +388,29 @@ def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.search(read(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir)).select("vec_id", F.round("score", 6).alias("score"))
 
 
-_QUERIES["retrieve_union"] = lambda spark, d: V.retrieve(stand_in(spark, d), read(spark, d, "embeddings"), "en 12", _query_vector(spark, d))
-_SQL["retrieve_union"] = duckdb_ctes() + f"""
-, lit as (select id, matched, row_number() over (order by named_terms desc, id) as lr from ({_find_sql(["en", "12"], "and type = 'source'")})),
-sem as (select concat('src-doc-', vec_id) as id, row_number() over (order by s desc, vec_id) as sr
-  from (select vec_id, round(list_cosine_similarity(e.embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 9) as s from embeddings e) order by s desc, vec_id limit 10)
-select coalesce(lit.id, sem.id) as id, case when matched = 'name' then 0 when lr is not null and sr is not null then 1 when lr is not null then 2 else 3 end as tier,
-  case when sr is null then 'find' when lr is null then 'semantic' else 'both' end as via,
-  case when matched = 'name' then lr when sr is not null then sr else lr end as tier_rank
-from lit full join sem on lit.id = sem.id"""
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select(F.concat(F.lit("src-doc-"), "vec_id").alias("id"), "embedding")
+
+
+def _union_sql(terms: list[str], more: str = "") -> str:
+    return f"""sem as (select n.id, sr, d.kind from (select id, row_number() over (order by s desc, id) as sr
+      from (select concat('src-doc-', vec_id) as id, round(list_cosine_similarity(e.embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 9) as s from embeddings e)
+      order by s desc, id limit 10) n join {ALL_DOCS} d on d.id = n.id),
+    lit as ({_find_sql(terms, more)}),
+    merged as (select coalesce(lit.id, sem.id) as id, coalesce(lit.kind, sem.kind) as kind, case when matched = 'name' then 0 when matched is not null and sr is not null then 1 when matched is not null then 2 else 3 end as tier,
+      case when sr is null then 'find' when matched is null then 'semantic' else 'both' end as via, named_terms, sr as sem_rank from lit full join sem on lit.id = sem.id)"""
+
+
+_QUERIES["retrieve_union"] = lambda spark, d: V.retrieve(stand_in(spark, d), vectors(spark, d), "en 12", _query_vector(spark, d), type_="source")
+_SQL["retrieve_union"] = duckdb_ctes() + ", " + _union_sql(["en", "12"], "and type = 'source'") + " select * from merged"
+_QUERIES["retrieve_scoped"] = lambda spark, d: V.retrieve(stand_in(spark, d), vectors(spark, d), "en 2", _query_vector(spark, d), project="view-1")
+_SQL["retrieve_scoped"] = duckdb_ctes() + ", " + _union_sql(["en", "2"]) + f"""
+select *, true as in_scope from merged where id in {_SCOPE('view-1')} union all select *, false from (select * from merged where id not in {_SCOPE('view-1')}
+  order by tier, case when tier in (1, 3) then sem_rank end nulls first, named_terms desc nulls last, list_position(['source', 'derived', 'project', 'decision'], kind), id limit 5)"""
+over("retrieve_without_vectors", f"select id, kind, case matched when 'name' then 0 else 2 end as tier, 'find' as via, named_terms, null as sem_rank from ({_find_sql(['en', '2', 'sum'])})")(
+    lambda r: V.retrieve(r, None, "en 2 sum")
+)
+
 
 over("index_diff", "select coalesce(s.id, h.id) as id, case when s.id is null then 'prune' when h.hash = s.content_hash then 'fresh' else 'embed' end as action from sources s full join (select doc_id as id, hash from (select concat('src-doc-', num + 3) as doc_id, content_hash as hash from sources where num % 3 = 0 union all select id, content_hash from sources where num % 3 = 1)) h on h.id = s.id")(
     lambda r: V.index_diff(
@@ -446,6 +460,38 @@ over(
     f""", {_NEAR} select *, concat(relation, ':', source, ':', target) as id from {_EDGES} where source in (select id from near) and target in (select id from near)""",
 )(lambda r: G.subgraph(r, ["view-1"], project="view-1")[1])
 
+#: Two words that follow each other in some document, at every scale of the tables.
+_PAIR = "(select min(regexp_extract(lower(body), '([a-z]{3,} [a-z]{3,}) ', 1)) from decisions where regexp_matches(lower(body), '[a-z]{3,} [a-z]{3,} '))"
+_EVERYTHING = "lower(concat_ws(' ', identity, mention))"
+
+
+@over(
+    "query_phrase",
+    f"""select id, kind, type, status from {_CATALOG}, (select {_PAIR} as p)
+    where kind = 'decision' and regexp_matches({_EVERYTHING}, concat('(^|[^\\p{{L}}\\p{{N}}])', replace(p, ' ', '[^\\p{{L}}\\p{{N}}]+'), '($|[^\\p{{L}}\\p{{N}}])'))""",
+)
+def query_phrase(r: Relations) -> DataFrame:
+    own = r.decisions.select(F.regexp_extract(F.lower("body"), "([a-z]{3,} [a-z]{3,}) ", 1).alias("p")).where("p <> ''")
+    return V.facets(r, words=own.agg(F.min("p")).first()[0].replace(" ", "-"), kind="decision", limit=500)
+
+
+over("embed_hashed", f"""select id, ('0x' || substr(md5(w), 1, 6))::int % 16 as cell, sum(case when substr(md5(w), 32, 1) < '8' then 1 else -1 end)::bigint as weight
+    from (select id, unnest({_TOKENS}) as w from sources) group by 1, 2""")(
+    lambda r: V.hashed(r.sources.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\\p{L}\\p{N}]+)".replace("\\\\", "\\")), F.lit(1))).alias("word")), 16)
+)
+
+
+@over("reindex", "select id, content_hash, true as unit, num % 5 <> 0 and num % 4 <> 0 as kept from sources")
+def reindex(r: Relations) -> DataFrame:
+    """An index that lacks every fifth source, holds an old hash of every fourth, and one that is gone; kept rows have a vector of their own."""
+    first = F.array(F.lit(1.0), *[F.lit(0.0)] * 63).cast("array<float>").alias("embedding")
+    held = r.sources.where("num % 5 <> 0").select("id", F.when(F.col("num") % 4 == 0, "old").otherwise(F.col("content_hash")).alias("content_hash"), first)
+    gone = held.sparkSession.range(1).select(F.lit("src-gone").alias("id"), F.lit("x").alias("content_hash"), first)
+    rows = V.reindex(r.sources.select("id", "content_hash", "text"), held.unionByName(gone))
+    size = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    return rows.select("id", "content_hash", (F.abs(size - 1) < 1e-5).alias("unit"), (F.get("embedding", F.lit(0)) == 1).alias("kept"))
+
+
 # --- ledgers ------------------------------------------------------------------------------------
 
 over(
@@ -514,7 +560,17 @@ over(
 over("index_markers", """, n as (select doc_id, count(*) as n, bool_or(coalesce(p.hash <> s.content_hash, false)) as changed from provenance p left join sources s on s.id = p.source_id group by 1)
     select id, concat_ws(' · ', derivation, case when n > 0 then concat(n, case when n = 1 then ' source' else ' sources' end) end,
       case when status = 'superseded' then 'superseded' when changed or status = 'stale' then 'stale' end) as markers from derived left join n on n.doc_id = id""")(P.index_markers)
-over("index_records")(lambda r: P.index_records(r))
+_LINE = lambda *parts: "concat('{', concat_ws(',', " + ", ".join(parts) + "), '}')"
+_KEY = lambda k, v=None: f"""case when {v or k} is not null then concat('"{k}":', to_json({v or k})) end"""
+over(
+    "index_records",
+    f"""select 0 as rank, id, {_LINE(_KEY('content_hash'), _KEY('id'), "'" + '"kind":"source"' + "'", "concat('" + '"origin":' + "', " + _LINE(_KEY('ref'), _KEY('system'), _KEY('upstream_ref')) + ")", _KEY('tier', 'capture'), _KEY('version'))} as line from sources
+    union all select 1, id, {_LINE(_KEY('abstract'), _KEY('derivation'), _KEY('id'), "'" + '"kind":"derived"' + "'", "case when p is not null then concat('" + '"provenance":[' + "', p, ']') end", _KEY('status'), _KEY('title'), _KEY('type'))}
+      from derived left join (select doc_id, string_agg({_LINE(_KEY('hash'), _KEY('id', 'source_id'))}, ',' order by source_id, hash nulls first) as p from provenance group by 1) on doc_id = id
+    union all select 2, id, {_LINE(_KEY('id'), "'" + '"kind":"project"' + "'", _KEY('scope'), _KEY('title'))} from projects
+    union all select 3, id, {_LINE("case when e is not null then concat('" + '"evidence":' + "', to_json(e)) end", _KEY('id'), "'" + '"kind":"decision"' + "'", _KEY('status'), _KEY('title'))}
+      from decisions left join (select decision_id, list(source_id order by source_id) as e from evidence group by 1) on decision_id = id""",
+)(lambda r: P.index_records(r))
 over("cover_map", "select source_id, doc_id from (select p.source_id, d.id as doc_id, row_number() over (partition by p.source_id order by d.type <> 'summary', d.id) as n from provenance p join derived d on d.id = p.doc_id) where n = 1")(P.cover)
 _BLURBS = """(select s.id, coalesce(b.blurb, s.ref) as blurb from sources s left join (select source_id, concat_ws(' — ', title, nullif(abstract, '')) as blurb from
   (select p.source_id, d.title, d.abstract, row_number() over (partition by p.source_id order by d.type <> 'summary', d.id) as n from provenance p join derived d on d.id = p.doc_id) where n = 1) b on b.source_id = s.id)"""
@@ -578,7 +634,24 @@ def section_slice(r: Relations) -> DataFrame:
     return R.section(r.sources.select("id", text.alias("text")), "two")
 
 
-over("logical_lines")(lambda r: R.units(r.sources))
+#: Texts cut into lines: every fifth word begins one, some lines are list items or blank.
+_LINED = "array_to_string(list_transform(range(0, len(w)), lambda i: concat(case when i = 0 then '' when i % 20 = 15 then chr(10) || chr(10) when i % 5 = 0 then chr(10) else ' ' end, case when i % 35 = 30 then '- ' else '' end, w[i + 1])), '')"
+over(
+    "logical_lines",
+    f""", t as (select id, {_LINED} as text from (select id, regexp_extract_all(text, '[A-Za-z0-9]+') as w from sources)),
+    l as (select id, n, trim(line) as line, trim(line) = '' as blank, starts_with(line, '- ') as opens from (select id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from t)),
+    g as (select *, sum(case when blank or opens or before then 1 else 0 end) over (partition by id order by n) as unit
+      from (select *, coalesce(lag(blank) over (partition by id order by n), true) as before from l)),
+    u as (select id, unit, string_agg(line, ' ' order by n) as line from g where not blank group by 1, 2)
+    select id, (row_number() over (partition by id order by unit) - 1)::int as ord, line as unit from u""",
+)(lambda r: R.units(lined(r)))
+
+
+def lined(r: Relations) -> DataFrame:
+    start = lambda i: F.when(i == 0, "").when(i % 20 == 15, "\n\n").when(i % 5 == 0, "\n").otherwise(" ")
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), F.lit(1))
+    return r.sources.select("id", F.array_join(F.transform(words, lambda w, i: F.concat(start(i), F.when(i % 35 == 30, "- ").otherwise(""), w)), "").alias("text"))
+
 
 @over(
     "quote_gate",
@@ -622,6 +695,20 @@ over("relink", "select id, concat('see [sum-doc-', num, '](summaries/sum-doc-',
 )
 
 
+over("source_status", "select id, capture as tier, version, num % 5 <> 0 as has_bytes, recoverable, ref as origin_ref, system as origin_system from sources")(
+    lambda r: R.source_status(replace(r, sources=r.sources.withColumn("canonical", F.expr("case when num % 5 <> 0 then canonical end"))))
+)
+over(
+    "strip_targets",
+    """select id, concat('[', id, '] and [', case when num % 2 = 0 then concat('sum-doc-', num, ' p. 3]') else concat('sum-doc-', num, 'x](y)') end, ' [RFC-8259](u) [', id, ' (', id, ')]') as text from derived""",
+)(
+    lambda r: R.strip_targets(
+        r.derived.select("id", F.concat(F.lit("["), "id", F.lit("](a/b.md) and ["), "id", F.when(F.col("num") % 2 == 0, " p. 3](").otherwise("x]("), F.lit("y) [RFC-8259](u) ["), "id", F.lit(" ("), "id", F.lit(")](z)")).alias("text")),
+        r.derived.select("id"),
+    )
+)
+
+
 @raw("html_extract")
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", F.lit("page.html").alias("path"), F.col("html").alias("content"))
@@ -743,6 +830,67 @@ over("id_guard", "select num, num % 6 = 0 as good from sources")(
     .select("num", T.is_id(F.col("id")).alias("good"))
 )
 
+#: Excerpts: the middle of a text, or something else; every fifth is anchored already, some are forced, some have no whole to name.
+_WHOLE = "concat('sha256:', sha256(text))"
+
+
+@over(
+    "anchor",
+    f"""select id, outcome, case when outcome in ('anchored', 'forced', 'unchanged') then upstream end as upstream_ref, case when outcome in ('anchored', 'forced', 'unchanged') then {_WHOLE} end as upstream_identity,
+      case when outcome in ('anchored', 'forced') then '{AS_OF}' when outcome = 'unchanged' then 'before' end as anchored_at
+    from (select id, text, concat('up-', num) as upstream, case when num % 7 = 6 then 'no upstream_ref' when num % 5 = 0 then 'unchanged' when num % 3 <> 0 then 'anchored'
+      when num % 2 = 0 then 'not contained' when num % 7 in (1, 2) then 'no reason' else 'forced' end as outcome from sources) where outcome <> 'no upstream_ref'
+    union all select id, 'no upstream_ref', case when num % 5 = 0 then concat('up-', num) end, case when num % 5 = 0 then {_WHOLE} end, case when num % 5 = 0 then 'before' end from sources where num % 7 = 6
+    union all select 'src-nowhere', 'unknown source', null, null, null""",
+)
+def anchor(r: Relations) -> DataFrame:
+    fifth = lambda c: F.when(F.col("num") % 5 == 0, c)
+    held = r.sources.select(
+        "id", F.when(F.col("num") % 3 == 0, F.lit("\x01other")).otherwise(F.substring("text", 3, 30)).alias("body"), fifth(F.concat(F.lit("up-"), "num")).alias("upstream_ref"),
+        fifth(H.bytes_hash(F.col("text"))).alias("upstream_identity"), fifth(F.lit("before")).alias("anchored_at"),
+    )
+    changes = r.sources.select(
+        "id", F.when(F.col("num") % 7 == 6, " ").otherwise(F.concat(F.lit("up-"), "num")).alias("upstream_ref"), F.col("text").alias("upstream"), F.lit("sha256").alias("form"),
+        (F.col("num") % 2 == 1).alias("force"), F.when(~(F.col("num") % 7).isin(1, 2), "judged").alias("reason"), F.lit(AS_OF).alias("at"),
+    )
+    nowhere = changes.sparkSession.sql("select 'src-nowhere' as id, 'u' as upstream_ref, 't' as upstream, 'sha256' as form, false as force, '' as reason, '' as at")
+    return C.anchor(held, changes.unionByName(nowhere))
+
+
+#: Every decision is amended by its own source, the next one and one that is not there.
+_NEW_EVIDENCE = "select id as decision_id, concat('src-doc-', num) as source_id from decisions union all select id, concat('src-doc-', num + 1) from decisions union all select id, 'src-none' from decisions"
+
+
+def amended(r: Relations) -> tuple[DataFrame, DataFrame]:
+    return C.amend_evidence(r.evidence, r.decisions.sparkSession.sql(_NEW_EVIDENCE.replace("from decisions", "from {decisions}"), decisions=r.decisions), r.sources)
+
+
+over(
+    "evidence_amend",
+    f"""select decision_id, source_id, version from evidence union all select n.decision_id, n.source_id, s.version from ({_NEW_EVIDENCE}) n join sources s on s.id = n.source_id
+    where not exists (select * from evidence e where e.decision_id = n.decision_id and e.source_id = n.source_id)""",
+)(lambda r: amended(r)[0])
+over("evidence_refused", f"select * from ({_NEW_EVIDENCE}) where source_id not in (select id from sources)")(lambda r: amended(r)[1])
+#: Two systems of the stand-in as repositories, with a file in each.
+_REPOS = "case when system in ('src1', 'src2') then concat('git:', system, '/', ref, '#f') else ref end"
+over("docs_by_repo", f"select distinct split_part({_REPOS}, '#', 1) as repo, d.id as doc_id from provenance p join sources s on s.id = p.source_id join derived d on d.id = p.doc_id where s.system in ('src1', 'src2')")(
+    lambda r: P.docs_by_repo(replace(r, sources=r.sources.withColumn("ref", F.expr(_REPOS)).withColumn("system", F.expr("case when system in ('src1', 'src2') then 'repo' else system end"))))
+)
+
+
+@raw(
+    "same_extract",
+    "select page_id as id, case page_id % 3 when 0 then true when 1 then false end as same from pages",
+)
+def same_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages fetched again: other markup and blanks, a further paragraph, or kept under a name that no extractor reads."""
+    held = F.concat(F.lit("<p>"), "page_id", F.lit("</p><p>b</p>"))
+    fetched = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<div class=x>"), "page_id", F.lit("</div> \t<script>1</script><p>b</p>"))).otherwise(F.concat(held, F.lit("<p>c</p>")))
+    path = F.when(F.col("page_id") % 3 == 2, "p.bin").otherwise("p.html")
+    pairs = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), path.alias("path"), held.cast("binary").alias("held"), fetched.cast("binary").alias("fetched"))
+    return C.same_extract(pairs)
+
+
 # --- extension ----------------------------------------------------------------------------------
 
 raw(

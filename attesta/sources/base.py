@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from attesta.functions import hashing as H
 from attesta.functions import text as T
+from attesta.operators import ledger
 from attesta.sources.extract import extracted
+from attesta.sources.relations import Relations
 
 #: The folders of derived documents.
 FOLDERS = ["summaries", "entities", "concepts", "questions", "insights"]
@@ -169,3 +171,54 @@ def scaffold(spark: SparkSession, root: str, name: str) -> bool:
     out.write(bytearray(f"version: '1.2'\nname: {json.dumps(name)}\n".encode()))
     out.close()
     return True
+
+
+def tasks(spark: SparkSession, root: str) -> DataFrame:
+    """The queue: one row a task file, by hand-written `key: value` lines and an `inputs` list; files without id are left out."""
+    rows = files(spark, f"{root}/queue/*.md").select(_part(F.col("path"), -1).alias("file"), T.newlines(F.col("text")).alias("text"))
+    rows = rows.withColumn("lines", F.split(T.header_of(F.col("text")), "\n"))
+
+    def field(key: str) -> Column:
+        last = F.try_element_at(F.filter("lines", lambda x: x.rlike(rf"^{key}\s*:")), F.lit(-1))
+        return F.nullif(T.strip(F.regexp_replace(last, r"^[^:]*:", "")), F.lit(""))
+
+    inputs = F.transform(F.filter("lines", lambda x: x.startswith("  - ")), lambda x: T.strip(F.substring(x, 5, 1 << 20)))
+    own = [field(k).alias(k) for k in ("id", "type", "status", "created_by", "created_at")]
+    return rows.select("file", *own, inputs.alias("inputs"), T.strip(T.body_of(F.col("text"))).alias("body")).where("id is not null")
+
+
+def load(spark: SparkSession, root: str) -> Relations:
+    """A real base as the relations that all operators work on; a base need not have every folder."""
+    own = sources(spark, root)
+    docs, views, decided = derived(spark, root), documents(spark, root, "projects"), documents(spark, root, "decisions")
+    beside = files(spark, f"{root}/sources/*/source*").select(_part(F.col("path"), -2).alias("id"), _part(F.col("path"), -1).alias("file"), "text")
+    history = versions(own).select("id", "version", "content_hash", "file", "supersedes").join(beside, ["id", "file"], "left")
+    no = F.lit(None).cast("bigint").alias("num")
+    usage = ledger.read_usage(spark, f"{root}/usage.jsonl") if _there(spark, f"{root}/usage.jsonl") else spark.createDataFrame([], ledger.USAGE)
+    if _there(spark, f"{root}/log.md"):
+        log = ledger.read_log(spark, f"{root}/log.md")
+    else:
+        log = spark.createDataFrame([], "seq int, stamp string, op string, rest string")
+    target, verdict = F.substring_index("rest", "|", 1), F.regexp_extract("rest", r"\|(.*)$", 1)
+    numbered = usage.withColumn("seq", F.monotonically_increasing_id())
+    return Relations(
+        sources=own.select("id", no, "text", "lang", "system", "ref", "content_hash", "version", "canonical", "capture", "capture_reason", "captured_at", "recoverable", "upstream_ref"),
+        versions=history.select("id", "version", "content_hash", "text", F.lit(None).cast("string").alias("captured_by"), "file", "supersedes"),
+        files=beside.where("startswith(file, 'source.v')").select("id", "file"),
+        derived=docs.select("id", no, "type", "title", "abstract", "body", "status", "superseded_by", "derivation", "authored_by",
+                            F.element_at("see_also", 1).alias("see_also"), F.element_at("tags", 1).alias("tag")),
+        provenance=exploded(docs, "sources", "id", "hash").select("doc_id", F.col("id").alias("source_id"), "hash"),
+        see_also=exploded(docs, "see_also"),
+        projects=views.select("id", "title", "scope"),
+        members=views.select(F.col("id").alias("project_id"), F.posexplode("members").alias("ord", "member_id")),
+        decisions=decided.select("id", no, "title", "body", "status", F.col("date").alias("dated"), "authored_by"),
+        evidence=exploded(decided, "evidence", "id", "version").select(F.col("doc_id").alias("decision_id"), F.col("id").alias("source_id"), "version"),
+        connectors=exploded(docs, "connectors", "system", "ref"),
+        usage=numbered.select("seq", "op", F.substring("ts", 1, 10).alias("day"), F.explode_outer("ids").alias("doc_id"), "duration_ms", "bytes_in", "bytes_out", "tokens"),
+        log=log.select("seq", "stamp", "op", T.strip(target).alias("target"), F.nullif(T.strip(verdict), F.lit("")).alias("verdict")),
+    )
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

@@ -217,3 +217,76 @@ def test_stream_equals_batch(spark, small, tmp_path):
     q = windows.stream(spark, f"{tmp_path}/in").writeStream.format("memory").queryName("days").outputMode("update").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert spark.table("days").count() == windows.daily(windows.with_time(events)).count()
+
+
+def test_retrieve_order_and_fallback(spark, small):
+    """In scope before outside, by tier; without vectors find answers alone; an unknown view is an error."""
+    r = relations.stand_in(spark, small)
+    own = [tuple(x) for x in V.retrieve(r, None, "view", project="view-1").select("in_scope", "tier", "via").collect()]
+    assert own == sorted(own, key=lambda x: (not x[0], x[1])) and {x[2] for x in own} == {"find"} and sum(not x[0] for x in own) <= 5
+    with pytest.raises(ValueError):
+        V.retrieve(r, None, "view", project="nowhere")
+    found, left = V.degraded(r, words="view", limit=3, cites="a", kind=None, status="b")
+    assert found.count() == 3 and left == ["cites", "status"]
+
+
+def test_phrases(spark):
+    docs = spark.createDataFrame([("a", "one, Two three"), ("b", "two one"), ("c", "one twofold"), ("d", "bone two"), ("e", None)], "id string, text string")
+    found = lambda q: {x["id"] for x in V.bm25(docs, "id", "text", q).collect()}
+    assert found("one-two") == {"a"} and found("one two") == {"a", "b"} and found("-- three") == {"a"} and found("--") == set()
+
+
+def test_embedding(spark):
+    docs = spark.createDataFrame([(1, "a b b"), (2, "b A b"), (3, ""), (4, None), (5, "word")], "id int, text string")
+    own = {x["id"]: x["embedding"] for x in V.embed(docs, dim=8).collect()}
+    assert own[1] == own[2] and own[3] == own[4] == [0.0] * 8
+    for k in (1, 5):
+        assert abs(sum(x * x for x in own[k]) - 1) < 1e-6
+
+
+def test_guard_and_status(spark, small):
+    spark.conf.set("attesta.read_only", "true")
+    try:
+        C.guard(spark, "find")
+        with pytest.raises(ValueError):
+            C.guard(spark, "anchor")
+    finally:
+        spark.conf.unset("attesta.read_only")
+    C.guard(spark, "anchor")
+    r = relations.stand_in(spark, small)
+    assert R.source_status(r, "src-doc-1").first()["tier"] in ("full", "reference", "partial")
+    with pytest.raises(ValueError):
+        R.source_status(r, "src-none")
+
+
+def test_real_base_runs_operators(spark, tmp_path):
+    """A base on disk as relations: lint, find, graph and the queue work on it."""
+    root = f"{tmp_path}/kb"
+    base.scaffold(spark, root, "x")
+    write = lambda p, t: ((tmp_path / "kb" / p).parent.mkdir(parents=True, exist_ok=True), (tmp_path / "kb" / p).write_text(t))
+    held = "held words of the source\n"
+    digest = "sha256:" + __import__("hashlib").sha256(held.encode()).hexdigest()
+    meta = {"id": "src-a", "type": "source", "origin": {"system": "web", "ref": "http://a"}, "capture": "full", "captured_at": "2024-01-01T00:00:00Z",
+            "content_hash": digest, "version": 1, "history": [{"version": 1, "content_hash": digest, "file": "source.v1.md"}]}
+    write("sources/src-a/meta.yml", json.dumps(meta))
+    write("sources/src-a/source.v1.md", held)
+    write("summaries/s.md", f"---\nid: sum-a\ntype: summary\ntitle: About words\nstatus: current\nsources: [{{id: src-a, hash: {digest}}}, {{id: src-none, hash: h}}]\nsee_also: [sum-a]\n---\nbody\n")
+    write("projects/p.md", "---\nid: view\ntype: project\ntitle: V\nscope: project\nmembers: [src-a, sum-a]\n---\n")
+    write("decisions/d.md", "---\nid: dec\ntype: decision\ntitle: D\nstatus: accepted\ndate: '2024-01-02'\nevidence: [{id: src-a, version: 1}]\n---\nwhy\n")
+    write("log.md", "# Log\n## [2024-01-01T00:00:00Z] capture | src-a | new\n## [2024-01-02T00:00:00Z] drift-check | src-a | unreachable\n")
+    write("usage.jsonl", '{"ts":"2024-01-03T00:00:00Z","op":"find","bytes_in":3,"ids":["src-a","sum-a"]}\n')
+    write("queue/t.md", "---\nid: task-1\ntype: ingest\nstatus: pending\ninputs:\n  - a b\n  - c\n---\nDo it.\n")
+    write("queue/none.md", "---\ntype: ingest\n---\nNo id.\n")
+    r = base.load(spark, root)
+    assert sorted(x["id"] for x in V.find(r, "words").collect()) == ["src-a", "sum-a"]
+    assert {x["id"] for x in lint.l3(r).collect()} == {"sum-a"} and lint.l5(r).count() == 0
+    edges = {(x["relation"], x["source"], x["target"]) for x in G.edges(r).collect()}
+    assert {("grounded_by", "sum-a", "src-a"), ("member_of", "src-a", "view"), ("evidence", "dec", "src-a")} <= edges
+    assert [(x["id"], x["verdict"]) for x in L.last_verdict(r.log).collect()] == [("src-a", "unreachable")]
+    assert r.usage.select("doc_id").count() == 2 and R.source_status(r, "src-a").first()["has_bytes"]
+    t = base.tasks(spark, root).collect()
+    assert [(x["id"], x["status"], x["inputs"], x["body"]) for x in t] == [("task-1", "pending", ["a b", "c"], "Do it.")]
+    own = {(x["rule"], x["id"]) for x in lint.findings(r, lint.documents(r)).collect()}
+    assert ("L3", "sum-a") in own and not any(rule in ("L5", "L6", "L10") for rule, _ in own)
+    empty = base.load(spark, f"{tmp_path}/nothing")
+    assert empty.sources.count() == empty.provenance.count() == 0
