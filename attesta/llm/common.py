@@ -112,6 +112,20 @@ def splittable_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.withColumn("__tag", tag).join(right.withColumn("__tag", tag), [*keys, "__tag"], how).drop("__tag")
 
 
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with their number from 0 in the order of keys, which must tell them apart; written to the shared folder.
+
+    Ranges of the order are sorted on the executors; only one row a range is summed up to number all.
+    """
+    rows = materialise(rows)  # ranges are sampled and dealt from the same rows
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = materialise(ranged.withColumn("__id", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__id", 33))
+    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    starts = counts.selectExpr("__part", "sum(__n) over (order by __part) - __n as __start")
+    at = F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(starts), "__part").withColumn(name, at).drop("__part", "__start", "__id")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe, decontaminate, language, media, sharding, simhash, suffix_dedup, tokens, toxicity, url_filter
+from attesta.llm import alignment, bpe, decontaminate, language, media, resampling, sharding, simhash, suffix_dedup, tokens, toxicity
+from attesta.llm import url_filter, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,9 +30,12 @@ def queries() -> dict[str, Query]:
         "op8_bpe_lexicon": bpe.query,
         "op9_media_sequences": media.query,
         "op10_toxicity": toxicity.query,
+        "op11_alignment": alignment.query,
+        "op12_embedding_dedup": vectors.query,
+        "op13_resampling": resampling.query,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.ORACLE}
+    return {"op5_url_filter": url_filter.ORACLE, "op12_embedding_dedup": vectors.ORACLE, "op13_resampling": resampling.ORACLE}
