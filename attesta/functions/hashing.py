@@ -21,7 +21,7 @@ def text_hash(c: Column) -> Column:
 
 def file_hash(name: Column, content: Column) -> Column:
     """text_hash of .md and .txt files, bytes_hash of others; content is binary."""
-    as_text = F.decode(content, "UTF-8")
+    as_text = F.make_valid_utf8(content.cast("string"))  # bytes that are no text must not be an error
     return F.when(T.suffix(name).isin(".md", ".txt"), text_hash(as_text)).otherwise(bytes_hash(content))
 
 

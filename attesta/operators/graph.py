@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import text as T
+from attesta.functions.lineage import cut
 from attesta.operators.lint import documents
 from attesta.sources.relations import Relations
 
 #: Relations, and those that have no direction.
 RELATIONS = ["grounded_by", "see_also", "member_of", "evidence", "superseded_by", "excerpt_of", "from_repo"]
 UNDIRECTED = ["see_also"]
+DIRECTIONS = ["both", "out", "in"]
 
 
 def stated(r: Relations) -> DataFrame:
@@ -23,16 +26,16 @@ def stated(r: Relations) -> DataFrame:
     current = r.sources.select(F.col("id").alias("source_id"), "content_hash")
     grounded = r.provenance.join(current, "source_id", "left")
     changed = F.coalesce(F.col("hash") != F.col("content_hash"), no)
-    first = r.sources.groupBy("ref").agg(F.min("id").alias("whole"))
+    first = r.sources.where("ref <> ''").groupBy("ref").agg(F.min("id").alias("whole"))
     excerpts = r.sources.where("upstream_ref is not null").select("id", F.col("upstream_ref").alias("ref")).join(first, "ref")
-    repos = r.sources.where("system = 'repo'").select(T.locator(F.col("ref")).alias("repo"), "id")
-    heads = repos.groupBy("repo").agg(F.min("id").alias("head"))
-    from_repo = repos.join(heads, "repo")
+    # a file of a repository names it before `#`; the whole is the source whose own ref is that
+    part = r.sources.where("system = 'repo' and contains(ref, '#')").select("id", T.locator(F.col("ref")).alias("ref"))
+    from_repo = part.join(first, "ref")
     parts = [
         edge(grounded, "grounded_by", "doc_id", "source_id", changed), edge(r.see_also, "see_also", "doc_id", "target"),
         edge(r.members, "member_of", "member_id", "project_id"), edge(r.evidence, "evidence", "decision_id", "source_id"),
         edge(r.derived.where("superseded_by is not null"), "superseded_by", "id", "superseded_by"),
-        edge(excerpts, "excerpt_of", "id", "whole"), edge(from_repo, "from_repo", "id", "head"),
+        edge(excerpts, "excerpt_of", "id", "whole"), edge(from_repo, "from_repo", "id", "whole"),
     ]
     return reduce(DataFrame.unionByName, parts).where("source <> target")
 
@@ -47,8 +50,10 @@ def edges(r: Relations) -> DataFrame:
 
 
 def dangling(r: Relations) -> DataFrame:
-    ids = documents(r).select(F.col("id").alias("target"))
-    return stated(r).join(ids, "target", "left_anti").select("relation", "source", "target").distinct()
+    """Stated edges of which an end is nothing: what a walk can't follow."""
+    ids = documents(r).select("id").distinct()
+    ends = [stated(r).join(ids.withColumnRenamed("id", end), end, "left_anti").select("relation", "source", "target") for end in ("source", "target")]
+    return ends[0].unionByName(ends[1]).distinct()
 
 
 def degree(all_edges: DataFrame) -> DataFrame:
@@ -68,54 +73,141 @@ def adjacency(all_edges: DataFrame, direction: str = "both", relations: list[str
     return ahead.unionByName(back).select("from_id", "relation", "to_id").distinct()
 
 
-def walk(adjacent: DataFrame, centers: list[str], depth: int = 1, max_nodes: int | None = None) -> DataFrame:
-    """(id, depth, reached_from, reached_by) of what is within `depth` steps.
+@dataclass
+class Walk:
+    """nodes(id, depth); ways(id, from_id, relation): every parent of the layer before and what leads from it; frontier(id,
+    remaining): nodes with edges that a cap kept from being followed; complete: no cap was met."""
+
+    nodes: DataFrame
+    ways: DataFrame
+    frontier: DataFrame
+    complete: bool
+
+
+def first(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in an order that tells rows apart: ranges are sorted on the executors, and one row a range says where the cut lies."""
+    ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("__at", F.monotonically_increasing_id())
+    ranged = ranged.withColumn("__part", F.shiftright("__at", 33))
+    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    starts = counts.selectExpr("__part", "sum(__n) over (order by __part) - __n as __start")
+    place = F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(starts), "__part").where(place < n).select(*rows.columns)
+
 
-    One join a layer against an adjacency that is kept; of several ways to a node in a layer the
-    first by (parent, relation) names it. max_nodes keeps the nearest, then smallest ids.
+def explore(adjacent: DataFrame, centers: list[str], depth: int = 1, max_nodes: int | None = None) -> Walk:
+    """What is within `depth` steps of the centers, layer by layer.
+
+    A layer's new nodes are found in order of (least parent, id); a cap stops inside the layer, at the same node as a loop
+    over sorted parents and neighbours would. What stands on the edge then is what can be asked for next. Each layer is one join
+    against the adjacency and is written, so lineage doesn't grow with depth.
     """
     spark = adjacent.sparkSession
-    adjacent = adjacent.persist()
-    none = F.lit(None).cast("string")
-    start = spark.createDataFrame([(c,) for c in centers], "id string").distinct()
-    seen = start.select("id", F.lit(0).alias("depth"), none.alias("reached_from"), none.alias("reached_by"))
-    frontier = seen.select("id")
+    adjacent = cut(adjacent.select("from_id", "relation", "to_id"))
+    layer = cut(spark.createDataFrame([(c,) for c in sorted(set(centers))], "id string"))
+    total, complete = len(set(centers)), True
+    nodes, ways = [layer.withColumn("depth", F.lit(0))], []
+    seen = nodes[0].select("id")
+    edge = layer
     for d in range(1, depth + 1):
-        step = adjacent.join(frontier.select(F.col("id").alias("from_id")), "from_id")
-        fresh = step.join(seen.select(F.col("id").alias("to_id")), "to_id", "left_anti")
-        way = F.min(F.struct("from_id", "relation")).alias("way")
-        layer = fresh.groupBy(F.col("to_id").alias("id")).agg(way)
-        layer = layer.select("id", F.lit(d).alias("depth"), F.col("way.from_id").alias("reached_from"), F.col("way.relation").alias("reached_by"))
-        layer = layer.persist()  # a layer is read by the next one and by the result
-        if layer.isEmpty():
+        step = adjacent.join(layer.withColumnRenamed("id", "from_id"), "from_id")
+        fresh = cut(step.join(seen.withColumnRenamed("id", "to_id"), "to_id", "left_anti"))
+        new = fresh.groupBy(F.col("to_id").alias("id")).agg(F.min("from_id").alias("parent"))
+        n = new.count()
+        if max_nodes is not None and n > max(0, max_nodes - total):
+            room, complete = max(0, max_nodes - total), False
+            new = first(new, room, "parent", "id") if room else new.where("false")
+            n = room
+        new = cut(new.select("id"))
+        nodes.append(new.withColumn("depth", F.lit(d)))
+        ways.append(fresh.withColumnRenamed("to_id", "id").join(new, "id", "left_semi").select("id", "from_id", "relation"))
+        seen, total, edge = seen.unionByName(new), total + n, layer.unionByName(new)
+        if not complete or not n:
             break
-        seen, frontier = seen.unionByName(layer), layer.select("id")
-    return seen if max_nodes is None else seen.orderBy("depth", "id").limit(max_nodes)
+        layer = new
+    if complete:
+        frontier = spark.createDataFrame([], "id string, remaining long")
+    else:
+        out = adjacent.join(edge.withColumnRenamed("id", "from_id"), "from_id").join(seen.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
+        frontier = out.groupBy(F.col("from_id").alias("id")).agg(F.count(F.lit(1)).alias("remaining"))
+    none = spark.createDataFrame([], "id string, from_id string, relation string")
+    return Walk(reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, ways, none), frontier, complete)
+
+
+def walk(adjacent: DataFrame, centers: list[str], depth: int = 1, max_nodes: int | None = None) -> DataFrame:
+    """(id, depth, reached_from, reached_by) of what explore finds; of several ways to a node the first by (parent, relation)."""
+    found = explore(adjacent, centers, depth, max_nodes)
+    way = found.ways.groupBy("id").agg(F.min(F.struct("from_id", "relation")).alias("way"))
+    return found.nodes.join(way, "id", "left").select("id", "depth", F.col("way.from_id").alias("reached_from"), F.col("way.relation").alias("reached_by"))
+
 
+def all_ways(found: Walk) -> DataFrame:
+    """(id, depth, reached_from, reached_by) with all parents and all relations of each node as lists, in the order they are met.
 
-def subgraph(r: Relations, centers: list[str], depth: int = 1, direction: str = "both", relations: list[str] | None = None,
-             kinds: list[str] | None = None, max_nodes: int | None = None, max_edges: int | None = None, project: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges around the centers. Relations are chosen before the walk, kinds after it."""
+    A node's lists are as long as its parents are many; found.ways has the same as rows, for walks without a cap.
+    """
+    pairs = F.array_sort(F.collect_list(F.struct("from_id", "relation")))
+    lists = found.ways.groupBy("id").agg(pairs.alias("all"))
+    lists = lists.select("id", F.array_distinct("all.from_id").alias("reached_from"), F.array_distinct("all.relation").alias("reached_by"))
+    none, seed = F.array().cast("array<string>"), F.array(F.lit("seed"))
+    return found.nodes.join(lists, "id", "left").select("id", "depth", F.coalesce("reached_from", none).alias("reached_from"), F.coalesce("reached_by", seed).alias("reached_by"))
+
+
+@dataclass
+class Graph:
+    """nodes and edges of a projection; what caps left out, and edges that lead nowhere."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    walk: Walk | None
+    complete: bool
+    limited_by: str | None
+    omitted_edges: int
+    unresolved: DataFrame
+
+
+def project(r: Relations, centers: list[str] | None = None, depth: int = 1, direction: str = "both", relations: list[str] | None = None,
+            kinds: list[str] | None = None, max_nodes: int | None = None, max_edges: int | None = None, scope: str | None = None) -> Graph:
+    """The graph of recorded facts, or the neighbourhood of centers. Relations are chosen before the walk, kinds after it (centers
+    stay); caps keep the first nodes and edges in a stable order; a scope marks nodes and takes none away.
+
+    Unknown centers, relations and directions are errors.
+    """
     from attesta.operators.retrieve import in_scope
 
-    all_edges = edges(r)
-    nodes = walk(adjacency(all_edges, direction, relations), centers, depth, max_nodes)
+    if direction not in DIRECTIONS:
+        raise ValueError(f"unknown direction: {direction}")
+    if unknown := sorted(set(relations or []) - set(RELATIONS)):
+        raise ValueError(f"unknown relations: {unknown}")
+    docs = documents(r)
+    known = {x["id"] for x in docs.where(F.col("id").isin(list(centers or []))).select("id").distinct().collect()}
+    if missing := sorted(set(centers or []) - known):
+        raise ValueError(f"unknown centers: {missing}")
+    all_edges = cut(edges(r))
+    kept = all_edges if relations is None else all_edges.where(F.col("relation").isin(relations))
+    found, nodes = None, docs
+    if centers:
+        found = explore(adjacency(kept, direction), centers, depth, max_nodes)
+        nodes = all_ways(found).join(docs, "id")
     labels = r.sources.select("id", F.col("ref").alias("label")).unionByName(r.derived.select("id", F.col("title").alias("label")))
     labels = labels.unionByName(r.projects.select("id", F.col("title").alias("label"))).unionByName(r.decisions.select("id", F.col("title").alias("label")))
-    nodes = nodes.join(documents(r), "id").join(labels, "id", "left").join(degree(all_edges), "id", "left").na.fill(0, ["degree"])
+    nodes = nodes.join(labels, "id", "left").join(degree(all_edges), "id", "left").na.fill(0, ["degree"])
     if kinds is not None:
-        nodes = nodes.where(F.col("kind").isin(kinds))
-    if project is not None:
-        nodes = nodes.join(in_scope(r, project).withColumn("in_scope", F.lit(True)), "id", "left").na.fill(False, ["in_scope"])
-    kept = all_edges if relations is None else all_edges.where(F.col("relation").isin(relations))
+        nodes = nodes.where(F.col("kind").isin(kinds) | F.col("id").isin(list(centers or [])))
+    if scope is not None:
+        nodes = nodes.join(in_scope(r, scope).withColumn("in_scope", F.lit(True)), "id", "left").na.fill(False, ["in_scope"])
     for end in ("source", "target"):
         kept = kept.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
-    kept = kept.withColumn("id", F.concat_ws(":", "relation", "source", "target")).orderBy("id")
-    return nodes, kept if max_edges is None else kept.limit(max_edges)
-
-
-def frontier_open(adjacent: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes that have neighbours outside, with how many."""
-    out = adjacent.join(nodes.select(F.col("id").alias("from_id")), "from_id")
-    out = out.join(nodes.select(F.col("id").alias("to_id")), "to_id", "left_anti")
-    return out.groupBy(F.col("from_id").alias("id")).agg(F.countDistinct("to_id").alias("more"))
+    kept = kept.withColumn("id", F.concat_ws(":", "relation", "source", "target"))
+    complete = found is None or found.complete
+    limited, omitted = None if complete else "max_nodes", 0
+    if max_edges is not None:
+        omitted = max(0, kept.count() - max_edges)
+        if omitted:
+            kept, complete, limited = first(kept, max_edges, "id"), False, limited or "max_edges"
+    return Graph(nodes, kept.orderBy("id"), found, complete, limited, omitted, dangling(r))
+
+
+def subgraph(r: Relations, centers: list[str], depth: int = 1, **options: object) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of project."""
+    found = project(r, centers, depth, **options)
+    return found.nodes, found.edges

@@ -114,12 +114,16 @@ def log_line(stamp: Column, op: Column, *parts: Column) -> Column:
 
 
 def captures_since(log: DataFrame) -> DataFrame:
-    """Per operation of the log: how many capture entries stand after its last one."""
-    last = log.groupBy("op").agg(F.max("seq").alias("last"))  # one row an operation
-    captures = log.where("op = 'capture'").select(F.col("seq").alias("at"))
-    # counted from the end by position: one aggregate per operation over the captures
-    rows = captures.crossJoin(F.broadcast(last.where("op <> 'capture'"))).groupBy("op").agg(F.count_if(F.col("at") > F.col("last")).alias("captures"))
-    return rows
+    """Per operation of the log: how many capture entries stand after its last one.
+
+    Operations are a fixed list of verbs, so the ends of all of them fit in one row; captures are counted against it in one pass."""
+    ends = log.where("op <> 'capture'").groupBy("op").agg(F.max("seq").alias("last"))
+    ends = ends.agg(F.collect_list(F.struct("op", "last")).alias("ends"))
+    seen = log.where("op = 'capture'").select("seq").distinct()
+    hits = seen.crossJoin(F.broadcast(ends)).select(F.explode("ends").alias("e"), "seq").where("seq > e.last")
+    counts = hits.groupBy(F.col("e.op").alias("op")).agg(F.count(F.lit(1)).alias("captures"))
+    names = log.where("op <> 'capture'").select("op").distinct()
+    return names.join(counts, "op", "left").select("op", F.coalesce("captures", F.lit(0)).alias("captures"))
 
 
 def last_verdict(log: DataFrame) -> DataFrame:
@@ -173,9 +177,30 @@ def worklist_counts(r: Relations, as_of: str, project: str, older_than: str) ->
 
 
 def uncovered_systems(r: Relations) -> DataFrame:
-    """Outside systems of sources that no document asserts as a connector."""
-    mine = r.sources.where(~F.col("system").isin(NEARER)).select("system")
-    return mine.distinct().exceptAll(mine.join(r.connectors.select("system"), "system", "left_semi").distinct())
+    """Outside systems of sources that no global view covers: by a member that came from there, or a member's connector."""
+    views = r.projects.where("scope = 'global'").select(F.col("id").alias("project_id"))
+    members = r.members.join(views, "project_id", "left_semi").select(F.col("member_id").alias("id")).distinct()
+    mine = r.sources.where(~F.col("system").isin(NEARER)).select("id", "system")
+    said = r.connectors.select(F.col("doc_id").alias("id"), "system")
+    covered = mine.unionByName(said).join(members, "id", "left_semi").select("system")
+    return mine.select("system").distinct().join(covered, "system", "left_anti")
+
+
+def aged(r: Relations, as_of: str, days: int = AGED_DAYS) -> DataFrame:
+    """(id, as_of, days_old) of derived documents whose own date lies over `days` back, the oldest first."""
+    old = F.datediff(F.lit(as_of).cast("date"), F.substring("as_of", 1, 10).try_cast("date"))
+    return r.derived.select("id", "as_of", old.alias("days_old")).where(F.col("days_old") > days).orderBy(F.desc("days_old"), "id")
+
+
+def freshness(log: DataFrame, fingerprint: str) -> DataFrame:
+    """One row: never-linted, fresh or drifted, by the fingerprint that the last lint entry of log(seq, op, rest) carries."""
+    own = F.regexp_extract("rest", r"fingerprint=(\S+)", 1)
+    last = log.where("op = 'lint'").agg(F.max_by(own, "seq").alias("recorded"))
+    return last.select(F.when(F.coalesce("recorded", F.lit("")) == "", "never-linted").when(F.col("recorded") == fingerprint, "fresh").otherwise("drifted").alias("freshness"))
+
+
+#: The types of documents whose numbers say how far a base is worked out.
+ENRICHMENT = ["entity", "concept", "question"]
 
 
 def status(r: Relations, as_of: str, aged_days: int = AGED_DAYS) -> DataFrame:
@@ -183,13 +208,16 @@ def status(r: Relations, as_of: str, aged_days: int = AGED_DAYS) -> DataFrame:
     one = lambda df, **k: df.agg(*[e.alias(n) for n, e in k.items()])
     n = F.count(F.lit(1))
     stale = lint.stale_pairs(r).where(~F.coalesce(F.col("status"), F.lit("")).isin("stale"))
-    days = F.datediff(F.lit(as_of).cast("date"), F.substring("captured_at", 1, 10).cast("date"))
+    outside = F.col("recoverable") & F.col("system").isNotNull() & ~F.col("system").isin(NEARER)
+    types = {f"{t}_docs": F.count_if(F.col("type") == t) for t in ENRICHMENT}
+    last = lambda op: F.max_by(F.when(F.col("op") == op, F.col("stamp")), F.when(F.col("op") == op, F.col("seq")))
+    since = captures_since(r.log).agg(*[F.coalesce(F.max(F.when(F.col("op") == op, F.col("captures"))), F.lit(0)).alias(f"captures_since_{op}") for op in ("lint", "map")])
     parts = [
-        one(r.sources, sources=n, recoverable=F.count_if(F.col("recoverable")), aged=F.count_if(days > aged_days)),
-        one(r.derived, derived=n, superseded=F.count_if(F.col("status") == "superseded")),
+        one(r.sources, sources=n, recoverable=F.count_if(outside)), aged(r, as_of, aged_days).agg(n.alias("aged")),
+        one(r.derived, derived=n, superseded=F.count_if(F.col("status") == "superseded"), **types),
         stale.select("doc_id").distinct().agg(n.alias("stale")),
         uncovered_systems(r).agg(n.alias("uncovered_systems")),
-        captures_since(r.log).where("op = 'lint'").agg(F.coalesce(F.max("captures"), F.lit(0)).alias("captures_since_lint")),
+        since, r.log.agg(last("drift-check").alias("last_drift_check"), last("map").alias("last_map")),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -79,8 +79,8 @@ def l4(r: Relations) -> DataFrame:
 
 
 def l5(r: Relations) -> DataFrame:
-    """Recorded hash of a version against its text."""
-    return found(r.versions.where(F.col("content_hash") != H.bytes_hash(F.col("text"))), "L5", "error", "id", "file")
+    """Recorded hash of a source against that of the file it holds now."""
+    return found(r.sources.where(F.col("content_hash") != F.col("held_hash")), "L5", "error", "id", "canonical")
 
 
 def l6(ids: DataFrame) -> DataFrame:
@@ -109,18 +109,23 @@ def flagged(df: DataFrame, rule: str, checks: list[tuple[str, Column, str | Colu
 
 
 def l9(r: Relations) -> DataFrame:
+    """Required fields of every kind that are null or empty, values outside their enumeration, sources without a file."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
-    required = ["captured_at", "content_hash", "version", "capture"]
+    lacks = lambda *names: [("error", empty(c), c) for c in names]
     return union([
         flagged(r.sources, "L9", [
             ("error", (F.col("capture") == "reference") & empty("capture_reason"), "capture_reason"),
             ("error", ~F.col("capture").isin(CAPTURES), F.col("capture")),
-            *[("error", empty(c), c) for c in required],
+            *lacks("id", "type", "capture", "captured_at", "content_hash", "version"),
+            ("error", ~F.col("has_origin"), "origin"), ("error", F.col("entries") == 0, "history"),
             ("error", F.col("canonical").isNull(), "canonical"),
         ]),
         flagged(r.derived, "L9", [
-            *[("error", empty(c), c) for c in ("title", "abstract")], ("warn", ~F.col("type").isin(DERIVED_TYPES), F.col("type")),
+            *lacks("id", "type", "title", "derived_at", "status"), ("error", F.col("n_sources") == 0, "sources"),
+            ("warn", ~F.coalesce("type", F.lit("?")).isin(DERIVED_TYPES), F.coalesce("type", F.lit("?"))),
         ]),
+        flagged(r.projects, "L9", [*lacks("id", "type", "title"), ("error", ~F.col("has_members"), "members")]),
+        flagged(r.decisions.withColumnRenamed("dated", "date"), "L9", lacks("id", "type", "title", "status", "date")),
     ])
 
 
@@ -143,14 +148,13 @@ def l12(manifest: DataFrame) -> DataFrame:
 
 
 def l13(r: Relations) -> DataFrame:
-    """Ledger entries without a file, and files without an entry."""
-    ledger = r.versions.where("file is not null").select("id", "file", F.lit(1).alias("listed"))
-    both = ledger.join(r.files.withColumn("held", F.lit(1)), ["id", "file"], "full_outer")
-    return union([
-        found(both.where("held is null"), "L13", "error", "id", F.concat(F.lit("missing "), F.col("file"))),
-        found(both.where("listed is null"), "L13", "error", "id", F.concat(F.lit("unlisted "), F.col("file"))),
-        found(r.versions.where("file is null"), "L13", "error", "id", F.lit("entry without file")),
-    ])
+    """Files and text aids that the ledger names and that aren't there, and those that are there and it doesn't name."""
+    named = r.versions.select("id", F.explode(F.array(F.struct("file", F.lit("").alias("kind")), F.struct(F.col("text_aid").alias("file"), F.lit("aid ").alias("kind")))).alias("x"))
+    named = named.select("id", "x.*").where("coalesce(file, '') <> ''").distinct().withColumn("listed", F.lit(1))
+    held = r.files.select("id", "file", F.when(F.col("file").startswith("source-text"), "aid ").otherwise("").alias("kind"), F.lit(1).alias("held"))
+    both = named.join(held, ["id", "file", "kind"], "full_outer")
+    why = F.when(F.col("held").isNull(), "missing ").when(F.col("listed").isNull(), "unlisted ")
+    return found(both.where(why.isNotNull()), "L13", "error", "id", F.concat(why, "kind", "file"))
 
 
 def l14(r: Relations) -> DataFrame:
@@ -179,13 +183,16 @@ def l17(r: Relations) -> DataFrame:
 
 
 def l18(r: Relations) -> DataFrame:
-    """Summaries longer than what they sum up; targets of citations don't count."""
+    """Summaries, abstract and body, longer than the sources they sum up; targets of citations don't count."""
     sizes = r.sources.select(F.col("id").alias("source_id"), F.length("text").alias("n"))
     held = r.provenance.join(sizes, "source_id").groupBy("doc_id").agg(F.sum("n").alias("n"))
-    bare = strip_targets(r.derived.where("type = 'summary'").select("id", F.col("body").alias("text")), documents(r))
-    own = bare.select(F.col("id").alias("doc_id"), F.length(T.strip(F.col("text"))).alias("own"))
-    long = own.join(held, "doc_id").where(f"n >= {COMPRESS_FLOOR} and own > n")
-    return found(long, "L18", "warn", "doc_id", F.concat_ws("/", F.col("own"), F.col("n")))
+    # documents whose sources are too short to matter, or that can't be too long, are not stripped
+    head = F.length(F.coalesce("abstract", F.lit("")))
+    own = r.derived.where("type = 'summary'").select(F.col("id").alias("doc_id"), head.alias("head"), F.coalesce("body", F.lit("")).alias("text"))
+    own = own.join(held, "doc_id").where(f"n >= {COMPRESS_FLOOR}").where(F.col("head") + F.length("text") > F.col("n"))
+    bare = strip_targets(own.withColumnRenamed("doc_id", "id"), documents(r))
+    own = bare.select("id", "n", (F.col("head") + F.length("text")).alias("own"))
+    return found(own.where("own > n"), "L18", "warn", "id", F.concat_ws("/", "own", "n"))
 
 
 def l19(derived: DataFrame) -> DataFrame:
@@ -194,26 +201,35 @@ def l19(derived: DataFrame) -> DataFrame:
     return found(derived.where(F.col("self_hash") != own), "L19", "error", "id", F.lit("self_hash"))
 
 
-def l20(versions: DataFrame) -> DataFrame:
-    """versions(id, upstream_identity, upstream_ref, anchored_at): anchors that don't hold together."""
+def l20(versions: DataFrame, sources: DataFrame) -> DataFrame:
+    """Anchors that don't hold together, and declared excerpts that have none at their current version.
+
+    versions(id, version, upstream_identity, anchored_at), a row an entry of the ledger; sources(id, version, upstream_ref).
+    """
+    whole = sources.select("id", F.col("version").alias("now"), F.nullif("upstream_ref", F.lit("")).alias("whole"))
+    rows = versions.select("id", "version", "upstream_identity", "anchored_at").join(whole, "id")
     given = F.col("upstream_identity").isNotNull()
-    return union([
-        found(versions.where(given & ~F.col("upstream_identity").rlike(IDENTITY)), "L20", "error", "id", F.lit("form")),
-        found(versions.where(given & F.col("upstream_ref").isNull()), "L20", "error", "id", F.lit("upstream_ref")),
-        found(versions.where(given & F.col("anchored_at").isNull()), "L20", "error", "id", F.lit("anchored_at")),
-        found(versions.where(~given & F.col("anchored_at").isNotNull()), "L20", "error", "id", F.lit("identity")),
+    anchored = versions.where(given).select("id", F.col("version").alias("now"))
+    bare = whole.where("whole is not null").join(anchored, ["id", "now"], "left_anti")
+    checks = flagged(rows, "L20", [
+        ("error", given & ~F.col("upstream_identity").rlike(IDENTITY), "form"), ("error", given & F.col("whole").isNull(), "upstream_ref"),
+        ("error", ~given & (F.coalesce("anchored_at", F.lit("")) != ""), "identity"),
     ])
+    return checks.unionByName(found(bare, "L20", "error", "id", F.lit("unanchored")))
 
 
 def l21(r: Relations) -> DataFrame:
-    d = r.derived
+    """Endings that don't cohere: a closed document without stamp, or without successor and reason, a successor that is
+    nothing or itself, and fields of an ending where there is none."""
+    known = documents(r).select(F.col("id").alias("superseded_by"), F.lit(True).alias("known")).distinct()
+    d = r.derived.join(known, "superseded_by", "left")
     closed = F.coalesce(F.col("status") == "superseded", F.lit(False))
-    known = documents(r).where("kind = 'derived'").select(F.col("id").alias("superseded_by"))
-    return union([
-        found(d.where(closed & F.col("superseded_by").isNull()), "L21", "error", "id", F.lit("no successor")),
-        found(d.where(~closed & F.col("superseded_by").isNotNull()), "L21", "error", "id", F.lit("not closed")),
-        found(d.where("superseded_by = id"), "L21", "error", "id", F.lit("itself")),
-        found(d.where("superseded_by is not null").join(known, "superseded_by", "left_anti"), "L21", "error", "id", "superseded_by"),
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    by = F.col("superseded_by")
+    left = [("error", ~closed & F.col(c).isNotNull(), F.concat(F.lit("not closed: "), F.lit(c))) for c in ("superseded_by", "superseded_at", "supersede_reason")]
+    return flagged(d, "L21", [
+        ("error", closed & blank("superseded_at"), "superseded_at"), ("error", closed & by.isNull() & blank("supersede_reason"), "no successor"),
+        ("error", closed & (by == F.col("id")), "itself"), ("error", closed & (by != F.col("id")) & F.col("known").isNull(), by), *left,
     ])
 
 
@@ -226,9 +242,10 @@ def l22(rendered: DataFrame, index: DataFrame) -> DataFrame:
 
 def l23(r: Relations) -> DataFrame:
     entry = F.col("seq").cast("string")
+    log = r.log.select("seq", "stamp", "op").distinct()  # a check of several sources is one entry
     return union([
-        found(r.log.where(~F.col("stamp").rlike(STAMP)), "L23", "warn", entry, "stamp"),
-        found(r.log.where(~F.col("op").isin(LOG_VERBS) & (F.col("op") != "")), "L23", "warn", entry, "op"),
+        found(log.where(~F.col("stamp").rlike(STAMP)), "L23", "warn", entry, "stamp"),
+        found(log.where(~F.col("op").isin(LOG_VERBS) & (F.col("op") != "")), "L23", "warn", entry, "op"),
     ])
 
 

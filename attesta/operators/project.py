@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import text as T
@@ -12,25 +12,32 @@ from attesta.operators.retrieve import RANK, in_scope
 from attesta.sources.relations import Relations
 
 
+def json_of(c: Column) -> Column:
+    """A value as JSON; nulls inside lists of structs stay."""
+    return F.regexp_replace(F.to_json(F.array(c), {"ignoreNullFields": "false"}), r"^\[|\]$", "")
+
+
+def json_line(**fields: Column) -> Column:
+    """One compact JSON object, keys in order; fields that are null, empty or an empty list are left out."""
+    pairs = [F.concat(F.lit(f'"{k}":'), F.nullif(F.nullif(json_of(v), F.lit('""')), F.lit("[]"))) for k, v in sorted(fields.items())]
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.when(~F.endswith(p, F.lit(":null")), p) for p in pairs]), F.lit("}"))
+
+
 def index_records(r: Relations) -> DataFrame:
-    """(rank, id, line): one compact JSON object a document, keys in order, nulls left out."""
-    s = r.sources.select(
-        F.lit(RANK["source"]).alias("rank"), "id",
-        F.to_json(F.struct("content_hash", "id", F.lit("source").alias("kind"),
-                           F.struct("ref", "system", "upstream_ref").alias("origin"), F.col("capture").alias("tier"), "version")).alias("line"),
-    )
-    cited = r.provenance.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("source_id", "hash"))).alias("p"))
-    cited = cited.select(F.col("doc_id").alias("id"), F.transform("p", lambda x: F.struct(x["hash"].alias("hash"), x["source_id"].alias("id"))).alias("provenance"))
-    d = r.derived.join(cited, "id", "left").select(
-        F.lit(RANK["derived"]).alias("rank"), "id",
-        F.to_json(F.struct("abstract", "derivation", "id", F.lit("derived").alias("kind"), "provenance", "status", "title", "type")).alias("line"),
-    )
-    p = r.projects.select(F.lit(RANK["project"]).alias("rank"), "id", F.to_json(F.struct("id", F.lit("project").alias("kind"), "scope", "title")).alias("line"))
-    e = r.evidence.groupBy(F.col("decision_id").alias("id")).agg(F.array_sort(F.collect_list("source_id")).alias("evidence"))
-    c = r.decisions.join(e, "id", "left").select(
-        F.lit(RANK["decision"]).alias("rank"), "id", F.to_json(F.struct("evidence", "id", F.lit("decision").alias("kind"), "status", "title")).alias("line")
-    )
-    return s.unionByName(d).unionByName(p).unionByName(c).orderBy("rank", "id")
+    """(rank, id, line): one compact JSON object a document: every value as its head says it, keys in order."""
+    line = lambda df, kind, **k: df.select(F.lit(RANK[kind]).alias("rank"), "id", json_line(id=F.col("id"), kind=F.lit(kind), path=F.col("path"), **k).alias("line"))
+    c = F.col
+    some = lambda x: F.nullif(c(x), F.lit(""))
+    origin = F.from_json(F.to_json(F.struct(some("ref").alias("ref"), some("system").alias("system"), some("upstream_ref").alias("upstream_ref"))), "map<string,string>")
+    s = line(r.sources, "source", origin=F.when(F.size(origin) > 0, origin), tier=c("capture"), content_hash=c("content_hash"), version=c("version"), tags=c("tags"))
+    cited = r.provenance.groupBy(c("doc_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ord", "source_id", "hash"))).alias("p"))
+    cited = cited.select("id", F.transform("p", lambda x: F.struct(x["hash"].alias("hash"), x["source_id"].alias("id"))).alias("provenance"))
+    d = line(r.derived.join(cited, "id", "left"), "derived", **{k: c(k) for k in ("type", "title", "abstract", "status", "derivation", "as_of", "tags", "provenance")})
+    p = line(r.projects, "project", type=c("type"), title=c("title"), scope=c("scope"))
+    e = r.evidence.groupBy(c("decision_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ord", "source_id"))).alias("e"))
+    e = e.select("id", c("e.source_id").alias("evidence"))
+    decided = line(r.decisions.join(e, "id", "left"), "decision", **{k: c(k) for k in ("type", "title", "status", "evidence")})
+    return s.unionByName(d).unionByName(p).unionByName(decided).orderBy("rank", "id")
 
 
 def index_markers(r: Relations) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.functions import hashing as H
 from attesta.functions import text as T
 from attesta.sources.relations import Relations
 
@@ -127,31 +128,50 @@ def legible(title: Column, abstract: Column, body: Column) -> Column:
     return F.concat_ws("\n\n", part(title), part(abstract), part(body))
 
 
-def relink(docs: DataFrame, paths: DataFrame) -> DataFrame:
-    """(id, text) with bare `[known-id]` as links to paths(id, path); what is linked already stays.
+def rewritten(docs: DataFrame, pattern: str, known: DataFrame, new: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, text, replaced, *keep) of docs(id, text) with every match of pattern put anew where its first group is an id of known.
 
-    Ids are looked up by a join, so the known ids need fit nowhere; per document the links it uses
-    come back as one map.
+    Texts are cut at the matches, the matches are looked up by one join, and the pieces are put together again: one pass
+    over each text, whatever the number of ids. `new` is the replacement, from `hit` (the match), `target` (its id) and
+    the columns of known; `replaced` counts what was put anew.
     """
-    bare = r"\[([A-Za-z][A-Za-z0-9._-]*)\](?!\()"
-    used = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(bare), F.lit(1)))).alias("target"))
-    known = used.join(paths.select(F.col("id").alias("target"), "path"), "target")
-    maps = known.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("target", "path"))).alias("links"))
-    rows = docs.join(maps, "id", "left")
-    step = lambda acc, e: F.regexp_replace(acc, F.concat(F.lit(r"\[\Q"), e["key"], F.lit(r"\E\](?!\()")), F.concat(F.lit("["), e["key"], F.lit("]("), e["value"], F.lit(")")))
-    text = F.aggregate(F.map_entries("links"), F.col("text"), step)
-    return rows.select("id", F.when(F.col("links").isNull(), F.col("text")).otherwise(text).alias("text"))
+    hits = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hit"), F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("target"))
+    each = docs.select("id", *keep, F.posexplode(hits).alias("at", "x")).select("id", *keep, "at", "x.hit", "x.target")
+    own = known.withColumnRenamed("id", "target").dropDuplicates(["target"]).withColumn("__known", F.lit(True))
+    each = each.join(own, "target", "left").select("id", "at", F.when(F.col("__known"), new).otherwise(F.col("hit")).alias("piece"), F.col("__known").alias("new"))
+    pieces = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("pieces"), F.count("new").alias("replaced"))
+    parts = F.arrays_zip(F.split("text", pattern, -1).alias("text"), F.col("pieces.piece").alias("piece"))
+    text = F.array_join(F.transform(parts, lambda p: F.concat(p["text"], F.coalesce(p["piece"], F.lit("")))), "")
+    rows = docs.join(pieces, "id", "left")
+    return rows.select("id", F.when(F.col("pieces").isNull(), F.col("text")).otherwise(text).alias("text"), F.coalesce("replaced", F.lit(0)).alias("replaced"), *keep)
+
+
+#: A citation that is no link yet, and one that is.
+BARE = r"\[([A-Za-z0-9][A-Za-z0-9._-]*)\](?!\()"
+LINKED = r"\[([A-Za-z][A-Za-z0-9._-]*)[^\]]*\]\([^)\s]*\)"
+
+
+def relink(docs: DataFrame, paths: DataFrame) -> DataFrame:
+    """(id, text) with bare `[known-id]` as links to paths(id, path); what is linked already stays."""
+    new = F.concat(F.lit("["), "target", F.lit("]("), "path", F.lit(")"))
+    return rewritten(docs, BARE, paths.select("id", "path"), new).select("id", "text")
+
+
+def relinked(derived: DataFrame, paths: DataFrame) -> DataFrame:
+    """derived(id, title, abstract, body, self_hash, ...) with the citations in bodies as links, and a stamp that stands put
+    anew where the body changed. paths(id, path), relative to the base; links are relative to the folder a document lies in."""
+    rows = rewritten(derived.select("id", F.coalesce("body", F.lit("")).alias("text")), BARE, paths.select("id", "path"), F.concat(F.lit("["), "target", F.lit("](../"), "path", F.lit(")")))
+    rows = derived.join(rows.where("replaced > 0").select("id", F.col("text").alias("__body")), "id", "left")
+    changed = F.col("__body").isNotNull()
+    stamp = F.when(changed & F.col("self_hash").isNotNull(), H.self_hash(F.col("title"), F.col("abstract"), F.col("__body"))).otherwise(F.col("self_hash"))
+    return rows.withColumn("self_hash", stamp).withColumn("body", F.coalesce("__body", "body")).select(*derived.columns)
 
 
 def strip_targets(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, text) of docs(id, text) with `[id more](target)` as `[id more]` for ids in known(id); other links stay."""
-    link = r"\[([A-Za-z][A-Za-z0-9._-]*)[^\]]*\]\([^)\s]*\)"
-    used = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(link), F.lit(1)))).alias("target"))
-    own = used.join(known.select(F.col("id").alias("target")).distinct(), "target", "left_semi").groupBy("id").agg(F.collect_list("target").alias("targets"))
-    rows = docs.select("id", "text").join(own, "id", "left")
-    one = lambda t: F.concat(F.lit(r"\[(\Q"), t, F.lit(r"\E(?![A-Za-z0-9._-])[^\]]*)\]\([^)\s]*\)"))
-    text = F.aggregate("targets", F.col("text"), lambda acc, t: F.regexp_replace(acc, one(t), F.lit("[$1]")))
-    return rows.select("id", F.when(F.col("targets").isNull(), F.col("text")).otherwise(text).alias("text"))
+    """docs(id, text, ...) with `[id more](target)` as `[id more]` for ids in known(id); other links stay."""
+    bare = F.concat(F.substring_index("hit", "](", 1), F.lit("]"))
+    keep = tuple(c for c in docs.columns if c not in ("id", "text"))
+    return rewritten(docs, LINKED, known.select("id"), bare, keep).select(*docs.columns)
 
 
 def source_status(r: Relations, id_: str | None = None) -> DataFrame:

@@ -277,14 +277,22 @@ _LINT_SQL = {
     "L9": " union all ".join([
         _F("L9", "error", "id", "'capture_reason'", "from sources where capture = 'reference' and coalesce(capture_reason, '') = ''"),
         _F("L9", "error", "id", "capture", "from sources where capture not in ('full', 'reference')"),
-        _F("L9", "error", "id", "'abstract'", "from derived where coalesce(abstract, '') = ''"),
+        *[_F("L9", "error", "id", f"'{f}'", f"from {t} where {f} is null") for t, fields in {"sources": ["type", "canonical"], "derived": ["derived_at"], "projects": ["type"], "decisions": ["type"]}.items() for f in fields],
+        _F("L9", "error", "id", "'origin'", "from sources where not has_origin"), _F("L9", "error", "id", "'history'", "from sources where entries = 0"),
+        _F("L9", "error", "id", "'sources'", "from derived where id not in (select doc_id from provenance)"),
+        _F("L9", "error", "id", "'members'", "from projects where not has_members"),
         _F("L9", "warn", "id", "type", "from derived where type not in ('summary', 'entity', 'concept', 'question', 'insight')"),
     ]),
     "L10": _F("L10", "warn", "doc_id", "cast(count(*) as varchar)", "from provenance p left join sources s on s.id = p.source_id group by doc_id having bool_and(coalesce(s.capture = 'reference', false))"),
     "L11": _F("L11", "error", "project_id", "member_id", f"from members {_DANGLES('member_id')}"),
+    "L5": _F("L5", "error", "id", "canonical", "from sources where held_hash <> concat('sha256:', sha256(text))"),
     "L13": " union all ".join([
-        _F("L13", "error", "id", "concat('missing ', file)", "from (select id, file from versions except select id, file from files)"),
-        _F("L13", "error", "id", "concat('unlisted ', file)", "from (select id, file from files except select id, file from versions)"),
+        _F("L13", "error", "id", f"concat('{why} {kind}', file)", f"from ({a} except {b})")
+        for kind, listed, held in (
+            ("", "select id, file from versions", "select id, file from files where not starts_with(file, 'source-text')"),
+            ("aid ", "select id, text_aid as file from versions where text_aid is not null", "select id, file from files where starts_with(file, 'source-text')"),
+        )
+        for why, a, b in (("missing", listed, held), ("unlisted", held, listed))
     ]),
     "L14": _F("L14", "error", "id", "derivation", "from derived where derivation not in ('extracted', 'model-read', 'synthesis')"),
     "L15": _F("L15", "error", "id", "'no summary'", "from sources where id not in (select source_id from provenance p join derived d on d.id = p.doc_id where d.type = 'summary')"),
@@ -294,11 +302,13 @@ _LINT_SQL = {
         _F("L17", "error", "decision_id", "source_id", "from evidence where source_id not in (select id from sources)"),
         _F("L17", "warn", "decision_id", "source_id", "from evidence e join sources s on s.id = e.source_id where s.version > e.version"),
     ]),
-    "L18": _F("L18", "warn", "doc_id", "concat(own, '/', n)", """from (select d.id as doc_id, length(regexp_replace(d.body, '^\\s+|\\s+$', '', 'g')) as own, sum(length(s.text))::bigint as n
-      from derived d join provenance p on p.doc_id = d.id join sources s on s.id = p.source_id where d.type = 'summary' group by d.id, d.body) where n >= 500 and own > n"""),
+    "L18": _F("L18", "warn", "doc_id", "concat(own, '/', n)", """from (select d.id as doc_id, length(coalesce(d.abstract, '')) + length(d.body) as own, sum(length(s.text))::bigint as n
+      from derived d join provenance p on p.doc_id = d.id join sources s on s.id = p.source_id where d.type = 'summary' group by d.id, d.abstract, d.body) where n >= 500 and own > n"""),
     "L21": " union all ".join([
-        _F("L21", "error", "id", "'no successor'", "from derived where status = 'superseded' and superseded_by is null"),
-        _F("L21", "error", "id", "superseded_by", "from derived where superseded_by not in (select id from derived)"),
+        _F("L21", "error", "id", "'superseded_at'", "from derived where status = 'superseded' and superseded_at is null"),
+        _F("L21", "error", "id", "'no successor'", "from derived where status = 'superseded' and superseded_by is null and supersede_reason is null"),
+        _F("L21", "error", "id", "superseded_by", f"from derived where status = 'superseded' and superseded_by not in (select id from {ALL_DOCS})"),
+        *[_F("L21", "error", "id", f"'not closed: {f}'", f"from derived where status <> 'superseded' and {f} is not null") for f in ("superseded_by", "superseded_at", "supersede_reason")],
     ]),
     "L23": " union all ".join([
         _F("L23", "warn", "cast(seq as varchar)", "stamp", "from log where stamp like '%noon'"),
@@ -423,10 +433,13 @@ over("index_diff", "select coalesce(s.id, h.id) as id, case when s.id is null th
 
 _STATED = """(select 'grounded_by' as relation, p.doc_id as source, p.source_id as target, coalesce(p.hash <> s.content_hash, false) as stale from provenance p left join sources s on s.id = p.source_id
   union all select 'see_also', doc_id, target, false from see_also union all select 'member_of', member_id, project_id, false from members
-  union all select 'evidence', decision_id, source_id, false from evidence union all select 'superseded_by', id, superseded_by, false from derived where superseded_by is not null)"""
+  union all select 'evidence', decision_id, source_id, false from evidence union all select 'superseded_by', id, superseded_by, false from derived where superseded_by is not null
+  union all select 'excerpt_of', s.id, (select min(w.id) from sources w where w.ref = s.upstream_ref), false from sources s where s.upstream_ref in (select ref from sources)
+  union all select 'from_repo', s.id, (select min(w.id) from sources w where w.ref = split_part(s.ref, '#', 1)), false from sources s
+    where s.system = 'repo' and contains(s.ref, '#') and split_part(s.ref, '#', 1) in (select ref from sources))"""
 _EDGES = f"(select relation, source, target, relation <> 'see_also' as directed, bool_or(stale) as stale from {_STATED} where source <> target and source in (select id from {ALL_DOCS}) and target in (select id from {ALL_DOCS}) group by 1, 2, 3, 4)"
 over("graph_edges", f"select * from {_EDGES}")(G.edges)
-over("graph_dangling", f"select distinct relation, source, target from {_STATED} where source <> target and target not in (select id from {ALL_DOCS})")(G.dangling)
+over("graph_dangling", f"select distinct relation, source, target from {_STATED} where source <> target and (target not in (select id from {ALL_DOCS}) or source not in (select id from {ALL_DOCS}))")(G.dangling)
 over("graph_degree", f"select id, count(*) as degree from (select source as id from {_EDGES} union all select target from {_EDGES}) group by 1")(lambda r: G.degree(G.edges(r)))
 over(
     "graph_bfs_depth2",
@@ -449,16 +462,42 @@ _NEAR = f"""d0 as (select 'view-1' as id), adj as (select source as f, relation,
     d1 as (select t as id, min((f, relation)) as way from adj join d0 on f = d0.id where t not in (select id from d0) group by 1),
     near as (select id, 0 as depth, null as reached_from, null as reached_by from d0 union all select id, 1, way[1], way[2] from d1)"""
 _LABELS = """(select id, ref as label from sources union all select id, title from derived union all select id, title from projects union all select id, title from decisions)"""
+_SEEN = "list_sort(list_distinct(list(f)))"
 over(
     "graph_subgraph_nodes",
-    f""", {_NEAR} select near.id, depth, reached_from, reached_by, kind, type, label, coalesce(degree, 0) as degree, near.id in {_SCOPE('view-1')} as in_scope
-    from near join {ALL_DOCS} d on d.id = near.id join {_LABELS} l on l.id = near.id
+    f""", {_NEAR}, lists as (select t as id, {_SEEN} as reached_from, list_sort(list_distinct(list(relation))) as reached_by from adj where f = 'view-1' and t <> 'view-1' group by 1)
+    select near.id, depth, coalesce(lists.reached_from, []) as reached_from, coalesce(lists.reached_by, ['seed']) as reached_by, kind, type, label, coalesce(degree, 0) as degree, near.id in {_SCOPE('view-1')} as in_scope
+    from near join {ALL_DOCS} d on d.id = near.id join {_LABELS} l on l.id = near.id left join lists on lists.id = near.id
     left join (select id, count(*) as degree from (select source as id from {_EDGES} union all select target from {_EDGES}) group by 1) g on g.id = near.id""",
-)(lambda r: G.subgraph(r, ["view-1"], project="view-1")[0])
+)(lambda r: G.subgraph(r, ["view-1"], scope="view-1")[0])
 over(
     "graph_subgraph_edges",
     f""", {_NEAR} select *, concat(relation, ':', source, ':', target) as id from {_EDGES} where source in (select id from near) and target in (select id from near)""",
-)(lambda r: G.subgraph(r, ["view-1"], project="view-1")[1])
+)(lambda r: G.subgraph(r, ["view-1"], scope="view-1")[1])
+
+#: A walk that its cap stops inside the second layer: layers in order of (least parent, id), as many of a layer as there is room for.
+_CAP = 12
+_CAPPED = f"""adj as (select source as f, relation, target as t from {_EDGES} union select target, relation, source from {_EDGES}),
+    d0 as (select 'view-1' as id), n1 as (select t as id, min(f) as p from adj join d0 on f = d0.id where t not in (select id from d0) group by 1),
+    d1 as (select id from n1 order by p, id limit {_CAP - 1}), s1 as (select id from d0 union select id from d1),
+    n2 as (select t as id, min(f) as p from adj join d1 on f = d1.id where t not in (select id from s1) and (select count(*) from n1) <= {_CAP - 1} group by 1),
+    d2 as (select id from n2 order by p, id limit (select {_CAP} - count(*) from s1)),
+    every as (select id, 0 as depth from d0 union all select id, 1 from d1 union all select id, 2 from d2)"""
+over(
+    "graph_capped",
+    f""", {_CAPPED}, w as (select e.id, f, relation from every e join adj on t = e.id join every p on p.id = f where p.depth = e.depth - 1)
+    select every.id, depth, coalesce({_SEEN.replace("list(f)", "list(f) filter (f is not null)")}, []) as reached_from,
+      case when depth = 0 then ['seed'] else list_sort(list_distinct(list(relation))) end as reached_by from every left join w on w.id = every.id group by 1, 2""",
+)(lambda r: G.all_ways(G.explore(G.adjacency(G.edges(r)), ["view-1"], 2, _CAP)).withColumn("reached_by", F.array_sort("reached_by")))
+over(
+    "graph_frontier",
+    f""", {_CAPPED} select f as id, count(*) as remaining from adj where f in (select id from d1 union select id from d2) and t not in (select id from every) group by 1""",
+)(lambda r: G.explore(G.adjacency(G.edges(r)), ["view-1"], 2, _CAP).frontier)
+over(
+    "graph_edges_capped",
+    f"""select *, (select greatest(0, count(*) - 40) from {_EDGES} where relation in ('member_of', 'evidence')) as omitted from
+      (select *, concat(relation, ':', source, ':', target) as id from {_EDGES} where relation in ('member_of', 'evidence') order by id limit 40)""",
+)(lambda r: (lambda g: g.edges.withColumn("omitted", F.lit(g.omitted_edges).cast("long")))(G.project(r, relations=["member_of", "evidence"], max_edges=40)))
 
 #: Two words that follow each other in some document, at every scale of the tables.
 _PAIR = "(select min(regexp_extract(lower(body), '([a-z]{3,} [a-z]{3,}) ', 1)) from decisions where regexp_matches(lower(body), '[a-z]{3,} [a-z]{3,} '))"
@@ -545,13 +584,21 @@ over(
     f"""select count(*) filter (s and last_contact < '2024-01-17T00:00:00Z') as in_scope, count(*) filter (not s) as outside_scope, count(*) filter (s and last_contact >= '2024-01-17T00:00:00Z') as age_filtered
     from (select *, id in {_SCOPE('view-1')} as s from {_WORK})""",
 )(lambda r: L.worklist_counts(r, AS_OF, "view-1", "14"))
+_GLOBAL = "(select member_id from members where project_id in (select id from projects where scope = 'global'))"
+_UNCOVERED = f"""(select distinct system from sources where system not in ('file', 'chat', 'inbox')
+  except select system from sources where id in {_GLOBAL} except select system from connectors where doc_id in {_GLOBAL})"""
+over("uncovered_systems", f"select system from {_UNCOVERED}")(L.uncovered_systems)
+over("status_aged", f"select id, as_of, (date '{AS_OF}' - as_of::date)::int as days_old from derived where date '{AS_OF}' - as_of::date > 10")(lambda r: L.aged(r, AS_OF, 10))
 over(
     "status_summary",
-    f"""select (select count(*) from sources) as sources, (select count(*) from sources where recoverable) as recoverable,
-      (select count(*) from sources where date '{AS_OF}' - substr(captured_at, 1, 10)::date > 10) as aged,
+    f"""select (select count(*) from sources) as sources, (select count(*) from sources where recoverable and system not in ('file', 'chat', 'inbox')) as recoverable,
+      (select count(*) from derived where date '{AS_OF}' - as_of::date > 10) as aged,
+      (select count(*) from derived where type = 'entity') as entity_docs, (select count(*) from derived where type = 'concept') as concept_docs, (select count(*) from derived where type = 'question') as question_docs,
+      (select arg_max(stamp, seq) from log where op = 'drift-check') as last_drift_check, (select arg_max(stamp, seq) from log where op = 'map') as last_map,
+      (select count(*) from log where op = 'capture' and seq > (select max(seq) from log where op = 'map')) as captures_since_map,
       (select count(*) from derived) as derived, (select count(*) from derived where status = 'superseded') as superseded,
       (select count(distinct p.doc_id) from provenance p join sources s on s.id = p.source_id join derived d on d.id = p.doc_id where p.hash <> s.content_hash and d.status <> 'stale') as stale,
-      (select count(distinct system) from sources where system not in ('file', 'chat', 'inbox') and system not in (select system from connectors)) as uncovered_systems,
+      (select count(*) from {_UNCOVERED}) as uncovered_systems,
       (select count(*) from log where op = 'capture' and seq > (select max(seq) from log where op = 'lint')) as captures_since_lint""",
 )(lambda r: L.status(r, AS_OF, 10))
 
@@ -562,14 +609,16 @@ over("index_markers", """, n as (select doc_id, count(*) as n, bool_or(coalesce(
       case when status = 'superseded' then 'superseded' when changed or status = 'stale' then 'stale' end) as markers from derived left join n on n.doc_id = id""")(P.index_markers)
 _LINE = lambda *parts: "concat('{', concat_ws(',', " + ", ".join(parts) + "), '}')"
 _KEY = lambda k, v=None: f"""case when {v or k} is not null then concat('"{k}":', to_json({v or k})) end"""
+_LIST = lambda k, v: f"""case when len({v}) > 0 then concat('"{k}":', to_json({v})) end"""
+_IS = lambda kind: "'" + f'"kind":"{kind}"' + "'"
 over(
     "index_records",
-    f"""select 0 as rank, id, {_LINE(_KEY('content_hash'), _KEY('id'), "'" + '"kind":"source"' + "'", "concat('" + '"origin":' + "', " + _LINE(_KEY('ref'), _KEY('system'), _KEY('upstream_ref')) + ")", _KEY('tier', 'capture'), _KEY('version'))} as line from sources
-    union all select 1, id, {_LINE(_KEY('abstract'), _KEY('derivation'), _KEY('id'), "'" + '"kind":"derived"' + "'", "case when p is not null then concat('" + '"provenance":[' + "', p, ']') end", _KEY('status'), _KEY('title'), _KEY('type'))}
-      from derived left join (select doc_id, string_agg({_LINE(_KEY('hash'), _KEY('id', 'source_id'))}, ',' order by source_id, hash nulls first) as p from provenance group by 1) on doc_id = id
-    union all select 2, id, {_LINE(_KEY('id'), "'" + '"kind":"project"' + "'", _KEY('scope'), _KEY('title'))} from projects
-    union all select 3, id, {_LINE("case when e is not null then concat('" + '"evidence":' + "', to_json(e)) end", _KEY('id'), "'" + '"kind":"decision"' + "'", _KEY('status'), _KEY('title'))}
-      from decisions left join (select decision_id, list(source_id order by source_id) as e from evidence group by 1) on decision_id = id""",
+    f"""select 0 as rank, id, {_LINE(_KEY('content_hash'), _KEY('id'), _IS('source'), "concat('" + '"origin":' + "', " + _LINE(_KEY('ref'), _KEY('system'), _KEY('upstream_ref')) + ")", _KEY('path'), _LIST('tags', 'tags'), _KEY('tier', 'capture'), _KEY('version'))} as line from sources
+    union all select 1, id, {_LINE(_KEY('abstract', "nullif(abstract, '')"), _KEY('as_of'), _KEY('derivation'), _KEY('id'), _IS('derived'), _KEY('path'), "case when p is not null then concat('" + '"provenance":[' + "', p, ']') end", _KEY('status'), _LIST('tags', 'tags'), _KEY('title'), _KEY('type'))}
+      from derived left join (select doc_id, string_agg(concat('{{"hash":', coalesce(to_json(hash), 'null'), ',"id":', to_json(source_id), '}}'), ',' order by ord) as p from provenance group by 1) on doc_id = id
+    union all select 2, id, {_LINE(_KEY('id'), _IS('project'), _KEY('path'), _KEY('scope'), _KEY('title'), _KEY('type'))} from projects
+    union all select 3, id, {_LINE("case when e is not null then concat('" + '"evidence":' + "', to_json(e)) end", _KEY('id'), _IS('decision'), _KEY('path'), _KEY('status'), _KEY('title'), _KEY('type'))}
+      from decisions left join (select decision_id, list(source_id order by ord) as e from evidence group by 1) on decision_id = id""",
 )(lambda r: P.index_records(r))
 over("cover_map", "select source_id, doc_id from (select p.source_id, d.id as doc_id, row_number() over (partition by p.source_id order by d.type <> 'summary', d.id) as n from provenance p join derived d on d.id = p.doc_id) where n = 1")(P.cover)
 _BLURBS = """(select s.id, coalesce(b.blurb, s.ref) as blurb from sources s left join (select source_id, concat_ws(' — ', title, nullif(abstract, '')) as blurb from
@@ -695,7 +744,7 @@ over("relink", "select id, concat('see [sum-doc-', num, '](summaries/sum-doc-',
 )
 
 
-over("source_status", "select id, capture as tier, version, num % 5 <> 0 as has_bytes, recoverable, ref as origin_ref, system as origin_system from sources")(
+over("source_status", "select id, capture as tier, version, num % 5 <> 0 and num % 67 <> 0 as has_bytes, recoverable, ref as origin_ref, system as origin_system from sources")(
     lambda r: R.source_status(replace(r, sources=r.sources.withColumn("canonical", F.expr("case when num % 5 <> 0 then canonical end"))))
 )
 over(
@@ -717,10 +766,6 @@ def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- upkeep -------------------------------------------------------------------------------------
 
-#: Versions whose text was changed after its hash was taken, every third.
-over("lint_L5", _F("L5", "error", "id", "file", "from versions where version % 3 = 0"))(
-    lambda r: lint.l5(replace(r, versions=r.versions.withColumn("text", F.when(F.col("version") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))))
-)
 over("lint_L8", _F("L8", "error", "id", "'not in the index'", f"from {ALL_DOCS} where id not in (select id from sources where num % 5 <> 0)"))(
     lambda r: lint.l8(lint.documents(r), r.sources.where("num % 5 <> 0").select(F.concat(F.lit("- ["), "id", F.lit("](sources/"), "id", F.lit("/source.md) held")).alias("text")))
 )
@@ -742,20 +787,16 @@ over(
     """select id, case when num % 3 = 0 then 'sha256:old' else concat('sha256:', sha256(concat(coalesce(title, ''), chr(10), chr(10), coalesce(abstract, ''), chr(10), chr(10),
       regexp_replace(coalesce(body, ''), '^\\s+|\\s+$', '', 'g'), chr(10)))) end as self_hash from derived""",
 )(lambda r: C.stamp(stamped(r)).select("id", "self_hash"))
-over("lint_L20", " union all ".join([
-    _F("L20", "error", "id", "'form'", "from sources where num % 6 = 1"),
-    _F("L20", "error", "id", "'upstream_ref'", "from sources where num % 6 <> 5 and upstream_ref is null"),
-    _F("L20", "error", "id", "'anchored_at'", "from sources where num % 6 = 2"),
-    _F("L20", "error", "id", "'identity'", "from sources where num % 6 = 5"),
-]))(
-    lambda r: lint.l20(
-        r.sources.select(
-            "id", "upstream_ref",
-            F.expr("case num % 6 when 1 then 'md5:0' when 5 then null when 4 then concat('git-blob:', repeat('a', 40)) else content_hash end").alias("upstream_identity"),
-            F.expr("case when num % 6 <> 2 then captured_at end").alias("anchored_at"),
-        )
-    )
-)
+#: Ledgers of sources: an entry at the current version with an anchor of a known form or another, one without, or an older one.
+_LEDGER = """select id, case when num % 9 = 8 then 0 else 1 end as version,
+  case num % 6 when 1 then 'md5:0' when 5 then null when 4 then concat('git-blob:', repeat('a', 40)) else content_hash end as upstream_identity,
+  case when num % 4 = 1 then captured_at end as anchored_at from sources"""
+over("lint_L20", f", g as ({_LEDGER}) " + " union all ".join([
+    _F("L20", "error", "id", "'form'", "from g where upstream_identity = 'md5:0'"),
+    _F("L20", "error", "g.id", "'upstream_ref'", "from g join sources using (id) where upstream_identity is not null and upstream_ref is null"),
+    _F("L20", "error", "id", "'identity'", "from g where upstream_identity is null and anchored_at is not null"),
+    _F("L20", "error", "id", "'unanchored'", "from sources s where upstream_ref is not null and not exists (select * from g where g.id = s.id and g.version = s.version and upstream_identity is not null)"),
+]))(lambda r: lint.l20(r.sources.sparkSession.sql(_LEDGER.replace("from sources", "from {s}"), s=r.sources), r.sources))
 over("lint_L22", _F("L22", "error", "id", "why", "from (select id, 'missing line' as why from projects where scope <> 'project' union all select id, 'stale line' from projects where scope = 'global')"))(
     lambda r: lint.l22(
         r.projects.select(F.to_json(F.struct("id", "scope", "title")).alias("line")),

@@ -118,8 +118,10 @@ def test_lint_on_single_defects(spark):
     stamped = C.stamp(d)
     assert lint.l19(stamped).count() == 0 and C.stamp(stamped).first() == stamped.first()
     assert lint.l19(stamped.withColumn("body", F.lit("c"))).count() == 1
-    v = spark.createDataFrame([("a", "sha256:x", None, None), ("b", None, None, "t"), ("c", "sha256:" + "0" * 64, "u", "t")], "id string, upstream_identity string, upstream_ref string, anchored_at string")
-    assert sorted(r["detail"] for r in lint.l20(v).collect()) == ["anchored_at", "form", "identity", "upstream_ref"]
+    v = spark.createDataFrame([("a", 1, "sha256:x", None), ("b", 1, None, "t"), ("c", 1, "sha256:" + "0" * 64, "t"), ("d", 1, "sha256:" + "0" * 64, None), ("e", 2, None, None)], "id string, version int, upstream_identity string, anchored_at string")
+    own = spark.createDataFrame([("a", 1, None), ("b", 1, ""), ("c", 1, "u"), ("d", 2, "u"), ("e", 2, "u"), ("f", 1, "u")], "id string, version int, upstream_ref string")
+    found = sorted((r["id"], r["detail"]) for r in lint.l20(v, own).collect())
+    assert found == [("a", "form"), ("a", "upstream_ref"), ("b", "identity"), ("d", "unanchored"), ("e", "unanchored"), ("f", "unanchored")]
     lines = spark.createDataFrame([('{"id":"a"}',), ('{"id":"b"}',)], "line string")
     assert lint.l22(lines, lines).count() == 0 and lint.l22(lines, lines.limit(1)).count() == 1
 
@@ -135,6 +137,63 @@ def test_graph_walk(spark):
     assert G.walk(G.adjacency(edges), ["a"], 0).count() == 1
 
 
+def plain_walk(edges, seeds, depth, cap):
+    """Breadth first by a loop: sorted parents, sorted neighbours, a cap that stops inside a layer."""
+    adj = {}
+    for a, rel, b in sorted(edges):
+        adj.setdefault(a, []).append((b, rel))
+    for v in adj.values():
+        v.sort()
+    meta = {s: (0, [], ["seed"]) for s in seeds}
+    layer, frontier, complete = sorted(seeds), set(), True
+    for d in range(1, depth + 1):
+        new = []
+        for node in layer:
+            for to, rel in adj.get(node, ()):
+                if to in meta:
+                    if meta[to][0] == d:
+                        meta[to][1].append(node)
+                        meta[to][2].append(rel)
+                elif cap is not None and len(meta) >= cap:
+                    complete = False
+                else:
+                    meta[to] = (d, [node], [rel])
+                    new.append(to)
+        if not complete:
+            frontier = {*layer, *new}
+            break
+        layer = sorted(new)
+    unique = lambda x: list(dict.fromkeys(x))
+    left = {n: sum(t not in meta for t, _ in adj.get(n, ())) for n in frontier}
+    return {k: (d, unique(f), unique(b)) for k, (d, f, b) in meta.items()}, {k: n for k, n in left.items() if n}, complete
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_capped_walks_of_random_graphs(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    edges = {(f"n{rnd.randint(0, 25):02}", rnd.choice("ab"), f"n{rnd.randint(0, 25):02}") for _ in range(60)}
+    df = spark.createDataFrame(sorted(edges), "from_id string, relation string, to_id string")
+    seeds = sorted({f"n{rnd.randint(0, 25):02}" for _ in range(2)})
+    for depth, cap in ((1, 5), (3, 9), (4, None), (2, 1), (3, 14)):
+        found = G.explore(df, seeds, depth, cap)
+        wanted, left, complete = plain_walk(edges, seeds, depth, cap)
+        own = {x["id"]: (x["depth"], x["reached_from"], x["reached_by"]) for x in G.all_ways(found).collect()}
+        assert (own, {x["id"]: x["remaining"] for x in found.frontier.collect()}, found.complete) == (wanted, left, complete), (depth, cap)
+
+
+def test_projection_refuses_and_reports(spark, small):
+    r = relations.stand_in(spark, small)
+    for wrong in ({"centers": ["nobody"]}, {"relations": ["likes"]}, {"direction": "up"}):
+        with pytest.raises(ValueError):
+            G.project(r, **wrong)
+    g = G.project(r, ["view-1"], 1, kinds=["decision"], max_nodes=3, max_edges=1)
+    assert (g.complete, g.limited_by) == (False, "max_nodes") and [x["id"] for x in g.nodes.collect()] == ["view-1"]
+    whole = G.project(r, relations=["member_of"])
+    assert whole.complete and whole.walk is None and whole.omitted_edges == 0 and whole.nodes.count() == lint.documents(r).count()
+
+
 def test_ladders_and_queue(spark):
     held = spark.createDataFrame([("s1", "r1", "h1", 3, "x")], "id string, ref string, hash string, version int, text string")
     batch = spark.createDataFrame(
@@ -194,12 +253,14 @@ def test_real_base(spark, tmp_path):
             (tmp_path / f"kb/sources/{name}/{f}").write_text(t)
     (tmp_path / "kb/summaries/s.md").write_text("---\nid: sum-a\ntype: summary\ntitle: T\nsources: [src-a, {id: src-b, hash: h}]\n---\nbody\n")
     (tmp_path / "kb/insights/bad.md").write_text("---\n: [\n---\nbody\n")
-    s = {r["id"]: r for r in base.sources(spark, root).collect()}
+    parsed = base.entries(spark, root)
+    own = base.sources(spark, root, parsed)
+    s = {r["id"]: r for r in own.collect()}
     assert s["src-a"]["text"] == "now" and s["src-a"]["recoverable"] is True and s["src-b"]["text"] == "aid"
-    assert base.versions(base.sources(spark, root)).count() == 2
-    d = base.derived(spark, root)
+    assert base.versions(own).count() == 2
+    d = base.documents(parsed, *base.FOLDERS)
     assert [(r["doc_id"], r["id"], r["hash"]) for r in base.exploded(d, "sources", "id", "hash").collect()] == [("sum-a", "src-a", None), ("sum-a", "src-b", "h")]
-    assert d.where("id is null").count() == 1 and d.where("id = 'sum-a'").first()["body"] == "body\n"
+    assert [r["id"] for r in base.unreadable(parsed).collect()] == ["insights/bad.md"] and d.where("id = 'sum-a'").first()["body"] == "body\n"
 
 
 def test_views(spark, small):
@@ -273,7 +334,7 @@ def test_real_base_runs_operators(spark, tmp_path):
     write("summaries/s.md", f"---\nid: sum-a\ntype: summary\ntitle: About words\nstatus: current\nsources: [{{id: src-a, hash: {digest}}}, {{id: src-none, hash: h}}]\nsee_also: [sum-a]\n---\nbody\n")
     write("projects/p.md", "---\nid: view\ntype: project\ntitle: V\nscope: project\nmembers: [src-a, sum-a]\n---\n")
     write("decisions/d.md", "---\nid: dec\ntype: decision\ntitle: D\nstatus: accepted\ndate: '2024-01-02'\nevidence: [{id: src-a, version: 1}]\n---\nwhy\n")
-    write("log.md", "# Log\n## [2024-01-01T00:00:00Z] capture | src-a | new\n## [2024-01-02T00:00:00Z] drift-check | src-a | unreachable\n")
+    write("log.md", "# Log\n## [2024-01-01T00:00:00Z] capture | src-a | new\n## [2024-01-02T00:00:00Z] drift-check | same=0 changed=0 unreachable=1 | checked: src-a=unreachable\n")
     write("usage.jsonl", '{"ts":"2024-01-03T00:00:00Z","op":"find","bytes_in":3,"ids":["src-a","sum-a"]}\n')
     write("queue/t.md", "---\nid: task-1\ntype: ingest\nstatus: pending\ninputs:\n  - a b\n  - c\n---\nDo it.\n")
     write("queue/none.md", "---\ntype: ingest\n---\nNo id.\n")
