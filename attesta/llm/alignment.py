@@ -57,6 +57,9 @@ class Transducer:
 
     def __init__(self, a: list[bytes], b: list[bytes]) -> None:
         self.sides = a, b
+        numbers: dict[bytes, int] = {}
+        # tokens without bytes are alike to none: they go through the steps, which refuse them
+        self.same = [np.array([numbers.setdefault(t, len(numbers)) if t else -1 - k for t in side], np.int64) for k, side in enumerate(self.sides)]
         self.clear()
 
     def clear(self) -> None:
@@ -90,34 +93,51 @@ class Transducer:
         self.known += 1
         return to
 
-    def align(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
-        """Ends of the groups as (tokens of a, tokens of b) so far; None if the bytes differ."""
+    def align(self, a: list[int], b: list[int], ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ends of the groups, as numbers of tokens of a and of b (given as arrays too) so far; None if the bytes differ.
+
+        Where nothing dangles and both next tokens have the same bytes, a group opens and closes: tokens are numbered by
+        their bytes, so these two commonest steps are one comparison. Every token is taken for the last of its group
+        until a group of several says otherwise.
+        """
         if self.known > STEPS:
             self.clear()
         steps, leads = self.steps, self.leads
-        i = j = state = 0
+        same_a, same_b = self.same[0][ids_a].tolist(), self.same[1][ids_b].tolist()
+        i = j = 0
         n, m = len(a), len(b)
-        out: list[tuple[int, int]] = []
-        while True:
-            if leads[state]:
-                if j == m:
-                    return None
-                token = b[j]
-                j += 1
-            else:
-                if i == n:
-                    # the second side must not have more to say
-                    return out if state == 0 and j == m else None
-                token = a[i]
+        last_a, last_b = bytearray(b"\1") * n, bytearray(b"\1") * m
+        while i < n and j < m:
+            if same_a[i] == same_b[j]:
                 i += 1
-            to = steps[state].get(token)
-            if to is None:
-                to = self.step(state, token)
-            if to < 0:
-                return None
-            state = to
-            if not state:
-                out.append((i, j))
+                j += 1
+                continue
+            p, q, state, token = i, j, 0, a[i]
+            i += 1
+            while True:
+                to = steps[state].get(token)
+                if to is None:
+                    to = self.step(state, token)
+                if to < 0:
+                    return None
+                state = to
+                if not state:
+                    break
+                if leads[state]:
+                    if j == m:
+                        return None
+                    token = b[j]
+                    j += 1
+                else:
+                    if i == n:
+                        return None
+                    token = a[i]
+                    i += 1
+            last_a[p : i - 1] = bytes(i - 1 - p)
+            last_b[q : j - 1] = bytes(j - 1 - q)
+        if i < n or j < m:
+            return None
+        return tuple(np.flatnonzero(np.frombuffer(x, np.uint8)) + 1 for x in (last_a, last_b))
 
 
 class Aligner:
@@ -129,32 +149,33 @@ class Aligner:
         a = [self.encoder.decode_single_token_bytes(i) if size else b"" for i, size in enumerate(sizes)]
         b = piece_bytes(self.model)
         self.transducer = Transducer(a, b)
-        self.written = [str(i) for i in range(max(len(a), len(b)))]
+        #: An id and what follows it: another of its side, the other side, the next group.
+        self.written = np.array([f"{i}{sign}".encode() for i in range(max(len(a), len(b))) for sign in ",|;"])
 
-    def groups(self, text: str | None) -> tuple[list[int], list[int], list[tuple[int, int]]]:
-        """Ids of both sides and the groups' ends; nothing at all where there are no tokens."""
+    def groups(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both sides and the groups' ends on both; nothing at all where there are no tokens."""
         if text:
-            a, b = self.encoder.encode_ordinary(" " + text), self.model.encode(text, num_threads=1)
-            found = self.transducer.align(a, b)
+            both = self.encoder.encode_ordinary(" " + text), self.model.encode(text, num_threads=1)
+            a, b = (np.array(ids, np.int64) for ids in both)
+            found = self.transducer.align(*both, a, b)
             if found is not None:
-                return a, b, found
-        return [], [], []
+                return a, b, *found
+        return (np.zeros(0, np.int64),) * 4
 
     def row(self, text: str | None) -> tuple:
-        a, b, found = self.groups(text)
-        if not found:
+        a, b, p, q = self.groups(text)
+        if not len(p):
             return 0, 0, 0, "", [], []
-        written = self.written
-        parts, links, i, j = [], [], 0, 0
-        for p, q in found:
-            if p - i == 1 and q - j == 1:
-                parts.append(written[a[i]] + "|" + written[b[j]])
-            else:
-                parts.append(",".join([written[x] for x in a[i:p]]) + "|" + ",".join([written[x] for x in b[j:q]]))
-            links.append(a[p - 1] << B_BITS | b[q - 1])
-            i, j = p, q
-        link, times = np.unique(np.array(links, np.int64), return_counts=True)
-        return len(a), len(b), len(found), hashlib.sha256(";".join(parts).encode()).hexdigest(), link, times
+        # every token with the sign behind it, at its place: a group's first tokens stand behind all earlier second ones
+        signs = np.zeros(len(a) + len(b), np.int64)
+        ids = np.empty(len(a) + len(b), np.int64)
+        at_a = np.arange(len(a)) + np.repeat(np.concatenate([[0], q[:-1]]), np.diff(p, prepend=0))
+        at_b = np.arange(len(b)) + np.repeat(p, np.diff(q, prepend=0))
+        ids[at_a], ids[at_b] = a, b
+        signs[at_a[p - 1]], signs[at_b[q - 1]] = 1, 2
+        text = self.written[ids * 3 + signs].tobytes().translate(None, b"\0")  # what fills short numbers goes
+        link, times = np.unique(a[p - 1] << B_BITS | b[q - 1], return_counts=True)
+        return len(a), len(b), len(p), hashlib.sha256(text[:-1]).hexdigest(), link, times
 
 
 def most_links(ranks: str, pieces: str) -> int:
