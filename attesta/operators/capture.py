@@ -6,11 +6,14 @@ are taken in order of `seq`; there is one writer.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import hashing as H
 from attesta.functions import text as T
+from attesta.functions.lineage import cut, numbered
 from attesta.sources.extract import extracted
 
 #: Bytes from which a capture must be allowed by name.
@@ -64,29 +67,89 @@ def dedup_check(incoming: DataFrame, held: DataFrame) -> DataFrame:
     return rows.select("id", status.alias("status"), F.when(by_ref, "origin.ref").otherwise("content-hash").alias("method"), match.alias("match_id"))
 
 
+def _outlook(rows: DataFrame, state: DataFrame, force_new: bool) -> DataFrame:
+    """rows with what the state would make of each: hash_match, held_now (the hash its own id holds), ref_match and outcome."""
+    seen = matches(rows, state.select("id", "ref", "hash"))
+    own = state.select(F.col("id").alias("id_match"), F.col("hash").alias("held_now"))
+    seen = seen.join(own, "id_match", "left")
+    outcome = (
+        F.when(F.col("hash_match").isNotNull(), "deduped").when(F.col("id_match").isNotNull(), "versioned")
+        .when(F.col("ref_match").isNotNull() & F.lit(not force_new), "refused").otherwise("created")
+    )
+    return seen.withColumn("outcome", outcome)
+
+
+def _settled(seen: DataFrame, force_new: bool) -> DataFrame:
+    """seen with `settled`: no undecided row before it can change its outcome; and with what becomes of it then.
+
+    Each condition compares a row's place with the first place at which some other row could matter, so keys are summed up
+    before anything is joined, and a key that many rows share is one row. A run of versions of one id whose contents occur
+    nowhere else is settled together with its first row.
+    """
+    at, new = F.col("seq"), F.col("id_match").isNull()
+    # a row of a new id that is not refused may create it; refusals stay, as sources never go
+    maker = F.when(new & (F.col("outcome") != "refused"), at)
+    by_hash = seen.groupBy(F.col("hash").alias("__h")).agg(F.min("seq").alias("first_hash"), F.count(F.lit(1)).alias("n_hash"))
+    leaves = seen.where(F.col("held_now") != F.col("hash")).groupBy(F.col("held_now").alias("__l")).agg(F.min("seq").alias("first_leave"))
+    by_id = seen.groupBy(F.col("id").alias("__i")).agg(F.min("seq").alias("first_id"), F.min(maker).alias("first_maker"))
+    by_ref = seen.where("ref is not null").groupBy(F.col("ref").alias("__r")).agg(F.min(maker).alias("first_ref"))
+    rows = seen.join(by_hash, F.col("hash") == F.col("__h"), "left").join(leaves, F.col("hash") == F.col("__l"), "left")
+    rows = rows.join(by_id, F.col("id") == F.col("__i"), "left").join(by_ref, F.col("ref") == F.col("__r"), "left")
+    unless_before = lambda c: F.coalesce(F.col(c) >= at, F.lit(True))
+    kept = F.col("outcome")
+    fresh = F.col("first_hash") == at
+    settled = (
+        F.when(kept == "deduped", F.coalesce(F.col("first_leave") > at, F.lit(True))).when(kept == "versioned", fresh & (F.col("first_id") == at))
+        .when(kept == "refused", fresh & unless_before("first_maker"))
+        .otherwise(fresh & (F.col("first_id") == at) & (F.lit(force_new) | unless_before("first_ref")))
+    )
+    rows = rows.withColumn("settled", settled).withColumn("private", (F.col("n_hash") == 1) & F.col("hash_match").isNull())
+    head = F.col("first_id") == at
+    takes = head & F.col("settled") & kept.isin("versioned", "created")
+    runs = rows.groupBy(F.col("id").alias("__g")).agg(F.bool_or(takes).alias("led"), F.min(F.when(~head & ~F.col("private"), at)).alias("first_public"))
+    rows = rows.join(runs, F.col("id") == F.col("__g"), "left")
+    follows = ~head & F.col("led") & F.col("private") & F.coalesce(F.col("first_public") > at, F.lit(True))
+    return rows.withColumn("outcome", F.when(follows, "versioned").otherwise(kept)).withColumn("settled", F.col("settled") | follows)
+
+
 def capture(incoming: DataFrame, held: DataFrame, force_new: bool = False, allow_large: bool = False) -> DataFrame:
-    """(seq, id, action, target, version) of a batch incoming(seq, id, ref, hash, size).
+    """(seq, id, action, target, version) of a batch incoming(seq, id, ref, hash, size), as if taken in one by one in order of seq.
+
+    A known hash is deduped; a known id gets its next version; a new id on a known ref is refused unless forced; anything else
+    is created. held(id, ref, hash, version) are current versions. Rows see what earlier rows of the batch have made: a content
+    or id that they created, a ref they took, a content that a new version replaced. target is the source whose content, id or ref
+    it is (of a forced row: the one it splits from).
 
-    A known hash is deduped; a known id gets its next version; a new id on a known ref is refused
-    unless forced; anything else is created. Rows of one batch see the first row with their hash, and
-    rows of one id get versions in order. held(id, ref, hash, version) are current versions.
+    Rounds: every row that no undecided row before it can affect is decided, the sources they changed are noted, and the rest
+    is looked at again. The first undecided row can always be decided; rounds are as many as the longest chain of rows that
+    hang on each other in turn, not as rows on one key. seq tells rows apart.
     """
-    first = F.row_number().over(Window.partitionBy("hash").orderBy("seq")) == 1
-    rows = matches(incoming.withColumn("__first", first), held.select("id", "ref", "hash"))
-    rows = rows.join(held.select(F.col("id").alias("id_match"), F.col("version").alias("__v")), "id_match", "left")
     large = F.lit(False) if allow_large else F.col("size") >= LARGE
-    action = (
-        F.when(large, "refused")
-        .when(F.col("hash_match").isNotNull() | ~F.col("__first"), "deduped")
-        .when(F.col("id_match").isNotNull(), "versioned")
-        .when(F.col("ref_match").isNotNull() & F.lit(not force_new), "refused")
-        .otherwise("created")
-    )
-    rows = rows.withColumn("action", action)
-    takes = F.col("action").isin("versioned", "created").cast("int")
-    n = F.sum(takes).over(Window.partitionBy("id").orderBy("seq"))
-    version = F.when(takes == 1, F.coalesce("__v", F.lit(0)) + n)
-    return rows.select("seq", "id", "action", F.coalesce("hash_match", "id_match", "ref_match").alias("target"), version.cast("int").alias("version"))
+    rows = cut(incoming.select("seq", "id", "ref", "hash", large.alias("large")))
+    held = held.select("id", "ref", "hash", "version")
+    done = [rows.where("large").select("seq", "id", F.lit("refused").alias("action"), F.lit(None).cast("string").alias("target"))]
+    rows, changed = rows.where("not large").drop("large"), None
+    while not rows.isEmpty():
+        now = held.drop("version")
+        if changed is not None:
+            now = now.join(changed.select("id"), "id", "left_anti").unionByName(changed)
+        seen = cut(_settled(cut(_outlook(rows, now, force_new)), force_new).select("seq", "id", "ref", "hash", "outcome", "hash_match", "id_match", "ref_match", "settled"))
+        ready = seen.where("settled")
+        follower = F.when(F.col("outcome") == "versioned", F.col("id"))
+        target = F.when(F.col("outcome") == "deduped", F.col("hash_match")).otherwise(F.coalesce(follower, "ref_match"))
+        done.append(ready.select("seq", "id", F.col("outcome").alias("action"), target.alias("target")))
+        taken = ready.where("outcome in ('versioned', 'created')").groupBy("id").agg(F.max_by("hash", "seq").alias("hash"), F.min_by("ref", "seq").alias("made_on"))
+        before = now.select("id", F.col("ref").alias("old_ref"), F.lit(True).alias("old"))
+        taken = taken.join(before, "id", "left").select("id", F.when(F.col("old"), F.col("old_ref")).otherwise(F.col("made_on")).alias("ref"), "hash")
+        changed = cut(taken if changed is None else changed.join(taken.select("id"), "id", "left_anti").unionByName(taken))
+        rows = seen.where("not settled").select("seq", "id", "ref", "hash")
+    out = reduce(DataFrame.unionByName, done)
+    # versions count on from the held one in order of seq; ranges of (id, seq) number them, so an id of many rows is no single task's
+    takes = numbered(out.where("action in ('versioned', 'created')").select("id", "seq"), "__n", "id", "seq")
+    start = takes.groupBy("id").agg(F.min("__n").alias("__start"))
+    takes = takes.join(start, "id").join(held.select("id", F.col("version").alias("__v")), "id", "left")
+    takes = takes.select("seq", (F.coalesce("__v", F.lit(0)) + F.col("__n") - F.col("__start") + 1).cast("int").alias("version"))
+    return out.join(takes, "seq", "left").select("seq", "id", "action", "target", "version")
 
 
 def current_versions(versions: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import text as T
-from attesta.functions.lineage import cut
+from attesta.functions.lineage import cut, numbered
 from attesta.operators.lint import documents
 from attesta.sources.relations import Relations
 
@@ -85,13 +85,8 @@ class Walk:
 
 
 def first(rows: DataFrame, n: int, *order: str) -> DataFrame:
-    """The first n rows in an order that tells rows apart: ranges are sorted on the executors, and one row a range says where the cut lies."""
-    ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("__at", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("__part", F.shiftright("__at", 33))
-    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    starts = counts.selectExpr("__part", "sum(__n) over (order by __part) - __n as __start")
-    place = F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    return ranged.join(F.broadcast(starts), "__part").where(place < n).select(*rows.columns)
+    """The first n rows in an order that tells rows apart."""
+    return numbered(rows, "__place", *order).where(F.col("__place") < n).drop("__place")
 
 
 def explore(adjacent: DataFrame, centers: list[str], depth: int = 1, max_nodes: int | None = None) -> Walk:

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from attesta.functions import hashing as H
 from attesta.functions import text as T
+from attesta.functions.lineage import scratch
 from attesta.operators import capture as C
+from attesta.operators import catalog as KB
 from attesta.operators import graph as G
 from attesta.operators import ledger as L
 from attesta.operators import lint
@@ -145,15 +147,36 @@ over(
     from m left join sources h on h.id = coalesce(im, rm)""",
 )(lambda r: C.dedup_check(incoming(r), held(r)))
 
+#: A batch whose rows hang on each other: an id made two rows before, a ref taken in the batch, the twin of a row that was refused, a
+#: content that a new version has replaced, one that the batch brought itself, a file that is too large.
+_BATCH = """select num as seq, case when num % 12 in (1, 3, 10) then id when num % 12 = 6 then concat('new-', num - 1) else concat('new-', num) end as id,
+  case when num % 12 in (0, 1, 2) then ref when num % 12 = 7 then concat('else/', num - 2) else concat('else/', num) end as ref,
+  case num % 12 when 0 then content_hash when 8 then concat('h-', num - 1) when 9 then before when 10 then concat('h-', num - 5) else concat('h-', num) end as hash,
+  case when num % 12 = 11 then 26214400 else 10 end as size
+from (select s.num, s.id, s.ref, s.content_hash, coalesce(p.content_hash, 'h-none') as before from sources s left join sources p on p.num = s.num - 8) v"""
+
+
+def batch(r: Relations) -> DataFrame:
+    return r.sources.sparkSession.sql(_BATCH.replace("sources s", "{sources} s").replace("sources p", "{sources} p"), sources=r.sources)
+
+
 over(
     "capture_batch",
-    _HELD + """, f as (select *, row_number() over (partition by hash order by seq) = 1 as first_ from m),
-    a as (select *, case when size >= 26214400 then 'refused' when hm is not null or not first_ then 'deduped' when im is not null then 'versioned'
-      when rm is not null then 'refused' else 'created' end as action from f)
-    select seq, id, action, coalesce(hm, im, rm) as target,
-      cast(case when action in ('versioned', 'created') then case when im is not null then 1 else 0 end
-        + sum(case when action in ('versioned', 'created') then 1 else 0 end) over (partition by id order by seq) end as int) as version from a""",
-)(lambda r: C.capture(incoming(r), held(r).drop("text")))
+    f""", b as (select row_number() over (order by seq) as i, * from ({_BATCH})),
+    steps as (with recursive s as (
+      select 0::bigint as i, (select list({{'id': id, 'ref': ref, 'hash': content_hash, 'v': version::int}}) from sources) as held, null::bigint as seq, null::varchar as id, null::varchar as action, null::varchar as target, null::int as version
+      union all
+      select b.i, case action2 when 'created' then list_append(held, {{'id': b.id, 'ref': b.ref, 'hash': b.hash, 'v': 1}})
+          when 'versioned' then list_transform(held, lambda x: {{'id': x.id, 'ref': x.ref, 'hash': case when x.id = b.id then b.hash else x.hash end, 'v': case when x.id = b.id then x.v + 1 else x.v end}}) else held end,
+        b.seq, b.id, action2, case action2 when 'deduped' then hm when 'versioned' then b.id when 'refused' then case when b.size < 26214400 then rm end end,
+        case action2 when 'created' then 1 when 'versioned' then own + 1 end
+      from (select s.held, b.*, list_min(list_transform(list_filter(s.held, lambda x: x.hash = b.hash), lambda x: x.id)) as hm,
+          list_min(list_transform(list_filter(s.held, lambda x: x.ref = b.ref), lambda x: x.id)) as rm, list_max(list_transform(list_filter(s.held, lambda x: x.id = b.id), lambda x: x.v)) as own
+        from s join b on b.i = s.i + 1) b,
+        lateral (select case when b.size >= 26214400 then 'refused' when hm is not null then 'deduped' when own is not null then 'versioned' when rm is not null then 'refused' else 'created' end as action2) q
+    ) select * from s)
+    select seq, id, action, target, version from steps where i > 0""",
+)(lambda r: C.capture(batch(r), held(r).drop("text")))
 
 over("version_current", "select id, version, content_hash, file from (select *, row_number() over (partition by id order by version desc) as n from versions) where n = 1")(
     lambda r: C.current_versions(r.versions)
@@ -514,6 +537,32 @@ def query_phrase(r: Relations) -> DataFrame:
     return V.facets(r, words=own.agg(F.min("p")).first()[0].replace(" ", "-"), kind="decision", limit=500)
 
 
+def indexed(rows: DataFrame) -> str:
+    """An index in two generations: of documents by turns older and as they are now."""
+    store = scratch(rows.sparkSession)
+    old = F.pmod(F.xxhash64("id"), F.lit(3)) == 0
+    KB.refresh(rows.where("id not like '%7'").withColumn("text", F.when(old, F.lit("old words")).otherwise(F.col("text"))).withColumn("ident", F.when(old, "old").otherwise(F.col("ident"))), store)
+    KB.refresh(rows, store)
+    return store
+
+
+@over("catalog_words", _SQL["query_words_bm25"].split(duckdb_ctes())[1])
+def catalog_words(r: Relations) -> DataFrame:
+    rows = r.sources.select("id", F.lit("source").alias("kind"), F.lit(0).alias("rank"), "type", F.lit(None).cast("string").alias("status"), "text", F.col("content_hash").alias("ident"))
+    return KB.ranked(rows.sparkSession, indexed(rows), "the EN").select("id", F.round("score", 6).alias("score"))
+
+
+@over("catalog_phrase", _SQL["query_phrase"].split(duckdb_ctes())[1])
+def catalog_phrase(r: Relations) -> DataFrame:
+    own = r.decisions.select(F.regexp_extract(F.lower("body"), "([a-z]{3,} [a-z]{3,}) ", 1).alias("p")).where("p <> ''")
+    phrase = own.agg(F.min("p")).first()[0].replace(" ", "-")
+    return KB.query(r, indexed(KB.documents(r)), words=phrase, kind="decision", limit=500).hits
+
+
+over("catalog_info", f"""select count(*) as docs, count(*) filter (kind = 'source') as source_docs, count(*) filter (kind = 'derived') as derived_docs, count(*) filter (kind = 'project') as project_docs,
+      count(*) filter (kind = 'decision') as decision_docs, sum(len(w)) as words, (select count(distinct t) from (select unnest({_TOKENS.replace('text', "concat_ws(' ', identity, mention)")}) as t from {_CATALOG})) as different_words, 2 as generations
+    from (select kind, {_TOKENS.replace('text', "concat_ws(' ', identity, mention)")} as w from {_CATALOG})""")(lambda r: KB.info(r.sources.sparkSession, indexed(KB.documents(r))))
+
 over("embed_hashed", f"""select id, ('0x' || substr(md5(w), 1, 6))::int % 16 as cell, sum(case when substr(md5(w), 32, 1) < '8' then 1 else -1 end)::bigint as weight
     from (select id, unnest({_TOKENS}) as w from sources) group by 1, 2""")(
     lambda r: V.hashed(r.sources.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\\p{L}\\p{N}]+)".replace("\\\\", "\\")), F.lit(1))).alias("word")), 16)

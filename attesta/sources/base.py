@@ -242,9 +242,7 @@ def scaffold(spark: SparkSession, root: str, name: str) -> bool:
         return False
     for folder in ["sources", *FOLDERS, "projects", "decisions"]:
         fs.mkdirs(hadoop.Path(f"{root}/{folder}"))
-    out = fs.create(hadoop.Path(f"{root}/base.yml"))
-    out.write(bytearray(f"version: '1.2'\nname: {json.dumps(name)}\n".encode()))
-    out.close()
+    storage.publish(spark, f"{root}/base.yml", f"version: '1.2'\nname: {json.dumps(name)}\n", replace=True)
     return True
 
 

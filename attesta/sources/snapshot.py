@@ -1,10 +1,8 @@
 """A parsed base that is kept: a listing is held against it, and only what changed is read and parsed.
 
-The store is a folder of its own on any Hadoop file system. A generation is a Parquet table of the files
-that changed (parsed) or went (`gone`); a head file names the generations that hold, oldest first. Of a
-path its last generation counts. Heads are numbered and appear whole, so a reader sees one state, a
-lost job leaves only a folder that nobody names, and of two writers one is told to try again. After
-KEPT generations a refresh writes them as one; folders that neither of the last two heads names are deleted.
+The store (see storage) is a folder of its own on any Hadoop file system. A generation is a Parquet table of
+the files that changed (parsed) or went (`gone`); of a path its last generation counts. After KEPT generations a
+refresh writes them as one.
 
 A file counts as changed by its time or its size; nothing is read to find out. What the store says is never
 the authority: it can be deleted at any time, and the next refresh builds it anew.
@@ -12,8 +10,6 @@ the authority: it can be deleted at any time, and the next refresh builds it ane
 
 from __future__ import annotations
 
-import json
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -25,14 +21,6 @@ from attesta.sources import base, storage
 KEPT = 8
 
 
-def head(spark: SparkSession, store: str) -> tuple[int, list[str]]:
-    """Number of the last head (0: none) and the generations it names."""
-    numbers = [int(f.removeprefix("head-")) for f in storage.folders(spark, store) if f.startswith("head-")]
-    if not numbers:
-        return 0, []
-    return max(numbers), json.loads(storage.read(spark, f"{store}/head-{max(numbers):08d}"))
-
-
 def _generation(spark: SparkSession, store: str, name: str) -> DataFrame:
     return spark.read.schema(f"{base.ENTRY}, gone boolean").parquet(f"{store}/{name}")
 
@@ -51,7 +39,7 @@ def _held(spark: SparkSession, store: str, names: list[str]) -> DataFrame:
 
 def entries(spark: SparkSession, store: str) -> DataFrame:
     """What the store holds now, as base.parsed gives it."""
-    return _held(spark, store, head(spark, store)[1])
+    return _held(spark, store, storage.generations(spark, store)[1])
 
 
 def refresh(spark: SparkSession, root: str, store: str) -> dict[str, int | str]:
@@ -60,7 +48,7 @@ def refresh(spark: SparkSession, root: str, store: str) -> dict[str, int | str]:
     The listing has no contents. Of the changed files the earliest and the latest time and the sizes bound what the
     second reading opens (the source leaves others closed), and a semi join keeps exactly the changed ones.
     """
-    number, names = head(spark, store)
+    number, names = storage.generations(spark, store)
     held = _held(spark, store, names)
     now = base.carriers(spark, root).drop("content")
     both = now.join(held.select("path", F.col("mtime").alias("was"), F.col("length").alias("had")), "path", "full_outer")
@@ -82,21 +70,16 @@ def refresh(spark: SparkSession, root: str, store: str) -> dict[str, int | str]:
             fresh = spark.createDataFrame([], base.ENTRY)
         went = todo.where("gone").select("path", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fresh.schema[1:]])
         delta = fresh.withColumn("gone", F.lit(False)).unionByName(went.withColumn("gone", F.lit(True)))
-        name = f"generation-{number + 1:08d}-{uuid.uuid4().hex[:8]}"
+        name = storage.name_of(number + 1)
         delta.write.option("compression", "zstd").parquet(f"{store}/{name}")
         names = [*names, name]
     finally:
         todo.unpersist()
     if len(names) > KEPT:
-        one = f"generation-{number + 1:08d}-{uuid.uuid4().hex[:8]}"
+        one = storage.name_of(number + 1)
         _held(spark, store, names).withColumn("gone", F.lit(False)).write.option("compression", "zstd").parquet(f"{store}/{one}")
         names = [one]
-    before = head(spark, store)[1]
-    storage.publish(spark, f"{store}/head-{number + 1:08d}", json.dumps(names))
-    for f in storage.folders(spark, store):
-        old = f.startswith("head-") and int(f.removeprefix("head-")) < number
-        if old or (f.startswith("generation-") and f not in {*names, *before} and int(f.split("-")[1]) <= number):
-            storage.remove(spark, f"{store}/{f}")
+    storage.advance(spark, store, number + 1, names)
     return {"status": "refreshed", "parsed": seen.get["n"] if bounds["n"] else 0, "gone": gone, "docs": docs}
 
 
