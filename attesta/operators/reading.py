@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,21 +73,57 @@ def units(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.posexplode(T.logical_units(F.col("text"))).alias("ord", "unit"))
 
 
+#: Quotations of one source that are looked for in one pass.
+PATTERNS = 2000
+
+
+def occurring(text: Column, parts: Column) -> Column:
+    """Whether each of an array of texts occurs in a text: Arrow-batched, one automaton of all parts and one pass over the text."""
+
+    @F.pandas_udf("array<boolean>")
+    def run(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        def one(hay: str, needles: list[str]) -> list[bool]:
+            if len(needles) == 1:
+                return [needles[0] in hay]
+            words = ahocorasick.Automaton()
+            for n in needles:
+                words.add_word(n, n)
+            words.make_automaton()
+            found = {n for _, n in words.iter(hay)}
+            return [n in found for n in needles]
+
+        return pd.Series([one(t, list(w)) for t, w in zip(texts, wanted)], dtype=object)
+
+    return run(text, parts)
+
+
 def quote_gate(drafts: DataFrame, provenance: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, ord, span, ok): quotations of drafts(id, text) against the sources their unit cites.
 
-    A unit is checked if it cites a source of its document; a quotation holds if any cited source with
-    text contains it, quotes and white space alike. Sources are normalised once, below the join, and
-    joined by id: no nested loop.
+    A unit is checked if it cites a source of its document; a quotation holds if any cited source with text contains it, quotes
+    and white space alike. The different quotations of a source are looked for together, PATTERNS in one pass, so its text moves
+    once a pass however many drafts cite it; only cited sources are normalised.
     """
-    rows = units(drafts)
+    # documents without sources and units without both signs need no look
+    drafts = drafts.join(provenance.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    rows = units(drafts).where(F.contains("unit", F.lit("[")))
     spans = rows.select("id", "ord", F.explode(F.array_distinct(F.regexp_extract_all("unit", F.lit(SPAN), F.lit(1)))).alias("raw"))
     spans = spans.select("id", "ord", T.quotes(F.col("raw")).alias("span")).where(F.length("span") >= QUOTE)
     cited = rows.select("id", "ord", F.explode(F.array_distinct(F.regexp_extract_all("unit", F.lit(CITED), F.lit(1)))).alias("source_id"))
     cited = cited.join(provenance.select(F.col("doc_id").alias("id"), "source_id").distinct(), ["id", "source_id"])
-    texts = sources.select(F.col("id").alias("source_id"), T.quotes(F.coalesce("text", F.lit(""))).alias("hay")).where("hay <> ''")
-    checked = spans.join(cited, ["id", "ord"]).join(texts, "source_id")
-    return checked.groupBy("id", "ord", "span").agg(F.bool_or(F.contains("hay", F.col("span"))).alias("ok"))
+    pairs = spans.join(cited, ["id", "ord"])
+    asked = pairs.select("source_id", "span").distinct()
+    many = asked.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    turn = F.pmod(F.xxhash64("span"), F.ceil(F.col("n") / PATTERNS))
+    batches = asked.join(many, "source_id").groupBy("source_id", turn.alias("turn")).agg(F.collect_list("span").alias("spans"))
+    texts = sources.select(F.col("id").alias("source_id"), "text").join(batches, "source_id")
+    texts = texts.select("source_id", "spans", T.quotes(F.coalesce("text", F.lit(""))).alias("hay")).where("hay <> ''")
+    held = texts.select("source_id", F.col("spans").alias("span"), occurring(F.col("hay"), F.col("spans")).alias("ok"))
+    held = held.select("source_id", F.explode(F.arrays_zip("span", "ok")).alias("x"))
+    checked = pairs.join(held.select("source_id", "x.*"), ["source_id", "span"])
+    return checked.groupBy("id", "ord", "span").agg(F.bool_or("ok").alias("ok"))
 
 
 def mentions(queries: DataFrame, docs: DataFrame, words: int = 4) -> DataFrame:
