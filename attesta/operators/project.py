@@ -10,6 +10,7 @@ from attesta.operators.ledger import NEAR
 from attesta.operators.lint import stale_pairs
 from attesta.operators.retrieve import RANK, in_scope
 from attesta.sources.relations import Relations
+from attesta.sources.repository import named_surfaces
 
 
 def json_of(c: Column) -> Column:
@@ -103,16 +104,22 @@ def repo_coverage(captured: DataFrame, surfaces: DataFrame) -> DataFrame:
     return rows.groupBy("repo").agg(F.count(F.lit(1)).alias("surfaces"), F.count("held").alias("covered"), (F.count(F.lit(1)) - F.count("held")).alias("uncaptured"))
 
 
-def manifest_surfaces(lines: DataFrame) -> DataFrame:
-    """(label, path, hash) from the head of a repository manifest: lines(seq, line), up to `---`."""
-    stop = F.min(F.when(F.trim("line") == "---", F.col("seq"))).over(Window.partitionBy())
-    head = lines.withColumn("stop", stop).where("stop is null or seq < stop")
-    pattern = r"^- ([^:]+): (.*) — (sha256:[0-9a-f]{64})$"
-    own = head.where(F.col("line").rlike(pattern))
-    cut = lambda k: F.regexp_extract("line", pattern, k)
-    return own.select(cut(1).alias("label"), F.explode(F.split(cut(2), ", ")).alias("path"), cut(3).alias("hash"))
-
-
+def footprint(r: Relations) -> DataFrame:
+    """(repo, part, id, path) of what is held about each repository: its constitution (the source whose ref is the locator itself),
+    the files captured from it, the documents that rest on any of these, and the paths its constitution names that nothing was captured of."""
+    own = r.sources.where("system = 'repo' and ref <> ''").select("id", "text", T.locator(F.col("ref")).alias("repo"), F.regexp_extract("ref", "#(.*)$", 1).alias("region"), F.contains("ref", F.lit("#")).alias("inside"))
+    none = F.lit(None).cast("string")
+    head = own.where("not inside").groupBy("repo").agg(F.max_by(F.struct("id", "text"), "id").alias("x")).select("repo", "x.id", "x.text")
+    files = own.where("inside").select("repo", "id", F.substring_index("region", "#", 1).alias("path"))
+    named = head.select("repo", F.explode(named_surfaces(F.col("text"))).alias("s")).where("s.label <> 'topology'").select("repo", F.col("s.path").alias("path"))
+    named = named.groupBy("repo", T.repo_path(F.col("path")).alias("key")).agg(F.min("path").alias("path"))
+    lacking = named.join(files.select("repo", T.repo_path(F.col("path")).alias("key")), ["repo", "key"], "left_anti")
+    parts = [
+        head.select("repo", F.lit("constitution").alias("part"), "id", none.alias("path")), files.select("repo", F.lit("covered").alias("part"), "id", "path"),
+        docs_by_repo(r).select("repo", F.lit("concept").alias("part"), F.col("doc_id").alias("id"), none.alias("path")),
+        lacking.select("repo", F.lit("not captured").alias("part"), none.alias("id"), "path"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def docs_by_repo(r: Relations) -> DataFrame:

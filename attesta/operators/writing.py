@@ -28,7 +28,7 @@ from attesta.operators import capture as C
 from attesta.operators import lint
 from attesta.operators import project as P
 from attesta.operators import reading as R
-from attesta.sources import base, storage
+from attesta.sources import base, repository, storage
 from attesta.sources.relations import Relations
 
 #: The folder of each type of derived document, and the types whose quotations are always checked.
@@ -327,6 +327,15 @@ def capture(spark: SparkSession, root: str, batch: DataFrame, now: str, force_ne
     return out
 
 
+def capture_repo(spark: SparkSession, root: str, id_: str, repo: str, ref: str, now: str, head: str | None = None, surfaces: list[tuple[str, list[str]]] | None = None) -> DataFrame:
+    """Take a repository's constitution in as a source of the reference tier: what the repository says about itself, not its content."""
+    C.guard(spark, "capture-repo")
+    text = repository.manifest(repository.surfaces(spark, repo, surfaces), head)
+    row = text.select(F.lit(0).alias("seq"), F.lit(id_).alias("id"), F.lit("repo").alias("system"), F.lit(ref).alias("ref"), F.lit("constitution.md").alias("filename"), "text",
+                      F.lit("reference").alias("tier"), F.lit("constitution of a repository that lives elsewhere").alias("reason"))
+    return capture(spark, root, row, now)
+
+
 def _ledger(head: str, patch: str, entries: str, was: float | None, kept: str | None) -> str:
     """A source's head with new entries; the one that was current names the file its bytes are kept in."""
     import yaml

@@ -669,6 +669,26 @@ over(
     union all select 3, id, {_LINE("case when e is not null then concat('" + '"evidence":' + "', to_json(e)) end", _KEY('id'), _IS('decision'), _KEY('path'), _KEY('status'), _KEY('title'), _KEY('type'))}
       from decisions left join (select decision_id, list(source_id order by ord) as e from evidence group by 1) on decision_id = id""",
 )(lambda r: P.index_records(r))
+#: Repositories: constitutions that name files, files captured under those names in other spelling, and documents on either.
+_HELD_REPOS = """select id, concat('repo-', num % 7, case when num % 5 > 0 then concat('#Dir/f', num % 50, '.md', case when num % 3 = 0 then '#part' else '' end) else '' end) as ref,
+  case when num % 5 = 0 then concat('# Repository constitution', {n}, {n}, '- readme: README.md — sha256:0', {n}, '- adrs: dir/F', num % 50 + 1, '.md, dir/none.md — sha256:1', {n}, '- topology: (top-level shape) — sha256:2', {n}, '---', {n}, '- no: after.md — sha256:3') else text end as text,
+  'repo' as system from sources where num % 2 = 0"""
+
+
+@over(
+    "repo_footprint",
+    f""", s as ({_HELD_REPOS.replace('{n}', 'chr(10)')}), h as (select split_part(ref, '#', 1) as repo, max(id) as id from s where not contains(ref, '#') group by 1),
+    f as (select split_part(ref, '#', 1) as repo, id, split_part(ref, '#', 2) as path from s where contains(ref, '#')),
+    n as (select repo, unnest(['README.md', regexp_extract(text, 'dir/F[0-9]+.md'), 'dir/none.md']) as path from h join s using (id))
+    select repo, 'constitution' as part, id, null as path from h union all select repo, 'covered', id, path from f
+    union all select distinct split_part(ref, '#', 1), 'concept', d.id, null from provenance p join s on s.id = p.source_id join derived d on d.id = p.doc_id
+    union all select repo, 'not captured', null, path from n where not exists (select * from f where f.repo = n.repo and lower(f.path) = lower(n.path))""",
+)
+def repo_footprint(r: Relations) -> DataFrame:
+    own = r.sources.sparkSession.sql(_HELD_REPOS.replace("from sources", "from {s}").replace("{n}", "char(10)"), s=r.sources)
+    return P.footprint(replace(r, sources=own))
+
+
 over("cover_map", "select source_id, doc_id from (select p.source_id, d.id as doc_id, row_number() over (partition by p.source_id order by d.type <> 'summary', d.id) as n from provenance p join derived d on d.id = p.doc_id) where n = 1")(P.cover)
 _BLURBS = """(select s.id, coalesce(b.blurb, s.ref) as blurb from sources s left join (select source_id, concat_ws(' — ', title, nullif(abstract, '')) as blurb from
   (select p.source_id, d.title, d.abstract, row_number() over (partition by p.source_id order by d.type <> 'summary', d.id) as n from provenance p join derived d on d.id = p.doc_id) where n = 1) b on b.source_id = s.id)"""

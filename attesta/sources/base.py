@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,43 +196,6 @@ def aids(spark: SparkSession, root: str) -> DataFrame:
     return extracted(own, "content", "name").select("id", "name", "text")
 
 
-#: Surface groups of a repository and where they are looked for.
-SURFACES = {
-    "readme": ["README*"], "manifests": ["package.json", "pyproject.toml", "Cargo.toml", "go.mod", "pom.xml"], "docs": ["docs/*.md"],
-    "contracts": ["contracts/*", "schema/*", "*.proto"], "automation": [".github/workflows/*", "Makefile", "Dockerfile"],
-    "license": ["LICENSE*"], "agents": ["AGENTS.md", "CONTRIBUTING.md"],
-}
-
-
-def matching(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, content) of the files that a glob names; none at all is an empty table."""
-    own = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
-    try:
-        return own.load(pattern).select("path", "content")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "path string, content binary")
-
-
-def constitution(spark: SparkSession, repo: str) -> DataFrame:
-    """(label, paths, hash) of the surface groups a repository has: shallow globs, one hash a group."""
-    parts = []
-    for label, globs in SURFACES.items():
-        for g in globs:
-            own = matching(spark, f"{repo}/{g}").select(F.lit(label).alias("label"), F.substring_index("path", f"{repo.rstrip('/')}/", -1).alias("path"), F.sha2("content", 256).alias("h"))
-            parts.append(own)
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    pairs = F.array_sort(F.collect_list(F.struct("path", "h"))).alias("all")
-    groups = rows.groupBy("label").agg(pairs)
-    return groups.select(
-        "label", F.transform("all", lambda x: x["path"]).alias("paths"),
-        H.bytes_hash(F.array_join(F.transform("all", lambda x: F.concat(x["path"], F.lit("\t"), x["h"])), "\n")).alias("hash"),
-    )
-
-
 def scaffold(spark: SparkSession, root: str, name: str) -> bool:
     """Create an empty base through Spark's file system; False if there is one already."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs

@@ -312,8 +312,6 @@ def test_views(spark, small):
     lines = [json.loads(x["line"]) for x in P.index_records(r).collect()]
     assert len(lines) == lint.documents(r).count() and all(list(x) == sorted(x) for x in lines)
     assert V.find(r, "").where("matched <> 'mention'").count() == 0
-    docs = spark.createDataFrame([(0, "- api: a/B, c — sha256:" + "0" * 64), (1, "---"), (2, "- no: x — sha256:" + "0" * 64)], "seq int, line string")
-    assert [(x["label"], x["path"]) for x in P.manifest_surfaces(docs).collect()] == [("api", "a/B"), ("api", "c")]
 
 
 def test_stream_equals_batch(spark, small, tmp_path):
