@@ -46,22 +46,29 @@ def matches(incoming: DataFrame, held: DataFrame) -> DataFrame:
 def dedup_check(incoming: DataFrame, held: DataFrame) -> DataFrame:
     """What taking each row in would find: (id, status, method, match_id); nothing is written.
 
-    incoming(id, ref, hash, text); held(id, ref, hash, text). A row without hash is asked by ref alone.
-    Changed text that differs in line ends only is told apart.
+    incoming(id, ref, hash, text); held(id, ref, hash, text). A row without hash is asked by ref alone. Changed text that differs in
+    line ends only is told apart; where both sides have (path, content), so are files of which an extractor reads the same text.
     """
     rows = matches(incoming, held)
     near = F.coalesce("id_match", "ref_match")
     rows = rows.withColumn("near", near)
-    other = held.select(F.col("id").alias("near"), F.col("text").alias("held_text"))
-    plain = lambda c: F.regexp_replace(T.newlines(c), "^﻿+", "")
+    files = {"path", "content"} <= {*incoming.columns} and {"path", "content"} <= {*held.columns}
+    more = [F.col("content").alias("__held_bytes"), F.col("path").alias("__held_path")] if files else []
+    other = held.select(F.col("id").alias("near"), F.col("text").alias("held_text"), *more)
+    plain = lambda c: F.regexp_replace(T.newlines(c), "^\ufeff+", "")
     rows = rows.join(other, "near", "left")
     only_lines = plain(F.col("held_text")) == plain(F.col("text"))
+    same_text = F.lit(False)
+    if files:
+        # only files that changed are read
+        fetched, kept = F.when(F.col("near").isNotNull() & F.col("hash_match").isNull(), F.col("content")), F.col("__held_bytes")
+        rows = extracted(extracted(rows.withColumn("__bytes", fetched), "__bytes", "__held_path", "__now"), "__held_bytes", "__held_path", "__then")
+        same_text = F.coalesce(~T.suffix(F.col("__held_path")).isin(".md", ".txt") & (T.newlines(F.col("__now")) == T.newlines(F.col("__then"))) & kept.isNotNull(), F.lit(False))
+    changed = F.when(only_lines, "same-after-newline-normalization").when(same_text, "same-after-extraction").otherwise("changed")
     status = (
         F.when(F.col("hash").isNull(), F.when(F.col("ref_match").isNotNull(), "already-captured").otherwise("new"))
-        .when(F.col("hash_match").isNotNull(), "already-captured")
-        .when(F.col("near").isNotNull(), F.when(only_lines, "same-after-newline-normalization").otherwise("changed"))
-        .otherwise("new")
-    )
+        .when(F.col("hash_match").isNotNull(), "already-captured").when(F.col("near").isNotNull(), changed).otherwise("new")
+    )
     by_ref = F.col("hash").isNull() | (F.col("hash_match").isNull() & F.col("id_match").isNull() & F.col("ref_match").isNotNull())
     match = F.when(F.col("hash").isNull(), F.col("ref_match")).otherwise(F.coalesce("hash_match", "near"))
     return rows.select("id", status.alias("status"), F.when(by_ref, "origin.ref").otherwise("content-hash").alias("method"), match.alias("match_id"))
@@ -277,15 +284,16 @@ def queue_list(tasks: DataFrame) -> DataFrame:
 
 
 def queue_ids(tasks: DataFrame) -> DataFrame:
-    """Ids of new tasks from their stamp; those of one stamp get a number."""
+    """Ids of new tasks from their stamp (one second of one writer); those of one stamp get a number."""
     n = F.row_number().over(Window.partitionBy("stamp").orderBy("seq"))
     return tasks.withColumn("id", F.concat(F.lit("task-"), "stamp", F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise("")))
 
 
 def amend(decisions: DataFrame, changes: DataFrame) -> DataFrame:
-    """Decision bodies with dated amendments, changes(id, dated, body), on top."""
-    c = changes.select("id", F.concat(F.lit("## Amended "), "dated", F.lit("\n\n"), "body", F.lit("\n\n")).alias("__add"))
-    return decisions.join(c, "id", "left").withColumn("body", F.concat(F.coalesce("__add", F.lit("")), "body")).drop("__add")
+    """Decision bodies with dated amendments, changes(id, dated, body), on top; what stood there stays."""
+    c = changes.select("id", F.concat(F.lit("**AMENDED ("), "dated", F.lit("):** "), T.strip(F.col("body")), F.lit("\n\n")).alias("__add"))
+    body = F.when(F.col("__add").isNotNull(), F.concat("__add", F.regexp_replace("body", r"^\n+", ""))).otherwise(F.col("body"))
+    return decisions.join(c, "id", "left").withColumn("body", body).drop("__add")
 
 
 def decline(candidates: DataFrame, changes: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as T
 from attesta.operators.ledger import NEAR
-from attesta.operators.lint import stale_pairs
+from attesta.operators.lint import documents, stale_pairs
 from attesta.operators.retrieve import RANK, in_scope
 from attesta.sources.relations import Relations
 from attesta.sources.repository import named_surfaces
@@ -71,8 +71,9 @@ def page(r: Relations) -> DataFrame:
     return r.members.join(known, "member_id", "left").select("project_id", "ord", "member_id", "blurb").orderBy("project_id", "ord")
 
 
-def resolve(r: Relations, project: str) -> DataFrame:
-    return in_scope(r, project).orderBy("id")
+def resolve(r: Relations, project: str | None = None) -> DataFrame:
+    """(id) of what a view shows; without one, of everything."""
+    return (documents(r).select("id").distinct() if project is None else in_scope(r, project)).orderBy("id")
 
 
 def updated_members(held: DataFrame, changes: DataFrame) -> DataFrame:

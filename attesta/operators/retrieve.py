@@ -19,8 +19,11 @@ def catalog(r: Relations) -> DataFrame:
     """One row a document: id, kind, type, status, identity (what names it) and mention (all it says), lower case."""
     none = F.lit(None).cast("string")
     low = lambda *c: F.lower(F.concat_ws(" ", *c))
+    # what is held is part of a source's name, unless it is the base's own format
+    end = T.suffix(F.col("canonical"))
+    form = F.when(~end.isin("", ".md", ".markdown"), end)
     rows = [
-        ("source", r.sources, F.lit("source"), none, low("id", "lang", "ref", "upstream_ref"), low("text")),
+        ("source", r.sources, F.lit("source"), none, low("id", "lang", "ref", "upstream_ref", form), low("text")),
         ("derived", r.derived, F.col("type"), F.col("status"), low("id", "title", "tag"), low("abstract", "body")),
         ("project", r.projects, none, none, low("id", "title"), low("scope")),
         ("decision", r.decisions, none, F.col("status"), low("id", "title"), low("body")),

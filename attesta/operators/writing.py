@@ -18,7 +18,7 @@ from collections.abc import Callable
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import hashing as H
@@ -327,6 +327,121 @@ def capture(spark: SparkSession, root: str, batch: DataFrame, now: str, force_ne
     return out
 
 
+@operation("record-decision")
+def decide(spark: SparkSession, root: str, changes: DataFrame, now: str) -> DataFrame:
+    """Record decisions, or amend them; changes(id, title, body, status, evidence array<string>, amend). (id, outcome): recorded, amended, or why not.
+
+    Evidence is the source at its version now; what a decision cites already stays at its version, its date stays, and an amendment
+    stands on top of what was said.
+    """
+    own = base.entries(spark, root)
+    held = base.documents(own, "decisions").join(own.select("path", "json"), "path")
+    held = held.select("id", F.col("title").alias("old_title"), F.col("status").alias("old_status"), F.col("date").alias("old_date"), F.col("body").alias("old_body"), F.col("evidence").alias("old"), "json")
+    now_at = base.heads(own).select(F.col("id").alias("source_id"), F.coalesce("version", F.lit(1)).alias("version"))
+    cited = changes.select("id", F.posexplode("evidence").alias("ord", "source_id")).join(now_at, "source_id", "left")
+    cited = cited.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "source_id", "version"))), lambda x: F.struct(x["source_id"].alias("id"), x["version"].alias("version"))).alias("new"), F.count_if(F.col("version").isNull()).alias("unknown"))
+    rows = changes.withColumn("amend", F.coalesce("amend", F.lit(False))).join(held, "id", "left").join(cited, "id", "left")
+    there, amend = F.col("json").isNotNull(), F.col("amend")
+    rows = rows.withColumn("title", F.coalesce("title", F.when(amend, F.col("old_title")))).withColumn("status", F.coalesce("status", F.when(amend, F.col("old_status")), F.lit("accepted")))
+    reason = _first(
+        (~T.is_id(F.col("id")), "bad id"), (amend & ~there, "nothing to amend"), (~amend & there, "there already"), (F.coalesce("unknown", F.lit(0)) > 0, "unknown evidence"),
+        (F.coalesce("title", F.lit("")) == "", "no title"), (~F.col("status").isin(lint.DECISION_STATUS), "unknown status"),
+    )
+    rows = cut(rows.withColumn("outcome", F.coalesce(reason, F.when(amend, "amended").otherwise("recorded"))))
+    good = rows.where("outcome in ('recorded', 'amended')")
+    pair = "array<struct<id:string,version:int>>"
+    old = F.transform(F.coalesce("old", F.array().cast(base.PAIR)), lambda x: F.struct(x["id"].alias("id"), x["version"].alias("version"))).cast(pair)
+    fresh = F.filter(F.coalesce(F.col("new").cast(pair), F.array().cast(pair)), lambda x: ~F.coalesce(F.array_contains(F.col("old.id"), x["id"]), F.lit(False)))
+    evidence = F.concat(old, fresh)
+    day = F.lit(now[:10])
+    head = F.struct("id", F.lit("decision").alias("type"), "title", "status", F.coalesce("old_date", day).alias("date"), F.lit("operator").alias("authored_by"), F.when(F.size(evidence) > 0, evidence).alias("evidence"))
+    body = F.when(amend, F.concat(F.lit(f"**AMENDED ({now[:10]}):** "), T.strip(F.col("body")), F.lit("\n\n"), F.regexp_replace("old_body", r"^\n+", ""))).otherwise(F.col("body"))
+    write(spark, root, good.select(F.concat(F.lit("decisions/"), "id", F.lit(".md")).alias("path"), document(F.coalesce("json", F.lit("{}")), F.to_json(head), body).alias("text")))
+    log(spark, root, now, good.select(F.concat(F.lit("decision | "), "outcome", F.lit(" | "), "id").alias("line")))
+    return rows.select("id", "outcome")
+
+
+@operation("promote-candidate")
+def fold(spark: SparkSession, root: str, candidates: DataFrame, now: str) -> DataFrame:
+    """Fold candidates into documents; candidates(id, into, body, sources array<string>, derivation, as_of). (id, outcome): folded, or why not.
+
+    A document gets the blocks of its candidates at its end, their new sources at the hashes they have now (its own stay as
+    recorded: folding heals nothing), the weakest of the derivations, and a new stamp. A dated candidate is refused: its date would be the whole document's.
+    """
+    own = base.entries(spark, root)
+    docs = base.documents(own, *base.FOLDERS).join(own.select("path", "json"), "path")
+    docs = docs.select(F.col("id").alias("into"), "path", "json", "title", "abstract", F.col("body").alias("old_body"), F.col("derivation").alias("old_derivation"), F.col("sources").alias("old"), F.lit(True).alias("held"))
+    current = base.heads(own).select(F.col("id").alias("source_id"), F.col("content_hash").alias("hash"), F.lit(True).alias("known"))
+    each = candidates.select("id", "into", F.posexplode_outer("sources").alias("ord", "source_id")).join(current, "source_id", "left")
+    bad = each.where("source_id is not null and known is null").select("id").distinct().withColumn("ungrounded", F.lit(True))
+    rows = candidates.join(docs.select("into", "held"), "into", "left").join(bad, "id", "left")
+    reason = _first(
+        (F.col("held").isNull(), "unknown document"), (F.coalesce("as_of", F.lit("")) != "", "dated"), (F.col("ungrounded").isNotNull(), "unknown source"),
+        (F.col("derivation").isNotNull() & ~F.col("derivation").isin(lint.DERIVATIONS), "unknown derivation"),
+    )
+    rows = cut(rows.withColumn("outcome", F.coalesce(reason, F.lit("folded"))))
+    good = rows.where("outcome = 'folded'")
+    blocks = good.groupBy("into").agg(F.array_sort(F.collect_list(F.struct("id", T.strip(F.col("body")).alias("block")))).alias("blocks"), C.weakest(F.col("derivation")).alias("rung"), F.count("derivation").alias("rungs"))
+    new = each.join(good.select("id"), "id", "left_semi").where("source_id is not null").join(docs.select("into", F.explode("old.id").alias("source_id")), ["into", "source_id"], "left_anti")
+    new = new.groupBy("into", "source_id", "hash").agg(F.min(F.struct("id", "ord")).alias("first")).groupBy("into").agg(F.array_sort(F.collect_list(F.struct("first", "source_id", "hash"))).alias("new"))
+    pair = "array<struct<id:string,hash:string>>"
+    old = F.transform("old", lambda x: F.struct(x["id"].alias("id"), x["hash"].alias("hash"))).cast(pair)
+    more = F.transform("new", lambda x: F.struct(x["source_id"].alias("id"), x["hash"].alias("hash"))).cast(pair)
+    out = docs.join(blocks, "into").join(new, "into", "left")
+    body = F.concat(F.regexp_replace("old_body", r"\n+$", ""), F.lit("\n\n"), F.array_join("blocks.block", "\n\n"), F.lit("\n"))
+    rank = F.array(*[F.lit(d) for d in C.DERIVATION_RANK])
+    # the later of the two in the order of derivations is the weaker
+    weaker = F.element_at(rank, F.greatest(F.array_position(rank, F.coalesce("old_derivation", F.lit("extracted"))), F.array_position(rank, F.col("rung"))).cast("int"))
+    rung = F.when((F.col("rungs") > 0) | F.col("old_derivation").isNotNull(), weaker)
+    out = out.withColumn("text", body).withColumn("derivation", rung)
+    patch = F.struct(F.concat(F.coalesce(old, F.array().cast(pair)), F.coalesce(more, F.array().cast(pair))).alias("sources"), "derivation", F.lit(now).alias("derived_at"), H.self_hash(F.col("title"), F.col("abstract"), F.col("text")).alias("self_hash"))
+    write(spark, root, out.select("path", document(F.col("json"), F.to_json(patch), F.col("text")).alias("text")))
+    log(spark, root, now, good.select(F.concat(F.lit("fold-candidate | "), "id", F.lit(" -> "), "into").alias("line")))
+    return rows.select("id", "outcome")
+
+
+@operation("queue-create")
+def enqueue(spark: SparkSession, root: str, tasks: DataFrame, now: str) -> DataFrame:
+    """Write task files; tasks(seq, type, outcome, inputs array<string>, created_by). (seq, id, outcome): created, or why not. Ids come from the
+    time and the type; those that are taken, here or in the queue, get the next free number."""
+    stamp = F.concat(F.lit(f"task-{now[:10].replace('-', '')}-{now[11:19].replace(':', '')}-"), "type")
+    reason = _first((~F.coalesce(F.col("type").isin(C.TASK_TYPES), F.lit(False)), "unknown type"), (T.strip(F.coalesce("outcome", F.lit(""))) == "", "no outcome"))
+    rows = tasks.select("seq", "type", T.strip(F.col("outcome")).alias("wanted"), "inputs", F.coalesce("created_by", F.lit("core")).alias("by"), stamp.alias("stem"), F.coalesce(reason, F.lit("created")).alias("outcome"))
+    held = base.files(spark, [f"{root}/queue"], "task-*.md").select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "").alias("name"))
+    # a stem's taken numbers: none is 1
+    taken = held.join(rows.select("stem").distinct(), F.col("name").startswith(F.col("stem"))).select("stem", F.coalesce(F.regexp_extract("name", r"-(\d+)$", 1).try_cast("int"), F.lit(1)).alias("n"), F.col("name") == F.col("stem"))
+    top = taken.groupBy("stem").agg(F.max("n").alias("top"))
+    good = rows.where("outcome = 'created'").join(top, "stem", "left")
+    n = F.row_number().over(Window.partitionBy("stem").orderBy("seq")) + F.coalesce("top", F.lit(0))
+    good = good.withColumn("id", F.concat("stem", F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise("")))
+    given = F.filter(F.transform(F.coalesce("inputs", F.array().cast("array<string>")), lambda x: T.strip(x)), lambda x: x != "")
+    lines = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("id: "), "id"), F.concat(F.lit("type: "), "type"), F.lit("status: pending"), F.concat(F.lit("created_by: "), "by"), F.lit(f"created_at: {now}"),
+                        F.when(F.size(given) > 0, F.concat(F.lit("inputs:\n  - "), F.array_join(given, "\n  - "))), F.lit("---"), F.lit(""), "wanted", F.lit(""),
+                        F.lit("Results are staged for review; the task writes nothing to the base itself."), F.lit(""), F.lit("## Log"), F.concat(F.lit(f"- {now} created ("), "by", F.lit(")")), F.lit(""))
+    good = cut(good.withColumn("text", lines))
+    write(spark, root, good.select(F.concat(F.lit("queue/"), "id", F.lit(".md")).alias("path"), "text"))
+    return rows.join(good.select("seq", "id"), "seq", "left").select("seq", "id", "outcome")
+
+
+#: What a challenge or a review may come to.
+OUTCOMES = {"challenge": ["survived", "weakened", "refuted"], "review": ["clean", "findings-surfaced"]}
+
+
+def passed(spark: SparkSession, root: str, kind: str, now: str, target: str | None = None, outcome: str | None = None, counts: dict[str, int] | None = None, detail: str | None = None) -> str:
+    """Record a challenge (of a target), a review or a map pass (of a scope) in the log; the line."""
+    C.guard(spark, f"{kind}-log")
+    if kind in OUTCOMES and outcome not in OUTCOMES[kind]:
+        raise ValueError(f"not an outcome of a {kind}: {outcome}")
+    scope = (target or "").strip()
+    if kind == "challenge" and not scope:
+        raise ValueError("a challenge needs a target")
+    numbers = "".join(f" {k}={(counts or {}).get(k, 0)}" for k in ("entities", "concepts", "questions"))
+    said = {"challenge": f"{scope}: {outcome}", "review": f"scope={scope or 'base'}: {outcome}", "map": f"scope={scope or 'base'}{numbers}"}[kind]
+    line = f"{kind} | {said}" + (f" | {detail}" if detail else "")
+    log(spark, root, now, spark.createDataFrame([(line,)], "line string"))
+    return line
+
+
 def capture_repo(spark: SparkSession, root: str, id_: str, repo: str, ref: str, now: str, head: str | None = None, surfaces: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """Take a repository's constitution in as a source of the reference tier: what the repository says about itself, not its content."""
     C.guard(spark, "capture-repo")

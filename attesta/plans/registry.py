@@ -362,7 +362,7 @@ over(
 
 # --- finding ------------------------------------------------------------------------------------
 
-_CATALOG = """(select id, 'source' as kind, 0 as rank, 'source' as type, null as status, lower(concat_ws(' ', id, lang, ref, upstream_ref)) as identity, lower(text) as mention from sources
+_CATALOG = """(select id, 'source' as kind, 0 as rank, 'source' as type, null as status, lower(concat_ws(' ', id, lang, ref, upstream_ref, case when canonical = 'source.pdf' then '.pdf' end)) as identity, lower(text) as mention from sources
   union all select id, 'derived', 1, type, status, lower(concat_ws(' ', id, title, tag)), lower(concat_ws(' ', abstract, body)) from derived
   union all select id, 'project', 2, null, null, lower(concat_ws(' ', id, title)), lower(scope) from projects
   union all select id, 'decision', 3, null, status, lower(concat_ws(' ', id, title)), lower(body) from decisions)"""
@@ -381,6 +381,7 @@ _SCOPE = lambda p: f"(select distinct member_id from members where project_id =
 over("find_documents", _find_sql(["en", "the", "12"]))(lambda r: V.find(r, "EN the 12"))
 over("find_by_type", _find_sql(["doc", "la"], "and type = 'summary'", True))(lambda r: V.find(r, "doc la", "summary", include_superseded=True))
 over("find_scoped", _find_sql(["the"], f"and id in {_SCOPE('view-1')}"))(lambda r: V.find(r, "the", project="view-1"))
+over("find_held_format", _find_sql(["pdf", "src"]))(lambda r: V.find(r, "pdf SRC"))
 over("find_why", _find_sql(["the", "re"], "and kind = 'decision'").replace("'decision', 3, null,", "'decision', 3, null,"))(lambda r: V.find(r, "the re").where("kind = 'decision'"))
 over("query_facets", f"select id, kind, type, status from (select *, row_number() over (order by rank, id) as n from {_CATALOG} where kind = 'derived' and type = 'summary' and status = 'superseded') where n <= 50")(
     lambda r: V.facets(r, kind="derived", type_="summary", status="superseded")
@@ -886,7 +887,7 @@ over(
         [".html", ".csv"],
     )
 )
-over("decision_amend", "select id, case when num % 3 = 0 then concat('## Amended ', dated, chr(10), chr(10), 'Now ', status, '.', chr(10), chr(10), body) else body end as body from decisions")(
+over("decision_amend", "select id, case when num % 3 = 0 then concat('**AMENDED (', dated, '):** Now ', status, '.', chr(10), chr(10), ltrim(body, chr(10))) else body end as body from decisions")(
     lambda r: C.amend(r.decisions, r.decisions.where("num % 3 = 0").select("id", "dated", F.concat(F.lit("Now "), "status", F.lit(".")).alias("body"))).select("id", "body")
 )
 over(

@@ -20,10 +20,10 @@ SQL: dict[str, str] = {
     "sources": """
 select concat('src-doc-', doc_id) as id, doc_id as num, text, lang, case when doc_id % 83 = 0 then 'repo' else source end as system,
   case when doc_id % 83 = 0 then concat('whole/', doc_id - doc_id % 10 + 1, '#', doc_id) when doc_id % 10 = 1 then concat('whole/', doc_id) else concat(source, '/', doc_id) end as ref,
-  concat('sha256:', {sha}) as content_hash, 1 as version, case when doc_id % 67 <> 0 then 'source.md' end as canonical,
+  concat('sha256:', {sha}) as content_hash, 1 as version, case when doc_id % 67 <> 0 then case when doc_id % 91 = 0 then 'source.pdf' else 'source.md' end end as canonical,
   case when doc_id % 53 <> 0 then 'source' end as type, doc_id % 59 <> 0 as has_origin, case when doc_id % 61 = 0 then 0 else 1 end as entries,
   case when doc_id % 67 = 0 then null when doc_id % 79 = 0 then concat('sha256:', repeat('1', 64)) else concat('sha256:', {sha}) end as held_hash,
-  concat('sources/src-doc-', doc_id, case when doc_id % 67 <> 0 then '/source.md' else '' end) as path, split(lang, ' ') as tags,
+  concat('sources/src-doc-', doc_id, case when doc_id % 67 = 0 then '' when doc_id % 91 = 0 then '/source.pdf' else '/source.md' end) as path, split(lang, ' ') as tags,
   case when source in ('src3', 'src7') then 'reference' when doc_id % 97 = 0 then 'partial' else 'full' end as capture,
   case when source = 'src3' or (source = 'src7' and doc_id % 3 = 0) then 'licence' end as capture_reason,
   concat('2024-01-', lpad(cast(1 + doc_id % 28 as string), 2, '0'), 'T00:00:00Z') as captured_at,

@@ -252,6 +252,16 @@ def test_ladders_and_queue(spark):
     assert sorted(r["outcome"] for r in C.restatus(tasks, moves).collect()) == ["illegal", "moved", "noop", "unknown"]
 
 
+def test_ladder_reads_files_that_changed(spark):
+    """Other markup around the same text is told apart, where an extractor reads both files."""
+    cols = "id string, ref string, hash string, text string, path string, content binary"
+    page = lambda t: bytearray(t.encode())
+    held = [("p", "r", "h1", "", "source.html", page("<p>a</p><script>1</script>")), ("q", "s", "h2", "", "source.bin", page("1")), ("t", "u", "h3", "x", "source.md", page("x"))]
+    new = [("p", None, "n1", None, "p.html", page("<div>a</div>")), ("new", "r", "n2", None, "p.html", page("<p>b</p>")), ("q", None, "n3", None, "q.bin", page("1 ")), ("t", None, "n4", "y", "t.md", page("y")), ("z", None, "h1", None, "z.html", page("z"))]
+    found = {r["id"]: (r["status"], r["match_id"]) for r in C.dedup_check(spark.createDataFrame(new, cols), spark.createDataFrame(held, cols)).collect()}
+    assert found == {"p": ("same-after-extraction", "p"), "new": ("changed", "p"), "q": ("changed", "q"), "t": ("changed", "t"), "z": ("already-captured", "p")}
+
+
 def test_dormancy_and_percentiles(spark):
     usage = spark.createDataFrame([("a", None, 1, 1, None), ("a", None, 1, 1, 5), ("b", 1.0, 1, 1, None), ("b", 2.0, 1, 1, None), ("b", 9.0, 1, 1, None)], "op string, duration_ms double, bytes_in long, bytes_out long, tokens long")
     found = {r["op"]: r for r in L.cost(usage).collect()}

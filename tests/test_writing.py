@@ -114,6 +114,42 @@ def test_a_base_from_nothing(spark, kb):
     assert not [f for f in files(kb) if f.startswith(".") or f.endswith(".crc")]
 
 
+def test_decisions_folds_and_tasks(spark, kb):
+    web = lambda i, text: (i, "web", f"http://{i}", "a.md", text, None, None)
+    root = str(kb.root)
+    capture(spark, kb, web("src-a", "a\n"), web("src-b", "b\n"))
+    decision = "id string, title string, body string, status string, evidence array<string>, amend boolean"
+    decide = lambda now, *rows: {r["id"]: r["outcome"] for r in W.decide(spark, root, spark.createDataFrame(list(rows), decision), now).collect()}
+    assert decide(NOW, ("dec-1", "D", "why", None, ["src-a"], None), ("dec-2", None, "x", None, None, None), ("dec-3", "D", "x", "maybe", None, None), ("dec-4", "D", "x", None, ["src-z"], None), ("dec-5", "D", "x", None, None, True)) == {
+        "dec-1": "recorded", "dec-2": "no title", "dec-3": "unknown status", "dec-4": "unknown evidence", "dec-5": "nothing to amend",
+    }
+    capture(spark, kb, web("src-a", "a2\n"))
+    assert decide("2024-03-01T00:00:00Z", ("dec-1", None, " more ", "proposed", ["src-a", "src-b"], True)) == {"dec-1": "amended"} and decide(NOW, ("dec-1", "D", "x", None, None, None)) == {"dec-1": "there already"}
+    own, body = head(kb, "decisions/dec-1.md")
+    assert own["evidence"] == [{"id": "src-a", "version": 1}, {"id": "src-b", "version": 1}] and (own["date"], own["status"], own["title"]) == ("2024-02-01", "proposed", "D")
+    assert body == "**AMENDED (2024-03-01):** more\n\nwhy\n"
+    assert draft(spark, kb, {"id": "sum-a", "body": "base\n", "derivation": "extracted"}) == {"sum-a": "derived"}
+    cand = "id string, into string, body string, sources array<string>, derivation string, as_of string"
+    rows = [("cand-2", "sum-a", "two\n", ["src-b", "src-a"], "model-read", None), ("cand-1", "sum-a", " one ", ["src-b"], None, None), ("cand-3", "sum-a", "x", [], None, "2024-01-01"), ("cand-4", "nobody", "x", [], None, None), ("cand-5", "sum-a", "x", ["src-z"], None, None)]
+    assert {r["id"]: r["outcome"] for r in W.fold(spark, root, spark.createDataFrame(rows, cand), NOW).collect()} == {"cand-1": "folded", "cand-2": "folded", "cand-3": "dated", "cand-4": "unknown document", "cand-5": "unknown source"}
+    own, body = head(kb, "summaries/sum-a.md")
+    assert body == "base\n\none\n\ntwo\n" and own["derivation"] == "model-read" and [s["id"] for s in own["sources"]] == ["src-a", "src-b"]
+    assert lint.l19(base.documents(base.entries(spark, root), *base.FOLDERS)).count() == 0
+    tasks = "seq int, type string, outcome string, inputs array<string>, created_by string"
+    make = lambda *rows: [(r["id"], r["outcome"]) for r in sorted(W.enqueue(spark, root, spark.createDataFrame(list(rows), tasks), NOW).collect(), key=lambda r: r["seq"])]
+    assert make((1, "map", "Do it", [" a ", ""], "me"), (2, "map", "Again", None, None), (3, "odd", "x", None, None), (4, "map", " ", None, None)) == [
+        ("task-20240201-000000-map", "created"), ("task-20240201-000000-map-2", "created"), (None, "unknown type"), (None, "no outcome"),
+    ]
+    assert make((1, "map", "Third", None, None), (2, "ask", "Q", None, None)) == [("task-20240201-000000-map-3", "created"), ("task-20240201-000000-ask", "created")]
+    read = {t["id"]: (t["status"], t["inputs"], t["created_by"]) for t in base.tasks(spark, root).collect()}
+    assert read["task-20240201-000000-map"] == ("pending", ["a"], "me") and len(read) == 4
+    assert W.passed(spark, root, "challenge", NOW, "sum-a", "weakened", detail="d") == "challenge | sum-a: weakened | d"
+    assert W.passed(spark, root, "map", NOW, counts={"concepts": 2}) == "map | scope=base entities=0 concepts=2 questions=0"
+    for wrong in (("review", "perfect"), ("challenge", "clean")):
+        with pytest.raises(ValueError):
+            W.passed(spark, root, wrong[0], NOW, "t", wrong[1])
+
+
 def test_lost_drivers_leave_no_half_document(spark, kb, monkeypatch):
     root = str(kb.root)
     rows = spark.createDataFrame([("summaries/a.md", "one\n"), ("summaries/b.md", "two"), ("sources/s/meta.yml", "id: s\n"), ("sources/s/source.md", "held")], "path string, text string")
