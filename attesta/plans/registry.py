@@ -984,7 +984,7 @@ over(
 over("evidence_refused", f"select * from ({_NEW_EVIDENCE}) where source_id not in (select id from sources)")(lambda r: amended(r)[1])
 #: Two systems of the stand-in as repositories, with a file in each.
 _REPOS = "case when system in ('src1', 'src2') then concat('git:', system, '/', ref, '#f') else ref end"
-over("docs_by_repo", f"select distinct split_part({_REPOS}, '#', 1) as repo, d.id as doc_id from provenance p join sources s on s.id = p.source_id join derived d on d.id = p.doc_id where s.system in ('src1', 'src2')")(
+over("docs_by_repo", f"select distinct split_part({_REPOS}, '#', 1) as repo, d.id as doc_id from provenance p join sources s on s.id = p.source_id join derived d on d.id = p.doc_id where s.system in ('src1', 'src2', 'repo')")(
     lambda r: P.docs_by_repo(replace(r, sources=r.sources.withColumn("ref", F.expr(_REPOS)).withColumn("system", F.expr("case when system in ('src1', 'src2') then 'repo' else system end"))))
 )
 
