@@ -23,6 +23,7 @@ rows with that id the least text hash; an empty table gives an empty result; fur
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,8 @@ PAIRS = 16
 HEADS = 8
 #: Counters that order shingles, and the parts they travel in.
 BUCKETS, PARTS = 1 << 18, 16
+#: Groups that a part's counters are summed in first.
+TURNS = 32
 #: Bits of a set's parity.
 SKETCH = 512
 #: Base of the size classes; a little over 1 / LEAST, so that similar sets are in one class or neighbours.
@@ -126,20 +129,25 @@ def marks(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             fp = pa.array([vote(s) for s in sets], pa.int64())
             odd = pa.array([parity(s) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), c, fp, odd, pa.nulls(no, pa.int32()), pa.nulls(no, pa.binary())], names)
-        parts = [(k, p.tobytes()) for k, p in enumerate(np.split(counts, PARTS)) if p.any()]
+        parts = [(k, zlib.compress(p.tobytes(), 1)) for k, p in enumerate(np.split(counts, PARTS)) if p.any()]  # a task's are mostly zero
         no = [pa.nulls(len(parts), pa.int64())] * 4
         yield pa.RecordBatch.from_arrays([*no, pa.nulls(len(parts), pa.list_(pa.int64())), pa.array([k for k, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.sum([np.frombuffer(x, np.int64) for x in pdf["counts"]], 0)
-        return pd.DataFrame({"part": pdf["part"][:1], "counts": [out.tobytes()]})
+        out = np.zeros(BUCKETS // PARTS, np.int64)
+        for x in pdf["counts"]:
+            out += np.frombuffer(zlib.decompress(x), np.int64)
+        return pd.DataFrame({"part": pdf["part"][:1], "counts": [zlib.compress(out.tobytes(), 1)]})
 
     arrow_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
     found = materialise(own.mapInArrow(run, "doc_id long, h long, c long, fp long, odd array<bigint>, part int, counts binary"))
     counts = np.zeros((PARTS, BUCKETS // PARTS), np.int64)
-    for r in found.where("part is not null").groupBy("part").applyInPandas(total, "part int, counts binary").collect():
-        counts[r["part"]] = np.frombuffer(r["counts"], np.int64)
+    # in two steps, so that no group takes the counters of all tasks
+    some = found.where("part is not null").withColumn("turn", F.pmod(F.xxhash64("counts"), F.lit(TURNS)))
+    some = some.groupBy("part", "turn").applyInPandas(total, "part int, counts binary").groupBy("part").applyInPandas(total, "part int, counts binary")
+    for r in some.collect():
+        counts[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     return found.where("part is null").select("doc_id", "h", "c", "fp", "odd"), counts.ravel()
 
 
