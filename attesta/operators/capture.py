@@ -100,13 +100,15 @@ def _settled(seen: DataFrame, force_new: bool) -> DataFrame:
     leaves = seen.where(F.col("held_now") != F.col("hash")).groupBy(F.col("held_now").alias("__l")).agg(F.min("seq").alias("first_leave"))
     by_id = seen.groupBy(F.col("id").alias("__i")).agg(F.min("seq").alias("first_id"), F.min(maker).alias("first_maker"))
     by_ref = seen.where("ref is not null").groupBy(F.col("ref").alias("__r")).agg(F.min(maker).alias("first_ref"))
-    rows = seen.join(by_hash, F.col("hash") == F.col("__h"), "left").join(leaves, F.col("hash") == F.col("__l"), "left")
+    wants = by_hash.select(F.col("__h").alias("__w"), F.col("first_hash").alias("first_want"))
+    rows = seen.join(wants, F.col("held_now") == F.col("__w"), "left")
+    rows = rows.join(by_hash, F.col("hash") == F.col("__h"), "left").join(leaves, F.col("hash") == F.col("__l"), "left")
     rows = rows.join(by_id, F.col("id") == F.col("__i"), "left").join(by_ref, F.col("ref") == F.col("__r"), "left")
     unless_before = lambda c: F.coalesce(F.col(c) >= at, F.lit(True))
     kept = F.col("outcome")
     fresh = F.col("first_hash") == at
     settled = (
-        F.when(kept == "deduped", F.coalesce(F.col("first_leave") > at, F.lit(True))).when(kept == "versioned", fresh & (F.col("first_id") == at))
+        F.when(kept == "deduped", F.coalesce(F.col("first_leave") > at, F.lit(True))).when(kept == "versioned", fresh & (F.col("first_id") == at) & unless_before("first_want"))
         .when(kept == "refused", fresh & unless_before("first_maker"))
         .otherwise(fresh & (F.col("first_id") == at) & (F.lit(force_new) | unless_before("first_ref")))
     )
@@ -125,7 +127,7 @@ def capture(incoming: DataFrame, held: DataFrame, force_new: bool = False, allow
     A known hash is deduped; a known id gets its next version; a new id on a known ref is refused unless forced; anything else
     is created. held(id, ref, hash, version) are current versions. Rows see what earlier rows of the batch have made: a content
     or id that they created, a ref they took, a content that a new version replaced. target is the source whose content, id or ref
-    it is (of a forced row: the one it splits from).
+    it is (of a forced row: one it splits from, if there was one before its round).
 
     Rounds: every row that no undecided row before it can affect is decided, the sources they changed are noted, and the rest
     is looked at again. The first undecided row can always be decided; rounds are as many as the longest chain of rows that

@@ -172,6 +172,15 @@ def test_batches_are_taken_in_order(spark, seed, force, ids, refs, hashes):
     assert {r["seq"]: (r["action"], r["target"], r["version"]) for r in own.collect()} == plain_capture(batch, held, force)
 
 
+def test_a_content_held_twice(spark):
+    """A row that one holder's change keeps waiting is decided before the other holder changes too."""
+    held = [("x", None, "h", 1), ("y", None, "h", 1)]
+    batch = [(1, "x", None, "n1", 1), (2, "new", None, "h", 1), (3, "y", None, "n3", 1), (4, "late", None, "h", 1)]
+    own = C.capture(spark.createDataFrame(batch, "seq int, id string, ref string, hash string, size int"), spark.createDataFrame(held, "id string, ref string, hash string, version int"))
+    found = {r["seq"]: (r["action"], r["target"], r["version"]) for r in own.collect()}
+    assert found == plain_capture(batch, held, False) and found[2] == ("deduped", "y", None) and found[4] == ("created", None, 1)
+
+
 def test_hot_keys_of_a_batch_take_few_rounds(spark, monkeypatch):
     """A third of the rows on one content, one id or one ref: rounds don't grow with them."""
     rounds = []
