@@ -93,6 +93,7 @@ def test_quote_gate(spark):
     assert {r["id"]: r["ok"] for r in R.quote_gate(drafts, prov, sources).collect()} == {"d1": True, "d2": False}
 
 
+
 def test_containment(spark):
     rows = [("a\n```\nin\r\nside\n```\nb", "\ufeffx in\nside y"), ("whole", "the whole"), ("```\nnot closed", "not closed"), ("```\nA\n```", "a")]
     found = R.containment(spark.createDataFrame(rows, "body string, whole string")).select("contained").collect()
@@ -190,6 +191,16 @@ def test_hot_keys_of_a_batch_take_few_rounds(spark, monkeypatch):
     assert {r["seq"]: (r["action"], r["target"], r["version"]) for r in own.collect()} == plain_capture(batch, [], False) and len(rounds) <= 3
 
 
+def test_a_content_that_is_wanted_and_left_by_turns(spark, monkeypatch):
+    """Many holders of one content, each of which leaves it between two rows that want it: rounds don't grow with them."""
+    rounds = []
+    monkeypatch.setattr(C, "_settled", lambda *a, own=C._settled: rounds.append(1) or own(*a))
+    held = [(f"s{k:02}", f"r{k}", "h", 1) for k in range(12)]
+    batch = [r for k in range(12) for r in ((3 * k, f"new{k}", None, "h", 1), (3 * k + 1, f"s{k:02}", None, f"v{k}", 1), (3 * k + 2, f"late{k}", f"r{k}", "h", 1))]
+    own = C.capture(spark.createDataFrame(batch, "seq int, id string, ref string, hash string, size int"), spark.createDataFrame(held, "id string, ref string, hash string, version int"))
+    assert {r["seq"]: (r["action"], r["target"], r["version"]) for r in own.collect()} == plain_capture(batch, held, False) and len(rounds) <= 4
+
+
 def plain_walk(edges, seeds, depth, cap):
     """Breadth first by a loop: sorted parents, sorted neighbours, a cap that stops inside a layer."""
     adj = {}
