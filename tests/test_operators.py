@@ -93,6 +93,18 @@ def test_quote_gate(spark):
     assert {r["id"]: r["ok"] for r in R.quote_gate(drafts, prov, sources).collect()} == {"d1": True, "d2": False}
 
 
+def test_quotations_that_hold_straight_signs(spark):
+    """Between curly signs straight ones are text; between straight signs, or mixed ones, nothing changes."""
+    drafts = spark.createDataFrame([
+        ("d1", 'As “the token = "29ab41" of today” [src-a] and “once "more" of it all” [src-a]'), ("d2", '"exactly these very words" and "quite other ones here" [src-a]'), ("d3", '“exactly these very words" [src-a]'),
+    ], "id string, text string")
+    prov = spark.createDataFrame([(f"d{k}", "src-a") for k in range(1, 4)], "doc_id string, source_id string")
+    sources = spark.createDataFrame([("src-a", 'now the token = "29ab41" of today, exactly these very words')], "id string, text string")
+    assert {(r["id"], r["span"]): r["ok"] for r in R.quote_gate(drafts, prov, sources).collect()} == {
+        ("d1", 'the token = "29ab41" of today'): True, ("d1", 'once "more" of it all'): False, ("d2", "exactly these very words"): True,
+        ("d2", "quite other ones here"): False, ("d3", "exactly these very words"): True,
+    }
+
 
 def test_containment(spark):
     rows = [("a\n```\nin\r\nside\n```\nb", "\ufeffx in\nside y"), ("whole", "the whole"), ("```\nnot closed", "not closed"), ("```\nA\n```", "a")]
