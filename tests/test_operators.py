@@ -2,6 +2,8 @@
 
 import json
 
+from hashlib import md5
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -435,3 +437,19 @@ def test_real_base_runs_operators(spark, tmp_path):
     assert ("L3", "sum-a") in own and not any(rule in ("L5", "L6", "L10") for rule, _ in own)
     empty = base.load(spark, f"{tmp_path}/nothing")
     assert empty.sources.count() == empty.provenance.count() == 0
+
+
+def test_kept_vectors_are_told_from_embedded_ones(spark):
+    """A text of one word may have the first axis for its vector; words that cancel out still give a direction."""
+    from types import SimpleNamespace
+
+    from attesta.plans import registry
+
+    cell = lambda w: (int(md5(w.encode()).hexdigest()[:6], 16) % 64, md5(w.encode()).hexdigest()[-1] < "8")
+    words = [f"w{k}" for k in range(2000)]
+    axis = next(w for w in words if cell(w) == (0, True))
+    pair = next(f"{a} {b}" for a in words[:200] for b in words if cell(a)[0] == cell(b)[0] != 0 and cell(a)[1] != cell(b)[1])
+    rows = [("a", 5, "x1", axis), ("b", 4, "x2", pair), ("c", 3, "x3", "kept as it is"), ("d", 10, "x4", "some new words")]
+    sources = spark.createDataFrame(rows, "id string, num long, content_hash string, text string")
+    found = registry.reindex(SimpleNamespace(sources=sources)).collect()
+    assert {(r["id"], r["unit"], r["kept"]) for r in found} == {("a", True, False), ("b", True, False), ("c", True, True), ("d", True, False)}
