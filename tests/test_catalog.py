@@ -88,3 +88,18 @@ def test_repeated_ids_count_once(spark, tmp_path, n):
     store = f"{tmp_path}/index{n}"
     KB.refresh(frame(spark, [("a", "v1", "source", "one"), ("a", "v2", "source", "two")][:n] * 2), store)
     assert KB.docs(spark, store).count() == 1 and KB.ranked(spark, store, "one" if n == 1 else "two").count() == 1
+
+
+def test_words_are_gathered_where_the_texts_are(spark, tmp_path, monkeypatch):
+    """Many changes or few: the same index, and words are not shuffled by document before they are shuffled by folder."""
+    for k, few in enumerate((0, 100)):
+        monkeypatch.setattr(KB, "FEW", few)
+        store = f"{tmp_path}/index{k}"
+        KB.refresh(frame(spark, ROWS), store)
+        same(spark, ROWS, store)
+        found = {r["id"]: r["length"] for r in KB.docs(spark, store).collect()}
+        assert found == {"a": 5, "b": 2, "c": 2, "d": 2, "e": 0, "f": 5, "g": 5, "h": 0}
+    rows = frame(spark, ROWS).select("id", KB.words_of(F.col("text")).alias("words"))
+    each = KB.each_word(rows)
+    assert {(r["id"], r["token"]): r["places"] for r in each.where("id in ('g', 'h')").collect()} == {("g", "one"): [0, 2, 4], ("g", "two"): [1, 3]}
+    assert "Exchange" not in each._jdf.queryExecution().executedPlan().toString()

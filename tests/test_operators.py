@@ -1,7 +1,6 @@
 """Literal rows for what the test tables don't hold."""
 
 import json
-
 from hashlib import md5
 
 import pytest
