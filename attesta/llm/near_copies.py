@@ -11,7 +11,9 @@ one row of each group stays. Candidates come from two sides, and all are compare
    that common passages aren't looked at. What two sets share from their first common shingle on is no
    more than what is left of either there, so pairs that cannot reach LEAST by that are never made.
 
-Where more than PAIRS sets share a shingle, each is first compared with HEADS of them; after that only
+Each set is first compared with one that shares a shingle, then with the others (HEADS of them where more
+than PAIRS share it) that are not in its component yet; links between components count once, so they are as
+many as the sets, not as the pairs of a large group. Where more than PAIRS sets share a shingle, after that only
 sets of different components and of sizes within a factor of LEAST are compared there, so large groups of
 near copies need no pairs and no link between components is missed; parities of the sets rule out most
 of these first, and never a pair of near copies.
@@ -239,24 +241,45 @@ def size_class(n: Column) -> Column:
     return F.floor(F.log(n) / F.log(F.lit(CLASS))).cast("int")
 
 
-def links(docs: DataFrame, marked: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(a, b) of classes that are near copies: all that components need."""
+def labelled(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """pairs(a, b) with the components x and y of their ends; a class that label lacks is its own."""
+    for end, of in (("a", "x"), ("b", "y")):
+        own = label.select(F.col("node").alias(end), F.col("component").alias(of))
+        pairs = splittable_join(pairs, own, [end], "left").withColumn(of, F.coalesce(of, end))
+    return pairs
+
+
+def merged(label: DataFrame, found: DataFrame) -> DataFrame:
+    """label(node, component) when found(a, b) is linked too: of all links between two components one counts."""
+    upper = materialise(connected_components(labelled(found, label).select("x", "y"), "x", "y"))
+    of = upper.select(F.col("node").alias("component"), F.col("component").alias("upper"))
+    rows = splittable_join(label, of, ["component"], "left").select("node", F.coalesce("upper", "component").alias("component"))
+    return materialise(rows.union(upper.join(label, "node", "left_anti")))
+
+
+def groups(docs: DataFrame, marked: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(node, component) of all classes that are near copies of another."""
     rows = prefixes(docs, counts)
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     shared = shared.where("lo < hi").select("key", "rows")
     met = splittable_join(rows, shared, ["key"]).select("key", "rows", F.struct("c", "n", "at").alias("x"))
     met = materialise(met.distinct())
-    few = met.where(f"rows <= {PAIRS}").groupBy("key").agg(F.collect_list("x").alias("all"))
+    heads = [F.min_by("x", F.xxhash64("x.c", F.lit(k))) for k in range(HEADS)]
+    few = met.where(f"rows <= {PAIRS}").groupBy("key").agg(F.collect_list("x").alias("all"), heads[0].alias("head"))
     # at most PAIRS sets in an array
-    pairs = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.c < y.c")
+    pairs = few.select(F.explode("all").alias("x"), "all", "head").select("x", F.explode("all").alias("y"), "head").where("x.c < y.c")
     hot = met.where(f"rows > {PAIRS}")
-    heads = [F.min_by("x", F.xxhash64("x.c", F.lit(k))) for k in range(HEADS)]
     heads = hot.groupBy("key").agg(F.array_distinct(F.array(*heads)).alias("heads"))
-    stars = splittable_join(hot, heads, ["key"]).select("x", F.explode("heads").alias("y"))
-    pairs = pairs.union(stars).where(able("x", "y")).select(*ends("x", "y"))
-    found = similar(by_fingerprint(marked).union(pairs), docs, marked)
-    # hot shingles: what is not in the commonest component there, against all of other components
+    stars = splittable_join(hot, heads, ["key"]).select("x", F.explode("heads").alias("y"), F.col("heads")[0].alias("head"))
+    first = F.col("head.c").isin(F.col("x.c"), F.col("y.c"))
+    pairs = pairs.union(stars).where(able("x", "y")).select(*ends("x", "y"), first.alias("first"))
+    pairs = materialise(pairs.groupBy("a", "b").agg(F.max("first").alias("first")))
+    # each set with one of those it shares a shingle with; then what that has not put together
+    found = similar(by_fingerprint(marked).union(pairs.where("first").select("a", "b")), docs, marked)
     label = connected_components(found)
+    found = similar(labelled(pairs.where("not first").select("a", "b"), label).where("x <> y").select("a", "b"), docs, marked)
+    label = merged(label, found)
+    # hot shingles: what is not in the commonest component there, against all of other components
     of = hot.withColumn("c", F.col("x.c")).join(label.withColumnRenamed("node", "c"), "c", "left")
     of = materialise(of.select("key", "x", F.coalesce("component", "c").alias("comp")))
     mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("most")).where("lo < hi")
@@ -268,13 +291,13 @@ def links(docs: DataFrame, marked: DataFrame, counts: np.ndarray) -> DataFrame:
     rest = rest.select("key", "size", F.col("x").alias("y"), F.col("comp").alias("other"), F.col("odd").alias("odd2"))
     rest = splittable_join(of.withColumn("size", own), rest, ["key", "size"]).where("comp <> other").where(able("x", "y"))
     rest = rest.where(~apart("odd", "odd2", F.col("x.n"), F.col("y.n")))
-    return found.union(similar(rest.select(*ends("x", "y")), docs, marked))
+    return merged(label, similar(rest.select(*ends("x", "y")), docs, marked))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, all columns. The text is moved once."""
     marked, counts = marks(docs)
-    found = connected_components(links(docs, marked, counts))
+    found = groups(docs, marked, counts)
     group = F.coalesce("component", "c").alias("group")
     rows = marked.join(found, marked["c"] == found["node"], "left").select(group, "doc_id", "h")
     first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x"))

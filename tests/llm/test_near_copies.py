@@ -53,3 +53,26 @@ def test_one_row_of_each_group_whatever_its_ids(spark):
     kept = corpus_pipeline.one_of_each(spark, docs, "").collect()
     assert sorted((r["doc_id"] or 0, r["text"][0]) for r in kept) == [(0, "c"), (1, "a"), (1, "b"), (4, "d")]
     assert corpus_pipeline.one_of_each(spark, docs.where("false"), "").count() == 0
+
+
+def test_links_grow_with_a_group_and_not_with_its_pairs(spark, monkeypatch):
+    """Near copies of one text, each with an edit of its own: the links that components are made of are few for each set."""
+    made, own = [], near_copies.connected_components
+
+    def counted(edges, *names):
+        made.append(edges.distinct().count())
+        return own(edges, *names)
+
+    monkeypatch.setattr(near_copies, "connected_components", counted)
+    rnd = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(edited(rnd, base, 1)) for _ in range(160)]
+    found = {}
+    for n in (80, 160):
+        made.clear()
+        docs = spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string")
+        kept = {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect()}
+        assert kept == set(brute_components([(k, shingles(t)) for k, t in enumerate(texts[:n])], near))
+        found[n] = sum(made)
+    print("links", found)
+    assert 159 <= found[160] <= 4 * 160 and found[160] < 3 * found[80], found
