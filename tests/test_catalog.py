@@ -103,3 +103,25 @@ def test_words_are_gathered_where_the_texts_are(spark, tmp_path, monkeypatch):
     each = KB.each_word(rows)
     assert {(r["id"], r["token"]): r["places"] for r in each.where("id in ('g', 'h')").collect()} == {("g", "one"): [0, 2, 4], ("g", "two"): [1, 3]}
     assert "Exchange" not in each._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_large_folder_is_split_and_texts_stay_where_all_changed(spark, tmp_path, monkeypatch):
+    """One word in all documents, and a session with one partition: several tasks write its folder. A first refresh looks up no text."""
+    rows = frame(spark, [(f"d{k:04}", "v1", "source", f"one w{k}") for k in range(2000)]).repartition(4)
+    store, at = f"{tmp_path}/index", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(KB, "FEW", 0)
+    looked, each = [], KB.each_word
+    monkeypatch.setattr(KB, "each_word", lambda df: looked.append("Join" in df._jdf.queryExecution().optimizedPlan().toString()) or each(df))
+    spark.conf.set(at, "1k")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        KB.refresh(rows, store)
+        KB.refresh(rows.where("id <> 'd0000'").withColumn("ident", F.when(F.col("id") < "d1000", "v2").otherwise("v1")), store)
+    finally:
+        spark.conf.unset(at)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    bucket = spark.range(1).select(KB.bucket_of(F.lit("one"))).first()[0]
+    files = storage.folders(spark, f"{store}/{storage.generations(spark, store)[1][0]}/postings/bucket={bucket}")
+    assert sum(f.endswith(".parquet") for f in files) > 1
+    assert looked == [False, True] and KB.ranked(spark, store, "one").count() == 1999
