@@ -13,10 +13,12 @@ one row of each group stays. Candidates come from two sides, and all are compare
 
 Each set is first compared with one that shares a shingle, then with the others (HEADS of them where more
 than PAIRS share it) that are not in its component yet; links between components count once, so they are as
-many as the sets, not as the pairs of a large group. Where more than PAIRS sets share a shingle, after that only
-sets of different components and of sizes within a factor of LEAST are compared there, so large groups of
+many as the sets, not as the pairs of a large group. Where more than PAIRS sets share a shingle, sets outside the
+commonest component there are compared with further heads, in ROUNDS or until a round finds nothing; after that
+only sets of different components and of sizes within a factor of LEAST are compared there, so large groups of
 near copies need no pairs and no link between components is missed; parities of the sets rule out most
-of these first, and never a pair of near copies.
+of these first, and never a pair of near copies. Heads are sets that hold few shingles rarer than the shared one: a
+group's plainest texts, that most of its others are near to; the later ones are dealt more and more by a hash.
 
 Defined cases: texts without words are copies of each other; one to four words are one shingle; rows
 without an id take part like any other; a group keeps its least doc_id (a null id last), of several
@@ -46,12 +48,14 @@ LEAST = (4, 5)
 PAIRS = 16
 #: Sets that all others are first compared with where more share a shingle.
 HEADS = 8
+#: Rounds of further heads for sets that are not in the commonest component.
+ROUNDS = 3
 #: Counters that order shingles, and the parts they travel in.
 BUCKETS, PARTS = 1 << 18, 16
 #: Groups that a part's counters are summed in first.
 TURNS = 32
 #: Bits of a set's parity.
-SKETCH = 512
+SKETCH = 1024
 #: Base of the size classes; a little over 1 / LEAST, so that similar sets are in one class or neighbours.
 CLASS = 1.26
 #: Words a worker remembers before it starts anew.
@@ -222,6 +226,12 @@ def able(x: str, y: str) -> Column:
     return (f(x, "c") != f(y, "c")) & reach(most, f(x, "n"), f(y, "n"))
 
 
+def heads_of(turn: int, value: str = "x") -> list[Column]:
+    """HEADS values of sets x of a group: of few rarer shingles, in classes of doubling width, chosen there by a hash."""
+    order = lambda k: F.struct(F.shiftright("x.at", k), F.xxhash64("x.c", F.lit(turn * HEADS + k)))
+    return [F.min_by(value, order(k)) for k in range(HEADS)]
+
+
 def ends(x: str, y: str) -> list[Column]:
     return [F.least(f"{x}.c", f"{y}.c").alias("a"), F.greatest(f"{x}.c", f"{y}.c").alias("b")]
 
@@ -264,34 +274,57 @@ def groups(docs: DataFrame, marked: DataFrame, counts: np.ndarray) -> DataFrame:
     shared = shared.where("lo < hi").select("key", "rows")
     met = splittable_join(rows, shared, ["key"]).select("key", "rows", F.struct("c", "n", "at").alias("x"))
     met = materialise(met.distinct())
-    heads = [F.min_by("x", F.xxhash64("x.c", F.lit(k))) for k in range(HEADS)]
+    heads = heads_of(0)
     few = met.where(f"rows <= {PAIRS}").groupBy("key").agg(F.collect_list("x").alias("all"), heads[0].alias("head"))
     # at most PAIRS sets in an array
     pairs = few.select(F.explode("all").alias("x"), "all", "head").select("x", F.explode("all").alias("y"), "head").where("x.c < y.c")
     hot = met.where(f"rows > {PAIRS}")
     heads = hot.groupBy("key").agg(F.array_distinct(F.array(*heads)).alias("heads"))
-    stars = splittable_join(hot, heads, ["key"]).select("x", F.explode("heads").alias("y"), F.col("heads")[0].alias("head"))
+    heads = heads.select("key", F.explode("heads").alias("y"), F.col("heads")[0].alias("head"))
+    stars = splittable_join(hot, heads, ["key"]).where(able("x", "y")).select("x", "y", "head")
     first = F.col("head.c").isin(F.col("x.c"), F.col("y.c"))
-    pairs = pairs.union(stars).where(able("x", "y")).select(*ends("x", "y"), first.alias("first"))
+    pairs = pairs.where(able("x", "y")).union(stars).select(*ends("x", "y"), first.alias("first"))
     pairs = materialise(pairs.groupBy("a", "b").agg(F.max("first").alias("first")))
     # each set with one of those it shares a shingle with; then what that has not put together
     found = similar(by_fingerprint(marked).union(pairs.where("first").select("a", "b")), docs, marked)
     label = connected_components(found)
     found = similar(labelled(pairs.where("not first").select("a", "b"), label).where("x <> y").select("a", "b"), docs, marked)
     label = merged(label, found)
-    # hot shingles: what is not in the commonest component there, against all of other components
+    # hot shingles: what is not in the commonest component there, against further heads, then against all of other components
+    for turn in range(1, ROUNDS + 1):
+        of = apart_there(hot, label, marked)
+        heads = of.withColumn("z", F.struct("x", "comp", "odd")).groupBy("key", F.expr("comp = most").alias("main"))
+        heads = heads.agg(F.array_distinct(F.array(*heads_of(turn, "z"))).alias("heads")).select("key", F.explode("heads").alias("z"))
+        heads = heads.select("key", F.col("z.x").alias("y"), F.col("z.comp").alias("other"), F.col("z.odd").alias("odd2"))
+        rest = splittable_join(of.where("comp <> most"), heads, ["key"])
+        found = similar(open_pairs(rest), docs, marked)
+        if found.isEmpty():
+            break
+        label = merged(label, found)
+    else:
+        of = apart_there(hot, label, marked)
+    own = size_class(F.col("x.n"))
+    rest = of.where("comp <> most").withColumn("size", F.explode(F.array(own - 1, own, own + 1)))
+    rest = rest.select("key", "size", F.col("x").alias("y"), F.col("comp").alias("other"), F.col("odd").alias("odd2"))
+    rest = splittable_join(of.withColumn("size", own), rest, ["key", "size"])
+    return merged(label, similar(open_pairs(rest), docs, marked))
+
+
+def apart_there(hot: DataFrame, label: DataFrame, marked: DataFrame) -> DataFrame:
+    """(key, x, comp, most, odd) of hot(key, x) where sets of several components share the key: the set's component, the
+    commonest one there, and the set's parity."""
     of = hot.withColumn("c", F.col("x.c")).join(label.withColumnRenamed("node", "c"), "c", "left")
     of = materialise(of.select("key", "x", F.coalesce("component", "c").alias("comp")))
     mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("most")).where("lo < hi")
     of = splittable_join(of, mixed.select("key", "most"), ["key"]).withColumn("c", F.col("x.c"))
     odd = marked.groupBy("c").agg(F.first("odd").alias("odd"))
-    of = materialise(splittable_join(of, odd, ["c"]).select("key", "x", "comp", "most", "odd"))
-    own = size_class(F.col("x.n"))
-    rest = of.where("comp <> most").withColumn("size", F.explode(F.array(own - 1, own, own + 1)))
-    rest = rest.select("key", "size", F.col("x").alias("y"), F.col("comp").alias("other"), F.col("odd").alias("odd2"))
-    rest = splittable_join(of.withColumn("size", own), rest, ["key", "size"]).where("comp <> other").where(able("x", "y"))
-    rest = rest.where(~apart("odd", "odd2", F.col("x.n"), F.col("y.n")))
-    return merged(label, similar(rest.select(*ends("x", "y")), docs, marked))
+    return materialise(splittable_join(of, odd, ["c"]).select("key", "x", "comp", "most", "odd"))
+
+
+def open_pairs(rest: DataFrame) -> DataFrame:
+    """(a, b) of rows that hold two sets x and y of different components that may be near copies."""
+    rest = rest.where("comp <> other").where(able("x", "y")).where(~apart("odd", "odd2", F.col("x.n"), F.col("y.n")))
+    return rest.select(*ends("x", "y"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

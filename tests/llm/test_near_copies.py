@@ -76,3 +76,24 @@ def test_links_grow_with_a_group_and_not_with_its_pairs(spark, monkeypatch):
         found[n] = sum(made)
     print("links", found)
     assert 159 <= found[160] <= 4 * 160 and found[160] < 3 * found[80], found
+
+
+def test_pairs_compared_at_last_are_few_whatever_the_group(spark, monkeypatch):
+    """Near copies of one text with up to seven edits each, many of which are near to none but share its shingles: heads
+    put together what belongs together, so the join of what is left makes no rows by pairs."""
+    made, own = [], near_copies.similar
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return own(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "similar", counted)
+    rnd = random.Random(6)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(edited(rnd, base, rnd.randint(0, 7))) for _ in range(240)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect()}
+    want = set(brute_components([(k, shingles(t)) for k, t in enumerate(texts)], near))
+    assert kept == want and 40 < len(want) < 200
+    print("rows", made)
+    assert made[-1] <= 24 and sum(made) <= 30 * len(texts), made
